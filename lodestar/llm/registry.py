@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .packing import op6_best_fit_packing
+from .tokens import op4_token_files
 
 QUERIES = {
+    "op4_token_files": op4_token_files,
+    "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
 }
 
