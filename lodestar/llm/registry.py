@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .bpe import op7_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .licenses import op9_license_scan
 from .packing import op6_best_fit_packing
+from .pii import op10_pii
 from .tokens import op4_token_files
 
 QUERIES = {
@@ -12,6 +14,8 @@ QUERIES = {
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_license_scan": op9_license_scan,
+    "op10_pii": op10_pii,
 }
 
 SQL = {
