@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.shipping import ship
+
 
 def shared_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
@@ -48,3 +50,9 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
 def ref(name: str):
     """The column of exactly this name, whatever characters it holds."""
     return F.col("`" + name.replace("`", "``") + "`")
+
+
+def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with this package at hand in the workers."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)

@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import ref, table
+from ._common import map_arrow, ref, table
 from .tokens import ChunkCache, vocabulary
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -196,7 +196,7 @@ def _encode(docs, path, pattern, id_col, text_col, schema, row) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*out))], names=names)
 
     rows = docs.select(ref(id_col).cast("long").alias("doc_id"), ref(text_col).alias("text"))
-    return rows.mapInArrow(run, schema)
+    return map_arrow(rows, run, schema)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ref, stored, table
+from ._common import map_arrow, ref, stored, table
 from .tokens import BYTE_BPE, encoder, vocabulary
 
 CAPACITY = 2048
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, id
                     rows.append((doc, i, start, length, zlib.crc32(data[4 * start : 4 * (start + length)])))
             yield _batch(list(zip(*rows)) or [[]] * 5)
 
-    return docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text")).mapInArrow(make, PIECE)
+    return map_arrow(docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text")), make, PIECE)
 
 
 def _batch(columns: list) -> pa.RecordBatch:
@@ -118,7 +118,7 @@ def _pack_round(open_rows: DataFrame, rows: int, turn: int, capacity: int) -> Da
         yield from t.to_batches(max_chunksize=10_000)
 
     # dealt in turn, so that equal rows and ids don't meet in one task
-    return open_rows.repartition(parts).mapInArrow(pack, PACKED)
+    return map_arrow(open_rows.repartition(parts), pack, PACKED)
 
 
 def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:

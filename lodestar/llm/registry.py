@@ -5,12 +5,14 @@ from __future__ import annotations
 from .bpe import op7_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .licenses import op9_license_scan
+from .near_dup import op5_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .pii import op10_pii
 from .tokens import op4_token_files
 
 QUERIES = {
     "op4_token_files": op4_token_files,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_bpe": op7_bpe,
     "op8_exact_dedup": op8_exact_dedup,

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import ref, shared_path, table
+from ._common import map_arrow, ref, shared_path, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 CACHED_CHUNKS = 500_000  # words remembered by one Python worker
@@ -148,7 +148,7 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     rows = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
     ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
     # one row a partition comes to the driver
-    done = sorted(ordered.mapInArrow(write, "part long, docs long, tokens long").collect())
+    done = sorted(map_arrow(ordered, write, "part long, docs long, tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([r.tokens for r in done])])
     manifest = [{"part": r.part, "base": int(b), "docs": r.docs, "tokens": r.tokens} for r, b in zip(done, bases)]
     with fs.open_output_stream(f"{root}/manifest.json") as out:
@@ -191,7 +191,7 @@ def read_token_files(spark: SparkSession, folder: str, rows: int = 4096) -> Data
     todo = spark.createDataFrame(parts, "part long, base long")
     if len(parts) > 1:
         todo = todo.repartition(len(parts))
-    return todo.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_arrow(todo, read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
