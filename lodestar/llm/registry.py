@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from .ann import op1_nearest
 from .bpe import op7_bpe
 from .exact_dedup import OP8_SQL, op8_exact_dedup
+from .langid import op3_language_id
 from .licenses import op9_license_scan
 from .near_dup import op5_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .pii import op10_pii
+from .quality import op2_quality
 from .tokens import op4_token_files
 
 QUERIES = {
+    "op1_nearest": op1_nearest,
+    "op2_quality": op2_quality,
+    "op3_language_id": op3_language_id,
     "op4_token_files": op4_token_files,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_best_fit_packing": op6_best_fit_packing,
