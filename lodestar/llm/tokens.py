@@ -17,7 +17,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -85,14 +87,44 @@ class ChunkEncoder(ChunkCache):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.dtype = dtype
+        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.merge = self.tokenizer.model.tokenize
+        self.pieces: dict[str, bytes] = {}
         super().__init__(self._new)
 
+    def _piece(self, piece: str) -> bytes:
+        """The ids of a text that the pattern matches as a whole: only the merges are left to do."""
+        if (known := self.pieces.get(piece)) is None:
+            written = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+            known = self.pieces[piece] = array(self.code, [t.id for t in self.merge(written)]).tobytes()
+        return known
+
     def _new(self, chunks: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        return [np.array(e.ids, self.dtype).tobytes() for e in found]
+        out: list[bytes | None] = []
+        for c in chunks:
+            # a word and the punctuation behind it are two matches
+            m = _WORD.match(c)
+            out.append(self._piece(m[1]) + (self._piece(m[2]) if m[2] else b"") if m else None)
+        rest = [i for i, ids in enumerate(out) if ids is None]
+        found = self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, found):
+            out[i] = array(self.code, e.ids).tobytes()
+        if len(self.pieces) > CACHED_CHUNKS:
+            self.pieces = {}
+        return out
+
+
+#: A word of Latin letters, with a space before it or not, and ASCII punctuation without an apostrophe.
+_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+
+
+def _byte_chars() -> dict[int, int]:
+    """How byte-level vocabularies write bytes: visible ones as they are, the others by code points from 256 on."""
+    seen = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    return {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in seen)}
 
 
+_BYTE_CHARS = _byte_chars()
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
