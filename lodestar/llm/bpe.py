@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import map_arrow, ref, table
-from .tokens import ChunkCache, vocabulary
+from .tokens import CACHED_CHUNKS, ChunkCache, vocabulary
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED_PAIRS = 2_000_000
@@ -33,7 +34,10 @@ class Vocabulary:
         self.longest = max(map(len, ranks))
         self._spines: dict[tuple[int, bool], list[tuple[bytes, int]]] = {}
         self._halves: dict[int, tuple[int, int] | None] = {}
-        self._pairs: dict[int, bool] = {}
+        self.pairs: dict[int, bool] = {}
+        # all ends of tokens: their rank if they're tokens that merges make, else -1
+        self.ends = {b[i:]: -1 for b in ranks for i in range(len(b))}
+        self.ends.update((b, r) for b, r in ranks.items() if len(b) == 1 or self.halves(r))
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -53,9 +57,6 @@ class Vocabulary:
             self._halves[token] = tuple(parts) if len(parts) == 2 else None
         return self._halves[token]
 
-    def reachable(self, token: int) -> bool:
-        return len(self.bytes[token]) == 1 or self.halves(token) is not None
-
     def _spine(self, token: int, right: bool) -> list[tuple[bytes, int]]:
         """The tokens that are at one end of ``token`` while it's built, each with the rank of the merge that ends it."""
         key = (token, right)
@@ -76,19 +77,21 @@ class Vocabulary:
         and merge before either goes on to merge within its own half. Of equal ranks the left goes first.
         """
         key = a << 32 | b
-        if (known := self._pairs.get(key)) is None:
-            ends = self._spine(b, False)
-            known = True
-            for x, x_until in self._spine(a, True):
-                for y, y_until in ends:
-                    m = self.ranks.get(x + y, NEVER)
-                    if m < x_until and m <= y_until and m != NEVER:
-                        known = False
-            if len(self._pairs) > REMEMBERED_PAIRS:
-                self._pairs.clear()
-            self._pairs[key] = known
+        if (known := self.pairs.get(key)) is None:
+            if len(self.pairs) > REMEMBERED_PAIRS:
+                self.pairs.clear()
+            known = self.pairs[key] = self._stable(a, b)
         return known
 
+    def _stable(self, a: int, b: int) -> bool:
+        get, ends = self.ranks.get, self._spine(b, False)
+        for x, x_until in self._spine(a, True):
+            for y, y_until in ends:
+                m = get(x + y)
+                if m is not None and m < x_until and m <= y_until:
+                    return False
+        return True
+
 
 class PrefixTable:
     """The last token of the encoding of every prefix of a byte string."""
@@ -97,24 +100,40 @@ class PrefixTable:
         self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
-    def _last(self, end: int) -> int:
-        """The last token of the first ``end`` bytes, from the entries of shorter prefixes."""
-        v, data = self.v, self.data
-        get, last = v.ranks.get, self.last
-        for size in range(min(end, v.longest), 0, -1):
-            token = get(data[end - size : end])
-            if token is not None:
-                if size == end:
-                    if v.reachable(token):
-                        return token
-                elif v.reachable(token) and v.stable(last[end - size - 1], token):
-                    return token
-        raise ValueError("the vocabulary lacks a byte of the text")
+    def _fill(self, until: int) -> None:
+        """The last tokens of the prefixes up to ``until`` bytes, each from the entries of shorter ones."""
+        data, last, get, pairs, stable = self.data, self.last, self.v.ends.get, self.v.pairs.get, self.v.stable
+        for end in range(len(last) + 1, until + 1):
+            start, found = end - 1, []
+            while start >= 0 and (token := get(data[start:end])) is not None:
+                if token >= 0:
+                    found.append((start, token))
+                start -= 1
+            for start, token in reversed(found):
+                if not start:
+                    break
+                before = last[start - 1]
+                known = pairs(before << 32 | token)
+                if known or known is None and stable(before, token):
+                    break
+            else:
+                raise ValueError("the vocabulary lacks a byte of the text")
+            last.append(token)
 
     def append(self, more: bytes) -> None:
         self.data += more
-        for end in range(len(self.last) + 1, len(self.data) + 1):
-            self.last.append(self._last(end))
+        self._fill(len(self.data))
+
+    def become(self, data: bytes) -> None:
+        """The table of ``data``; what it shares with the present string from the start on stays."""
+        same = 0
+        for x, y in zip(self.data, data):
+            if x != y:
+                break
+            same += 1
+        del self.last[same:]
+        self.data = data
+        self._fill(len(data))
 
     def edit(self, at: int, removed: int, inserted: bytes) -> int:
         """Replace ``removed`` bytes at ``at``; returns how many entries were computed anew.
@@ -128,8 +147,8 @@ class PrefixTable:
         same, computed, shift = 0, 0, len(inserted) - removed
         while len(self.last) < len(self.data):
             end = len(self.last) + 1
-            token = self._last(end)
-            self.last.append(token)
+            self._fill(end)
+            token = self.last[-1]
             computed += 1
             behind = end > len(self.data) - tail  # this prefix ends behind the edit
             same = same + 1 if behind and old[end - 1 - shift] == token else 0
@@ -153,15 +172,25 @@ class PrefixEncoder(ChunkCache):
 
         self.v = Vocabulary.load(path)
         self.find = regex.compile(pattern).findall
+        self.pieces: dict[str, bytes] = {}
         super().__init__(self._new)
 
-    def piece(self, data: bytes) -> list[int]:
-        whole = self.v.ranks.get(data)
-        return [whole] if whole is not None else PrefixTable(self.v, data).ids()
+    def _encode_pieces(self, texts: set[str]) -> None:
+        """Remember the ids of matches of the pattern. In their order each shares the longest prefix with the one before it."""
+        table, ranks = PrefixTable(self.v), self.v.ranks
+        for data, text in sorted((t.encode(), t) for t in texts):
+            whole = ranks.get(data)
+            if whole is None:
+                table.become(data)
+            self.pieces[text] = array("I", [whole] if whole is not None else table.ids()).tobytes()
 
     def _new(self, chunks: list[str]) -> list[bytes]:
-        piece = self.piece
-        return [np.array([t for m in self.find(c) for t in piece(m.encode())], "<u4").tobytes() for c in chunks]
+        cut = [self.find(c) for c in chunks]
+        self._encode_pieces(set().union(*cut).difference(self.pieces))
+        out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
+        if len(self.pieces) > CACHED_CHUNKS:
+            self.pieces = {}
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.v.bytes.__getitem__, ids))
