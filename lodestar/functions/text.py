@@ -49,17 +49,20 @@ def canonical(c) -> Column:
 
 def normalize(c) -> Column:
     """Canonical, and Roman numerals ii to ix right after a token with a letter become digits."""
-    tokens = F.split(canonical(c), " ")
+    text = canonical(c)
+    tokens = F.split(text, " ")
     shape = r"^([^\p{L}\p{N}]*)(viii|vii|iii|iv|vi|ix|ii)([^\p{L}\p{N}]*)$"
     digits = F.create_map(*(F.lit(x) for pair in ROMAN.items() for x in pair))
 
-    def one(token: Column, i: Column) -> Column:
+    def one(before: Column, token: Column) -> Column:
         # the token before it decides in its own form, so that two numerals in a row both become digits
-        after_word = F.coalesce(F.get(tokens, i - 1), F.lit("")).rlike(r"\p{L}")
         digit = F.concat(F.regexp_extract(token, shape, 1), F.element_at(digits, F.regexp_extract(token, shape, 2)), F.regexp_extract(token, shape, 3))
-        return F.when((i > 0) & after_word & token.rlike(shape), digit).otherwise(token)
+        return F.when(before.rlike(r"\p{L}") & token.rlike(shape), digit).otherwise(token)
 
-    return F.array_join(F.transform(tokens, one), " ")
+    # each token beside the one before it; the last pair has no token and is skipped
+    pairs = F.zip_with(F.concat(F.array(F.lit("")), tokens), tokens, one)
+    some = text.rlike(r" [^\p{L}\p{N}]*(viii|vii|iii|iv|vi|ix|ii)[^\p{L}\p{N}]*( |$)")
+    return F.when(some, F.array_join(pairs, " ")).otherwise(text)
 
 
 def normalize_sku(c) -> Column:
