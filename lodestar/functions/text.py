@@ -85,9 +85,12 @@ def collapsed_identity(*parts, limit: int = 700) -> Column:
     return F.substring(F.concat_ws(" ", *(F.nullif(collapse(p), F.lit("")) for p in parts)), 1, limit)
 
 
-@F.pandas_udf("string")
-def _unescape(texts: pd.Series) -> pd.Series:
-    return texts.map(html.unescape, na_action="ignore")
+def _unescape(c: Column) -> Column:
+    @F.pandas_udf("string")  # made here, since workers that import this module have no session
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(html.unescape, na_action="ignore")
+
+    return run(c)
 
 
 def unescape(c, passes: int) -> Column:
