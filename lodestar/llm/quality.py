@@ -43,7 +43,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(text.split())
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0)
-    for t in counts.keys() - _known.keys():
+    for t in [t for t in counts if t not in _known]:
         _known[t] = (xxhash.xxh32_intdigest("w" + t.lower()) >> 32 - BITS, xxhash.xxh32_intdigest("s" + _shape(t)) >> 32 - BITS)
     ids = np.array([_known[t] for t in counts], np.int64).ravel("F")
     n = np.fromiter(counts.values(), np.float64, len(counts))
