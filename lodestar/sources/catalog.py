@@ -86,7 +86,7 @@ def read_inserts(spark: SparkSession, path: str, columns: list[str]) -> DataFram
                     raise ValueError("a tuple has another number of values than there are columns")
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(columns))], names=columns)
 
-    return spark.read.option("wholetext", True).text(path).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+    return spark.read.text(path, wholetext=True).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
