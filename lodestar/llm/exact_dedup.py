@@ -55,12 +55,12 @@ def _has(bitmap: Column, bit: Column) -> Column:
 
 
 def mark_duplicates(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
-    """``df`` with (keep_id, group_size, kept) of rows equal in ``key``; one row stays of each group.
+    """``df``, which has no such columns yet, with (keep_id, group_size, kept) of rows equal in ``key``; one row stays of each group.
 
     The smallest id stays; a null id comes after all others; rows with equal ids (repeated rows) tie
     by their position in ``df``. ``key`` must not be null. ``rows`` is the number of rows of ``df``.
     """
-    block, bitmap, uid, first = fresh(df, "block", "bitmap", "uid", "first")
+    block, bitmap, uid, first, same, size = fresh(df, "block", "bitmap", "uid", "first", "same", "size")
     out = [ref(c) for c in df.columns]
     filt, blocks = repeated_filter(df, key, rows)
     # stored, so that its true size is known before it is sent around: MAX_BLOCKS rows of 4 KiB at most
@@ -74,9 +74,9 @@ def mark_duplicates(df: DataFrame, key: str, id_col: str, rows: int) -> DataFram
     alone = probed.where(~maybe).select(*out, ref(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     some = stored(probed.where(maybe).select(*out, F.monotonically_increasing_id().alias(uid)), "candidates")
     rank = F.struct(ref(id_col).isNull().alias("n"), ref(id_col).alias("id"), F.col(uid).alias("u"))
-    groups = stored(some.groupBy(k.alias("k")).agg(F.min(rank).alias(first), F.count(F.lit(1)).alias("group_size")), "groups")
-    both = some.join(groups, k == F.col("k"))
-    shuffled = both.select(*out, F.col(f"{first}.id").alias("keep_id"), F.col("group_size"), (F.col(uid) == F.col(f"{first}.u")).alias("kept"))
+    groups = stored(some.groupBy(k.alias(same)).agg(F.min(rank).alias(first), F.count(F.lit(1)).alias(size)), "groups")
+    both = some.join(groups, k == F.col(same))
+    shuffled = both.select(*out, F.col(f"{first}.id").alias("keep_id"), F.col(size).alias("group_size"), (F.col(uid) == F.col(f"{first}.u")).alias("kept"))
     return alone.unionAll(shuffled)
 
 
