@@ -92,7 +92,7 @@ def _postings(weights: dict[str, float]) -> tuple[list[tuple], list[tuple[list[s
         places = [p for p, w in enumerate(words) if words.count(w) == 1] or list(range(len(words)))
         rare = sorted(places, key=lambda p: (-weights[words[p]], p))[:ANCHORS]
         used = sorted({*rare, *range(at, at + len(must))})
-        total = sum(weights[words[p]] for p in used)
+        total = sum(weights[words[p]] for p in used) or 1.0  # without documents nothing weighs
         rows += [(words[p], i, p, int(p in rare), int(at <= p < at + len(must)), weights[words[p]] / total) for p in used]
         anchors.append(([words[p] for p in rare], min(2, len(rare))))
     return rows, anchors
