@@ -57,6 +57,11 @@ def _retained(spark: SparkSession, d: str) -> DataFrame:
     return L.retained(calls, calls.agg(F.max("ts")).scalar(), 10).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _lifetimes(spark: SparkSession, d: str) -> DataFrame:
+    logs = view(spark, d, "search_logs_v").select("id", "ts", L.query_key().alias("key"), (F.col("result_count") == 0).alias("empty"))
+    return L.cache_lifetime(logs, hot=30).groupBy("ttl").agg(F.count(F.lit(1)).alias("n"), F.max("lookups").alias("most"))
+
+
 def _page(spark: SparkSession, d: str) -> DataFrame:
     logs = view(spark, d, "search_logs_v")
     newest = logs.where(F.col("id") > logs.agg(F.max("id")).scalar() - 5000)
@@ -111,6 +116,7 @@ QUERIES = {
     "log_masking": _masked,
     "log_retention": _retained,
     "log_page": _page,
+    "log_cache_ttl": _lifetimes,
 }
 
 _RAW = {
@@ -159,6 +165,7 @@ _RAW = {
     "evt_dedupe": ("SELECT id, search_uuid, action FROM (SELECT id, cast(id % 40 AS string) AS search_uuid, action, ts - lag(ts) OVER (PARTITION BY id % 40, product_id, action ORDER BY ts, id) AS gap FROM search_events_v WHERE cast(id % 40 AS string) IN (SELECT search_uuid FROM search_logs_v)) WHERE gap IS NULL OR gap > INTERVAL 7200 SECONDS", "le"),
     "log_masking": ("SELECT id, regexp_replace(raw_q || ' ' || cast(id * 100003 AS string), '[0-9]{7,}', '#', 'g') AS raw_q FROM search_logs_v", "l"),
     "log_retention": ("SELECT kind, count(*) AS n FROM calls_v WHERE ts >= (SELECT max(ts) FROM calls_v) - INTERVAL 10 DAYS GROUP BY kind", "c"),
+    "log_cache_ttl": ("WITH k AS (SELECT coalesce(nullif(normalized_q, ''), raw_q) AS key, result_count = 0 AS empty, cast(floor(epoch(ts)) AS bigint) AS t FROM search_logs_v), c AS (SELECT *, count(*) OVER (PARTITION BY key ORDER BY t RANGE BETWEEN 604800 PRECEDING AND CURRENT ROW) AS n FROM k) SELECT cast(CASE WHEN empty THEN 300 WHEN n >= 30 THEN 604800 ELSE 86400 END AS int) AS ttl, count(*) AS n, max(c.n) AS most FROM c GROUP BY 1", "l"),
     "log_page": ("SELECT id, raw_q, latency_ms FROM search_logs_v WHERE id > (SELECT max(id) FROM search_logs_v) - 5000 AND (contains(raw_q, 'gear') OR contains(normalized_q, 'gear')) AND result_count = 0 ORDER BY id DESC LIMIT 20 OFFSET 20", "l"),
 }
 
