@@ -97,8 +97,9 @@ def kw_collapsed(spark: SparkSession, d: str) -> DataFrame:
     return index.collapsed(queries)
 
 
-def _docs(*columns):
-    return lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", *columns)
+def _docs(columns):
+    """``columns``: a function, since columns can only be made once a session runs."""
+    return lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").select("doc_id", *columns())
 
 
 def _products(f):
@@ -154,13 +155,13 @@ QUERIES = {
     "kw_title_only": _kw("title_only"),
     "kw_sku": kw_sku,
     "kw_collapsed": kw_collapsed,
-    "txt_normalize": _docs(T.normalize("text").alias("out")),
-    "txt_tokenize": _docs(F.size(T.tokenize(T.normalize("text"))).alias("n"), F.array_join(F.slice(T.tokenize(T.normalize("text")), 1, 10), "|").alias("head")),
-    "txt_collapse": _docs(F.md5(T.collapse("text")).alias("out")),
-    "txt_cap": _docs(T.cap("text").alias("c")),
-    "txt_mask": _docs(F.regexp_replace("text", r"\p{Nd}{7,}", "#").alias("masked"), T.mask_digits("text").alias("out")),
-    "txt_suspicious": _docs(T.is_suspicious("text").alias("out")),
-    "txt_length_bucket": _docs(T.length_bucket(F.substring("text", 1, 20)).alias("out")),
+    "txt_normalize": _docs(lambda: [T.normalize("text").alias("out")]),
+    "txt_tokenize": _docs(lambda: [F.size(T.tokenize(T.normalize("text"))).alias("n"), F.array_join(F.slice(T.tokenize(T.normalize("text")), 1, 10), "|").alias("head")]),
+    "txt_collapse": _docs(lambda: [F.md5(T.collapse("text")).alias("out")]),
+    "txt_cap": _docs(lambda: [T.cap("text")["text"].alias("text"), T.cap("text")["was_cut"].alias("was_cut")]),
+    "txt_mask": _docs(lambda: [T.mask_digits("text").alias("out")]),
+    "txt_suspicious": _docs(lambda: [T.is_suspicious("text").alias("out")]),
+    "txt_length_bucket": _docs(lambda: [T.length_bucket(F.substring("text", 1, 20)).alias("out")]),
     "txt_spelling": txt_spelling,
     "math_idf": _products(math_idf),
     "date_buckets": date_buckets,
@@ -175,8 +176,6 @@ QUERIES = {
     "etl_server_rows": _products(etl_server_rows),
     "etl_upsert": etl_upsert,
 }
-QUERIES["txt_cap"] = lambda spark, d: _docs(T.cap("text").alias("c"))(spark, d).select("doc_id", "c.text", "c.was_cut")
-QUERIES["txt_mask"] = _docs(T.mask_digits("text").alias("out"))
 
 _DF = f"SELECT token, count(*) AS df FROM (SELECT unnest(list_distinct(list_concat({sql_tokens('title')}, {sql_tokens('tags')}))) AS token FROM products_v) GROUP BY token HAVING count(*) >= 2"
 _PHRASED = f"' ' || array_to_string(list_concat({sql_tokens('title')}, {sql_tokens('tags')}), ' ') || ' '"
