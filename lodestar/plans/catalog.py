@@ -190,6 +190,10 @@ _RAW = {
     "txt_length_bucket": "SELECT doc_id, cast(least(5, 1 + length(substring(text, 1, 20)) - length(replace(substring(text, 1, 20), ' ', ''))) AS int) AS out FROM documents",
     "txt_spelling": "SELECT p_partkey, p_name, s.swapped, true AS kept FROM part, LATERAL (SELECT substring(p_name, 1, i - 1) || substring(p_name, i + 1, 1) || substring(p_name, i, 1) || substring(p_name, i + 2) AS swapped FROM unnest(generate_series(1, cast(length(p_name) - 1 AS bigint))) AS u(i)) s",
     "date_buckets": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:00') AS hour, cast((dayofweek(ts) + 6) % 7 AS int) AS weekday FROM events",
+    "date_jalali": """WITH d AS (SELECT DISTINCT cast(o_orderdate AS date) AS d FROM orders), e AS (SELECT d, date_diff('day', DATE '1600-03-20', d) AS n FROM d),
+        c AS (SELECT d, 979 + 33 * (n // 12053) + 4 * ((n % 12053) // 1461) AS y, (n % 12053) % 1461 AS r FROM e),
+        g AS (SELECT d, CASE WHEN r >= 366 THEN y + (r - 1) // 365 ELSE y END AS y, CASE WHEN r >= 366 THEN (r - 1) % 365 ELSE r END AS r FROM c)
+        SELECT strftime(d, '%Y-%m-%d') AS day, cast(y AS int) AS year, cast(CASE WHEN r < 186 THEN 1 + r // 31 ELSE 7 + (r - 186) // 30 END AS int) AS month, cast(CASE WHEN r < 186 THEN 1 + r % 31 ELSE 1 + (r - 186) % 30 END AS int) AS jday FROM g""",
     "agg_listagg": "SELECT p_brand, substring(string_agg(DISTINCT p_name, ', ' ORDER BY p_name), 1, 255) AS names FROM part GROUP BY p_brand",
     "etl_upsert": "SELECT l_partkey, l_orderkey, l_linenumber FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey DESC, l_linenumber DESC) AS r FROM lineitem) WHERE r = 1",
     "lex_synonym_groups": """WITH RECURSIVE r AS (SELECT DISTINCT cast(p_size * 100 + p_partkey % 53 AS string) AS k, p_brand || '/' || p_type || '/' || cast(p_partkey % 7 AS string) AS m FROM part),

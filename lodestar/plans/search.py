@@ -12,7 +12,7 @@ from ..operators import lifecycle as L
 from ..operators import rewrite as R
 from ..operators import vector as V
 from ..operators.retrieve import Index, in_order, intent_hits, merge_best, profile
-from .catalog import _PROFILE, RATIO, sql_tokens
+from .catalog import _ORDER, _POSTINGS, _PROFILE, RATIO, _hits, sql_tokens
 from .views import view, with_views
 
 
@@ -185,7 +185,19 @@ _BOOST = f"""{_BLEND}, q AS (SELECT query_id, {sql_tokens('raw_q')} AS toks FROM
 j AS (SELECT f.*, stock, popularity, {sql_tokens('brand')} AS bw, {sql_tokens('category')} AS cw, ' ' || array_to_string({sql_tokens('tags')}, ' ') || ' ' AS tw, toks, max(popularity) OVER (PARTITION BY query_id) AS top FROM f JOIN products_v USING (product_id) JOIN q USING (query_id)),
 z AS (SELECT query_id, product_id, solid, round(relevance * (1.0 + CASE WHEN stock > 0 THEN 0.1 ELSE 0 END + CASE WHEN top > 0 THEN 0.1 * popularity / top ELSE 0 END + CASE WHEN list_has_all(toks, bw) THEN 0.15 ELSE 0 END + CASE WHEN list_has_all(toks, cw) THEN 0.1 ELSE 0 END + CASE WHEN len(toks) >= 2 AND contains(tw, ' ' || array_to_string(toks, ' ') || ' ') THEN 0.1 ELSE 0 END), 6) AS score FROM j)"""
 _DICT = f"dict AS (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(list_concat(list_concat({sql_tokens('title')}, {sql_tokens('brand')}), {sql_tokens('tags')}))) AS token FROM products_v) WHERE length(token) >= 2 GROUP BY token)"
+_W = r"[\p{L}\p{N}]+"
+_EVAL = f"""{_PROFILE}, {_POSTINGS}, {_hits('level = 1')},
+res AS (SELECT query_id, product_id, rank FROM (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM (SELECT * REPLACE (CASE WHEN phrase THEN 15.0::double ELSE 10.0::double END AS score) FROM k WHERE held = needed)) WHERE rank <= 10),
+qw AS (SELECT query_id, unnest(regexp_extract_all(lower(raw_q), '{_W}')) AS w, len(regexp_extract_all(lower(raw_q), '{_W}')) AS n FROM queries_v),
+tw AS (SELECT product_id, unnest(list_distinct(regexp_extract_all(lower(title), '{_W}'))) AS w FROM products_v WHERE product_id % 3 = 0),
+rel AS (SELECT query_id, product_id FROM qw JOIN tw USING (w) GROUP BY query_id, product_id, n HAVING count(DISTINCT w) = n),
+a AS (SELECT query_id, (SELECT count(*) FROM rel WHERE rel.query_id = q.query_id) AS nrel, (SELECT count(*) FROM res WHERE res.query_id = q.query_id) AS returned FROM queries_v q),
+b AS (SELECT res.query_id, count(*) AS hits, min(rank) AS first_rank, sum(1.0 / log2(rank + 1.0)) AS gain FROM res JOIN rel ON rel.query_id = res.query_id AND rel.product_id = res.product_id GROUP BY res.query_id),
+pq AS (SELECT query_id, returned, first_rank, CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / 10 END AS "precision", CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / nrel END AS recall,
+       CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(gain, 0) / list_sum(list_transform(range(1, least(10, nrel) + 1), lambda i: 1.0 / log2(i + 1.0))) END AS ndcg FROM a LEFT JOIN b USING (query_id))"""
 SQL = {
+    "eval_precision_recall": with_views(f"WITH {_EVAL} SELECT query_id, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM pq", "products_v", "queries_v"),
+    "eval_ndcg_mrr": with_views(f"WITH {_EVAL} SELECT count(*) AS queries, round(avg(\"precision\"), 4) AS \"precision\", round(avg(recall), 4) AS recall, round(avg(coalesce(1.0 / first_rank, 0)), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg((first_rank IS NOT NULL)::int), 4) AS success, round(avg((returned = 0)::int), 4) AS zero_rate FROM pq", "products_v", "queries_v"),
     "vec_topk": _TOPK.format(least=-1.0, k=10),
     "vec_blocks": _TOPK.format(least=-1.0, k=10),
     "vec_cosine_floor": _TOPK.format(least=0.25, k=100),
