@@ -52,7 +52,25 @@ def ref(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+_cache_owner: list = [None, None]
+
+
+def sole_cache(owner: str, clear) -> None:
+    """A Python worker outlives its tasks: when another operator starts in it, the one before forgets what it remembered."""
+    if _cache_owner[0] != owner:
+        if _cache_owner[1] is not None:
+            _cache_owner[1]()
+        _cache_owner[:] = [owner, clear]
+
+
+ROWS_AT_ONCE = 1000
+
+
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers."""
+    """``df.mapInArrow`` with this package at hand in the workers, in slices of ``ROWS_AT_ONCE`` rows."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        return function(b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE))
+
+    return df.mapInArrow(run, schema)

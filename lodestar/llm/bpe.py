@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from ._common import map_arrow, ref, table
+from ._common import map_arrow, ref, sole_cache, table
 from .tokens import CACHED_CHUNKS, ChunkCache, vocabulary
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
@@ -200,6 +200,7 @@ _ENCODERS: dict[tuple[str, str], PrefixEncoder] = {}
 
 
 def prefix_encoder(path: str, pattern: str) -> PrefixEncoder:
+    sole_cache("bpe", _ENCODERS.clear)
     if (path, pattern) not in _ENCODERS:
         _ENCODERS[path, pattern] = PrefixEncoder(path, pattern)
     return _ENCODERS[path, pattern]

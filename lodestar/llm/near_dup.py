@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, map_arrow, ref, stored, table
+from ._common import fresh, map_arrow, ref, sole_cache, stored, table
 from .components import components
 
 WORDS = 5
@@ -52,6 +52,7 @@ def shingles(text: str) -> np.ndarray:
     """The sorted set of 64-bit hashes of a text's shingles: runs of five lower-cased words, or all words of a shorter text."""
     import xxhash
 
+    sole_cache("near_dup", _known.clear)
     words = _WORD.findall(text.lower())
     if not words:
         return np.zeros(0, np.uint64)

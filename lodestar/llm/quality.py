@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, ref, table
+from ._common import map_arrow, ref, sole_cache, table
 
 BITS = 18
 SAMPLE = 10_000  # labelled rows fitted on, at most
@@ -40,6 +40,7 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Hashed features of a whole text: its lower-cased tokens and their shapes, by the roots of their shares."""
     import xxhash
 
+    sole_cache("quality", _known.clear)
     counts = Counter(text.split())
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0)

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, ref, shared_path, table
+from ._common import map_arrow, ref, shared_path, sole_cache, table
 
 BYTE_BPE = "byte_bpe_50k.json"
 CACHED_CHUNKS = 500_000  # words remembered by one Python worker
@@ -130,6 +130,7 @@ _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 def encoder(path: str, dtype: str) -> ChunkEncoder:
     """One encoder a worker process, so that its words outlive a task."""
+    sole_cache("tokens", _ENCODERS.clear)
     if (path, dtype) not in _ENCODERS:
         _ENCODERS[path, dtype] = ChunkEncoder(path, dtype)
     return _ENCODERS[path, dtype]
