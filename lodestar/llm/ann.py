@@ -1,16 +1,17 @@
-"""Approximate nearest neighbours by multiprobe p-stable hashing.
-
-Each of ``TABLES`` hash tables cuts ``PROJECTIONS`` Gaussian projections of the unit vectors into
-slots of ``WIDTH``. A query visits, besides its own bucket, the buckets that differ by one slot in
-some projections, in the order of their estimated success: the sum of squared distances from the
-query to the slot borders crossed. The candidates of all tables are merged and ranked by their exact
-cosine.
+"""Nearest neighbours by exact cosine.
 
 Vectors are dealt to shards and queries to blocks, both of bounded size; each pair of them is one
-task, which hashes its shard, probes it and returns the best of it. Copies of a vector thus spread
-over all shards, however many there are. Where the buckets visited in a shard hold fewer vectors than
-asked for, the whole shard is compared. Probing goes on beyond ``PROBES`` buckets a table until
-``ENOUGH`` candidates are found, since far neighbours in sparse data need more.
+task, which compares all of its shard with all of its block by matrix products and returns the best
+of it. Copies of a vector thus spread over all shards, however many there are. Nothing is left out,
+so work grows with queries times rows.
+
+``Tables`` is multiprobe p-stable hashing, whose candidates ``nearest`` used to compare: probing that
+stopped at 4,096 of a full shard of 16,384 found 0.70 of the neighbours among uniform vectors and cost
+more than comparing all. Each of ``TABLES`` hash tables cuts ``PROJECTIONS`` Gaussian projections of
+the unit vectors into slots of ``WIDTH``. A query visits, besides its own bucket, the buckets that
+differ by one slot in some projections, in the order of their estimated success: the sum of squared
+distances from the query to the slot borders crossed. Probing goes on beyond ``PROBES`` buckets a
+table until ``ENOUGH`` candidates are found.
 """
 
 from __future__ import annotations
@@ -106,21 +107,19 @@ def _best(t_vectors: pa.Table, t_queries: pa.Table, k: int) -> pa.Table:
     uid, quid = t_vectors.column("uid").to_numpy(), t_queries.column("uid").to_numpy()
     ids = np.ma.masked_array(t_vectors.column("id").fill_null(0).to_numpy(), t_vectors.column("id").is_null().to_numpy())
     order_id = np.where(np.ma.getmaskarray(ids), np.iinfo(np.int64).max, ids.data)
-    index = Tables(v / vn[:, None])
+    v_unit = v / vn[:, None]
     out: list[tuple] = []
     qids = t_queries.column("id").to_pylist()
     for start in range(0, len(q), 64):
         unit = q[start : start + 64] / qn[start : start + 64, None]
-        for i, rows in enumerate(index.candidates(unit), start):
-            rows = rows[uid[rows] != quid[i]]
-            if len(rows) < k:
-                rows = np.nonzero(uid != quid[i])[0]
+        for i, rough in enumerate(unit @ v_unit.T, start):
+            rows = np.nonzero(uid != quid[i])[0]
             if not len(rows):
                 continue
-            rough = (v[rows] @ q[i]) / vn[rows]
             if len(rows) > k:  # those that may be among the best, ties and rounding included
+                rough = rough[rows]
                 least = np.partition(rough, len(rows) - k)[len(rows) - k]
-                rows = rows[rough >= least - 1e-9 * qn[i]]
+                rows = rows[rough >= least - 1e-9]
             score = (v[rows] * q[i]).sum(1) / (vn[rows] * qn[i])  # row by row, so that equal vectors tie
             for r in np.lexsort((order_id[rows], -score))[:k]:
                 out.append((int(quid[i]), qids[i], None if np.ma.getmaskarray(ids)[rows[r]] else int(ids.data[rows[r]]), float(score[r])))

@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +30,24 @@ def test_nearest_recall_and_ties(spark, table):
     assert hit / n >= 0.9 and {x.query_id for x in got} == set(range(0, 6000, 50))
 
 
+@pytest.mark.parametrize("hot", [False, True])
+def test_full_shard_is_searched_whole(hot):
+    r = np.random.RandomState(3)
+    v = r.randn(ann.SHARD, 64)
+    if hot:
+        v[r.permutation(ann.SHARD)[: ann.SHARD // 3]] = v[0]
+    ids = np.arange(ann.SHARD)
+    of = lambda rows: pa.table({"uid": rows, "id": rows, "vector": pa.array(v[rows].tolist(), pa.list_(pa.float64()))})
+    got = ann._best(of(ids), of(ids[::160]), 5).to_pandas()
+    u = v / np.linalg.norm(v, axis=1)[:, None]
+    for q in ids[::160]:
+        s = np.round(u @ u[q], 12)
+        s[q] = -9
+        mine = got[got["query"] == q]
+        assert np.allclose(mine.score, -np.sort(-s)[:5], atol=1e-9)
+        assert mine.vec_id.tolist() == np.lexsort((ids, -s))[:5].tolist()
+
+
 def test_few_vectors_return_all(table):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])]
     got = ann.nearest(table(rows, "vec_id long, embedding array<float>"), F.col("vec_id") == 0).orderBy("rank").collect()
