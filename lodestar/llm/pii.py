@@ -3,9 +3,8 @@ r"""Personal data by bootstrapped contextual extraction, with DataFrame function
 Seeds are the identifiers that four patterns find anywhere. Every token group with a digit or an at
 sign is an *instance*; the two words before it are its *pattern*. Patterns and instances form a
 bipartite graph that is scored in rounds: a pattern is as good as the mean confidence of the distinct
-instances it introduces, and the best ones (``PROMOTED`` a kind and round, as bootstrapping promotes a
-few at a time) pass confidence on to the other instances they introduce. Instances that no seed
-pattern matched, but that stand behind a promoted pattern and have the loose shape of its kind, are
+instances it introduces, and all that reach ``PRECISION`` and ``SUPPORT`` are promoted: they pass
+confidence on to the other instances they introduce. Instances that no seed pattern matched, but that stand behind a promoted pattern and have the loose shape of its kind, are
 reported too.
 
 The patterns below find what their plain forms find, but run in linear time: a match can only start
@@ -40,7 +39,6 @@ SHAPES = {
 INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
 CONTEXT_CHARS = 80
 ROUNDS = 3
-PROMOTED = 200  # patterns of a kind at most: what the method promotes, and what is sent to all tasks
 PRECISION, SUPPORT = 0.8, 3
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -118,40 +116,36 @@ def _fits(kind: Column, value: Column) -> Column:
     return reduce(lambda a, b: a | b, ((kind == i) & value.rlike(SHAPES[k]) for i, k in enumerate(KINDS)))
 
 
-def promoted_patterns(instances: DataFrame, rounds: int = ROUNDS) -> list[tuple[str, int]]:
-    """(pattern, kind) pairs of high confidence. ``instances``: stored rows (pattern, value, kind)."""
+def promoted_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """Stored: pattern, kind, precision of all of high confidence. ``instances``: stored rows (pattern, value, kind)."""
     edges = stored(instances.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pii-graph")
     known = stored(edges.where("seed >= 0").groupBy("value", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("confidence")), "pii-known")
     sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
     sizes = sizes.where(F.col("values") >= SUPPORT)
-    best: list[tuple[str, int]] = []
+    best = instances.sparkSession.createDataFrame([], "pattern string, kind int, precision double")
     for _ in range(rounds):
         support = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count(F.lit(1)).alias("support"))
         support = support.where(F.col("support") >= SUPPORT).join(sizes, "pattern")
         scored = support.withColumn("precision", F.round(F.col("mass") / F.col("values"), 9)).where(F.col("precision") >= PRECISION)
-        scored = scored.withColumn("rank", F.col("precision") * F.log2(F.col("support") + 1))
-        top = []
-        for i in range(len(KINDS)):  # bounded: PROMOTED rows a kind
-            top += scored.where(F.col("kind") == i).orderBy(F.desc("rank"), "pattern").limit(PROMOTED).select("pattern", "kind", "precision").collect()
-        found = sorted((r.pattern, r.kind) for r in top)
-        if found == best:
+        before, best = best, stored(scored.select("pattern", "kind", "precision"), "pii-promoted")
+        if best.count() == before.count() and best.join(before, ["pattern", "kind"], "left_anti").isEmpty():
             break
-        best = found
-        weights = instances.sparkSession.createDataFrame([(r.pattern, r.kind, r.precision) for r in top], "pattern string, kind int, precision double")
-        passed = edges.where("seed < 0").join(F.broadcast(weights), "pattern").where(_fits(F.col("kind"), F.col("value")))
+        passed = edges.where("seed < 0").join(best, "pattern").where(_fits(F.col("kind"), F.col("value")))
         passed = passed.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("precision"), F.lit(0.99)))))).alias("confidence"))
         known = stored(known.where("confidence = 1").unionByName(passed), "pii-known")
     return best
 
 
-def _extra_spans(instances: Column, patterns: list[tuple[str, int]]) -> Column:
+def _extra_spans(scanned: DataFrame) -> DataFrame:
+    """Stored: key, extra (spans) of the rows of ``scanned`` with unseen identifiers behind promoted patterns."""
+    instances = scanned.select("key", F.inline("instances"))
+    patterns = promoted_patterns(instances.select("pattern", "value", "kind"))
+    found = instances.where("kind < 0").drop("kind").join(patterns.select("pattern", "kind"), "pattern").where(_fits(F.col("kind"), F.col("value")))
+    return stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).cast(SPANS).alias("extra")), "pii-extra")
 
-    def of(i: int, kind: str, mine: list[str]) -> Column:
-        good = lambda x: (x["kind"] < 0) & F.array_contains(F.array(*map(F.lit, mine)), x["pattern"]) & x["value"].rlike(SHAPES[kind])
-        return _as_spans(F.filter(instances, good), i)
 
-    by_kind = [(i, kind, [p for p, k in patterns if k == i]) for i, kind in enumerate(KINDS)]
-    return F.concat(F.array().cast(SPANS), *(of(*x) for x in by_kind if x[2]))
+def _all_spans(base: Column, extra: Column) -> Column:
+    return F.array_sort(F.concat(base, F.coalesce(extra, F.array().cast(SPANS))))
 
 
 def _kind(index: Column) -> Column:
@@ -162,15 +156,11 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", _kind(s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Stored, without the texts: id, base (spans), instances."""
-    rows = docs.select(ref(id_col).alias("id"), F.coalesce(ref(text_col), F.lit("")).alias("t"))
-    rows = rows.select("id", "t", base_spans(F.col("t")).alias("base"))
-    return stored(rows.select("id", "base", _instances(F.col("t"), F.col("base")).alias("instances")), "pii-scan")
-
-
-def learn(scanned: DataFrame) -> list[tuple[str, int]]:
-    return promoted_patterns(scanned.select(F.inline("instances")).select("pattern", "value", "kind"))
+def scan(docs: DataFrame, id_col: str, text_col: str, key: Column) -> DataFrame:
+    """Stored, without the texts: id, key, base (spans), instances."""
+    rows = docs.select(ref(id_col).alias("id"), key.alias("key"), F.coalesce(ref(text_col), F.lit("")).alias("t"))
+    rows = rows.select("id", "key", "t", base_spans(F.col("t")).alias("base"))
+    return stored(rows.select("id", "key", "base", _instances(F.col("t"), F.col("base")).alias("instances")), "pii-scan")
 
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,23 +170,19 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     gives none. Very common patterns weigh as one node of the graph: only distinct (pattern, value)
     pairs count.
     """
-    scanned = scan(docs, id_col, text_col)
-    spans = F.array_sort(F.concat(F.col("base"), _extra_spans(F.col("instances"), learn(scanned))))
-    return scanned.select(F.col("id").alias("doc_id"), "base", spans.alias("spans"))
+    scanned = scan(docs, id_col, text_col, F.monotonically_increasing_id())
+    found = scanned.select("id", "key", "base").join(_extra_spans(scanned), "key", "left")
+    return found.select(F.col("id").alias("doc_id"), "base", _all_spans(F.col("base"), F.col("extra")).alias("spans"))
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in brackets; null texts stay null."""
-    patterns = learn(scan(docs, id_col, text_col))
-    base, instances, spans = fresh(docs, "base", "instances", "spans")
+    key, base, extra, spans = fresh(docs, "key", "base", "extra", "spans")
     text = ref(text_col)
-    work = docs.withColumn(base, base_spans(F.coalesce(text, F.lit(""))))
-    extra = _extra_spans(F.col(instances), patterns)
-    if patterns:
-        work = work.withColumn(instances, _instances(F.coalesce(text, F.lit("")), F.col(base)))
-        work = work.withColumn(spans, F.array_sort(F.concat(F.col(base), extra)))
-    else:
-        work = work.withColumnRenamed(base, spans)
+    digest = F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))  # equal texts have equal spans
+    more = _extra_spans(scan(docs, id_col, text_col, digest)).toDF(key, extra)
+    work = docs.withColumn(base, base_spans(F.coalesce(text, F.lit("")))).withColumn(key, digest).join(more, key, "left")
+    work = work.withColumn(spans, _all_spans(F.col(base), F.col(extra)))
 
     def step(acc: Column, s: Column) -> Column:
         # a span inside or across the one before it is covered by it up to there

@@ -1,5 +1,6 @@
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from lodestar.llm import licenses, pii
@@ -48,6 +49,21 @@ def test_patterns_find_unseen_identifiers(table):
     assert clean[9] == "please mail me [EMAIL] now" and clean[None] == "call 12345" and pii.redact(docs).columns == docs.columns
 
 
+@pytest.mark.parametrize("limit", ["10m", "-1"])
+def test_all_good_patterns_are_promoted(spark, table, limit):
+    word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03}")
+    rows = [(10 * i + j, f"write {word(i)} m{i}x{j}@x.com now") for i in range(230) for j in range(5)]
+    rows += [(10 * i + 9, f"write {word(i)} odd{i}!x@host now") for i in range(230)]
+    docs = table(rows)
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)  # patterns sent to all tasks, or shuffled
+    try:
+        assert {r.doc_id for r in pii.pii_spans(docs).where("size(spans) = 0").collect()} == set()
+        assert pii.redact(docs).where(~F.col("text").rlike(r"^write [a-j]{3} \[EMAIL\] now$")).count() == 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_redaction_of_overlaps_and_odd_rows(table, odd):
     docs = table([*odd, (50, "😀 a@b.co, +1 771 555 1655, 4111 1111 1111 1111, 1.2.3.4 end")])
     out = pii.redact(docs)
