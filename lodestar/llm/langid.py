@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import map_arrow, ref, table
+from ._common import map_arrow, ref, stored, table
 
 WINDOW = 256  # bytes
 WIDTHS = (2, 3, 4)
@@ -26,7 +26,6 @@ EMBEDDING = 8
 PAD = 256
 STEP = WINDOW - max(WIDTHS) + 1  # windows overlap, so that no filter misses a place
 SAMPLE = 600  # documents learned from, for each language, on average at most
-LANGUAGES = 1000  # learned at most: the most frequent ones
 WINDOWS = 4  # learned from, of one document at most
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
@@ -127,10 +126,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     Of a chosen document up to ``WINDOWS`` windows count, drawn from its whole text.
     """
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"), ref(lang_col).alias("lang")).where("lang is not null and text is not null")
-    counts = rows.groupBy("lang").count()
+    # stored, so that its size is known: where it's small no text has to meet its language in a task
+    counts = stored(rows.groupBy("lang").count(), "language-counts")
     share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
-    # LANGUAGES rows at most are sent around, so that no text has to meet its language in a task
-    counts = F.broadcast(counts.orderBy(F.desc("count"), "lang").limit(LANGUAGES))
     # uniform in [0, 1) by the id's hash
     uniform = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.withColumn("u", uniform).join(counts, "lang").where(F.col("u") < share).select("text", "lang")

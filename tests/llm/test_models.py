@@ -102,6 +102,15 @@ def test_language_held_out(spark, sf, table, odd):
     assert langid.predict(table(odd), net, keep={"doc_id": F.col("doc_id")}).count() == len(odd)
 
 
+def test_every_language_is_learned(table, monkeypatch):
+    langs = [f"l{i:04}" for i in range(1020)]
+    docs = table([(i, f"text of {lang}", lang) for i, lang in enumerate(langs)] + [(-1, "no language", None)], "doc_id long, text string, lang string")
+    learned = []
+    monkeypatch.setattr(langid.ByteNetwork, "train", classmethod(lambda cls, rows, y, languages: learned.extend(languages)))
+    langid.train(docs)
+    assert learned == langs
+
+
 def test_windows_cover_every_place():
     data = bytes(range(256)) * 5
     rows, weight = langid.windows(data)
