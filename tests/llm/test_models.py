@@ -30,22 +30,52 @@ def test_nearest_recall_and_ties(spark, table):
     assert hit / n >= 0.9 and {x.query_id for x in got} == set(range(0, 6000, 50))
 
 
-@pytest.mark.parametrize("hot", [False, True])
-def test_full_shard_is_searched_whole(hot):
-    r = np.random.RandomState(3)
-    v = r.randn(ann.SHARD, 64)
-    if hot:
-        v[r.permutation(ann.SHARD)[: ann.SHARD // 3]] = v[0]
-    ids = np.arange(ann.SHARD)
-    of = lambda rows: pa.table({"uid": rows, "id": rows, "vector": pa.array(v[rows].tolist(), pa.list_(pa.float64()))})
-    got = ann._best(of(ids), of(ids[::160]), 5).to_pandas()
-    u = v / np.linalg.norm(v, axis=1)[:, None]
-    for q in ids[::160]:
-        s = np.round(u @ u[q], 12)
+def _uniform(spark, tmp_path, v):
+    import pyarrow.parquet as pq
+
+    path = tmp_path / "vectors"
+    path.mkdir()
+    for i, rows in enumerate(np.array_split(np.arange(len(v)), 7)):
+        flat = pa.ListArray.from_arrays(np.arange(0, len(rows) * v.shape[1] + 1, v.shape[1], dtype=np.int32), v[rows].ravel())
+        pq.write_table(pa.table({"vec_id": rows, "embedding": flat, "score": rows, "found": rows}), path / f"{i}.parquet")
+    return spark.read.parquet(str(path))
+
+
+def _recall(v, got):
+    u, hit = v / np.linalg.norm(v, axis=1)[:, None], 0
+    asked = np.arange(0, len(v), 50)
+    by = {q: g for q, g in got.groupby("query_id")}
+    for q in asked:
+        s = u @ u[q]
         s[q] = -9
-        mine = got[got["query"] == q]
-        assert np.allclose(mine.score, -np.sort(-s)[:5], atol=1e-9)
-        assert mine.vec_id.tolist() == np.lexsort((ids, -s))[:5].tolist()
+        hit += (by[q].score.to_numpy() >= np.sort(s)[-5] - 1e-9).sum()
+    return hit / (5 * len(asked))
+
+
+def test_recall_on_uniform_vectors(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(ann, "PART", 300)  # buckets are split
+    v = np.random.RandomState(3).randn(51_282, 64)
+    assert _recall(v, ann.nearest(_uniform(spark, tmp_path, v), F.col("vec_id") % 50 == 0).toPandas()) >= 0.9
+
+
+def test_a_third_of_equal_vectors(spark, tmp_path):
+    r = np.random.RandomState(4)
+    v = r.randn(9000, 24)
+    same = np.sort(r.permutation(9000)[:3000])
+    v[same] = v[same[0]]
+    got = ann.nearest(_uniform(spark, tmp_path, v), F.col("vec_id") % 50 == 0).toPandas()
+    assert _recall(v, got) >= 0.9
+    for q in same[same % 50 == 0]:
+        assert got[got.query_id == q].sort_values("rank").vec_id.tolist() == [x for x in same[:6] if x != q][:5]
+
+
+def test_lonely_and_extreme_vectors(table):
+    near = [(i, [1.0, 0.001 * i, 0.0]) for i in range(1, 40)]
+    rows = near + [(0, [-1.0, 0.0, 0.0]), (50, [1e300, 1e300, 0.0]), (100, [1e-300, 0.0, 0.0]), (150, [1.0, 2.0])]
+    got = ann.nearest(table(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).toPandas().sort_values(["query_id", "rank"])
+    assert got[got.query_id == 100].vec_id.tolist() == [1, 2, 3, 4, 5]
+    assert got[got.query_id == 50].vec_id.tolist() == [39, 38, 37, 36, 35] and got[got.query_id == 0].vec_id.tolist()[0] == 50
+    assert set(got.query_id) == {0, 50, 100} and got.score.between(-1.000001, 1.000001).all()
 
 
 def test_few_vectors_return_all(table):
@@ -55,13 +85,22 @@ def test_few_vectors_return_all(table):
     assert ann.nearest(table(rows, "vec_id long, embedding array<float>").limit(0), F.lit(True)).count() == 0
 
 
-def test_probing_beyond_enough(monkeypatch):
-    r = np.random.RandomState(1)
-    v = r.randn(3000, 24)
-    v /= np.linalg.norm(v, axis=1)[:, None]
-    t = ann.Tables(v, projections=5, probes=10)
-    few, many = t.candidates(v[:5], enough=1), t.candidates(v[:5], enough=2000)
-    assert all(i in c for i, c in enumerate(few)) and all(len(m) >= len(f) for f, m in zip(few, many)) and all(len(m) >= 2000 for m in many)
+def test_probes_go_outwards():
+    t = ann.Tables(8, 3)
+    u = np.random.RandomState(1).randn(20, 8)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    visits = t.probes(u, 30)
+    assert (visits[:, :, 0] == t.buckets(u)).all() and all(len(set(row)) == 30 for rows in visits for row in rows.tolist())
+    at = t._places(u)
+    for i in range(20):  # by squared distances to the borders crossed, counted anew
+        for j in range(ann.TABLES):
+            cost = {}
+            for m in t.moves:
+                slot = np.floor(at[i, j]).astype(int)
+                away = np.where(m > 0, slot + m - at[i, j], np.where(m < 0, at[i, j] - (slot + m + 1), 0))
+                cost[int(t._keys((slot + m)[None])[0]) * ann.TABLES + j] = (away**2).sum()
+            mine = [cost[int(x)] for x in visits[i, j]]
+            assert np.allclose(mine, sorted(cost.values())[:30])
 
 
 def test_ordinal_thresholds_stay_ordered():
