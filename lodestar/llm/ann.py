@@ -36,7 +36,7 @@ PART, BLOCK = 16_384, 4_096  # classes and queries that meet in one task, at mos
 MOST_PROJECTIONS = 8
 FIT_QUERIES, RECALL = 64, 0.96
 SEED = 20240229
-PAIRS = "q long, c long, rough float"
+PAIRS = "q long, c long, rough float, slack float"
 
 
 def projections_for(rows: int) -> int:
@@ -160,9 +160,10 @@ def _best(units: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tupl
 def _compare(k: int):
     def task(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "rough": pa.array([], pa.float32())})
-        r, c, s = _best(_floats(left.column("unit")), left.column("c").to_numpy(), _floats(right.column("asked")), k)
-        return pa.table({"q": right.column("q").to_numpy()[r], "c": c, "rough": s.astype(np.float32)})
+            return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "rough": pa.array([], pa.float32()), "slack": pa.array([], pa.float32())})
+        units = _floats(left.column("unit"))
+        r, c, s = _best(units, left.column("c").to_numpy(), _floats(right.column("asked")), k)
+        return pa.table({"q": right.column("q").to_numpy()[r], "c": c, "rough": s.astype(np.float32), "slack": np.full(len(r), 2 * margin(units.shape[1]), np.float32)})
 
     return task
 
@@ -177,12 +178,11 @@ def _probed(hashed: DataFrame, asked: DataFrame, projections: int, probes: int,
         for b in _same_length(batches):
             unit = _unit_rows(b)
             for i in range(0, len(unit), 64):
-                keys = tables_of(unit.shape[1], projections).probes(unit[i : i + 64], probes)
-                n = keys.shape[1] * keys.shape[2]
-                q, dim = (np.repeat(b.column(x).to_numpy()[i : i + 64], n) for x in ("c", "dim"))
-                yield pa.RecordBatch.from_pydict({"q": q, "dim": dim, "key": keys.ravel()})
+                keys = [np.unique(x) for x in tables_of(unit.shape[1], projections).probes(unit[i : i + 64], probes)]
+                q, dim = (np.repeat(b.column(x).to_numpy()[i : i + 64], list(map(len, keys))) for x in ("c", "dim"))
+                yield pa.RecordBatch.from_pydict({"q": q, "dim": dim, "key": np.concatenate(keys)})
 
-    wanted = map_arrow(asked.select("c", "dim", "vector"), visits, "q long, dim int, key long").dropDuplicates()
+    wanted = map_arrow(asked.select("c", "dim", "vector"), visits, "q long, dim int, key long")
     wanted = wanted.join(sizes, ["dim", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     units = hashed.select(F.col("c").alias("q"), F.col("unit").alias("asked"))
     wanted = wanted.join(units, "q")
@@ -212,11 +212,11 @@ def _cosine(a: Column, b: Column) -> Column:
 
 def _reranked(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
     """(q, found): the ``k`` best rows of each query by exact cosine, ties to smaller ids."""
-    pairs = pairs.groupBy("q", "c").agg(F.max("rough").alias("rough"))
-    best = Window.partitionBy("q").orderBy(F.desc("rough"), "c")
-    least = pairs.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k).groupBy("q").agg(F.min("rough").alias("least"))
-    sides = classes.select("c", "vector", "members", "dim")
-    pairs = pairs.join(least, "q").join(sides, "c").where(F.col("rough") >= F.col("least") - 4e-7 * (F.col("dim") + 50)).drop("rough", "least", "dim")
+    # dealt by query once: copies of a pair are dropped and the k-th best is found where they lie
+    pairs = pairs.repartition("q").groupBy("q", "c").agg(F.max("rough").alias("rough"), F.max("slack").alias("slack"))
+    whole = Window.partitionBy("q").orderBy(F.desc("rough")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = pairs.withColumn("least", F.coalesce(F.nth_value("rough", k).over(whole), F.lit(-9.0)))
+    pairs = pairs.where(F.col("rough") >= F.col("least") - F.col("slack")).select("q", "c").join(classes.select("c", "vector", "members"), "c")
     pairs = pairs.join(classes.select(F.col("c").alias("q"), F.col("vector").alias("asked")), "q")
     each = pairs.select("q", _cosine(F.col("vector"), F.col("asked")).alias("score"), F.explode("members").alias("m")).select("q", "score", "m.*")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id"), "uid")
