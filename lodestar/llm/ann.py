@@ -10,7 +10,8 @@
    borders crossed. How many it visits is fitted: the neighbours of ``FIT_QUERIES`` queries are found
    among all rows, and as many buckets a table are probed as find the share ``RECALL`` of them.
 4. A bucket's task compares in single precision and returns the best for each query that visits it,
-   rounding included; the candidates of all tables are merged and reranked by exact cosines.
+   rounding included; after the queries' own buckets, only what may beat the best found in those. The
+   candidates of all tables are merged and reranked by exact cosines.
 
 A query whose buckets hold fewer rows than it may return is compared with all rows, in blocks.
 """
@@ -144,12 +145,14 @@ def _hashed(classes: DataFrame, projections: int) -> DataFrame:
     return map_arrow(classes.select("c", "dim", "vector"), run, "c long, dim int, unit binary, keys array<long>")
 
 
-def _best(units: np.ndarray, ids: np.ndarray, asked: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row of ``asked``, id, product) of the ``k`` best of each query and all that rounding might put among them."""
+def _best(units: np.ndarray, ids: np.ndarray, asked: np.ndarray, floor: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of ``asked``, id, product) of the ``k`` best of each query that reach its floor, and all that rounding might put among them."""
     rows, cols, scores = [], [], []
     for i in range(0, len(asked), 512):
         s = asked[i : i + 512] @ units.T
-        least = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k] if s.shape[1] > k else np.full(len(s), -9)
+        least = floor[i : i + 512]
+        if s.shape[1] > k:
+            least = np.maximum(least, np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k])
         r, c = np.nonzero(s >= least[:, None] - 2 * margin(units.shape[1]))
         rows.append(r + i)
         cols.append(ids[c])
@@ -162,35 +165,39 @@ def _compare(k: int):
         if not left.num_rows or not right.num_rows:
             return pa.table({"q": pa.array([], pa.int64()), "c": pa.array([], pa.int64()), "rough": pa.array([], pa.float32()), "slack": pa.array([], pa.float32())})
         units = _floats(left.column("unit"))
-        r, c, s = _best(units, left.column("c").to_numpy(), _floats(right.column("asked")), k)
+        r, c, s = _best(units, left.column("c").to_numpy(), _floats(right.column("asked")), right.column("floor").to_numpy(), k)
         return pa.table({"q": right.column("q").to_numpy()[r], "c": c, "rough": s.astype(np.float32), "slack": np.full(len(r), 2 * margin(units.shape[1]), np.float32)})
 
     return task
 
 
-def _probed(hashed: DataFrame, asked: DataFrame, projections: int, probes: int, k: int) -> DataFrame:
-    """PAIRS of the queries and the best classes in the buckets they visit."""
-    # a bucket of many classes is dealt to several tasks; only such buckets are listed
-    sizes = hashed.select("dim", F.explode("keys").alias("key")).groupBy("dim", "key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
-    sizes = stored(sizes, "buckets")
+def _bucket_sizes(hashed: DataFrame) -> DataFrame:
+    """Stored: (dim, key, parts): into how many tasks each bucket is dealt."""
+    keys = hashed.select("dim", F.explode("keys").alias("key"))
+    return stored(keys.groupBy("dim", "key").agg(F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts")), "buckets")
+
+
+def _probed(hashed: DataFrame, sizes: DataFrame, asked: DataFrame, projections: int, probes: range, k: int) -> DataFrame:
+    """Stored PAIRS of the queries ``asked`` and the best classes in the buckets that they visit in these turns."""
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in _same_length(batches):
             unit = _unit_rows(b)
             for i in range(0, len(unit), 64):
-                keys = [np.unique(x) for x in tables_of(unit.shape[1], projections).probes(unit[i : i + 64], probes)]
+                all_keys = tables_of(unit.shape[1], projections).probes(unit[i : i + 64], probes.stop)[:, :, probes.start :]
+                keys = [np.unique(x) for x in all_keys]
                 q, dim = (np.repeat(b.column(x).to_numpy()[i : i + 64], list(map(len, keys))) for x in ("c", "dim"))
                 yield pa.RecordBatch.from_pydict({"q": q, "dim": dim, "key": np.concatenate(keys)})
 
     wanted = map_arrow(asked.select("c", "dim", "vector"), visits, "q long, dim int, key long")
     wanted = wanted.join(sizes, ["dim", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    units = hashed.select(F.col("c").alias("q"), F.col("unit").alias("asked"))
+    units = hashed.select("c", F.col("unit").alias("asked")).join(asked.select("c", "floor"), "c").withColumnRenamed("c", "q")
     wanted = wanted.join(units, "q")
     large = sizes.where("parts > 1")  # at most TABLES * classes / PART rows
     rows = hashed.select("c", "dim", "unit", F.explode("keys").alias("key")).join(large, ["dim", "key"], "left")
     rows = rows.withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
     key = ["dim", "key", "part"]
-    return rows.groupBy(key).cogroup(wanted.groupBy(key)).applyInArrow(_compare(k), PAIRS)
+    return stored(rows.groupBy(key).cogroup(wanted.groupBy(key)).applyInArrow(_compare(k), PAIRS), "pairs")
 
 
 def _whole(hashed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
@@ -200,7 +207,7 @@ def _whole(hashed: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     deal = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = hashed.select("c", "dim", "unit", deal("c", shards).alias("shard"), every(blocks).alias("block"))
-    right = hashed.join(asked.select("c"), "c", "left_semi").select(F.col("c").alias("q"), F.col("dim").alias("dim"), F.col("unit").alias("asked"), deal("c", blocks).alias("block"), every(shards).alias("shard"))
+    right = hashed.join(asked.select("c"), "c", "left_semi").select(F.col("c").alias("q"), F.col("dim").alias("dim"), F.col("unit").alias("asked"), F.lit(-9.0).cast("float").alias("floor"), deal("c", blocks).alias("block"), every(shards).alias("shard"))
     key = ["dim", "shard", "block"]
     return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(_compare(k), PAIRS)
 
@@ -210,13 +217,18 @@ def _cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _reranked(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
-    """(q, found): the ``k`` best rows of each query by exact cosine, ties to smaller ids."""
+def _leading(pairs: DataFrame, k: int) -> DataFrame:
+    """(q, c, least) of the pairs that may be among the ``k`` best of their query; least: the k-th best less what rounding may hide."""
     # dealt by query once: copies of a pair are dropped and the k-th best is found where they lie
     pairs = pairs.repartition("q").groupBy("q", "c").agg(F.max("rough").alias("rough"), F.max("slack").alias("slack"))
     whole = Window.partitionBy("q").orderBy(F.desc("rough")).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    pairs = pairs.withColumn("least", F.coalesce(F.nth_value("rough", k).over(whole), F.lit(-9.0)))
-    pairs = pairs.where(F.col("rough") >= F.col("least") - F.col("slack")).select("q", "c").join(classes.select("c", "vector", "members"), "c")
+    pairs = pairs.withColumn("least", F.coalesce(F.nth_value("rough", k).over(whole), F.lit(-9.0)) - F.col("slack"))
+    return pairs.where(F.col("rough") >= F.col("least")).select("q", "c", "least")
+
+
+def _reranked(pairs: DataFrame, classes: DataFrame, k: int) -> DataFrame:
+    """(q, found): the ``k`` best rows of each query by exact cosine, ties to smaller ids."""
+    pairs = _leading(pairs, k).drop("least").join(classes.select("c", "vector", "members"), "c")
     pairs = pairs.join(classes.select(F.col("c").alias("q"), F.col("vector").alias("asked")), "q")
     each = pairs.select("q", _cosine(F.col("vector"), F.col("asked")).alias("score"), F.explode("members").alias("m")).select("q", "score", "m.*")
     order = Window.partitionBy("q").orderBy(F.desc("score"), F.asc_nulls_last("id"), "uid")
@@ -284,13 +296,18 @@ def nearest(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", ve
     asked = stored(classes.join(queries.select("c").distinct(), "c", "left_semi").select("c", "vector", "dim"), "asked")
     projections, probes, _ = fitted(classes, asked, classes.count(), k)
     hashed = stored(_hashed(classes, projections), "hashed")
-    found = stored(_reranked(stored(_probed(hashed, asked, projections, probes, k + 1), "pairs"), classes, k + 1), "found")
+    sizes, anything = _bucket_sizes(hashed), F.lit(-9.0).cast("float")
+    own = _probed(hashed, sizes, asked.withColumn("floor", anything), projections, range(1), k + 1)
+    floors = _leading(own, k + 1).groupBy(F.col("q").alias("c")).agg(F.max("least").cast("float").alias("floor"))
+    floored = stored(asked.join(floors, "c", "left").withColumn("floor", F.coalesce("floor", anything)), "floors")
+    pairs = own.unionByName(_probed(hashed, sizes, floored, projections, range(1, probes), k + 1)) if probes > 1 else own
+    found = stored(_reranked(pairs, classes, k + 1), "found")
     # queries with too few found, where there are more rows of their length
     there = classes.groupBy("dim").agg(F.sum(F.size("members")).alias("there"))
     short = asked.join(found.select(F.col("q").alias("c"), F.size("found").alias("n")), "c", "left").join(there, "dim")
     short = stored(short.where(F.coalesce("n", F.lit(0)) < F.least(F.lit(k + 1), F.col("there"))).select("c"), "short")
     if short.count():
-        rest = _reranked(stored(_whole(hashed, short, k + 1), "pairs"), classes, k + 1)
+        rest = _reranked(_whole(hashed, short, k + 1), classes, k + 1)
         found = found.join(short.select(F.col("c").alias("q")), "q", "left_anti").unionByName(rest)
     others = F.filter("found", lambda x: x["uid"] != F.col("uid"))
     result = queries.join(found.withColumnRenamed("q", "c"), "c").select("id", F.posexplode(F.slice(others, 1, k)).alias("at", "x"))
