@@ -9,6 +9,7 @@ long as that saves sequences.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +24,6 @@ from .tokens import BYTE_BPE, encoder, vocabulary
 
 CAPACITY = 2048
 PART_ROWS = 50_000  # pieces packed together by one task
-ROUNDS = 4  # exchanges at most; each must save a sequence to be kept
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = f"{PIECE}, sequence_id long, offset long, bins long, bound long, full boolean"
 
@@ -111,7 +111,7 @@ def _pack_round(open_rows: DataFrame, rows: int, turn: int, capacity: int) -> Da
         lengths = t.column("length").to_numpy().astype(np.int64)
         bins, offsets, count = best_fit_decreasing(lengths, capacity)
         fill = np.bincount(bins, weights=lengths, minlength=count)
-        base = (turn << 56) + (TaskContext.get().partitionId() << 28)
+        base = (turn << 52) + (TaskContext.get().partitionId() << 26)
         bound = lower_bound(lengths, capacity)
         for name, c in (("sequence_id", base + bins), ("offset", offsets), ("bins", np.full(len(bins), count)), ("bound", np.full(len(bins), bound)), ("full", (fill[bins] == capacity) | (count == bound))):
             t = t.append_column(name, pa.array(c))
@@ -131,7 +131,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     out = [whole]
     n = todo.count()
     packed = stored(_pack_round(todo, n, 1, capacity), "packed")
-    for turn in range(2, ROUNDS + 2):
+    for turn in itertools.count(2):  # until all are certified or an exchange saves nothing
         left = packed.where(~F.col("full"))
         before_parts = -(-n // PART_ROWS)
         n, before = left.agg(F.count(F.lit(1)), F.count_distinct("sequence_id")).first()

@@ -34,6 +34,7 @@ from ._common import map_arrow, ref, shared_path, sole_cache, table
 BYTE_BPE = "byte_bpe_50k.json"
 CACHED_CHUNKS = 500_000  # words remembered by one Python worker
 GROUP_CHARS = 1_000_000  # characters encoded at a time
+ROWS_A_FILE = 20_000  # documents of one set of files, about
 
 
 def vocabulary(name: str) -> str:
@@ -43,20 +44,28 @@ def vocabulary(name: str) -> str:
 
 
 def chunks_of(text: str) -> list[str] | None:
-    """Parts of ``text`` between which every pretokenizer match ends, or None if there's no safe cut."""
-    if len(text.split()) != text.count(" ") + text.count("\n") + 1 or "\0" in text:
+    """Parts of ``text`` between which every pretokenizer match ends, or None if there's no safe cut.
+
+    It's safe if every white-space character is a space or a line feed that stands alone between others.
+    """
+    words, cuts = text.split(), text.count(" ") + text.count("\n")
+    # no white space but these, as the words are that much shorter; and each between two words
+    if len(words) != cuts + 1 or sum(map(len, words)) + cuts != len(text) or "\0" in text:
         return None
     return text.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0")
 
 
 class ChunkCache:
-    """Maps texts to their ids as bytes; ``encode_new`` gives the ids of chunks not seen before."""
+    """Maps texts to their ids as bytes; ``encode_new`` gives the ids of chunks not seen before.
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]]):
-        self.encode_new, self.known = encode_new, {}
+    Texts that hold one of ``whole`` aren't cut.
+    """
+
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] = ()):
+        self.encode_new, self.known, self.whole = encode_new, {}, whole
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks_of(t) if t else [] for t in texts]
+        cut = [None if any(w in t for w in self.whole) else chunks_of(t) if t else [] for t in texts]
         cut = [[t] if c is None else c for t, c in zip(texts, cut)]
         new = list(set().union(*cut).difference(self.known))
         self.known.update(zip(new, self.encode_new(new)))
@@ -79,18 +88,17 @@ class ChunkCache:
 
 
 class ChunkEncoder(ChunkCache):
-    """Byte-level BPE by the tokenizers library, without special tokens."""
+    """Byte-level BPE by the tokenizers library as it is; a special token's own text is that token."""
 
     def __init__(self, path: str, dtype: str = "<u2"):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.merge = self.tokenizer.model.tokenize
         self.pieces: dict[str, bytes] = {}
-        super().__init__(self._new)
+        super().__init__(self._new, tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
 
     def _piece(self, piece: str) -> bytes:
         """The ids of a text that the pattern matches as a whole: only the merges are left to do."""
@@ -141,13 +149,15 @@ def _names(part: int) -> tuple[str, str, str]:
 
 
 def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text", dtype: str = "<u2") -> list[dict]:
-    """Write the ids of all texts in ascending id order (null ids first) and return the manifest.
+    """Write the ids of all texts in ascending id order and return the manifest.
+
+    Null ids come first; rows with equal ids follow in the order of the table.
 
     Null texts count as empty; ``end_id`` follows each document. Every attempt of a task writes files
     of its own and renames them when complete, so a task that runs again just replaces equal files.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // ROWS_A_FILE))
     end = b"" if end_id is None else np.array([end_id], dtype).tobytes()
     width = np.dtype(dtype).itemsize
 
@@ -178,8 +188,8 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
 
     fs, root = pafs.FileSystem.from_uri(folder)
     fs.create_dir(root)
-    rows = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"))
-    ordered = rows.repartitionByRange(parts, "id").sortWithinPartitions("id")
+    rows = docs.select(ref(id_col).cast("long").alias("id"), ref(text_col).alias("text"), F.monotonically_increasing_id().alias("uid"))
+    ordered = rows.repartitionByRange(parts, "id", "uid").sortWithinPartitions("id", "uid").drop("uid")
     # one row a partition comes to the driver
     done = sorted(map_arrow(ordered, write, "part long, docs long, tokens long").collect())
     bases = np.concatenate([[0], np.cumsum([r.tokens for r in done])])
@@ -189,12 +199,13 @@ def write_token_files(docs: DataFrame, folder: str, path: str, end_id: int | Non
     return manifest
 
 
-def _flat(fs: pafs.FileSystem, name: str, dtype: str) -> np.ndarray:
-    """The file as an array: memory-mapped where it is local."""
+def _flat(fs: pafs.FileSystem, name: str, dtype: str) -> Callable[[int, int], np.ndarray]:
+    """Gives the numbers from one place of the file to another: memory-mapped where it is local, else by reading just those."""
     if isinstance(fs, pafs.LocalFileSystem):
-        return np.memmap(name, dtype, "r") if os.path.getsize(name) else np.zeros(0, dtype)
-    with fs.open_input_file(name) as f:
-        return np.frombuffer(f.read(), dtype)
+        whole = np.memmap(name, dtype, "r") if os.path.getsize(name) else np.zeros(0, dtype)
+        return lambda a, b: whole[a:b]
+    f, width = fs.open_input_file(name), np.dtype(dtype).itemsize
+    return lambda a, b: np.frombuffer(f.read_at((b - a) * width, a * width), dtype)
 
 
 def read_token_files(spark: SparkSession, folder: str, rows: int = 4096) -> DataFrame:
@@ -203,25 +214,24 @@ def read_token_files(spark: SparkSession, folder: str, rows: int = 4096) -> Data
     with fs.open_input_file(f"{root}/manifest.json") as f:
         manifest = json.loads(f.read())
     dtype = manifest["dtype"]
-    parts = [(p["part"], p["base"]) for p in manifest["parts"] if p["docs"]]
+    parts = [(p["part"], p["base"], p["docs"]) for p in manifest["parts"] if p["docs"]]
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids, offsets, docs = (_flat(fs, f"{root}/{n}", d) for n, d in zip(_names(part), (dtype, "<u8", "u1")))
-                n = len(offsets) - 1
-                doc_ids, valid = docs[: 8 * n].view("<i8"), docs[8 * n :]
+            for part, base, n in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                ids, offsets, docs = (_flat(fs, f"{root}/{name}", d) for name, d in zip(_names(part), (dtype, "<u8", "u1")))
                 for i in range(0, n, rows):
                     j = min(n, i + rows)
-                    at = offsets[i : j + 1].astype("i8")
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(at, at[1:])]
+                    at = offsets(i, j + 1).astype("i8")
+                    some = ids(int(at[0]), int(at[-1]))
+                    crc = [zlib.crc32(some[a:b].astype("<u4").tobytes()) for a, b in zip(at - at[0], at[1:] - at[0])]
                     yield pa.RecordBatch.from_pydict({
-                        "doc_id": pa.array(np.asarray(doc_ids[i:j]), mask=np.asarray(valid[i:j]) == 0),
+                        "doc_id": pa.array(docs(8 * i, 8 * j).view("<i8"), mask=docs(8 * n + i, 8 * n + j) == 0),
                         "start": base + at[:-1], "n_tokens": np.diff(at), "ids_crc32": pa.array(crc, pa.int64()),
                     })
 
-    todo = spark.createDataFrame(parts, "part long, base long")
+    todo = spark.createDataFrame(parts, "part long, base long, docs long")
     if len(parts) > 1:
         todo = todo.repartition(len(parts))
     return map_arrow(todo, read, "doc_id long, start long, n_tokens long, ids_crc32 long")

@@ -4,11 +4,12 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestar.llm import bpe, packing, tokens
 from lodestar.llm._common import shared_path
 
-TEXTS = ["don't we're x'y it's, a'll", "_a_ b_c  d", "é² ²x àb", "<|endoftext|> hi", " x y z", "a\r\nb\tc", "日本 語 x", "Ⅷ x½ y", "I'M 'S", "", "a\n\nb", "x" * 5000, " " * 300, "word, word. (word)", "naïve café"]
+TEXTS = ["don't we're x'y it's, a'll", "_a_ b_c  d", "é² ²x àb", "<|endoftext|> hi", " x y z", "a\r\nb\tc", "日本 語 x", "Ⅷ x½ y", "I'M 'S", "", "a\n\nb", "x" * 5000, " " * 300, "word, word. (word)", "naïve café", "a\tb\td\n\n c", "hello <|endoftext|> world", "a\x1cb c", " a", "a ", "\na", "a\n", "a \nb c\td"]
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +17,6 @@ def plain():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.vocabulary(tokens.BYTE_BPE))
-    t.encode_special_tokens = True
     return lambda x: t.encode(x or "", add_special_tokens=False).ids
 
 
@@ -30,6 +30,14 @@ def test_chunks_encode_as_the_whole(plain):
     assert [np.frombuffer(d, "<u2").tolist() for d in enc.encode_all(TEXTS)] == [plain(t) for t in TEXTS]
 
 
+def test_random_strings_encode_as_the_whole(plain):
+    enc, r = tokens.ChunkEncoder(tokens.vocabulary(tokens.BYTE_BPE)), random.Random(7)
+    parts = [*"ab é1'.,<|\u180e\u200b\x85\xa0\u2003\u3000\x1c\t\r日²", *" " * 8, *"\n\n\n", "<|endoftext|>", "word", " the", "'s", "ing"]
+    for few in (parts, [" ", "\n", "a", "the", "b1", "é", ".", "'s", "<|endoftext|>"]):
+        texts = ["".join(r.choice(few) for _ in range(r.randint(0, 25))) for _ in range(3000)]
+        assert [np.frombuffer(d, "<u2").tolist() for d in enc.encode_all(texts)] == [plain(t) for t in texts]
+
+
 def test_files_round_trip(spark, table, odd, plain):
     rows = [*odd, *((100 + i, t) for i, t in enumerate(TEXTS))]
     folder = shared_path(spark, "tokens")
@@ -79,6 +87,30 @@ def test_packing_is_gapless(table, odd, plain, monkeypatch):
     assert bound <= len(by) <= bound + 6
 
 
+def test_pieces_hold_the_ids_of_their_documents(spark, plain, tmp_path):
+    import zlib as z
+
+    rows = [(i, t, i, i) for i, t in enumerate([None, "", "hello <|endoftext|> world", "a\tb\td\n\n c", "word " * 700, "word " * 699, "the\n" * 3000])] + [(None, "a", 1, 1), (3, "b", 1, 1)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string, sequence_id int, offset int").write.parquet(path)
+    got = sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in packing.best_fit_packing(spark.read.parquet(path), capacity=512).collect())
+    want = []
+    for i, t, *_ in rows:
+        ids = plain(t) + [0]
+        first = (len(ids) - 1) % 512 + 1
+        cuts = [0, *range(first, len(ids), 512), len(ids)]
+        want += [(str(i), n, a, b - a, z.crc32(np.array(ids[a:b], "<u4").tobytes())) for n, (a, b) in enumerate(zip(cuts, cuts[1:]))]
+    assert got == sorted(want)
+
+
+def test_equal_ids_keep_their_order(spark, table):
+    folder = shared_path(spark, "tokens")
+    rows = table([(1, "a b"), (1, "a"), (None, "x y z"), (0, "q")], "doc_id long, text string").withColumn("uid", F.lit(1)).withColumn("id", F.lit(2)).coalesce(1)
+    tokens.write_token_files(rows, folder, tokens.vocabulary(tokens.BYTE_BPE), end_id=2)
+    got = tokens.read_token_files(spark, folder, rows=1).orderBy("start").collect()
+    assert [(r.doc_id, r.n_tokens) for r in got] in ([(None, 4), (0, 2), (1, 3), (1, 2)], [(None, 4), (0, 2), (1, 2), (1, 3)])
+
+
 def test_prefix_table_appends_and_edits(multi):
     r = random.Random(1)
     for _ in range(60):
