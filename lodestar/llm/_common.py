@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,21 +58,29 @@ _cache_owner: list = [None, None]
 
 
 def sole_cache(owner: str, clear) -> None:
-    """A Python worker outlives its tasks: when another operator starts in it, the one before forgets what it remembered."""
+    """A Python worker outlives its tasks: when another operator starts in it, the one before forgets what it remembered and the memory goes back to the system."""
     if _cache_owner[0] != owner:
         if _cache_owner[1] is not None:
             _cache_owner[1]()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):  # another C library
+                pass
         _cache_owner[:] = [owner, clear]
 
 
-ROWS_AT_ONCE = 1000
+ROWS_AT_ONCE, BYTES_AT_ONCE = 1000, 8 << 20
 
 
 def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
-    """``df.mapInArrow`` with this package at hand in the workers, in slices of ``ROWS_AT_ONCE`` rows."""
+    """``df.mapInArrow`` with this package at hand in the workers, in slices of ``ROWS_AT_ONCE`` rows and about ``BYTES_AT_ONCE`` bytes at most."""
     ship(df.sparkSession)
 
-    def run(batches):
-        return function(b.slice(i, ROWS_AT_ONCE) for b in batches for i in range(0, b.num_rows, ROWS_AT_ONCE))
+    def slices(batches):
+        for b in batches:
+            step = max(1, min(ROWS_AT_ONCE, b.num_rows * BYTES_AT_ONCE // max(1, b.nbytes)))
+            for i in range(0, b.num_rows, step):
+                yield b.slice(i, step)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: function(slices(batches)), schema)

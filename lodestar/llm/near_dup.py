@@ -32,12 +32,13 @@ from .components import components
 WORDS = 5
 #: Similarity as a fraction, so that the test is exact.
 THRESHOLD = (4, 5)
-ROWS, BANDS = 5, 25  # a pair at the threshold shares no bucket with probability 5e-5
+ROWS, BANDS = 4, 32  # a pair at the threshold shares no bucket with probability 5e-8
 HASHES = ROWS * BANDS
-STEP = 25
+STEP = 32
 TOLERANCE = 1e-6
 BLOCK = 256
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
+BROADCAST_IDS = 2_000_000  # row numbers of 8 bytes, sent around to choose texts
 DENSE_PAIRS = 2_000  # a tile with more pairs to verify counts intersections by matrix products
 
 _RANDOM = np.random.RandomState(20240229)
@@ -153,19 +154,20 @@ def forest(ids_a: np.ndarray, ids_b: np.ndarray) -> list[tuple[int, int]]:
     return [(x, find(x)) for x in parent if find(x) != x]
 
 
-def _signatures(rows: DataFrame, uid: str, text: str) -> DataFrame:
-    """(uid, key, sig) of every row; key is null for texts without a word."""
+def _signatures(rows: DataFrame, uid: str, id_col: str, text: str) -> DataFrame:
+    """(uid, doc_id, key, sig) of every row; key is null for texts without a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, sigs = [], []
-            for t in batch.column(1).to_pylist():
+            for t in batch.column(2).to_pylist():
                 s = shingles(t or "")
                 keys.append(hashlib.md5(s.tobytes()).digest() if len(s) else None)
                 sigs.append(minhash(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["uid", "key", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["uid", "doc_id", "key", "sig"])
 
-    return map_arrow(rows.select(F.col(uid).alias("uid"), ref(text).alias("text")), run, "uid long, key binary, sig binary")
+    rows = rows.select(F.col(uid).alias("uid"), ref(id_col).alias("doc_id"), ref(text).alias("text"))
+    return map_arrow(rows, run, f"uid long, doc_id {rows.schema['doc_id'].dataType.simpleString()}, key binary, sig binary")
 
 
 def _tiles(rows: DataFrame, group: str, size: str) -> DataFrame:
@@ -209,20 +211,20 @@ def _links(t: pa.Table) -> pa.Table:
     return pa.table({"tid": pa.array(ids, pa.int64()), "links": pa.array(counts[some], pa.int64()), "root": pa.array([root.get(k, k) for k in ids], pa.int64())})
 
 
-def _with_sets(rows: DataFrame) -> DataFrame:
-    """Adds the shingle sets of ``text`` and drops it."""
+def _sets(rows: DataFrame) -> DataFrame:
+    """(uid, items): the shingle sets of the texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t or "").astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("tid"), batch.column("root"), batch.column("size"), batch.column("sig"), pa.array(sets, pa.binary())], names=["tid", "root", "size", "sig", "items"])
+            sets = [shingles(t or "").astype("<u8").tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["uid", "items"])
 
-    return map_arrow(rows.select("tid", "root", "size", "sig", "text"), run, "tid long, root long, size long, sig binary, items binary")
+    return map_arrow(rows.select("uid", "text"), run, "uid long, items binary")
 
 
-def _classes(docs: DataFrame, uid: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Stored (uid, key) of all rows, and (key, root, links) of all classes of copies; root is the group."""
-    hashed = stored(_signatures(docs, uid, text_col), "signatures")
+def _classes(docs: DataFrame, uid: str, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored (uid, doc_id, key) of all rows, and (key, root, links) of all classes of copies; root is the group."""
+    hashed = stored(_signatures(docs, uid, id_col, text_col), "signatures")
     reps = hashed.where(F.col("key").isNotNull()).dropDuplicates(["key"])
     reps = stored(reps.select(F.monotonically_increasing_id().alias("tid"), "uid", "key", "sig"), "classes")
     bands = F.array(*(F.xxhash64(F.lit(i), F.substring("sig", 4 * ROWS * i + 1, 4 * ROWS)) for i in range(BANDS)))
@@ -237,15 +239,18 @@ def _classes(docs: DataFrame, uid: str, text_col: str) -> tuple[DataFrame, DataF
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = groups.join(sizes, "root").join(reps.select(F.col("tid").alias("node"), "uid", "sig"), "node")
     members = stored(members.select(F.col("node").alias("tid"), "root", "size", "uid", "sig"), "members")
+    # only sets of members move, not texts: their row numbers go to the texts where they are few enough
+    wanted = members.select("uid")
     texts = docs.select(F.col(uid).alias("uid"), ref(text_col).alias("text"))
-    sets = stored(_with_sets(texts.join(members, "uid")), "sets")
+    texts = texts.join(F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted, "uid", "left_semi")
+    sets = stored(_sets(texts), "sets").join(members, "uid").drop("uid")
     found = _tiles(sets, "root", "size").groupBy("root", "x", "y").applyInArrow(_links, "tid long, links long, root long")
     found = stored(found, "links")
     linked = components(found.select(F.col("tid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy(F.col("tid").alias("node")).agg(F.sum("links").alias("links"))
     info = reps.select(F.col("tid").alias("node"), "key").join(linked, "node", "left").join(counts, "node", "left")
     info = info.select("key", F.coalesce("root", "node").alias("root"), F.coalesce("links", F.lit(0).cast("long")).alias("links"))
-    return hashed.select("uid", "key"), stored(info, "class-info")
+    return hashed.select("uid", "doc_id", "key"), stored(info, "class-info")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -260,8 +265,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     (uid,) = fresh(docs, "uid")
     rows = docs.withColumn(uid, F.monotonically_increasing_id())
-    keys, info = _classes(rows, uid, text_col)
-    ids = stored(keys.join(rows.select(F.col(uid).alias("uid"), ref(id_col).alias("doc_id")), "uid"), "keys")
+    ids, info = _classes(rows, uid, id_col, text_col)
     copies = ids.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first"))
     each = info.join(copies, "key")
     roots = each.groupBy("root").agg(F.min("first").alias("first"))
