@@ -1,11 +1,12 @@
 r"""Personal data by bootstrapped contextual extraction, with DataFrame functions only.
 
 Seeds are the identifiers that four patterns find anywhere. Every token group with a digit or an at
-sign is an *instance*; the two words before it are its *pattern*. Patterns and instances form a
+sign is an *instance*; its *patterns* are the two words before it, the word before or after it with
+the shape of its value, and the shapes of both neighbours and its value. Patterns and instances form a
 bipartite graph that is scored in rounds: a pattern is as good as the mean confidence of the distinct
 instances it introduces, and all that reach ``PRECISION`` and ``SUPPORT`` are promoted: they pass
-confidence on to the other instances they introduce. Instances that no seed pattern matched, but that stand behind a promoted pattern and have the loose shape of its kind, are
-reported too.
+confidence on to the other instances they introduce. Rounds go on until no more are promoted. Instances that no seed pattern matched, but
+that have a promoted pattern and the loose shape of its kind, are reported too.
 
 The patterns below find what their plain forms find, but run in linear time: a match can only start
 at the start of a run (or where the match before ended), and runs aren't given back.
@@ -29,32 +30,30 @@ PATTERNS = {
 }
 #: Cheap tests without which a pattern can't match.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){13}", "phone": r"\+[0-9]"}
-#: What an unseen identifier of a kind has to look like.
+#: What an unseen identifier of a kind has to look like. What a seed pattern matches but its test refuses isn't one.
 SHAPES = {
     "email": r"^[^\s@]+@[^\s@]+$",
-    "ip": r"^[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,7}$",
-    "card": r"^[0-9](?:[\x20-]?[0-9]){11,18}$",
-    "phone": r"^[+(]?[0-9](?:[\x20().-]{0,2}[0-9]){6,14}$",
+    "ip": r"^(?![0-9]+(?:\.[0-9]+){3}$)[0-9A-Fa-f]{1,4}(?:[.:][0-9A-Fa-f]{1,4}){3,7}$",
+    "card": r"^[0-9](?:[\x20-]?[0-9]){11,12}$",
+    "phone": r"^\(?[0-9](?:[\x20().-]{0,2}[0-9]){6,10}$",
 }
 INSTANCE = r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+(?:\x20[^\s0-9@]*+[0-9@]\S*+)*+"
-CONTEXT_CHARS = 80
-ROUNDS = 3
 PRECISION, SUPPORT = 0.8, 3
 SPANS = "array<struct<start:int,kind:int,end:int>>"
 
 
 def _matches(text: Column, pattern: str) -> Column:
-    """array<struct<start, end, left, value>> of all matches; positions in code points."""
+    """array<struct<start, end, left, value, right>> of all matches, with the texts up to the next ones; positions in code points."""
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
-    both = F.arrays_zip(F.slice(between, F.lit(1), F.size(values)).alias("left"), values.alias("value"))
+    both = F.arrays_zip(F.slice(between, F.lit(1), F.size(values)).alias("left"), values.alias("value"), F.slice(between, F.lit(2), F.size(values)).alias("right"))
 
     def step(acc: Column, x: Column) -> Column:
         start = acc["at"] + F.length(x["left"])
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["left"].alias("left"), x["value"].alias("value"))).alias("out"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["left"].alias("left"), x["value"].alias("value"), x["right"].alias("right"))).alias("out"))
 
-    empty = F.array().cast("array<struct<start:int,end:int,left:string,value:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,left:string,value:string,right:string>>")
     return F.aggregate(both, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"]
 
 
@@ -72,7 +71,9 @@ def _luhn(digits: Column) -> Column:
 
 def _holds(kind: str, value: Column) -> Column:
     if kind == "ip":
-        return F.forall(F.split(value, r"\."), lambda p: F.length(F.ltrim(p, F.lit("0"))) <= 3) & F.forall(F.split(value, r"\."), lambda p: F.coalesce(F.substring(F.ltrim(p, F.lit("0")), 1, 4).cast("int"), F.lit(0)) <= 255)
+        # without leading zeros, so that a part of any length fits an int
+        short = F.transform(F.split(value, r"\."), lambda p: F.ltrim(p, F.lit("0")))
+        return F.forall(short, lambda p: (F.length(p) <= 3) & (F.concat(F.lit("0"), F.substring(p, 1, 4)).cast("int") <= 255))
     size = F.length(_digits(value))
     if kind == "card":
         return (size >= 14) & (size <= 19) & _luhn(_digits(value))
@@ -96,51 +97,69 @@ def _as_spans(found: Column, kind: int) -> Column:
     return F.transform(found, lambda m: F.struct(m["start"].alias("start"), F.lit(kind).alias("kind"), m["end"].alias("end")))
 
 
+def _shape(text: Column) -> Column:
+    """Runs of digits as 9, of lower-case letters as a, of other letters as A."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"[0-9]+", "9"), r"\p{Ll}+", "a"), r"[\p{L}&&[^a]]+", "A")
+
+
 def _instances(text: Column, spans: Column) -> Column:
-    """array<struct<pattern, value, start, end, kind>>; kind is the seed's that it touches, or -1."""
+    """array<struct<patterns, value, start, end, kinds>>; kinds are those of the seeds that it touches.
+
+    The start of a text counts as the word ^, its end as $, another instance as #.
+    """
+    words = lambda t: F.filter(F.split(t, r"[^\p{L}\p{N}]+"), lambda x: x != "")
 
-    def one(m: Column) -> Column:
+    def one(m: Column, i: Column, n: Column) -> Column:
         lead = F.length(F.regexp_extract(m["value"], r"^[^\p{L}\p{N}+(@]*+", 0))
         value = F.regexp_replace(F.substring(m["value"], lead + 1, F.length(m["value"])), r"(?<=[\p{L}\p{N}])[^\p{L}\p{N}]++$", "")
-        words = F.filter(F.split(F.lower(F.right(m["left"], F.lit(CONTEXT_CHARS))), r"[^\p{L}\p{N}]+"), lambda x: x != "")
-        pattern = F.when(F.size(words) >= 2, F.array_join(F.slice(words, -2, 2), " "))
+        before = F.concat(F.array(F.when(i == 0, "^").otherwise("#")), words(m["left"]))
+        after = F.concat(words(m["right"]), F.array(F.when(i == n - 1, "$").otherwise("#")))
+        left, right, shape = F.element_at(before, -1), F.get(after, F.lit(0)), _shape(value)
+        patterns = F.array(
+            F.concat(F.lit("2 "), F.lower(F.array_join(F.slice(before, -F.least(F.size(before), F.lit(2)), 2), " "))), F.concat_ws(" ", F.lit("l"), F.lower(left), shape),
+            F.concat_ws(" ", F.lit("r"), shape, F.lower(right)), F.concat_ws(" ", F.lit("s"), _shape(left), shape, _shape(right)),
+        )
         touching = F.filter(spans, lambda s: (s["start"] < m["end"]) & (s["end"] > m["start"]))
         start = m["start"] + lead
-        return F.struct(pattern.alias("pattern"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"), F.coalesce(F.get(touching, F.lit(0))["kind"], F.lit(-1)).alias("kind"))
+        return F.struct(patterns.alias("patterns"), value.alias("value"), start.alias("start"), (start + F.length(value)).alias("end"), F.array_distinct(F.transform(touching, lambda s: s["kind"])).alias("kinds"))
 
-    some = F.filter(F.transform(_matches(text, INSTANCE), one), lambda x: x["pattern"].isNotNull())
-    return F.when(text.rlike("[0-9@]"), some).otherwise(F.array().cast("array<struct<pattern:string,value:string,start:int,end:int,kind:int>>"))
+    none = F.array().cast("array<struct<patterns:array<string>,value:string,start:int,end:int,kinds:array<int>>>")
+    # one name for all matches, so that they are found once
+    with_all = F.transform(F.array(_matches(text, INSTANCE)), lambda all_: F.transform(all_, lambda m, i: one(m, i, F.size(all_))))
+    return F.when(text.rlike("[0-9@]"), F.get(with_all, F.lit(0))).otherwise(none)
 
 
 def _fits(kind: Column, value: Column) -> Column:
     return reduce(lambda a, b: a | b, ((kind == i) & value.rlike(SHAPES[k]) for i, k in enumerate(KINDS)))
 
 
-def promoted_patterns(instances: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """Stored: pattern, kind, precision of all of high confidence. ``instances``: stored rows (pattern, value, kind)."""
-    edges = stored(instances.groupBy("pattern", "value").agg(F.max("kind").alias("seed")), "pii-graph")
-    known = stored(edges.where("seed >= 0").groupBy("value", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("confidence")), "pii-known")
-    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values"))
-    sizes = sizes.where(F.col("values") >= SUPPORT)
-    best = instances.sparkSession.createDataFrame([], "pattern string, kind int, precision double")
-    for _ in range(rounds):
-        support = edges.join(known, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("mass"), F.count(F.lit(1)).alias("support"))
-        support = support.where(F.col("support") >= SUPPORT).join(sizes, "pattern")
-        scored = support.withColumn("precision", F.round(F.col("mass") / F.col("values"), 9)).where(F.col("precision") >= PRECISION)
-        before, best = best, stored(scored.select("pattern", "kind", "precision"), "pii-promoted")
-        if best.count() == before.count() and best.join(before, ["pattern", "kind"], "left_anti").isEmpty():
-            break
-        passed = edges.where("seed < 0").join(best, "pattern").where(_fits(F.col("kind"), F.col("value")))
+def promoted_patterns(instances: DataFrame) -> DataFrame:
+    """Stored: pattern, kind, precision of all of high confidence. ``instances``: stored rows (patterns, value, kinds)."""
+    edges = stored(instances.select(F.explode("patterns").alias("pattern"), "value").distinct(), "pii-graph")
+    # what a seed pattern found stays known for sure, whatever patterns pass on
+    seeds = stored(instances.select("value", F.explode("kinds").alias("kind")).distinct().withColumn("confidence", F.lit(1.0)), "pii-seeds")
+    sizes = edges.groupBy("pattern").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") >= SUPPORT)
+    edges = stored(edges.join(sizes, "pattern"), "pii-graph")
+    free = stored(edges.join(seeds.select("value").distinct(), "value", "left_anti").select("pattern", "value"), "pii-free")
+    known, best = seeds, instances.sparkSession.createDataFrame([], "pattern string, kind int, precision double")
+    while True:
+        support = edges.join(known, "value").groupBy("pattern", "kind", "values").agg(F.sum("confidence").alias("mass"), F.count(F.lit(1)).alias("support"))
+        scored = support.withColumn("precision", F.round(F.col("mass") / F.col("values"), 9)).where((F.col("support") >= SUPPORT) & (F.col("precision") >= PRECISION))
+        new = stored(scored.select("pattern", "kind", "precision").join(best.select("pattern", "kind"), ["pattern", "kind"], "left_anti"), "pii-promoted")
+        if new.isEmpty():
+            return best
+        best = stored(best.unionByName(new), "pii-promoted")
+        passed = free.join(best, "pattern").where(_fits(F.col("kind"), F.col("value")))
         passed = passed.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.least(F.col("precision"), F.lit(0.99)))))).alias("confidence"))
-        known = stored(known.where("confidence = 1").unionByName(passed), "pii-known")
-    return best
+        known = seeds.unionByName(stored(passed, "pii-known"))
 
 
 def _extra_spans(scanned: DataFrame) -> DataFrame:
-    """Stored: key, extra (spans) of the rows of ``scanned`` with unseen identifiers behind promoted patterns."""
+    """Stored: key, extra (spans) of the rows of ``scanned`` with unseen identifiers that have promoted patterns."""
     instances = scanned.select("key", F.inline("instances"))
-    patterns = promoted_patterns(instances.select("pattern", "value", "kind"))
-    found = instances.where("kind < 0").drop("kind").join(patterns.select("pattern", "kind"), "pattern").where(_fits(F.col("kind"), F.col("value")))
+    patterns = promoted_patterns(instances.select("patterns", "value", "kinds"))
+    free = instances.where(F.size("kinds") == 0).select("key", "value", "start", "end", F.explode("patterns").alias("pattern"))
+    found = free.join(patterns.select("pattern", "kind"), "pattern").where(_fits(F.col("kind"), F.col("value")))
     return stored(found.groupBy("key").agg(F.collect_set(F.struct("start", "kind", "end")).cast(SPANS).alias("extra")), "pii-extra")
 
 

@@ -49,6 +49,83 @@ def test_patterns_find_unseen_identifiers(table):
     assert clean[9] == "please mail me [EMAIL] now" and clean[None] == "call 12345" and pii.redact(docs).columns == docs.columns
 
 
+def _shape(t):
+    import regex
+
+    return regex.sub(r"(?V1)[\p{L}--a]+", "A", regex.sub(r"\p{Ll}+", "a", re.sub("[0-9]+", "9", t)))
+
+
+def plain_method(rows):
+    """The whole method on plain lists: {id: spans}."""
+    found = []
+    for i, t in rows:
+        t = t or ""
+        seeds = base(t)
+        ms = list(re.finditer(r"(?<!\S)[^\s0-9@]*[0-9@]\S*(?: [^\s0-9@]*[0-9@]\S*)*", t))
+        ends = [0, *(m.end() for m in ms)]
+        starts = [*(m.start() for m in ms), len(t)]
+        for k, m in enumerate(ms):
+            lead = re.match(r"[^\w+(@]*|_*", m[0]).end()
+            value = re.sub(r"(?<=[^\W_])[\W_]+$", "", m[0][lead:])
+            words = lambda x: [w for w in re.split(r"[\W_]+", x) if w]
+            before = ["#" if k else "^", *words(t[ends[k] : starts[k]])]
+            after = [*words(t[ends[k + 1] : starts[k + 1]]), "$" if k == len(ms) - 1 else "#"]
+            s, left, right = _shape(value), before[-1], after[0]
+            pats = {"2 " + " ".join(before[-2:]).lower(), f"l {left.lower()} {s}", f"r {s} {right.lower()}", f"s {_shape(left)} {s} {_shape(right)}"}
+            kinds = {x[1] for x in seeds if x[0] < m.end() and x[2] > m.start()}
+            found.append((i, pats, value, m.start() + lead, kinds))
+    edges = {(p, f[2]) for f in found for p in f[1]}
+    of = {}
+    for p, v in edges:
+        of.setdefault(p, set()).add(v)
+    seeds = {(f[2], k): 1.0 for f in found for k in f[4]}
+    certain, known, best = {v for v, _ in seeds}, dict(seeds), {}
+    while True:
+        new = {}
+        for p, values in of.items():
+            for k in range(4):
+                c = [known[v, k] for v in values if (v, k) in known]
+                if len(c) >= pii.SUPPORT and (p, k) not in best and round(sum(c) / len(values), 9) >= pii.PRECISION:
+                    new[p, k] = round(sum(c) / len(values), 9)
+        if not new:
+            break
+        best |= new
+        known = dict(seeds)
+        for v in {v for _, v in edges} - certain:
+            for k in range(4):
+                ps = [min(best[p, k], 0.99) for p in of if v in of[p] and (p, k) in best]
+                if ps and re.search(pii.SHAPES[KINDS[k]], v):
+                    miss = 1.0
+                    for x in ps:
+                        miss *= 1 - x
+                    known[v, k] = 1 - miss
+    out = {i: set(base(t or "")) for i, t in rows}
+    for i, pats, value, start, kinds in found:
+        for k in range(4):
+            if not kinds and any((p, k) in best for p in pats) and re.search(pii.SHAPES[KINDS[k]], value):
+                out[i].add((start, k, start + len(value)))
+    return {i: sorted(x) for i, x in out.items()}, best
+
+
+def test_the_method_equals_a_plain_version(table):
+    import random
+
+    r, rows = random.Random(4), []
+    leads = ["call", "mail me", "card no", "host:", "Phone", "or", "é", "tel", "", "x_y"]
+    tails = ["now", "or", ". Thanks", "", ", and"]
+    values = [
+        lambda: f"+1 771 555 {r.randint(1000, 1012)}", lambda: f"0171 2345{r.randint(10, 30)}", lambda: f"u{r.randint(1, 20)}@x.com", lambda: f"u{r.randint(1, 9)}@host", lambda: f"10.0.0.{r.randint(1, 20)}",
+        lambda: f"fe80:0:0:{r.randint(1, 9)}", lambda: r.choice(["4111111111111111", "5555555555554444", "378282246310005", "4111111111111112"]), lambda: str(r.randint(1, 50)), lambda: "v2_,",
+    ]
+    for i in range(400):
+        kind = r.randrange(4)
+        parts = [f"{leads[kind] if r.random() < 0.8 else r.choice(leads)} {values[min(8, 2 * kind + (r.random() < 0.3))]() if r.random() < 0.9 else r.choice(values)()} {r.choice(tails)}" for _ in range(r.randint(0, 3))]
+        rows.append((i, " ".join(parts)))
+    want, best = plain_method(rows)
+    got = {x.doc_id: sorted(tuple(s) for s in x.spans) for x in pii.pii_spans(table(rows)).collect()}
+    assert got == want and best and sum(map(len, want.values())) > sum(len(base(t)) for _, t in rows)
+
+
 @pytest.mark.parametrize("limit", ["10m", "-1"])
 def test_all_good_patterns_are_promoted(spark, table, limit):
     word = lambda i: "".join(chr(97 + int(c)) for c in f"{i:03}")
