@@ -54,6 +54,34 @@ def ref(name: str):
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+BITMAP_BITS = 32768  # what one row of bitmap_construct_agg holds
+BITMAPS_SENT = 16384  # rows of 4 KiB that are sent to all tasks, at most
+
+
+def bit_set(bitmap, bit):
+    """Whether the bitmap has this bit."""
+    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
+
+
+def rows_among(df: DataFrame, uid: str, uids: DataFrame, inside: bool = True) -> DataFrame:
+    """The rows of ``df`` whose ``uid`` is (or isn't) among the column ``uid`` of ``uids``; both come from ``monotonically_increasing_id``.
+
+    Such ids count up within each partition, so a bit a row says which are meant: those bitmaps go to
+    the rows (64 MiB stand for some 500 million rows), and no row of ``df`` moves. Beyond that size it's a join.
+    """
+    part, bucket, bitmap = fresh(df, "part", "bucket", "bitmap")
+    at = lambda c: (F.shiftright(c, 33).alias(part), F.shiftright(c.bitwiseAND((1 << 33) - 1), 15).alias(bucket), c.bitwiseAND(BITMAP_BITS - 1))
+    p, b, bit = at(uids["uid"])
+    marks = stored(uids.select(p, b, bit.alias("bit")).groupBy(part, bucket).agg(F.bitmap_construct_agg("bit").alias(bitmap)), "marks")
+    if marks.count() > BITMAPS_SENT:
+        return df.join(uids.select(F.col("uid").alias(uid)), uid, "left_semi" if inside else "left_anti")
+    p, b, bit = at(F.col(uid))
+    met = df.withColumns({part: p, bucket: b}).join(F.broadcast(marks), [part, bucket], "left")
+    hit = F.coalesce(bit_set(F.col(bitmap), bit.cast("int")), F.lit(False))
+    return met.where(hit if inside else ~hit).select([ref(c) for c in df.columns])
+
+
 _cache_owner: list = [None, None]
 
 

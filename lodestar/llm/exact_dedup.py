@@ -4,19 +4,20 @@ Pass 1 counts, for every row, the bits its hash sets in a blocked Bloom filter;
 twice become the filter of *possibly repeated* hashes. Pass 2 probes it: rows that miss can't have a
 twin and pass straight through, the few others shuffle and are grouped by their full SHA-256.
 
-The filter takes ``BITS_PER_ROW`` bits a row up to ``MAX_BLOCKS`` blocks of 4 KiB (32 MiB), which is
-what may be broadcast. Beyond that size it saturates: more rows take the shuffled way, results stay
-the same.
+The filter takes ``BITS_PER_ROW`` bits a row. It's split by hash range into slices of at most
+``MAX_BLOCKS`` blocks of 4 KiB (32 MiB, 16 million rows), of which one is sent around at a time. Only
+hashes and row numbers take part; the texts of rows that stay are never moved.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, ref, shared_path, stored, table
+from ._common import BITMAP_BITS, bit_set, fresh, ref, rows_among, shared_path, stored, table
 
-BLOCK_BITS = 32768  # what one row of bitmap_construct_agg holds
 BITS_PER_ROW = 16
 HASHES = 3
 MAX_BLOCKS = 8192
@@ -37,39 +38,28 @@ def _block(key: Column, blocks: int) -> Column:
 
 
 def _bit(key: Column, i: int) -> Column:
-    return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BLOCK_BITS)).cast("int")
+    return F.pmod(F.xxhash64(key, F.lit(i)), F.lit(BITMAP_BITS)).cast("int")
 
 
-def repeated_filter(keys: DataFrame, key: str, rows: int) -> tuple[DataFrame, int]:
-    """Pass 1: (block, bitmap of the bits set by two rows or more), and the number of blocks."""
-    blocks = min(MAX_BLOCKS, max(1, -(-rows * BITS_PER_ROW // BLOCK_BITS)))
+def repeated_filter(keys: DataFrame, key: str, blocks: int) -> DataFrame:
+    """Pass 1: (block, bitmap of the bits set by two rows or more)."""
     k = ref(key)
     bits = keys.select(_block(k, blocks).alias("block"), F.explode(F.array(*(_bit(k, i) for i in range(HASHES)))).alias("bit"))
     twice = bits.groupBy("block", "bit").count().where(F.col("count") >= 2)
-    return twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap")), blocks
-
+    return twice.groupBy("block").agg(F.bitmap_construct_agg(F.col("bit").cast("long")).alias("bitmap"))
 
-def _has(bitmap: Column, bit: Column) -> Column:
-    byte = F.conv(F.hex(F.substring(bitmap, (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
 
-
-def mark_duplicates(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
-    """``df``, which has no such columns yet, with (keep_id, group_size, kept) of rows equal in ``key``; one row stays of each group.
-
-    The smallest id stays; a null id comes after all others; rows with equal ids (repeated rows) tie
-    by their position in ``df``. ``key`` must not be null. ``rows`` is the number of rows of ``df``.
-    """
+def _marked(df: DataFrame, key: str, id_col: str, blocks: int) -> DataFrame:
+    """``mark_duplicates`` of rows whose filter has at most ``MAX_BLOCKS`` blocks."""
     block, bitmap, uid, first, same, size = fresh(df, "block", "bitmap", "uid", "first", "same", "size")
     out = [ref(c) for c in df.columns]
-    filt, blocks = repeated_filter(df, key, rows)
-    # stored, so that its true size is known before it is sent around: MAX_BLOCKS rows of 4 KiB at most
-    filt = stored(filt, "bloom").select(F.col("block").alias(block), F.col("bitmap").alias(bitmap))
+    # stored, so that its true size is known before it is sent around
+    filt = stored(repeated_filter(df, key, blocks), "bloom").select(F.col("block").alias(block), F.col("bitmap").alias(bitmap))
     k = ref(key)
     probed = df.withColumn(block, _block(k, blocks)).join(F.broadcast(filt), block, "left")
     maybe = F.col(bitmap).isNotNull()
     for i in range(HASHES):
-        maybe = maybe & _has(F.col(bitmap), _bit(k, i))
+        maybe = maybe & bit_set(F.col(bitmap), _bit(k, i))
     maybe = F.coalesce(maybe, F.lit(False))
     alone = probed.where(~maybe).select(*out, ref(id_col).alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"))
     some = stored(probed.where(maybe).select(*out, F.monotonically_increasing_id().alias(uid)), "candidates")
@@ -80,18 +70,39 @@ def mark_duplicates(df: DataFrame, key: str, id_col: str, rows: int) -> DataFram
     return alone.unionAll(shuffled)
 
 
+def mark_duplicates(df: DataFrame, key: str, id_col: str, rows: int) -> DataFrame:
+    """``df`` with (keep_id, group_size, kept) of rows equal in ``key``; one row stays of each group.
+
+    The smallest id stays; a null id comes after all others; rows with equal ids (repeated rows) tie
+    by their position in ``df``. ``key`` must not be null, and ``df`` must not have those three columns
+    yet (a ValueError). ``rows`` is the number of rows of ``df``, which should be stored: it's read twice.
+    """
+    if taken := {"keep_id", "group_size", "kept"} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns in the way: {sorted(taken)}")
+    blocks = max(1, -(-rows * BITS_PER_ROW // BITMAP_BITS))
+    slices = -(-blocks // MAX_BLOCKS)
+    if slices == 1:
+        return _marked(df, key, id_col, blocks)
+    (part,) = fresh(df, "slice")
+    path = shared_path(df.sparkSession, "slices")
+    dealt = df.withColumn(part, F.pmod(F.xxhash64(ref(key), F.lit("slice")), F.lit(slices)).cast("int"))
+    dealt.write.partitionBy(part).parquet(path)  # a folder a slice, so that each is read by itself
+    dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
+    return reduce(DataFrame.unionAll, (_marked(dealt.where(F.col(part) == i).select([ref(c) for c in df.columns]), key, id_col, MAX_BLOCKS) for i in range(slices)))
+
+
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` but the later ones of each group of equal texts.
 
-    Null texts count as empty and so equal each other. Whole texts of rows without a twin never
-    shuffle. An empty table gives an empty table.
+    Null texts count as empty and so equal each other. Texts are read twice (for their hashes, and to
+    pass on) and must come in the same order both times, as from a table. An empty table gives an empty
+    table.
     """
-    (key,) = fresh(docs, "digest")
-    keyed = docs.withColumn(key, digest(ref(text_col)))
-    work = keyed.select([ref(c).alias(f"c{i}") for i, c in enumerate(keyed.columns)])  # keep_id and such may be taken
-    at = {c: f"c{i}" for i, c in enumerate(keyed.columns)}
-    marked = mark_duplicates(work, at[key], at[id_col], docs.count())
-    return marked.where("kept").select([F.col(at[c]).alias(c) for c in docs.columns])
+    (uid,) = fresh(docs, "uid")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    keys = stored(rows.select(F.col(uid).alias("uid"), ref(id_col).alias("id"), F.unhex(digest(ref(text_col))).alias("key")), "digests")
+    gone = mark_duplicates(keys, "key", "id", keys.count()).where("not kept").select("uid")
+    return rows_among(rows, uid, gone, inside=False).drop(uid)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, map_arrow, ref, sole_cache, stored, table
+from ._common import fresh, map_arrow, ref, rows_among, sole_cache, stored, table
 from .components import components
 
 WORDS = 5
@@ -38,7 +38,6 @@ STEP = 32
 TOLERANCE = 1e-6
 BLOCK = 256
 KNOWN_WORDS = 200_000
-BROADCAST_IDS = 2_000_000  # row numbers of 8 bytes, sent around to choose texts
 DENSE_PAIRS = 2_000  # a tile with more pairs to verify counts intersections by matrix products
 
 _RANDOM = np.random.RandomState(20240229)
@@ -239,10 +238,8 @@ def _classes(docs: DataFrame, uid: str, id_col: str, text_col: str) -> tuple[Dat
     sizes = groups.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
     members = groups.join(sizes, "root").join(reps.select(F.col("tid").alias("node"), "uid", "sig"), "node")
     members = stored(members.select(F.col("node").alias("tid"), "root", "size", "uid", "sig"), "members")
-    # only sets of members move, not texts: their row numbers go to the texts where they are few enough
-    wanted = members.select("uid")
-    texts = docs.select(F.col(uid).alias("uid"), ref(text_col).alias("text"))
-    texts = texts.join(F.broadcast(wanted) if members.count() <= BROADCAST_IDS else wanted, "uid", "left_semi")
+    # only sets of members move, not texts
+    texts = rows_among(docs.select(F.col(uid).alias("uid"), ref(text_col).alias("text")), "uid", members.select("uid"))
     sets = stored(_sets(texts), "sets").join(members, "uid").drop("uid")
     found = _tiles(sets, "root", "size").groupBy("root", "x", "y").applyInArrow(_links, "tid long, links long, root long")
     found = stored(found, "links")
@@ -283,8 +280,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` but those of a group that aren't its first; see ``near_duplicates``."""
     (uid,) = fresh(docs, "uid")
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("uid").alias(uid))
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(stored(gone, "gone"), uid, "left_anti").drop(uid)
+    gone = near_duplicates(docs, id_col, text_col).where("not kept").select("uid")
+    return rows_among(docs.withColumn(uid, F.monotonically_increasing_id()), uid, gone, inside=False).drop(uid)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

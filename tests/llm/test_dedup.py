@@ -3,8 +3,10 @@ import random
 import re
 from collections import defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
+from lodestar.llm import _common
 from lodestar.llm import exact_dedup as X
 from lodestar.llm import near_dup as N
 from lodestar.llm.components import components
@@ -41,6 +43,28 @@ def test_filter_holds_every_repeated_key(table):
     assert got == 700
 
 
+def test_filter_in_slices(table, monkeypatch):
+    monkeypatch.setattr(X, "MAX_BLOCKS", 1)
+    rows = [(i, str(i % 6000)) for i in range(9000)]
+    keys = table(rows).select("doc_id", F.col("text").alias("k"))
+    got = X.mark_duplicates(keys, "k", "doc_id", 9000).collect()
+    assert len(got) == 9000 and all(r.kept == (r.doc_id < 6000) and r.group_size == (2 if int(r.k) < 3000 else 1) and r.keep_id == int(r.k) for r in got)
+    with pytest.raises(ValueError):
+        X.mark_duplicates(keys.withColumn("Kept", F.lit(1)), "k", "doc_id", 9000)
+
+
+@pytest.mark.parametrize("sent", [16384, -1])
+def test_rows_among(table, monkeypatch, sent):
+    monkeypatch.setattr(_common, "BITMAPS_SENT", sent)
+    docs = table([(i, "x") for i in range(70_000)]).repartition(3, "doc_id").withColumn("uid", F.monotonically_increasing_id()).withColumn("__part", F.lit(1))
+    docs.write.parquet(path := _common.shared_path(docs.sparkSession, "t"))
+    docs = docs.sparkSession.read.parquet(path)
+    some = docs.where("doc_id % 7 = 0").select("uid")
+    assert _common.rows_among(docs, "uid", some).agg(F.count_if(F.expr("doc_id % 7 = 0")), F.count("*")).first() == (10_000, 10_000)
+    rest = _common.rows_among(docs, "uid", some, inside=False)
+    assert set(rest.columns) == set(docs.columns) and rest.agg(F.count_if(F.expr("doc_id % 7 = 0")), F.count("*")).first() == (0, 60_000)
+
+
 def test_components_of_a_long_chain(spark, table):
     edges = table([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
