@@ -8,7 +8,6 @@ text's probabilities are the means over its windows, weighted by their bytes.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,8 +24,7 @@ FILTERS = 16  # of each width
 EMBEDDING = 8
 PAD = 256
 STEP = WINDOW - max(WIDTHS) + 1  # windows overlap, so that no filter misses a place
-SAMPLE = 600  # documents learned from, for each language, on average at most
-WINDOWS = 4  # learned from, of one document at most
+SAMPLE, LEAST = 1000, 5  # documents learned from, in all; of each language at least, about
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -121,14 +119,16 @@ def _bytes(text: str) -> bytes:
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNetwork | None:
-    """A network from about ``sample`` documents of each language, chosen by a hash of their ids; None without any.
+    """A network from about ``sample`` documents, as many of each language, chosen by a hash of their ids; None without any.
 
-    Of a chosen document up to ``WINDOWS`` windows count, drawn from its whole text.
+    Every language is learned, each from about ``LEAST`` documents or more, so very many languages bring
+    more than ``sample``. Of a chosen document all windows count. Rows without a language or text don't.
     """
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"), ref(lang_col).alias("lang")).where("lang is not null and text is not null")
     # stored, so that its size is known: where it's small no text has to meet its language in a task
     counts = stored(rows.groupBy("lang").count(), "language-counts")
-    share = F.least(F.lit(1.0), F.lit(float(sample)) / F.col("count"))
+    each = max(LEAST, sample / max(1, counts.count()))
+    share = F.least(F.lit(1.0), F.lit(float(each)) / F.col("count"))
     # uniform in [0, 1) by the id's hash
     uniform = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.withColumn("u", uniform).join(counts, "lang").where(F.col("u") < share).select("text", "lang")
@@ -137,12 +137,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         for b in batches:
             langs, data = [], []
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = _bytes(t)
                 if _LETTER.search(t):
-                    w, _ = windows(raw)
-                    pick = np.random.RandomState(zlib.crc32(raw)).choice(len(w), min(WINDOWS, len(w)), replace=False)
-                    langs += [lang] * len(pick)
-                    data += [x.astype("<i2").tobytes() for x in w[np.sort(pick)]]
+                    w, _ = windows(_bytes(t))
+                    langs += [lang] * len(w)
+                    data += [x.astype("<i2").tobytes() for x in w]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], names=["lang", "window"])
 
     got = map_arrow(chosen, run, "lang string, window binary").toArrow()
@@ -155,7 +153,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
 
 def identify(texts: list[str | None], net: ByteNetwork | None) -> tuple[list[str], list[float]]:
-    """(language, probability) of each text; ("und", 0) for null, without a letter, or without a network."""
+    """(language, probability) of each text; ("und", 0) for null, without a letter, or without a network. Ties go to the first language by name."""
     out, score = ["und"] * len(texts), [0.0] * len(texts)
     if net is None:
         return out, score

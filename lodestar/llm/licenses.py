@@ -1,11 +1,11 @@
 r"""License scans by a positional rare-token index, with DataFrame functions only.
 
-1. The document frequency of every word of the notices below is counted over all documents.
-2. Each notice is indexed by its rarest words (``ANCHORS``) and the words of its mandatory phrase,
-   with their positions. A document is looked up by those of its words that are some notice's
-   anchors; where two anchors of one notice (all, if it has fewer) occur, their positions are
-   intersected: occurrences agree when they imply the same start of the notice.
-3. A notice is reported where its mandatory phrase stands word for word at such a start.
+1. The document frequency of every word of the templates below (notices and licence texts) is counted
+   over all documents; that gives the words' IDF.
+2. The index lists for every word its places in the templates. A document is looked up by its own
+   highest-IDF licence words: those of at least ``RARE`` times the IDF of its rarest one. Their
+   postings are intersected by relative position: ``AGREE`` places must imply the same start of a template.
+3. A template is reported where its mandatory phrase stands word for word at such a start.
 
 Words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing A-Z.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ._common import ref, stored, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANCHORS = 3
+RARE, AGREE = 0.5, 2
 #: Phrases that are always reported, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -33,7 +33,7 @@ class Notice:
     mandatory: str
 
 
-#: The sentences by which licences are commonly declared, as words, and the part that must be there.
+#: The sentences by which licences are commonly declared, and whole licence texts, as words, and the part that must be there.
 NOTICES = (
     Notice("mit", "released under the mit license", "under the mit license"),
     Notice("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge to any person"),
@@ -48,6 +48,56 @@ NOTICES = (
     Notice("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software released into the public domain"),
     Notice("cc-by-nc", "licensed under cc by nc 4 0", "cc by nc"),
     Notice("cc-by-sa", "licensed under cc by sa 4 0", "cc by sa"),
+    Notice(
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction "
+        "including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished "
+        "to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software "
+        "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement "
+        "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection "
+        "with the software or the use or other dealings in the software",
+        "shall be included in all copies or substantial portions of the software",
+    ),
+    Notice(
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies "
+        "the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness "
+        "in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits",
+        "provided that the above copyright notice and this permission notice appear in all copies",
+    ),
+    Notice(
+        "bsd",
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met "
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer "
+        "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+        "are permitted provided that the following conditions are met",
+    ),
+    Notice(
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software "
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+        "permission is granted to anyone to use this software for any purpose",
+    ),
+    Notice(
+        "apache-2",
+        "you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0 "
+        "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied "
+        "see the license for the specific language governing permissions and limitations under the license",
+        "unless required by applicable law or agreed to in writing",
+    ),
+    Notice(
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation "
+        "either version 3 of the license or at your option any later version this program is distributed in the hope that it will be useful but without any warranty "
+        "without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details",
+        "gnu general public license as published by the free software foundation",
+    ),
+    Notice(
+        "unlicense",
+        "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software "
+        "either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
+        "anyone is free to copy modify publish use compile sell or distribute this software",
+    ),
 )
 
 
@@ -75,39 +125,37 @@ def _literals(values) -> Column:
 
 
 def word_weights(docs: DataFrame, text_col: str) -> dict[str, float]:
-    """ln(1 + documents / (1 + documents with the word)) of every notice word, over all documents."""
+    """ln(1 + documents / (1 + documents with the word)) of every template word, over all documents."""
     vocabulary = sorted({w for n in NOTICES for w in n.text.split()})
-    found = docs.select(F.explode(F.array_intersect(F.split(_words(ref(text_col)), " "), _literals(vocabulary))).alias("word"))
-    df = dict(found.groupBy("word").count().collect())  # a row for each notice word at most
+    found = docs.select(F.explode(F.array_intersect(_literals(vocabulary), F.split(_words(ref(text_col)), " "))).alias("word"))
+    df = dict(found.groupBy("word").count().collect())  # a row for each template word at most
     rows = docs.count()
     return {w: math.log(1 + rows / (1 + df.get(w, 0))) for w in vocabulary}
 
 
-def _postings(weights: dict[str, float]) -> tuple[list[tuple], list[tuple[list[str], int]]]:
-    """(word, notice, position, anchor, mandatory, weight share) rows; the anchors of each notice and how many must agree."""
-    rows, anchors = [], []
+def _index(weights: dict[str, float]) -> list[tuple]:
+    """(word, notice, place, mandatory, weight share) of every word of every template."""
+    rows = []
     for i, n in enumerate(NOTICES):
         words, must = n.text.split(), n.mandatory.split()
         at = next(p for p in range(len(words)) if words[p : p + len(must)] == must)
-        places = [p for p, w in enumerate(words) if words.count(w) == 1] or list(range(len(words)))
-        rare = sorted(places, key=lambda p: (-weights[words[p]], p))[:ANCHORS]
-        used = sorted({*rare, *range(at, at + len(must))})
-        total = sum(weights[words[p]] for p in used) or 1.0  # without documents nothing weighs
-        rows += [(words[p], i, p, int(p in rare), int(at <= p < at + len(must)), weights[words[p]] / total) for p in used]
-        anchors.append(([words[p] for p in rare], min(2, len(rare))))
-    return rows, anchors
+        total = sum(weights[w] for w in words) or 1.0  # without documents nothing weighs
+        rows += [(w, i, p, int(at <= p < at + len(must)), weights[w] / total) for p, w in enumerate(words)]
+    return rows
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``score`` is the largest share, by weight, of a notice's indexed words at a verified place; 0
-    without one. Null texts are empty: no words, no labels (empty strings), null first and last word.
-    Rows with null or equal ids stay rows of their own.
+    ``score`` is the largest share, by weight, of a template's words that stand at their places around a
+    verified phrase; 0 without one. Null texts are empty: no words, no labels (empty strings), null
+    first and last word. Rows with null or equal ids stay rows of their own.
     """
     spark = docs.sparkSession
-    rows, anchors = _postings(word_weights(docs, text_col))
-    indexed = sorted({r[0] for r in rows})
+    weights = word_weights(docs, text_col)
+    ranked = sorted(weights, key=lambda w: (-weights[w], w))  # rarest first
+    # for each word: how many words are at least RARE times as rare
+    within = [sum(weights[x] >= RARE * weights[w] for x in ranked) for w in ranked]
     scan = docs.select(ref(id_col).alias("doc_id"), _words(ref(text_col)).alias("w"))
     w = F.col("w")
     padded = [(f" {phrase} ", len(phrase.split()), label) for phrase, label in BASE]
@@ -116,25 +164,26 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = [F.when(F.contains(w, F.lit(p)), _count_words(F.substring_index(w, p, 1))) for p, _, _ in padded]
     last = [F.when(F.contains(w, F.lit(p)), n_words - _count_words(F.substring_index(w, p, -1)) - k) for p, k, _ in padded]
     labels = F.array_compact(F.array(*(F.when(F.contains(w, F.lit(p)), F.lit(label)) for p, _, label in padded)))
-    own = F.array_intersect(F.split(F.trim(w), " "), _literals(sorted({a for words, _ in anchors for a in words})))
+    own = F.array_intersect(_literals(ranked), F.split(F.trim(w), " "))  # rarest first
     scan = scan.select(
         "doc_id", "w", n_words.alias("n_words"), sum(places[1:], places[0]).alias("n_base"), F.least(*first).alias("first_word"),
         F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), own.alias("own"),
     )
+    reach = F.get(_literals(within), F.array_position(_literals(ranked), F.get("own", F.lit(0))).cast("int") - 1)
+    scan = scan.withColumn("rare", F.when(F.size("own") >= AGREE, F.array_intersect(F.slice(_literals(ranked), F.lit(1), reach), F.col("own"))))
     likely = F.lit(False)
-    for words, least in anchors:
-        likely = likely | (F.size(F.array_intersect(F.col("own"), _literals(words))) >= least)
-    positions = F.filter(F.transform(F.split(F.trim(w), " "), lambda x, i: F.struct(x.alias("word"), i.alias("at"))), lambda s: F.array_contains(_literals(indexed), s["word"]))
-    hits = F.when(likely, positions)
+    for n in NOTICES:
+        likely = likely | (F.size(F.array_intersect(F.col("rare"), _literals(sorted(set(n.text.split()))))) >= AGREE)
+    words = F.transform(F.split(F.trim(w), " "), lambda x, i: F.struct(x.alias("word"), i.alias("at"), F.array_contains("rare", x).cast("int").alias("rare")))
+    hits = F.when(likely, F.filter(words, lambda s: F.array_contains("own", s["word"])))
     # stored without the texts: a few numbers a document, and word places of likely ones
     kept = stored(scan.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "n_base", "first_word", "last_word", "base", hits.alias("hits")), "license-hits")
-    index = spark.createDataFrame(rows, "word string, notice int, place int, anchor int, mandatory int, share double")  # a few dozen rows
+    index = spark.createDataFrame(_index(weights), "word string, notice int, place int, mandatory int, share double")  # as many rows as the templates have words
     found = kept.where(F.col("hits").isNotNull()).select("uid", F.inline("hits"))
     starts = found.join(F.broadcast(index), "word").groupBy("uid", "notice", (F.col("at") - F.col("place")).alias("start"))
-    starts = starts.agg(F.sum("anchor").alias("anchors"), F.sum("mandatory").alias("mandatory"), F.sum("share").alias("share"))
-    needs = [(i, len(n.mandatory.split()), anchors[i][1], n.label) for i, n in enumerate(NOTICES)]
-    needs = spark.createDataFrame(needs, "notice int, need int, least int, label string")
-    verified = starts.join(F.broadcast(needs), "notice").where((F.col("mandatory") == F.col("need")) & (F.col("anchors") >= F.col("least")))
+    starts = starts.agg(F.sum("rare").alias("agreeing"), F.sum("mandatory").alias("mandatory"), F.sum("share").alias("share"))
+    needs = spark.createDataFrame([(i, len(n.mandatory.split()), n.label) for i, n in enumerate(NOTICES)], "notice int, need int, label string")
+    verified = starts.join(F.broadcast(needs), "notice").where((F.col("mandatory") == F.col("need")) & (F.col("agreeing") >= AGREE))
     # rounded: the sum of shares comes in any order
     per_doc = verified.groupBy("uid").agg(F.collect_set("label").alias("more"), F.round(F.max("share"), 9).alias("score"))
     joined = kept.drop("hits").join(per_doc, "uid", "left")

@@ -100,7 +100,9 @@ class Ordinal:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Ordinal | None:
     """The model from the labels of at most ``sample`` documents, chosen by a hash of their ids; None without labels.
 
-    ``labels``: doc_id, quality (0 or 1) and toxic (0 or 1; null counts as 0). Rows without a quality don't count.
+    ``labels``: doc_id, quality (0 or 1) and toxic (0 or 1; null counts as 0). Rows without a quality don't
+    count; of several labels of an id the lowest grade does, of several documents the one whose text has
+    the smallest hash.
     """
     grade = F.when(F.col("quality") > 0, GRADES - 1 - F.when(F.coalesce("toxic", F.lit(0)) > 0, 1).otherwise(0)).otherwise(0)
     rated = labels.where("quality is not null and doc_id is not null").groupBy("doc_id").agg(F.min(grade).alias("grade"))
@@ -111,12 +113,14 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [features(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())], names=["doc_id", "grade", "at", "value"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("grade"), b.column("hash"), pa.array([f[0].astype("<i4").tobytes() for f in found], pa.binary()), pa.array([f[1].astype("<f4").tobytes() for f in found], pa.binary())], names=["doc_id", "grade", "hash", "at", "value"])
 
-    rows = map_arrow(texts, run, "doc_id long, grade int, at binary, value binary").toArrow().to_pydict()
+    every = map_arrow(texts.withColumn("hash", F.xxhash64("text")), run, "doc_id long, grade int, hash long, at binary, value binary")
+    # one row a document, so `sample` rows at most, come to the driver
+    rows = every.groupBy("doc_id").agg(F.min_by(F.struct("grade", "at", "value"), F.struct("hash", "at")).alias("r")).select("doc_id", "r.*").toArrow().to_pydict()
     if not rows["grade"]:
         return None
-    order = sorted(range(len(rows["grade"])), key=lambda i: (rows["doc_id"][i], rows["at"][i]))[: 2 * sample]
+    order = sorted(range(len(rows["grade"])), key=lambda i: rows["doc_id"][i])
     return Ordinal.fit([(np.frombuffer(rows["at"][i], "<i4").astype(np.int64), np.frombuffer(rows["value"][i], "<f4").astype(float)) for i in order], np.array([rows["grade"][i] for i in order]))
 
 

@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -127,6 +128,43 @@ def test_quality_held_out(spark, sf, table, odd):
     assert quality.fit(docs, labels.limit(0)) is None
 
 
+def test_repeated_and_missing_labels(table):
+    docs = table([(1, "good text", 0), (1, "another good text", 0), (2, "bad!!! $$$", 0), (None, "x", 0), (3, None, 0)], "doc_id long, text string, grade int").withColumn("hash", F.lit(1))
+    labels = table([(1, 1, 0), (1, 1, 0), (2, 0, None), (3, None, 1), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    got = {r.doc_id: r for r in quality.grades(docs, model).collect()}
+    assert got[1].expected_grade > got[2].expected_grade and len(got) == 4
+    assert quality.grades(docs.limit(0), model).count() == 0 and quality.accepted(docs, model).columns == docs.columns
+    # expected grade and tails, recomputed from the weights
+    at, value = quality.features("good text")
+    score = (model.weights[at] * value).sum()
+    tails = [1 - 1 / (1 + math.exp(-(t - score))) for t in model.thresholds]
+    row = [r for r in quality.grades(table([(9, "good text")]), model).collect()][0]
+    assert abs(row.expected_grade - sum(tails)) < 1e-9 and abs(row.p_at_least_1 - tails[0]) < 1e-9 and row.accepted == (tails[0] >= 0.5)
+
+
+def test_network_equals_plain_loops():
+    r = np.random.RandomState(5)
+    data = [bytes(r.randint(65, 90, r.randint(1, 600)).tolist()) for _ in range(6)]
+    rows = np.concatenate([langid.windows(d)[0] for d in data])
+    net = langid.ByteNetwork.train(rows, np.arange(len(rows)) % 2, ["a", "b"])
+    got = net.probabilities(rows)
+    width = max(langid.WIDTHS)
+    for row, p in zip(rows, got):
+        x = net.embedding[row]
+        pooled = np.full(net.filters.shape[1], -np.inf)
+        for place in range(langid.WINDOW - width + 1):
+            pooled = np.maximum(pooled, x[place : place + width].ravel() @ net.filters + net.bias)
+        z = np.maximum(pooled, 0) @ net.output + net.output_bias
+        e = np.exp(z - z.max())
+        assert np.allclose(p, e / e.sum(), atol=1e-4)
+
+
+def test_no_documents_to_learn_from(table):
+    none = table([(1, "x", "en")], "doc_id long, text string, lang string").limit(0)
+    assert langid.train(none) is None and langid.predict(none, None).count() == 0
+
+
 def test_language_held_out(spark, sf, table, odd):
     got = QUERIES["op3_language_id"](spark, sf.replace("0.001", "0.01"))
     docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "lang")

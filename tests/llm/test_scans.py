@@ -1,3 +1,4 @@
+import math
 import re
 
 import pytest
@@ -184,6 +185,55 @@ def test_notices_need_position_and_phrase(table):
     assert licenses.license_scan(docs.limit(0)).count() == 0
 
 
+def plain_labels(rows):
+    """{id: (labels, score)} by the method on plain lists."""
+    texts = {i: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for i, t in rows}
+    vocabulary = {w for n in licenses.NOTICES for w in n.text.split()}
+    idf = {w: math.log(1 + len(rows) / (1 + sum(w in t for t in texts.values()))) for w in vocabulary}
+    out = {}
+    for i, t in rows:
+        words, labels, score = texts[i], set(plain_licenses(t)[-1].split(",")) - {""}, 0.0
+        own = vocabulary & set(words)
+        rare = {w for w in own if idf[w] >= licenses.RARE * max(idf[x] for x in own)}
+        for n in licenses.NOTICES:
+            tw, must = n.text.split(), n.mandatory.split()
+            k = n.text[: n.text.index(n.mandatory)].count(" ")
+            for start in range(-len(tw), len(words)):
+                met = [p for p in range(len(tw)) if 0 <= start + p < len(words) and words[start + p] == tw[p]]
+                if sum(tw[p] in rare for p in met) >= licenses.AGREE and set(range(k, k + len(must))) <= set(met):
+                    labels.add(n.label)
+                    score = max(score, sum(idf[tw[p]] for p in met) / sum(idf[w] for w in tw))
+        out[i] = (",".join(sorted(labels)), score)
+    return out
+
+
+def test_labels_equal_a_plain_version(table):
+    import random
+
+    r, rows = random.Random(6), list(enumerate(LICENSED))
+    for i in range(100, 160):
+        words = r.choice(licenses.NOTICES).text.split()
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(len(words))] = r.choice(["the", "x", "license"])
+        cut = r.randrange(len(words)) if r.random() < 0.4 else 0
+        rows.append((i, " ".join(r.choices(["the", "lorem", "software", "é", "copy"], k=r.randint(0, 9)) + words[cut:]) + r.choice(["", ". Under the MIT license", " gnu affero"])))
+    got = {x.doc_id: (x.labels, x.score) for x in licenses.license_scan(table(rows)).collect()}
+    want = plain_labels(rows)
+    assert {i: x[0] for i, x in got.items()} == {i: x[0] for i, x in want.items()} and all(abs(got[i][1] - want[i][1]) < 1e-6 for i in want)
+    assert sum(x[0] != "" for x in want.values()) > 40
+
+
+def test_clashing_columns(spark, tmp_path):
+    rows = [(1, "under the MIT license a@b.co", 5, 6, 7, 8)]
+    path = str(tmp_path / "clash")
+    spark.createDataFrame(rows, "doc_id long, text string, uid int, key int, w int, hits int").write.parquet(path)
+    docs = spark.read.parquet(path)
+    assert licenses.license_scan(docs).first().labels == "mit"
+    assert [tuple(s) for s in pii.pii_spans(docs).first().base] == [(22, 0, 28)]
+    out = pii.redact(docs)
+    assert out.columns == docs.columns and out.first().text == "under the MIT license [EMAIL]"
+
+
 def test_weights_count_all_documents(table):
     docs = table([(i, "the license" if i % 2 else "gnu") for i in range(10)])
     w = licenses.word_weights(docs, "text")
