@@ -22,8 +22,8 @@ BITS = 18
 SAMPLE = 10_000  # labelled rows fitted on, at most
 GRADES = 3  # 0: poor, 1: sound but toxic, 2: sound
 STEPS, RATE, PENALTY = 150, 0.5, 1e-5
-KNOWN_TOKENS = 500_000
-_known: dict[str, tuple[int, int]] = {}
+KNOWN_TOKENS = 200_000
+_known: dict[str, int] = {}
 
 
 def _shape(token: str) -> str:
@@ -45,8 +45,9 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not counts:
         return np.zeros(0, np.int64), np.zeros(0)
     for t in [t for t in counts if t not in _known]:
-        _known[t] = (xxhash.xxh32_intdigest("w" + t.lower()) >> 32 - BITS, xxhash.xxh32_intdigest("s" + _shape(t)) >> 32 - BITS)
-    ids = np.array([_known[t] for t in counts], np.int64).ravel("F")
+        _known[t] = (xxhash.xxh32_intdigest("w" + t.lower()) >> 32 - BITS) << BITS | xxhash.xxh32_intdigest("s" + _shape(t)) >> 32 - BITS
+    both = np.fromiter(map(_known.__getitem__, counts), np.int64, len(counts))
+    ids = np.concatenate([both >> BITS, both & (1 << BITS) - 1])
     n = np.fromiter(counts.values(), np.float64, len(counts))
     if len(_known) > KNOWN_TOKENS:
         _known.clear()

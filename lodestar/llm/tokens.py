@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from ._common import map_arrow, ref, shared_path, sole_cache, table
 
 BYTE_BPE = "byte_bpe_50k.json"
-CACHED_CHUNKS = 500_000  # words remembered by one Python worker
+CACHED_CHUNKS = 400_000  # words remembered by one Python worker
 GROUP_CHARS = 1_000_000  # characters encoded at a time
 ROWS_A_FILE = 20_000  # documents of one set of files, about
 
@@ -117,7 +117,7 @@ class ChunkEncoder(ChunkCache):
         found = self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)
         for i, e in zip(rest, found):
             out[i] = array(self.code, e.ids).tobytes()
-        if len(self.pieces) > CACHED_CHUNKS:
+        if len(self.pieces) > CACHED_CHUNKS // 2:
             self.pieces = {}
         return out
 
