@@ -71,7 +71,7 @@ def titles_with(products: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
     return products.where(hit).select("product_id")
 
 
-def _kept(df: DataFrame, name: str) -> DataFrame:
+def kept(df: DataFrame, name: str) -> DataFrame:
     """Written to the folder that the session names for checkpoints; checkpointed in memory of the plan only where none is named."""
     base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -83,14 +83,14 @@ def _kept(df: DataFrame, name: str) -> DataFrame:
 
 def groups_of(pairs: DataFrame) -> DataFrame:
     """(node, label): connected components of (a, b) text pairs, each named by its smallest member."""
-    both = _kept(pairs.union(pairs.select("b", "a")).distinct(), "pairs")
-    labels = _kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
+    both = kept(pairs.union(pairs.select("b", "a")).distinct(), "pairs")
+    labels = kept(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        step = _kept(step, "labels")
+        step = kept(step, "labels")
         own = step.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = _kept(step.join(own, "label").select("node", "old", F.col("next").alias("label")), "labels")
+        new = kept(step.join(own, "label").select("node", "old", F.col("next").alias("label")), "labels")
         labels = new.select("node", "label")
         if not new.where("label <> old").limit(1).count():
             return labels

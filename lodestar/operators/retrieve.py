@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import cap_heaviest, idf_weight, is_generic
 from ..functions.text import collapse, normalize, normalize_sku, phrase_match, tokenize
-from .lexicon import token_df
+from .lexicon import kept, token_df
 
 LEVELS = {"title": 1, "tags": 2, "brand": 3, "category": 4, "specs": 5, "description": 0}
 #: Score of a token at each level; the level order isn't the order of the weights.
@@ -23,10 +23,15 @@ COLLAPSE_LEAST, COLLAPSE_MOST, SOFT_SHARE, SOFT_FACTOR = 5, 64, 0.5, 0.5
 
 
 def postings(products: DataFrame, fields: tuple[str, ...] = tuple(LEVELS)) -> DataFrame:
-    """(token, key, product_id, level): every distinct token of each field."""
-    columns = F.array(*(F.struct(F.lit(LEVELS[f]).alias("level"), F.array_distinct(tokenize(normalize(f))).alias("tokens")) for f in fields))
-    each = products.select("product_id", F.inline(columns))
-    return each.select(F.explode("tokens").alias("token"), "product_id", "level").withColumn("key", F.substring("token", 1, SHORT))
+    """(token, product_id, level): every distinct token of a product once, at its best level."""
+    seen, parts = None, []
+    for f in sorted(fields, key=lambda f: LEVELS[f] or len(LEVELS)):
+        tokens = tokenize(normalize(f))
+        mine = F.array_distinct(tokens) if seen is None else F.array_except(tokens, seen)
+        parts.append(F.struct(F.lit(LEVELS[f]).alias("level"), mine.alias("tokens")))
+        seen = tokens if seen is None else F.concat(seen, tokens)
+    each = products.select("product_id", F.inline(F.array(*parts)))
+    return each.select(F.explode("tokens").alias("token"), "product_id", "level")
 
 
 def profile(queries: DataFrame, products: DataFrame, ratio: float = 0.15) -> DataFrame:
@@ -52,14 +57,18 @@ def profile(queries: DataFrame, products: DataFrame, ratio: float = 0.15) -> Dat
 def levels(tokens: DataFrame, index: DataFrame, whole_words: int = 0) -> DataFrame:
     """The columns of ``tokens`` with product_id and level for every product that holds the token.
 
-    Prefixes meet their words through the first three characters, an equality. Tokens of up to
-    ``whole_words`` characters match whole words only.
+    Prefixes are resolved on the words themselves, each once, through their first three characters; what
+    they stand for then meets the postings by whole words. Tokens of up to ``whole_words`` characters
+    match whole words only.
     """
-    t = tokens.withColumn("key", F.substring("token", 1, SHORT)).withColumnRenamed("token", "asked")
-    prefix = F.when(F.col("short"), (F.col("token") == F.col("asked")) & F.col("level").isin(1, 2)).otherwise(F.when(F.length("asked") <= whole_words, F.col("token") == F.col("asked")).otherwise(F.startswith("token", "asked")))
-    met = t.join(index, "key").where(prefix)
-    best = F.coalesce(F.min(F.when(F.col("level") > 0, F.col("level"))), F.lit(0)).alias("level")
-    return met.groupBy("query_id", "at", F.col("asked").alias("token"), "required", "weight", "total", "needed", "product_id").agg(best)
+    asked = tokens.select(F.col("token").alias("asked"), "short").distinct().withColumn("key", F.substring("asked", 1, SHORT))
+    words = index.select("token").distinct().withColumn("key", F.substring("token", 1, SHORT))
+    whole = F.col("short") | (F.length("asked") <= whole_words)
+    meant = asked.join(words, "key").where(F.when(whole, F.col("token") == F.col("asked")).otherwise(F.startswith("token", "asked"))).select("asked", "short", "token")
+    met = meant.join(index, "token").where(~F.col("short") | F.col("level").isin(1, 2))
+    # of the words that a prefix stands for the best one counts, before queries multiply it
+    met = met.groupBy("asked", "product_id").agg(F.coalesce(F.min(F.when(F.col("level") > 0, F.col("level"))), F.lit(0)).alias("level"))
+    return tokens.join(met.withColumnRenamed("asked", "token"), "token").drop("short")
 
 
 def scored(found: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
@@ -91,10 +100,11 @@ def ranked(hits: DataFrame, limit: int = 20) -> DataFrame:
 
 
 class Index:
-    """A catalog's postings with the profile rule for its queries."""
+    """A catalog's postings with the profile rule for its queries; both are made once."""
 
     def __init__(self, products: DataFrame, ratio: float = 0.15):
-        self.products, self.ratio, self.postings = products, ratio, postings(products)
+        names = products.select("product_id", "title", "tags", "brand", "category", "sku", "popularity", "stock")
+        self.products, self.ratio, self.postings = kept(names, "products"), ratio, kept(postings(products), "postings")
 
     def strict(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Products that hold every required token somewhere."""
