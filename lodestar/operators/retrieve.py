@@ -7,6 +7,8 @@ tags, brand, category, specs in this order; 0 is the description alone.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,11 +102,19 @@ def ranked(hits: DataFrame, limit: int = 20) -> DataFrame:
 
 
 class Index:
-    """A catalog's postings with the profile rule for its queries; both are made once."""
+    """A catalog's postings with the profile rule for its queries; both are made once, when first needed."""
 
     def __init__(self, products: DataFrame, ratio: float = 0.15):
-        names = products.select("product_id", "title", "tags", "brand", "category", "sku", "popularity", "stock")
-        self.products, self.ratio, self.postings = kept(names, "products"), ratio, kept(postings(products), "postings")
+        self.source, self.ratio = products, ratio
+
+    @cached_property
+    def products(self) -> DataFrame:
+        return kept(self.source.select("product_id", "title", "tags", "brand", "category", "popularity", "stock"), "products")
+
+    @cached_property
+    def postings(self) -> DataFrame:
+        # normalizing is what takes time here: rows are dealt evenly before it
+        return kept(postings(self.source.repartition("product_id")), "postings")
 
     def strict(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Products that hold every required token somewhere."""
@@ -118,10 +128,7 @@ class Index:
 
     def soft_and(self, queries: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:
         """For queries of two or more required tokens with fewer than ``enough`` full hits: products with half of them, at half the score."""
-        hits = scored(levels(profile(queries, self.products, self.ratio), self.postings), queries, self.products).where("needed >= 2")
-        full = F.count_if(F.col("held") == F.col("needed")).over(Window.partitionBy("query_id"))
-        some = hits.withColumn("full", full).where((F.col("full") < min(enough, limit)) & (F.col("held") < F.col("needed")) & (F.col("held") >= F.ceil(F.col("needed") * SOFT_SHARE)))
-        return ranked(some.drop("full").withColumn("score", F.round(F.col("score") * SOFT_FACTOR, 6)), limit)
+        return soft_hits(scored(levels(profile(queries, self.products, self.ratio), self.postings), queries, self.products), limit, enough)
 
     def structured(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """All required tokens in fields other than the description."""
@@ -137,7 +144,7 @@ class Index:
     def sku(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Codes equal to the query's, or that it is the start of if it has four characters and a digit."""
         asked = queries.select("query_id", normalize_sku("raw_q").alias("code")).where("code <> ''").withColumn("key", F.substring("code", 1, SKU_PREFIX_LENGTH))
-        codes = self.products.select("product_id", "popularity", normalize_sku("sku").alias("sku")).withColumn("key", F.substring("sku", 1, SKU_PREFIX_LENGTH))
+        codes = self.source.select("product_id", "popularity", normalize_sku("sku").alias("sku")).withColumn("key", F.substring("sku", 1, SKU_PREFIX_LENGTH))
         prefix = (F.length("code") >= SKU_PREFIX_LENGTH) & F.col("code").rlike(r"\p{N}")
         hits = asked.join(codes, "key").where((F.col("sku") == F.col("code")) | (prefix & F.startswith("sku", "code"))).withColumn("exact", F.col("sku") == F.col("code"))
         w = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.length("sku"), F.desc("popularity"), "product_id")
@@ -155,7 +162,7 @@ class Index:
         fields = F.array(*(F.struct(F.lit(c).alias("field"), tokenize(normalize(c)).alias("words")) for c in ("title", "tags", "brand")))
         rests = F.transform(F.sequence(F.lit(1), F.size("name")), lambda i: F.array_join(F.slice("name", i, F.size("name")), ""))
         text = F.concat_ws("\n", *(normalize(c) for c in ("title", "tags", "brand")))
-        rows = self.products.select("product_id", "popularity", text.alias("text"), F.inline(fields)).withColumnRenamed("words", "name").where(F.size("name") > 0)
+        rows = self.source.select("product_id", "popularity", text.alias("text"), F.inline(fields)).withColumnRenamed("words", "name").where(F.size("name") > 0)
         rows = rows.withColumn("rest", F.explode(rests)).withColumn("key", F.substring("rest", 1, SHORT))
         met = asked.withColumn("key", F.substring("c", 1, SHORT)).join(rows, "key").where(F.startswith("rest", "c") & ((F.col("words") > 1) | ~F.contains("text", F.col("c"))))
         hits = met.groupBy("query_id", "product_id", "popularity").agg(F.bool_or(F.col("field") == "title").alias("title_match"))
@@ -163,6 +170,13 @@ class Index:
         return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "product_id", "rank", F.lit(COLLAPSE_SCORE).alias("score"), "title_match")
 
 
+def soft_hits(hits: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:
+    """Of scored hits those with half of two or more required tokens, at half the score, for queries with fewer than ``enough`` full ones."""
+    full = F.count_if(F.col("held") == F.col("needed")).over(Window.partitionBy("query_id"))
+    some = hits.where("needed >= 2").withColumn("full", full).where((F.col("full") < min(enough, limit)) & (F.col("held") < F.col("needed")) & (F.col("held") >= F.ceil(F.col("needed") * SOFT_SHARE)))
+    return ranked(some.drop("full").withColumn("score", F.round(F.col("score") * SOFT_FACTOR, 7)), limit)
+
+
 def merge_best(hits: DataFrame, limit: int = 20) -> DataFrame:
     """One hit for each query and product: whole before partial, then coverage, title, fields, score; ties as first seen (``seq``)."""
     order = [F.asc("partial"), F.desc("coverage"), F.desc("title_match"), F.desc(F.col("spec_match") & ~F.col("title_match")), F.desc("score"), F.asc("seq")]

@@ -5,22 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, unit
 from ..functions.text import normalize, tokenize
 
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT, SOLID_COSINE, LEAST_RELEVANCE = 0.4, 0.6, 0.4, 0.45
 STOCK, POPULARITY, BRAND, CATEGORY, TAG, TAG_WORDS = 0.1, 0.1, 0.15, 0.1, 0.1, 2
 LIFT, DEMOTE, TAIL = 0.15, 0.10, 40
-QUERIES_AT_ONCE = 1024
-
-
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.4) -> DataFrame:
-    """(query_id, id, score, rank): the ``k`` most similar vectors with at least ``least``; ties to the smaller id.
-
-    Expressions only: a stated query set against all rows. See ``top_k_blocks`` for large ones.
-    """
-    met = vectors.select("id", unit(F.col("embedding")).alias("v")).join(queries.select("query_id", unit(F.col("embedding")).alias("q")))
-    return _best(met.select("query_id", "id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")), k, least)
+QUERIES_AT_ONCE, VECTORS_AT_ONCE = 1024, 16_384
 
 
 def _best(rows: DataFrame, k: int, least: float) -> DataFrame:
@@ -28,20 +18,24 @@ def _best(rows: DataFrame, k: int, least: float) -> DataFrame:
     return rows.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k_blocks(queries: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.4) -> DataFrame:
-    """As ``top_k``, by matrix products: blocks of queries meet partitions of vectors, and each pair returns its own best ``k``."""
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.4) -> DataFrame:
+    """(query_id, id, score, rank): the ``k`` most similar vectors with at least ``least``; ties to the smaller id.
+
+    A stated query set against all rows, by matrix products: blocks of queries meet parts of the vectors,
+    both of bounded size, and each pair returns its own best ``k``.
+    """
     import numpy as np
     import pyarrow as pa
 
-    parts = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, -(-vectors.count() // VECTORS_AT_ONCE))
     blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
     v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    q = queries.select("query_id", "embedding", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    q = queries.select("query_id", F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out: tuple[list, list, list] = ([], [], [])
         if left.num_rows and right.num_rows:
-            a, b = (np.array(t.column("embedding").combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t in (left, right))
+            a, b = (np.array(t.column(c).combine_chunks().flatten(), float).reshape(t.num_rows, -1) for t, c in ((left, "embedding"), (right, "asked")))
             a, b = (m / np.where((n := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, n) for m in (a, b))
             ids, scores = left.column("id").to_numpy(), np.round(b @ a.T, 6)
             for i, query in enumerate(right.column("query_id").to_pylist()):
@@ -94,10 +88,10 @@ def boosted(blended: DataFrame, products: DataFrame, queries: DataFrame) -> Data
     rows = blended.join(products.select("product_id", "stock", "popularity", "brand", "category", "tags"), "product_id").join(queries.select("query_id", "variants"), "query_id")
     top = F.max("popularity").over(Window.partitionBy("query_id"))
     on = lambda c, w: F.when(c, w).otherwise(0.0)
-    boosts = on(F.col("stock") > 0, STOCK) + F.when(top > 0, POPULARITY * F.col("popularity") / top).otherwise(0.0)
+    boosts = 1.0 + on(F.col("stock") > 0, STOCK) + F.when(top > 0, POPULARITY * F.col("popularity") / top).otherwise(0.0)
     boosts = boosts + on(words_in_query(F.col("brand"), F.col("variants")), BRAND) + on(words_in_query(F.col("category"), F.col("variants")), CATEGORY) + on(phrase_in_tags(F.col("tags"), F.col("variants")), TAG)
     lifted, demoted = (F.col(c) if c in blended.columns else F.lit(0) for c in ("lifted", "demoted"))
-    score = F.col("relevance") * (1.0 + boosts) * (1.0 + LIFT * lifted) * (1.0 - DEMOTE * demoted)
+    score = F.col("relevance") * boosts * (1.0 + LIFT * lifted) * (1.0 - DEMOTE * demoted)
     return rows.select("query_id", "product_id", "solid", "relevance", F.round(score, 6).alias("score"))
 
 

@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import lexicon as X
 from ..operators.retrieve import Index
+from ..operators.search import keyword_search
 from .views import view, with_views
 
 RATIO = 0.5  # the driver's catalog has few words, each in many products
@@ -51,16 +52,19 @@ prof AS (SELECT *, sum(w) OVER (PARTITION BY query_id) AS total, count(*) FILTER
 _POSTINGS = "post AS (" + " UNION ALL ".join(f"SELECT product_id, {lv} AS level, unnest(list_distinct({sql_tokens(f)})) AS word FROM pn" for f, lv in (("title", 1), ("tags", 2), ("brand", 3), ("category", 4), ("specs", 5), ("description", 0))) + ")"
 
 
-def _hits(where_level: str = "true", whole: int = 0) -> str:
+def _hits(where_level: str = "true", whole: int = 0, only: str = "true", x: str = "") -> str:
+    """CTEs m, g, h, k (with a suffix ``x``): scored hits; ``only``: a condition on query_id."""
     return f"""
-m AS (SELECT query_id, pos, generic, w, total, needed, product_id, coalesce(min(CASE WHEN level > 0 THEN level END), 0) AS lv
-      FROM prof JOIN post ON left(word, 3) = left(token, 3) AND CASE WHEN length(token) < 3 THEN word = token AND level IN (1, 2) WHEN length(token) <= {whole} THEN word = token ELSE starts_with(word, token) END
-      WHERE {where_level} GROUP BY ALL),
-g AS (SELECT query_id, product_id, total, needed, count(*) FILTER (WHERE NOT generic) AS held, count(*) FILTER (WHERE NOT generic AND lv = 1) AS title_hits, count(*) FILTER (WHERE NOT generic AND lv > 1) AS field_hits,
-             sum(w * CASE lv WHEN 1 THEN 10 WHEN 2 THEN 8 WHEN 3 THEN 7 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 0 END) AS credit, sum(CASE WHEN NOT generic AND lv = 0 THEN w ELSE 0 END) AS described
-      FROM m GROUP BY ALL HAVING count(*) FILTER (WHERE NOT generic) > 0),
-h AS (SELECT g.*, pn.popularity, needed > 1 AND regexp_matches(' ' || ntitle, '[^\\p{{L}}\\p{{N}}]' || array_to_string(toks, '[^\\p{{L}}\\p{{N}}]+')) AS phrase FROM g JOIN pn USING (product_id) JOIN qt0 USING (query_id)),
-k AS (SELECT *, round((credit + described) / total + CASE WHEN phrase THEN 5.0 ELSE 0.0 END, 6) AS score FROM h)"""
+voc{x} AS (SELECT DISTINCT word FROM post),
+mean{x} AS (SELECT token, word FROM (SELECT DISTINCT token FROM prof WHERE {only}) JOIN voc{x} ON left(word, 3) = left(token, 3) AND CASE WHEN length(token) < 3 OR length(token) <= {whole} THEN word = token ELSE starts_with(word, token) END),
+m{x} AS (SELECT query_id, pos, generic, w, total, needed, product_id, coalesce(min(CASE WHEN level > 0 THEN level END), 0) AS lv
+      FROM prof JOIN mean{x} USING (token) JOIN post USING (word) WHERE {only} AND {where_level} AND (length(token) >= 3 OR level IN (1, 2)) GROUP BY ALL),
+g{x} AS (SELECT query_id, product_id, total, needed, count(*) FILTER (WHERE NOT generic) AS held, count(*) FILTER (WHERE NOT generic AND lv = 1) AS title_hits, count(*) FILTER (WHERE NOT generic AND lv > 1) AS field_hits,
+             sum(w * CASE lv WHEN 1 THEN 10 WHEN 2 THEN 8 WHEN 3 THEN 7 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 0 END) AS credit, sum(CASE WHEN NOT generic AND lv = 0 THEN w ELSE 0 END) AS described, sum(CASE WHEN NOT generic OR lv > 0 THEN w ELSE 0 END) AS held_weight
+      FROM m{x} GROUP BY ALL HAVING count(*) FILTER (WHERE NOT generic) > 0),
+tt{x} AS (SELECT product_id, popularity, ' ' || array_to_string(regexp_extract_all(ntitle, '{W}'), ' ') AS words FROM pn),
+h{x} AS (SELECT g{x}.*, tt{x}.popularity, needed > 1 AND contains(words, ' ' || array_to_string(toks, ' ')) AS phrase FROM g{x} JOIN tt{x} USING (product_id) JOIN qt0 USING (query_id)),
+k{x} AS (SELECT *, round((credit + described) / total + CASE WHEN phrase THEN 5.0 ELSE 0.0 END, 6) AS score, round(least(1.0, held_weight / total), 6) AS coverage FROM h{x})"""
 
 
 _ORDER = "held DESC, (title_hits > 0) DESC, (title_hits = 0 AND field_hits > 0) DESC, score DESC, popularity DESC, product_id"
@@ -92,6 +96,15 @@ def kw_sku(spark: SparkSession, d: str) -> DataFrame:
     return index.sku(queries)
 
 
+def intents(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([("Brand", ["ECONOMY"], ["hot gear"]), ("hot gear", ["PROMO"], []), ("red", [], ["red"])], "term string, categories array<string>, tags array<string>")
+
+
+def search_keyword(spark: SparkSession, d: str) -> DataFrame:
+    index, queries = _index(spark, d)
+    return keyword_search(index, queries, intents(spark))
+
+
 def kw_collapsed(spark: SparkSession, d: str) -> DataFrame:
     index, queries = _index(spark, d)
     return index.collapsed(queries)
@@ -149,6 +162,7 @@ def agg_listagg(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     "kw_strict": _kw("strict"),
+    "search_keyword": search_keyword,
     "kw_any_terms": _kw("any_terms"),
     "kw_soft_and": _kw("soft_and"),
     "kw_structured": _kw("structured"),
@@ -156,12 +170,12 @@ QUERIES = {
     "kw_sku": kw_sku,
     "kw_collapsed": kw_collapsed,
     "txt_normalize": _docs(lambda: [T.normalize("text").alias("out")]),
-    "txt_tokenize": _docs(lambda: [F.size(T.tokenize(T.normalize("text"))).alias("n"), F.array_join(F.slice(T.tokenize(T.normalize("text")), 1, 10), "|").alias("head")]),
+    "txt_tokenize": _docs(lambda: [F.size(T.tokenize(T.normalize("text"))).alias("n"), F.md5(F.array_join(T.tokenize(T.normalize("text")), "|")).alias("tokens")]),
     "txt_collapse": _docs(lambda: [F.md5(T.collapse("text")).alias("out")]),
     "txt_cap": _docs(lambda: [T.cap("text")["text"].alias("text"), T.cap("text")["was_cut"].alias("was_cut")]),
     "txt_mask": _docs(lambda: [T.mask_digits("text").alias("out")]),
     "txt_suspicious": _docs(lambda: [T.is_suspicious("text").alias("out")]),
-    "txt_length_bucket": _docs(lambda: [T.length_bucket(F.substring("text", 1, 20)).alias("out")]),
+    "txt_length_bucket": _docs(lambda: [T.length_bucket("text").alias("out")]),
     "txt_spelling": txt_spelling,
     "math_idf": _products(math_idf),
     "date_buckets": date_buckets,
@@ -182,12 +196,12 @@ _PHRASED = f"' ' || array_to_string(list_concat({sql_tokens('title')}, {sql_toke
 _NOTWORD = r"[^\p{L}\p{N}]+"
 _RAW = {
     "txt_normalize": f"SELECT doc_id, {sql_normalize('text')} AS out FROM documents",
-    "txt_tokenize": f"SELECT doc_id, len({sql_tokens('text')}) AS n, array_to_string(({sql_tokens('text')})[1:10], '|') AS head FROM documents",
+    "txt_tokenize": f"SELECT doc_id, len({sql_tokens('text')}) AS n, md5(array_to_string({sql_tokens('text')}, '|')) AS tokens FROM documents",
     "txt_collapse": f"SELECT doc_id, md5(regexp_replace({sql_normalize('text')}, '{_NOTWORD}', '', 'g')) AS out FROM documents",
     "txt_cap": r"WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents), c AS (SELECT doc_id, trim(substring(array_to_string(w[1:8], ' '), 1, 100)) AS text, array_to_string(w, ' ') AS whole FROM w) SELECT doc_id, text, text <> whole AS was_cut FROM c",
     "txt_mask": r"WITH m AS (SELECT doc_id, regexp_replace(text, '\p{Nd}{7,}', '#', 'g') AS m FROM documents) SELECT doc_id, CASE WHEN length(m) > 80 THEN '[long query]' ELSE m END AS out FROM m",
     "txt_suspicious": r"SELECT doc_id, regexp_matches(text, '(?i)extractvalue|concat\s*\(\s*0x|union\s+(?:all\s+)?select|sleep\s*\(') OR (contains(text, '--') AND regexp_matches(text, '[''" + '"' + r"`]')) AS out FROM documents",
-    "txt_length_bucket": "SELECT doc_id, cast(least(5, 1 + length(substring(text, 1, 20)) - length(replace(substring(text, 1, 20), ' ', ''))) AS int) AS out FROM documents",
+    "txt_length_bucket": "SELECT doc_id, cast(least(5, 1 + length(text) - length(replace(text, ' ', ''))) AS int) AS out FROM documents",
     "txt_spelling": "SELECT p_partkey, p_name, s.swapped, true AS kept FROM part, LATERAL (SELECT substring(p_name, 1, i - 1) || substring(p_name, i + 1, 1) || substring(p_name, i, 1) || substring(p_name, i + 2) AS swapped FROM unnest(generate_series(1, cast(length(p_name) - 1 AS bigint))) AS u(i)) s",
     "date_buckets": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:00') AS hour, cast((dayofweek(ts) + 6) % 7 AS int) AS weekday FROM events",
     "date_jalali": """WITH d AS (SELECT DISTINCT cast(o_orderdate AS date) AS d FROM orders), e AS (SELECT d, date_diff('day', DATE '1600-03-20', d) AS n FROM d),
@@ -202,19 +216,43 @@ _RAW = {
         l AS (SELECT node, min(label) AS label FROM c GROUP BY node), g AS (SELECT label, node FROM l)
         SELECT label, string_agg(node, ',' ORDER BY node) AS members FROM g GROUP BY label HAVING count(*) > 1""",
 }
+_SKU = f"sa AS (SELECT query_id, regexp_replace({sql_canonical('raw_q')}, '{_NOTWORD}', '', 'g') AS code FROM queries_v), sb AS (SELECT product_id, popularity, regexp_replace({sql_canonical('sku')}, '{_NOTWORD}', '', 'g') AS sku FROM products_v), sk AS (SELECT query_id, product_id, sku = code AS exact, row_number() OVER (PARTITION BY query_id ORDER BY sku = code DESC, length(sku), popularity DESC, product_id) AS rank FROM sa JOIN sb ON left(sku, 4) = left(code, 4) AND (sku = code OR (length(code) >= 4 AND regexp_matches(code, '[0-9]') AND starts_with(sku, code))) WHERE code <> '' QUALIFY rank <= 20)"
+_COLLAPSED = f"""ca AS (SELECT query_id, len({sql_tokens('raw_q')}) AS words, regexp_replace({sql_normalize('raw_q')}, '{_NOTWORD}', '', 'g') AS c FROM queries_v),
+        cb AS (SELECT query_id, words, c FROM ca WHERE (length(c) >= 5 OR regexp_matches(c, '^[a-z]{{2,5}}[0-9]{{1,4}}$')) AND length(c) <= 64),
+        cp AS (SELECT product_id, popularity, {sql_normalize('title')} || chr(10) || {sql_normalize('tags')} || chr(10) || {sql_normalize('brand')} AS names, unnest([{{'f': 'title', 't': {sql_tokens('title')}}}, {{'f': 'tags', 't': {sql_tokens('tags')}}}, {{'f': 'brand', 't': {sql_tokens('brand')}}}]) AS x FROM products_v),
+        cr AS (SELECT product_id, popularity, names, x.f AS f, unnest(list_transform(range(1, len(x.t) + 1), lambda i: array_to_string(x.t[i:], ''))) AS rest FROM cp),
+        ch AS (SELECT query_id, product_id, popularity, bool_or(f = 'title') AS title_match FROM cb JOIN cr ON left(rest, 3) = left(c, 3) AND starts_with(rest, c) AND (words > 1 OR NOT contains(names, c)) GROUP BY ALL)"""
+_MERGE = "partial, coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq"
+_SOFT = "(SELECT *, count(*) FILTER (WHERE held = needed) OVER (PARTITION BY query_id) AS full_hits FROM k WHERE needed >= 2)"
+#: Keyword search as a whole: kwf(query_id, rank, product_id, match_type, score, solid).
+SEARCH = f"""{_PROFILE}, {_POSTINGS}, {_hits()}, {_SKU}, {_COLLAPSED},
+shape AS (SELECT query_id, count(*) AS words, max(needed) AS needed FROM prof GROUP BY query_id),
+fullh AS (SELECT query_id, product_id, false AS partial, coverage, title_hits > 0 AS tm, field_hits > 0 AS sm, score, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS seq FROM k WHERE held = needed QUALIFY seq <= 20),
+spaced AS (SELECT ch.query_id, product_id, title_match, row_number() OVER (PARTITION BY ch.query_id ORDER BY popularity DESC, product_id) AS r FROM ch JOIN shape ON ch.query_id = shape.query_id AND shape.needed > 0 QUALIFY r <= 20),
+whole AS (SELECT * FROM fullh UNION ALL SELECT query_id, product_id, false, 1.0::double, title_match, NOT title_match, 9.0::double, 20 + r FROM spaced WHERE (query_id, product_id) NOT IN (SELECT (query_id, product_id) FROM fullh)),
+thin AS (SELECT query_id FROM shape LEFT JOIN (SELECT query_id, count(*) AS n FROM whole GROUP BY query_id) USING (query_id) WHERE coalesce(n, 0) < 3 AND words > 1),
+soft AS (SELECT query_id, product_id, true AS partial, coverage, title_hits > 0 AS tm, field_hits > 0 AS sm, score, 40 + row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS seq
+    FROM (SELECT * REPLACE (round(score * 0.5, 7) AS score) FROM {_SOFT} WHERE full_hits < 3 AND held < needed AND held >= ceil(needed * 0.5) AND query_id IN (SELECT query_id FROM thin)) QUALIFY seq <= 60),
+one AS (SELECT * FROM (SELECT * FROM whole UNION ALL SELECT * FROM soft) QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY {_MERGE}) = 1),
+txt AS (SELECT query_id, product_id, CASE WHEN partial THEN 'partial' ELSE 'text' END AS match_type, score, row_number() OVER (PARTITION BY query_id ORDER BY {_MERGE}, product_id) AS rank FROM one QUALIFY rank <= 20),
+fnd AS (SELECT query_id, product_id, 'sku' AS match_type, CASE WHEN exact THEN 2000000.0::double ELSE 1000000.0::double END AS score, rank, 0 AS source FROM sk
+    UNION ALL SELECT *, 1 FROM txt WHERE (query_id, product_id) NOT IN (SELECT (query_id, product_id) FROM sk)),
+nothing AS (SELECT * FROM shape WHERE query_id NOT IN (SELECT query_id FROM fnd)),
+{_hits(whole=3, only="query_id IN (SELECT query_id FROM nothing WHERE words > 1 AND needed > 0)", x="2")},
+every AS (SELECT * FROM fnd
+    UNION ALL (SELECT query_id, product_id, CASE WHEN held < needed THEN 'partial' ELSE 'text' END, score, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank, 2 FROM k2 QUALIFY rank <= 20)
+    UNION ALL (SELECT n.query_id, product_id, 'intent', 0.0::double, row_number() OVER (PARTITION BY n.query_id ORDER BY stock > 0 DESC, popularity DESC, product_id) AS rank, 3
+        FROM nothing n JOIN qt0 USING (query_id), products_v WHERE n.needed = 0 AND list_contains(toks, 'brand') AND (category = 'ECONOMY' OR contains(' ' || array_to_string({sql_tokens('tags')}, ' ') || ' ', ' hot gear ')) QUALIFY rank <= 20)),
+kwf AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY source, rank) AS rank, product_id, match_type, score FROM every QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY source, rank) <= 20)"""
 SQL = dict(_RAW) | {
+    "search_keyword": with_views(f"WITH {SEARCH} SELECT * FROM kwf", "products_v", "queries_v"),
     "kw_strict": _retrieval(_top("held = needed")),
     "kw_any_terms": _retrieval(_top("true"), whole=3),
-    "kw_soft_and": _retrieval("SELECT query_id, product_id, held, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY " + _ORDER + ") AS rank FROM (SELECT * REPLACE (round(score * 0.5, 6) AS score) FROM (SELECT *, count(*) FILTER (WHERE held = needed) OVER (PARTITION BY query_id) AS full_hits FROM k WHERE needed >= 2) WHERE full_hits < 3 AND held < needed AND held >= ceil(needed * 0.5))) WHERE rank <= 20"),
+    "kw_soft_and": _retrieval("SELECT query_id, product_id, held, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY " + _ORDER + ") AS rank FROM (SELECT * REPLACE (round(score * 0.5, 7) AS score) FROM " + _SOFT + " WHERE full_hits < 3 AND held < needed AND held >= ceil(needed * 0.5))) WHERE rank <= 20"),
     "kw_structured": _retrieval(_top("held = needed"), "level > 0"),
     "kw_title_only": _retrieval(_top("held = needed", "CASE WHEN phrase THEN 15.0::double ELSE 10.0::double END"), "level = 1"),
-    "kw_sku": with_views(f"WITH a AS (SELECT query_id, regexp_replace({sql_canonical('raw_q')}, '{_NOTWORD}', '', 'g') AS code FROM queries_v), b AS (SELECT product_id, popularity, regexp_replace({sql_canonical('sku')}, '{_NOTWORD}', '', 'g') AS sku FROM products_v), h AS (SELECT query_id, product_id, sku = code AS exact, row_number() OVER (PARTITION BY query_id ORDER BY sku = code DESC, length(sku), popularity DESC, product_id) AS rank FROM a JOIN b ON sku = code OR (length(code) >= 4 AND regexp_matches(code, '[0-9]') AND starts_with(sku, code)) WHERE code <> '') SELECT query_id, product_id, rank, CASE WHEN exact THEN 2000000.0::double ELSE 1000000.0::double END AS score FROM h WHERE rank <= 20", "products_v", "queries_v"),
-    "kw_collapsed": with_views(f"""WITH a AS (SELECT query_id, len({sql_tokens('raw_q')}) AS words, regexp_replace({sql_normalize('raw_q')}, '{_NOTWORD}', '', 'g') AS c FROM queries_v),
-        b AS (SELECT query_id, words, c FROM a WHERE (length(c) >= 5 OR regexp_matches(c, '^[a-z]{{2,5}}[0-9]{{1,4}}$')) AND length(c) <= 64),
-        p AS (SELECT product_id, popularity, {sql_normalize('title')} || chr(10) || {sql_normalize('tags')} || chr(10) || {sql_normalize('brand')} AS names, unnest([{{'f': 'title', 't': {sql_tokens('title')}}}, {{'f': 'tags', 't': {sql_tokens('tags')}}}, {{'f': 'brand', 't': {sql_tokens('brand')}}}]) AS x FROM products_v),
-        r AS (SELECT product_id, popularity, names, x.f AS f, unnest(list_transform(range(1, len(x.t) + 1), lambda i: array_to_string(x.t[i:], ''))) AS rest FROM p),
-        h AS (SELECT query_id, product_id, popularity, bool_or(f = 'title') AS title_match FROM b JOIN r ON left(rest, 3) = left(c, 3) AND starts_with(rest, c) AND (words > 1 OR NOT contains(names, c)) GROUP BY ALL)
-        SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, product_id) AS rank, 9.0::double AS score, title_match FROM h QUALIFY rank <= 20""", "products_v", "queries_v"),
+    "kw_sku": with_views(f"WITH {_SKU} SELECT query_id, product_id, rank, CASE WHEN exact THEN 2000000.0::double ELSE 1000000.0::double END AS score FROM sk", "products_v", "queries_v"),
+    "kw_collapsed": with_views(f"WITH {_COLLAPSED} SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY popularity DESC, product_id) AS rank, 9.0::double AS score, title_match FROM ch QUALIFY rank <= 20", "products_v", "queries_v"),
     "math_idf": with_views(f"WITH d AS ({_DF}), n AS (SELECT count(*) AS n FROM products_v), g AS (SELECT token, df, n, NOT regexp_matches(token, '^[0-9]+$') AND df / n > 0.15 AS generic FROM d, n) SELECT token, df, generic, round(CASE WHEN generic THEN 0.1 ELSE least(1.0, greatest(0.2, ln(n / (1 + df)) / ln(n))) END, 9) AS weight FROM g", "products_v"),
     "lex_token_df": with_views(_DF, "products_v"),
     "lex_spell_dict": with_views(f"SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(list_concat(list_concat({sql_tokens('title')}, {sql_tokens('brand')}), {sql_tokens('tags')}))) AS token FROM products_v) WHERE length(token) >= 2 GROUP BY token", "products_v"),

@@ -12,7 +12,8 @@ from ..operators import lifecycle as L
 from ..operators import rewrite as R
 from ..operators import vector as V
 from ..operators.retrieve import Index, in_order, intent_hits, merge_best, profile
-from .catalog import _ORDER, _POSTINGS, _PROFILE, RATIO, _hits, sql_tokens
+from ..operators.search import hybrid_search, keyword_search, resolve_intents
+from .catalog import _ORDER, _POSTINGS, _PROFILE, RATIO, SEARCH, _hits, intents, sql_normalize, sql_tokens
 from .views import view, with_views
 
 
@@ -21,7 +22,7 @@ def _vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _asked(vectors: DataFrame) -> DataFrame:
-    return vectors.where("id < 20").select(F.col("id").alias("query_id"), "embedding")
+    return vectors.where("id % 50 = 0").select(F.col("id").alias("query_id"), "embedding")
 
 
 def vec_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -36,16 +37,26 @@ def vec_cosine_floor(spark: SparkSession, d: str) -> DataFrame:
 
 def vec_blocks(spark: SparkSession, d: str) -> DataFrame:
     v = _vectors(spark, d)
-    return V.top_k_blocks(_asked(v), v, 10, -1.0)
+    return V.top_k(_asked(v), v, 10, -1.0)
 
 
 def _kw_sem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Keyword hits and neighbours made from products: arithmetic on ids stands for both tiers."""
-    p = view(spark, d, "products_v").select("product_id").join(spark.range(1, 6).select(F.col("id").alias("query_id")))
-    x = (F.col("product_id") * 7 + F.col("query_id") * 13) % 101
-    kw = p.where(x < 30).select("query_id", "product_id", (x / 3.0).alias("score"), (x < 10).alias("solid"))
-    y = (F.col("product_id") * 11 + F.col("query_id") * 5) % 97
-    return kw, p.where(y < 40).select("query_id", "product_id", (y / 97.0).alias("cosine"))
+    """Strict hits of the queries, and as neighbours those of the vector that has the query's number."""
+    kw = Index(view(spark, d, "products_v"), RATIO).strict(view(spark, d, "queries_v"), 1000).select("query_id", "product_id", "score", (F.col("title_hits") == F.col("needed")).alias("solid"))
+    return kw, _neighbours(spark, d, view(spark, d, "queries_v"))
+
+
+def _neighbours(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
+    v = _vectors(spark, d)
+    asked = queries.select("query_id", F.col("query_id").alias("id")).join(v, "id").drop("id")
+    return V.top_k(asked, v, 100, 0.1).select("query_id", F.col("id").alias("product_id"), F.col("score").alias("cosine"))
+
+
+def search_full(spark: SparkSession, d: str) -> DataFrame:
+    """From query text to the final list: codes pinned, keyword hits and neighbours blended."""
+    index, queries = Index(view(spark, d, "products_v"), RATIO), view(spark, d, "queries_v")
+    words = keyword_search(index, queries, intents(spark)).withColumn("solid", F.col("match_type") == "text")
+    return hybrid_search(index, queries, words, _neighbours(spark, d, queries)).select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "pinned")
 
 
 def hyb_blend(spark: SparkSession, d: str) -> DataFrame:
@@ -54,7 +65,7 @@ def hyb_blend(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _boosted(spark: SparkSession, d: str) -> DataFrame:
-    queries = view(spark, d, "queries_v").where("query_id between 1 and 5").select("query_id", F.array(tokenize(normalize("raw_q"))).alias("variants"))
+    queries = view(spark, d, "queries_v").select("query_id", F.array(tokenize(normalize("raw_q"))).alias("variants"))
     return V.boosted(V.blend(*_kw_sem(spark, d)), view(spark, d, "products_v"), queries)
 
 
@@ -170,20 +181,21 @@ def ids_in_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    vec_topk, vec_cosine_floor, vec_blocks, hyb_blend, hyb_boosts, hyb_tail_cap, q_spell, q_profile, q_variants, q_phrases, q_entity_status, q_intent, q_recover, kw_merge,
+    search_full, vec_topk, vec_cosine_floor, vec_blocks, hyb_blend, hyb_boosts, hyb_tail_cap, q_spell, q_profile, q_variants, q_phrases, q_entity_status, q_intent, q_recover, kw_merge,
     eval_precision_recall, eval_ndcg_mrr, eval_compare, eval_golden_finish, life_diff, life_validate, ids_in_order,
 )}
 
-_TOPK = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id < 20) WHERE score >= {least}) WHERE rank <= {k}"
-_BLEND = """p AS (SELECT product_id, q.range AS query_id FROM products_v, range(1, 6) q),
-k AS (SELECT query_id, product_id, ((product_id * 7 + query_id * 13) % 101) / 3.0 AS score, (product_id * 7 + query_id * 13) % 101 < 10 AS solid FROM p WHERE (product_id * 7 + query_id * 13) % 101 < 30),
-s AS (SELECT query_id, product_id, ((product_id * 11 + query_id * 5) % 97) / 97.0 AS cosine FROM p WHERE (product_id * 11 + query_id * 5) % 97 < 40),
-b AS (SELECT query_id, product_id, score, cosine, coalesce(solid, false) AS solid, coalesce(max(score) OVER w, 0) AS ts, coalesce(max(cosine) OVER w, 0) AS tc FROM k FULL JOIN s USING (query_id, product_id) WINDOW w AS (PARTITION BY query_id)),
+_TOPK = "SELECT query_id, id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_dot_product(v.embedding::double[], q.embedding::double[]) / sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) / sqrt(list_dot_product(q.embedding::double[], q.embedding::double[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0) WHERE score >= {least}) WHERE rank <= {k}"
+_NEAR = "nb AS (SELECT query_id, product_id, cosine FROM (SELECT q.query_id, v.vec_id AS product_id, round(list_dot_product(v.embedding::double[], u.embedding::double[]) / sqrt(list_dot_product(v.embedding::double[], v.embedding::double[])) / sqrt(list_dot_product(u.embedding::double[], u.embedding::double[])), 6) AS cosine FROM queries_v q JOIN embeddings u ON u.vec_id = q.query_id, embeddings v) WHERE cosine >= 0.1 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, product_id) <= 100)"
+_BLEND_OF = """b AS (SELECT query_id, product_id, score, cosine, coalesce(solid, false) AS solid, coalesce(max(score) OVER w, 0) AS ts, coalesce(max(cosine) OVER w, 0) AS tc FROM kws FULL JOIN sem USING (query_id, product_id) WINDOW w AS (PARTITION BY query_id)),
 r AS (SELECT query_id, product_id, solid, 0.4 * CASE WHEN ts > 0 THEN greatest(0, coalesce(score, 0)) / ts ELSE 0 END + 0.6 * CASE WHEN tc > 0 THEN greatest(0, coalesce(cosine, CASE WHEN solid THEN least(0.4, tc) ELSE 0 END)) / tc ELSE 0 END AS relevance FROM b),
 f AS (SELECT * FROM r WHERE relevance >= 0.45 OR solid)"""
-_BOOST = f"""{_BLEND}, q AS (SELECT query_id, {sql_tokens('raw_q')} AS toks FROM queries_v),
+_SEM = "sem AS (SELECT * FROM nb)"
+_BLEND = f"{_PROFILE}, {_POSTINGS}, {_hits()}, kws AS (SELECT query_id, product_id, score, title_hits = needed AS solid FROM k WHERE held = needed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 1000), {_NEAR}, {_SEM}, {_BLEND_OF}"
+_BOOST_OF = f"""q AS (SELECT query_id, {sql_tokens('raw_q')} AS toks FROM queries_v),
 j AS (SELECT f.*, stock, popularity, {sql_tokens('brand')} AS bw, {sql_tokens('category')} AS cw, ' ' || array_to_string({sql_tokens('tags')}, ' ') || ' ' AS tw, toks, max(popularity) OVER (PARTITION BY query_id) AS top FROM f JOIN products_v USING (product_id) JOIN q USING (query_id)),
 z AS (SELECT query_id, product_id, solid, round(relevance * (1.0 + CASE WHEN stock > 0 THEN 0.1 ELSE 0 END + CASE WHEN top > 0 THEN 0.1 * popularity / top ELSE 0 END + CASE WHEN list_has_all(toks, bw) THEN 0.15 ELSE 0 END + CASE WHEN list_has_all(toks, cw) THEN 0.1 ELSE 0 END + CASE WHEN len(toks) >= 2 AND contains(tw, ' ' || array_to_string(toks, ' ') || ' ') THEN 0.1 ELSE 0 END), 6) AS score FROM j)"""
+_BOOST = f"{_BLEND}, {_BOOST_OF}"
 _DICT = f"dict AS (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(list_concat(list_concat({sql_tokens('title')}, {sql_tokens('brand')}), {sql_tokens('tags')}))) AS token FROM products_v) WHERE length(token) >= 2 GROUP BY token)"
 _W = r"[\p{L}\p{N}]+"
 _EVAL = f"""{_PROFILE}, {_POSTINGS}, {_hits('level = 1')},
@@ -195,13 +207,20 @@ a AS (SELECT query_id, (SELECT count(*) FROM rel WHERE rel.query_id = q.query_id
 b AS (SELECT res.query_id, count(*) AS hits, min(rank) AS first_rank, sum(1.0 / log2(rank + 1.0)) AS gain FROM res JOIN rel ON rel.query_id = res.query_id AND rel.product_id = res.product_id GROUP BY res.query_id),
 pq AS (SELECT query_id, returned, first_rank, CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / 10 END AS "precision", CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / nrel END AS recall,
        CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(gain, 0) / list_sum(list_transform(range(1, least(10, nrel) + 1), lambda i: 1.0 / log2(i + 1.0))) END AS ndcg FROM a LEFT JOIN b USING (query_id))"""
+_MERGED = "mk AS (SELECT query_id, product_id, false AS partial, coverage, title_hits > 0 AS tm, field_hits > 0 AS sm, score, 0 AS seq, row_number() OVER (PARTITION BY query_id ORDER BY " + _ORDER + ") AS r FROM k WHERE held = needed QUALIFY r <= 20 UNION ALL (SELECT query_id, product_id, true, coverage, title_hits > 0, field_hits > 0, score, 1, row_number() OVER (PARTITION BY query_id ORDER BY " + _ORDER + ") AS r FROM (SELECT * REPLACE (round(score * 0.5, 7) AS score) FROM (SELECT *, count(*) FILTER (WHERE held = needed) OVER (PARTITION BY query_id) AS full_hits FROM k WHERE needed >= 2) WHERE full_hits < 3 AND held < needed AND held >= ceil(needed * 0.5)) QUALIFY r <= 20))"
 SQL = {
+    "kw_merge": with_views(f"WITH {_PROFILE}, {_POSTINGS}, {_hits()}, {_MERGED}, o AS (SELECT * FROM mk QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY partial, coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq) = 1) SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY partial, coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq, product_id) AS rank FROM o QUALIFY rank <= 20", "products_v", "queries_v"),
+    "search_full": with_views(f"""WITH {SEARCH}, {_NEAR}, cat AS (SELECT product_id FROM products_v), kws AS (SELECT query_id, product_id, score, match_type = 'text' AS solid FROM kwf WHERE match_type <> 'sku'), sem AS (SELECT * FROM nb WHERE product_id IN (SELECT product_id FROM cat)), {_BLEND_OF}, {_BOOST_OF},
+        tc AS (SELECT *, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY score DESC, product_id ROWS UNBOUNDED PRECEDING) AS o FROM z),
+        fin AS (SELECT query_id, product_id, rank, NULL::double AS score, true AS pinned FROM kwf WHERE match_type = 'sku'
+            UNION ALL (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank, score, false FROM tc WHERE (solid OR o <= 40) AND (query_id, product_id) NOT IN (SELECT (query_id, product_id) FROM kwf WHERE match_type = 'sku')))
+        SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, rank) AS rank, product_id, round(score, 6) AS score, pinned FROM fin QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, rank) <= 20""", "products_v", "queries_v"),
     "eval_precision_recall": with_views(f"WITH {_EVAL} SELECT query_id, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM pq", "products_v", "queries_v"),
     "eval_ndcg_mrr": with_views(f"WITH {_EVAL} SELECT count(*) AS queries, round(avg(\"precision\"), 4) AS \"precision\", round(avg(recall), 4) AS recall, round(avg(coalesce(1.0 / first_rank, 0)), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg((first_rank IS NOT NULL)::int), 4) AS success, round(avg((returned = 0)::int), 4) AS zero_rate FROM pq", "products_v", "queries_v"),
     "vec_topk": _TOPK.format(least=-1.0, k=10),
     "vec_blocks": _TOPK.format(least=-1.0, k=10),
     "vec_cosine_floor": _TOPK.format(least=0.25, k=100),
-    "hyb_blend": with_views(f"WITH {_BLEND} SELECT query_id, product_id, solid, round(relevance, 6) AS relevance FROM f", "products_v"),
+    "hyb_blend": with_views(f"WITH {_BLEND} SELECT query_id, product_id, solid, round(relevance, 6) AS relevance FROM f", "products_v", "queries_v"),
     "hyb_boosts": with_views(f"WITH {_BOOST} SELECT query_id, product_id, score FROM z", "products_v", "queries_v"),
     "hyb_tail_cap": with_views(f"WITH {_BOOST}, t AS (SELECT *, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY score DESC, product_id ROWS UNBOUNDED PRECEDING) AS o FROM z) SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM t WHERE solid OR o <= 40", "products_v", "queries_v"),
     "q_spell": with_views(f"""WITH {_DICT}, w AS (SELECT token AS w FROM dict WHERE length(token) >= 4),

@@ -45,10 +45,10 @@ VIEWS = {
     "queries_v": """
         SELECT row_number() OVER (ORDER BY raw_q) AS query_id, raw_q FROM (
             SELECT DISTINCT p_name AS raw_q FROM {part} UNION SELECT DISTINCT p_type FROM {part}
-            UNION SELECT DISTINCT p_type || ' ' || p_name FROM {part} WHERE p_partkey < 40
-            UNION SELECT DISTINCT p_name || ' ' || p_brand FROM {part} WHERE p_partkey < 40
-            UNION SELECT DISTINCT 'sku-' || cast(p_partkey AS string) FROM {part} WHERE p_partkey < 30
-            UNION SELECT 'gizm' UNION SELECT 'wid small' UNION SELECT 'smallgizmo' UNION SELECT 'brand7' UNION SELECT 'no such thing' UNION SELECT '11')
+            UNION SELECT DISTINCT p_type || ' ' || p_name FROM {part} WHERE p_partkey % 50 = 0
+            UNION SELECT DISTINCT p_name || ' ' || p_brand FROM {part} WHERE p_partkey % 50 = 0
+            UNION SELECT DISTINCT 'sku-' || cast(p_partkey AS string) FROM {part} WHERE p_partkey % 50 = 0
+            UNION SELECT 'brand' UNION SELECT 'gizm' UNION SELECT 'wid small' UNION SELECT 'smallgizmo' UNION SELECT 'brand7' UNION SELECT 'no such thing' UNION SELECT '11')
         """,
 }
 
