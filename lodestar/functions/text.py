@@ -19,7 +19,7 @@ LETTERS = {
     "ي": "ی", "ى": "ی", "ئ": "ی", "ك": "ک", "ة": "ه", "ۀ": "ه", "آ": "ا", "أ": "ا", "إ": "ا", "ٱ": "ا", "ؤ": "و",
 }
 DIGITS = {"۰۱۲۳۴۵۶۷۸۹": "0123456789", "٠١٢٣٤٥٦٧٨٩": "0123456789"}
-SPACES = "‌\t\n\x0b\x0c\r\xa0\u0085                　"
+SPACES = "‌\t\n\x0b\x0c\r\xa0                　"
 ROMAN = {"ii": "2", "iii": "3", "iv": "4", "vi": "6", "vii": "7", "viii": "8", "ix": "9"}
 #: Keys of the Latin layout and the Persian letters on them.
 KEYS = {
@@ -31,6 +31,7 @@ SUSPICIOUS = r"(?i)extractvalue|concat\s*\(\s*0x|union\s+(?:all\s+)?select|sleep
 # ----------------------------------------------------------------------------------------------------
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
+WHITE = r"\s\x1c-\x1f\x85\p{Z}"  # inside brackets
 
 
 def _text(c: Column | str) -> Column:
@@ -112,32 +113,36 @@ def strip_markup(c) -> Column:
 
 
 def clean_tags(c) -> Column:
-    """Words of a tag list without one-character ones, unless digits; a bare NULL is empty."""
-    words = F.filter(F.split(strip_markup(c), " "), lambda t: (F.length(t) > 1) | t.rlike(r"^\d+$"))
-    return F.when(F.upper(strip_markup(c)) == "NULL", "").otherwise(F.array_join(words, " "))
+    """Words of a tag list, cleaned, without one-character ones, unless digits; a bare NULL is empty."""
+    clean = clean_text(c)
+    words = F.filter(F.split(clean, " "), lambda t: (F.length(t) > 1) | t.rlike(r"^\p{Nd}+$"))
+    return F.when(F.upper(clean) == "NULL", "").otherwise(F.array_join(words, " "))
 
 
 def index_description(c, limit: int) -> Column:
-    """Cut at ``limit`` characters, back to white space if inside a word; all of it for 0 or less."""
+    """Cut at ``limit`` characters, back to white space if inside a word (one longer than that goes), without
+    white space at the end; all of it for 0 or less, or if it's no longer."""
     text = _text(c)
     if limit <= 0:
         return text
     cut = F.substring(text, 1, limit)
-    inside = ~F.substring(text, limit + 1, 1).rlike(r"\s")
-    back = F.when(inside & cut.rlike(r"\s"), F.regexp_replace(cut, r"(?<=\s)\S*$", "")).otherwise(cut)
-    return F.when(F.length(text) <= limit, text).otherwise(F.rtrim(back))
+    inside = ~F.substring(text, limit + 1, 1).rlike(f"[{WHITE}]")
+    # a line feed may follow the word that is cut away, as it goes with the white space before it
+    back = F.when(inside, F.regexp_replace(cut, rf"[^{WHITE}]+\n?\z", "")).otherwise(cut)
+    return F.when(F.length(text) <= limit, text).otherwise(F.regexp_replace(back, rf"[{WHITE}]+\z", ""))
 
 
 def attribute_pairs(c) -> Column:
-    """array<struct<name, value>> of ``name: value | name: value``; a bare value has an empty name."""
+    """array<struct<name, value>> of ``name: value | name: value``, cleaned; a bare value has an empty name."""
 
-    def one(p: Column) -> Column:
-        at = F.locate(": ", p) if isinstance(p, str) else F.instr(p, ": ")
+    def one(part: Column) -> Column:
+        p = F.concat(strip_markup(part), F.lit(" "))  # a name with an empty value is a pair
+        at = F.instr(p, ": ")
         name = F.when(at > 0, F.trim(F.substring(p, F.lit(1), at - 1))).otherwise("")
         value = F.when(at > 0, F.trim(F.substring(p, at + 2, F.length(p)))).otherwise(F.trim(p))
         return F.struct(name.alias("name"), value.alias("value"))
 
-    return F.filter(F.transform(F.split(_text(c), r" \| "), one), lambda x: x["value"] != "")
+    return F.filter(F.transform(F.split(unescape(c, 3), r" \| "), one), lambda x: x["value"] != "")
 
 
 def compose_specs(pairs: Column, titles: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions import text as T
 from ..operators import lexicon as X
+from ..operators.catalog import server_rows
 from ..operators.retrieve import Index
 from ..operators.search import keyword_search
 from .views import view, with_views
@@ -122,7 +123,7 @@ def _products(f):
 def txt_spelling(spark: SparkSession, d: str) -> DataFrame:
     """Transpositions and kept digits of catalog names."""
     rows = spark.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_name", F.explode(T.transpositions(F.col("p_name"))).alias("swapped"))
-    return rows.withColumn("kept", T.keeps_digits(F.concat("p_name", F.lit("12")), F.concat("swapped", F.lit("21"))))
+    return rows.withColumn("kept", T.keeps_digits(F.concat("p_name", F.lit("12")), F.concat("swapped", (F.col("p_partkey") % 40).cast("string"), F.lit("1"))))
 
 
 def math_idf(products: DataFrame) -> DataFrame:
@@ -141,10 +142,7 @@ def date_jalali(spark: SparkSession, d: str) -> DataFrame:
 
 
 def etl_server_rows(products: DataFrame) -> DataFrame:
-    return products.select(
-        "product_id", F.concat_ws(" ", T.normalize("title"), T.normalize_sku("sku")).alias("normalized_title"), T.normalize("tags").alias("normalized_tags"), T.normalize_sku("sku").alias("normalized_sku"),
-        T.collapsed_identity("title", "brand", "tags").alias("normalized_collapsed"), T.compose_specs(T.attribute_pairs("specs"), F.lit(None).cast("array<string>")).alias("specs"), T.index_description("description", 120).alias("description"),
-    )
+    return server_rows(products.withColumnRenamed("specs", "attributes"), 120)
 
 
 def etl_upsert(spark: SparkSession, d: str) -> DataFrame:
@@ -202,7 +200,7 @@ _RAW = {
     "txt_mask": r"WITH m AS (SELECT doc_id, regexp_replace(text, '\p{Nd}{7,}', '#', 'g') AS m FROM documents) SELECT doc_id, CASE WHEN length(m) > 80 THEN '[long query]' ELSE m END AS out FROM m",
     "txt_suspicious": r"SELECT doc_id, regexp_matches(text, '(?i)extractvalue|concat\s*\(\s*0x|union\s+(?:all\s+)?select|sleep\s*\(') OR (contains(text, '--') AND regexp_matches(text, '[''" + '"' + r"`]')) AS out FROM documents",
     "txt_length_bucket": "SELECT doc_id, cast(least(5, 1 + length(text) - length(replace(text, ' ', ''))) AS int) AS out FROM documents",
-    "txt_spelling": "SELECT p_partkey, p_name, s.swapped, true AS kept FROM part, LATERAL (SELECT substring(p_name, 1, i - 1) || substring(p_name, i + 1, 1) || substring(p_name, i, 1) || substring(p_name, i + 2) AS swapped FROM unnest(generate_series(1, cast(length(p_name) - 1 AS bigint))) AS u(i)) s",
+    "txt_spelling": "SELECT p_partkey, p_name, s.swapped, contains(cast(p_partkey % 40 AS string), '2') AS kept FROM part, LATERAL (SELECT substring(p_name, 1, i - 1) || substring(p_name, i + 1, 1) || substring(p_name, i, 1) || substring(p_name, i + 2) AS swapped FROM unnest(generate_series(1, cast(length(p_name) - 1 AS bigint))) AS u(i)) s",
     "date_buckets": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:00') AS hour, cast((dayofweek(ts) + 6) % 7 AS int) AS weekday FROM events",
     "date_jalali": """WITH d AS (SELECT DISTINCT cast(o_orderdate AS date) AS d FROM orders), e AS (SELECT d, date_diff('day', DATE '1600-03-20', d) AS n FROM d),
         c AS (SELECT d, 979 + 33 * (n // 12053) + 4 * ((n % 12053) // 1461) AS y, (n % 12053) % 1461 AS r FROM e),
@@ -259,7 +257,10 @@ SQL = dict(_RAW) | {
     "lex_facet_terms": with_views(f"WITH h AS (SELECT product_id, unnest(list_distinct({sql_tokens('specs')})) AS word FROM products_v), t AS (SELECT DISTINCT word AS term FROM h WHERE length(word) >= 3) SELECT term, count(DISTINCT product_id) AS products FROM t JOIN h ON starts_with(word, term) GROUP BY term HAVING count(DISTINCT product_id) >= 20", "products_v"),
     "lex_brand_ambiguous": with_views(f"WITH r AS (SELECT product_id, split_part(title, ' ', 2) AS brand, {_PHRASED} AS text FROM products_v), c AS (SELECT brand, count(*) AS n FROM r GROUP BY brand), o AS (SELECT c.brand, count(*) AS others FROM c JOIN r ON r.brand <> c.brand AND contains(text, ' ' || c.brand || ' ') GROUP BY c.brand) SELECT brand, n, coalesce(others, 0) AS others, coalesce(others, 0) >= greatest(5, 2 * n) AS ambiguous FROM c LEFT JOIN o USING (brand)", "products_v"),
     "lex_titles_with": with_views(f"WITH t AS (SELECT product_id, ' ' || array_to_string({sql_tokens('title')}, ' ') || ' ' AS t FROM products_v) SELECT product_id FROM t WHERE contains(t, ' old ') OR contains(t, ' hot gear ')", "products_v"),
-    "etl_server_rows": with_views(f"""WITH n AS (SELECT *, {sql_normalize('title')} AS nt, {sql_normalize('tags')} AS ng, {sql_normalize('brand')} AS nb, regexp_replace({sql_canonical('sku')}, '{_NOTWORD}', '', 'g') AS ns FROM products_v)
-        SELECT product_id, nt || ' ' || ns AS normalized_title, ng AS normalized_tags, ns AS normalized_sku, substring(regexp_replace(nt, '{_NOTWORD}', '', 'g') || ' ' || regexp_replace(nb, '{_NOTWORD}', '', 'g') || ' ' || regexp_replace(ng, '{_NOTWORD}', '', 'g'), 1, 700) AS normalized_collapsed, specs,
-               CASE WHEN length(description) <= 120 THEN description ELSE rtrim(CASE WHEN NOT regexp_matches(substring(description, 121, 1), '\\s') AND regexp_matches(substring(description, 1, 120), '\\s') THEN regexp_replace(substring(description, 1, 120), '\\S*$', '') ELSE substring(description, 1, 120) END, ' ') END AS description FROM n""", "products_v"),
+    "etl_server_rows": with_views(rf"""WITH c AS (SELECT *, array_to_string(list_filter(string_split(trim(regexp_replace(tags, '\s+', ' ', 'g')), ' '), lambda t: length(t) > 1 OR regexp_matches(t, '^[0-9]+$')), ' ') AS ctags,
+            CASE WHEN length(description) <= 120 THEN description ELSE regexp_replace(CASE WHEN regexp_matches(substring(description, 121, 1), '[\s\p{{Z}}]') THEN substring(description, 1, 120) ELSE regexp_replace(substring(description, 1, 120), '[^\s\p{{Z}}]+\n?$', '') END, '[\s\p{{Z}}]+$', '') END AS cut FROM products_v),
+        n AS (SELECT *, {sql_normalize('title')} AS nt, {sql_normalize('ctags')} AS ng, {sql_normalize('brand')} AS nb, regexp_replace({sql_canonical('sku')}, '{_NOTWORD}', '', 'g') AS ns FROM c)
+        SELECT product_id, title, description, trim(nt || ' ' || ns) AS normalized_title, {sql_normalize('cut')} AS normalized_desc, {sql_normalize('specs')} AS normalized_specs, ng AS normalized_tags, nb AS normalized_brand, {sql_normalize('category')} AS normalized_category,
+               substring(concat_ws(' ', nullif(regexp_replace(nt, '{_NOTWORD}', '', 'g'), ''), nullif(regexp_replace(nb, '{_NOTWORD}', '', 'g'), ''), nullif(regexp_replace(ng, '{_NOTWORD}', '', 'g'), '')), 1, 700) AS normalized_collapsed,
+               ctags AS tags, brand, category, '' AS model, sku, ns AS normalized_sku, price::double AS price, stock, '' AS url, '' AS image, popularity FROM n""", "products_v"),
 }

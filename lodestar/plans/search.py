@@ -198,15 +198,24 @@ z AS (SELECT query_id, product_id, solid, round(relevance * (1.0 + CASE WHEN sto
 _BOOST = f"{_BLEND}, {_BOOST_OF}"
 _DICT = f"dict AS (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(list_concat(list_concat({sql_tokens('title')}, {sql_tokens('brand')}), {sql_tokens('tags')}))) AS token FROM products_v) WHERE length(token) >= 2 GROUP BY token)"
 _W = r"[\p{L}\p{N}]+"
-_EVAL = f"""{_PROFILE}, {_POSTINGS}, {_hits('level = 1')},
-res AS (SELECT query_id, product_id, rank FROM (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM (SELECT * REPLACE (CASE WHEN phrase THEN 15.0::double ELSE 10.0::double END AS score) FROM k WHERE held = needed)) WHERE rank <= 10),
+_JUDGED = f"""{_PROFILE}, {_POSTINGS}, {_hits('level = 1')},
+res0 AS (SELECT query_id, product_id, rank FROM (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM (SELECT * REPLACE (CASE WHEN phrase THEN 15.0::double ELSE 10.0::double END AS score) FROM k WHERE held = needed)) WHERE rank <= 10),
 qw AS (SELECT query_id, unnest(regexp_extract_all(lower(raw_q), '{_W}')) AS w, len(regexp_extract_all(lower(raw_q), '{_W}')) AS n FROM queries_v),
 tw AS (SELECT product_id, unnest(list_distinct(regexp_extract_all(lower(title), '{_W}'))) AS w FROM products_v WHERE product_id % 3 = 0),
-rel AS (SELECT query_id, product_id FROM qw JOIN tw USING (w) GROUP BY query_id, product_id, n HAVING count(DISTINCT w) = n),
-a AS (SELECT query_id, (SELECT count(*) FROM rel WHERE rel.query_id = q.query_id) AS nrel, (SELECT count(*) FROM res WHERE res.query_id = q.query_id) AS returned FROM queries_v q),
-b AS (SELECT res.query_id, count(*) AS hits, min(rank) AS first_rank, sum(1.0 / log2(rank + 1.0)) AS gain FROM res JOIN rel ON rel.query_id = res.query_id AND rel.product_id = res.product_id GROUP BY res.query_id),
-pq AS (SELECT query_id, returned, first_rank, CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / 10 END AS "precision", CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / nrel END AS recall,
-       CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(gain, 0) / list_sum(list_transform(range(1, least(10, nrel) + 1), lambda i: 1.0 / log2(i + 1.0))) END AS ndcg FROM a LEFT JOIN b USING (query_id))"""
+rel AS (SELECT query_id, product_id FROM qw JOIN tw USING (w) GROUP BY query_id, product_id, n HAVING count(DISTINCT w) = n)"""
+
+
+def _judge(x: str, results: str, queries: str) -> str:
+    """CTE pq (with a suffix): the measures of each query over some results and queries."""
+    return f"""res{x} AS (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM res0 WHERE {results}),
+a{x} AS (SELECT query_id, (SELECT count(*) FROM rel WHERE rel.query_id = q.query_id) AS nrel, (SELECT count(*) FROM res{x} r WHERE r.query_id = q.query_id) AS returned FROM queries_v q WHERE {queries}),
+b{x} AS (SELECT r.query_id, count(*) AS hits, min(rank) AS first_rank, sum(1.0 / log2(rank + 1.0)) AS gain FROM res{x} r JOIN rel ON rel.query_id = r.query_id AND rel.product_id = r.product_id GROUP BY r.query_id),
+pq{x} AS (SELECT query_id, returned, first_rank, CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / 10 END AS "precision", CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(hits, 0) / nrel END AS recall,
+       CASE WHEN nrel = 0 THEN (returned = 0)::int::double ELSE coalesce(gain, 0) / list_sum(list_transform(range(1, least(10, nrel) + 1), lambda i: 1.0 / log2(i + 1.0))) END AS ndcg FROM a{x} LEFT JOIN b{x} USING (query_id))"""
+
+
+_EVAL = f"{_JUDGED}, {_judge('', 'true', 'true')}"
+_BRANDS = f"brs AS (SELECT DISTINCT array_to_string({sql_tokens('brand')}, ' ') AS phrase FROM products_v)"
 _MERGED = "mk AS (SELECT query_id, product_id, false AS partial, coverage, title_hits > 0 AS tm, field_hits > 0 AS sm, score, 0 AS seq, row_number() OVER (PARTITION BY query_id ORDER BY " + _ORDER + ") AS r FROM k WHERE held = needed QUALIFY r <= 20 UNION ALL (SELECT query_id, product_id, true, coverage, title_hits > 0, field_hits > 0, score, 1, row_number() OVER (PARTITION BY query_id ORDER BY " + _ORDER + ") AS r FROM (SELECT * REPLACE (round(score * 0.5, 7) AS score) FROM (SELECT *, count(*) FILTER (WHERE held = needed) OVER (PARTITION BY query_id) AS full_hits FROM k WHERE needed >= 2) WHERE full_hits < 3 AND held < needed AND held >= ceil(needed * 0.5)) QUALIFY r <= 20))"
 SQL = {
     "kw_merge": with_views(f"WITH {_PROFILE}, {_POSTINGS}, {_hits()}, {_MERGED}, o AS (SELECT * FROM mk QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY partial, coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq) = 1) SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY partial, coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq, product_id) AS rank FROM o QUALIFY rank <= 20", "products_v", "queries_v"),
@@ -217,6 +226,17 @@ SQL = {
         SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, rank) AS rank, product_id, round(score, 6) AS score, pinned FROM fin QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY pinned DESC, rank) <= 20""", "products_v", "queries_v"),
     "eval_precision_recall": with_views(f"WITH {_EVAL} SELECT query_id, round(\"precision\", 6) AS \"precision\", round(recall, 6) AS recall, round(ndcg, 6) AS ndcg FROM pq", "products_v", "queries_v"),
     "eval_ndcg_mrr": with_views(f"WITH {_EVAL} SELECT count(*) AS queries, round(avg(\"precision\"), 4) AS \"precision\", round(avg(recall), 4) AS recall, round(avg(coalesce(1.0 / first_rank, 0)), 4) AS mrr, round(avg(ndcg), 4) AS ndcg, round(avg((first_rank IS NOT NULL)::int), 4) AS success, round(avg((returned = 0)::int), 4) AS zero_rate FROM pq", "products_v", "queries_v"),
+    "eval_compare": with_views(f"""WITH {_JUDGED}, {_judge('1', 'query_id % 4 <> 1', 'query_id % 9 <> 0')}, {_judge('2', 'rank > 1', 'query_id % 7 <> 0')}
+        SELECT query_id, round(x.ndcg, 6) AS "before", round(y.ndcg, 6) AS "after", CASE WHEN x.ndcg IS NULL THEN 'added' WHEN y.ndcg IS NULL THEN 'removed' WHEN y.ndcg > x.ndcg THEN 'better' WHEN y.ndcg < x.ndcg THEN 'worse' ELSE 'same' END AS state FROM pq1 x FULL JOIN pq2 y USING (query_id)""", "products_v", "queries_v"),
+    "q_phrases": with_views(f"""WITH {_BRANDS}, kn AS (SELECT phrase FROM brs UNION SELECT unnest(['hot gear', 'gear', 'economy small', 'small'])),
+        t AS (SELECT query_id, {sql_tokens('raw_q')} AS t FROM queries_v), r AS (SELECT query_id, i.range - 1 AS a, n.range AS sz, array_to_string(t[i.range:i.range + n.range - 1], ' ') AS phrase FROM t, range(1, 9) i, range(1, 5) n WHERE i.range + n.range - 1 <= len(t)),
+        f AS (SELECT * FROM r JOIN kn USING (phrase))
+        SELECT query_id, cast(a AS int) AS "at", cast(sz AS int) AS size, phrase FROM f x WHERE NOT EXISTS (SELECT 1 FROM f y WHERE y.query_id = x.query_id AND x.a < y.a + y.sz AND y.a < x.a + x.sz AND (y.sz > x.sz OR (y.sz = x.sz AND y.a < x.a)))""", "products_v", "queries_v"),
+    "q_entity_status": with_views(f"""WITH {_PROFILE}, {_POSTINGS}, {_hits(whole=3, only="query_id IN (SELECT query_id FROM queries_v WHERE raw_q LIKE '%Brand#%')")}, {_BRANDS},
+        nm AS (SELECT query_id, phrase FROM qt0 JOIN queries_v USING (query_id), brs WHERE raw_q LIKE '%Brand#%' AND contains(' ' || array_to_string(toks, ' ') || ' ', ' ' || phrase || ' ')),
+        ht AS (SELECT query_id, product_id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 50),
+        st AS (SELECT query_id, product_id, CASE WHEN query_id NOT IN (SELECT query_id FROM nm) THEN 0 WHEN (query_id, array_to_string({sql_tokens('brand')}, ' ')) IN (SELECT (query_id, phrase) FROM nm) THEN 1 ELSE -1 END AS brand_status FROM ht JOIN products_v USING (product_id))
+        SELECT *, max(brand_status = 1) OVER (PARTITION BY query_id) AS brand_active FROM st""", "products_v", "queries_v"),
     "vec_topk": _TOPK.format(least=-1.0, k=10),
     "vec_blocks": _TOPK.format(least=-1.0, k=10),
     "vec_cosine_floor": _TOPK.format(least=0.25, k=100),

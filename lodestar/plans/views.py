@@ -18,7 +18,7 @@ VIEWS = {
         LEFT JOIN (SELECT l_partkey, count(*) AS n FROM {lineitem} GROUP BY l_partkey) l ON l.l_partkey = p.p_partkey""",
     "search_logs_v": """
         SELECT e.event_id AS id, e.ts, CASE WHEN e.event_id % 7 = 0 THEN upper(p.p_name) ELSE p.p_name END AS raw_q,
-               CASE WHEN e.event_id % 50 = 0 THEN '' ELSE p.p_name END AS normalized_q,
+               CASE WHEN e.event_id % 50 = 0 THEN '' WHEN e.event_id % 9 = 4 THEN p.p_name || ' ' || lower(p.p_brand) ELSE p.p_name END AS normalized_q,
                CASE WHEN e.event_type = 'error' THEN 0 ELSE cast(floor(e.value) AS bigint) END AS result_count,
                cast(floor(e.value * 10) AS bigint) AS latency_ms, CASE WHEN e.event_id % 10 < 7 THEN 'hybrid' ELSE 'keyword' END AS tier,
                e.event_id % 4 = 0 AS cache_hit, cast(CASE WHEN e.event_id % 20 = 0 THEN 1 ELSE 2 END AS int) AS log_version,

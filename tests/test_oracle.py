@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry
 
-SAMPLE = """agg_top_queries agg_unique ins_engagement ins_follow_ups trend_zero_ma call_incidents log_bursts kw_strict kw_any_terms kw_collapsed lex_brand_ambiguous lex_synonym_groups
-hyb_tail_cap vec_topk vec_blocks q_spell etl_server_rows txt_normalize life_diff eval_golden_finish""".split()
+SAMPLE = """agg_top_queries agg_unique ins_engagement ins_follow_ups trend_zero_ma call_incidents log_bursts kw_strict kw_any_terms kw_collapsed search_full lex_brand_ambiguous lex_synonym_groups
+hyb_tail_cap vec_topk vec_blocks q_spell etl_server_rows txt_normalize txt_spelling eval_compare q_entity_status life_diff eval_golden_finish""".split()
 
 
 def rows(columns, data):
