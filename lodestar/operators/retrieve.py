@@ -109,7 +109,8 @@ class Index:
 
     @cached_property
     def products(self) -> DataFrame:
-        return kept(self.source.select("product_id", "title", "tags", "brand", "category", "popularity", "stock"), "products")
+        """The columns that ranking uses, without the long texts."""
+        return kept(self.source.drop("description", "specs"), "products")
 
     @cached_property
     def postings(self) -> DataFrame:
