@@ -173,7 +173,7 @@ class PrefixEncoder(ChunkCache):
         self.v = Vocabulary.load(path)
         self.find = regex.compile(pattern).findall
         self.pieces: dict[str, bytes] = {}
-        super().__init__(self._new)
+        super().__init__(self._new, self._new)
 
     def _encode_pieces(self, texts: set[str]) -> None:
         """Remember the ids of matches of the pattern. In their order each shares the longest prefix with the one before it."""

@@ -173,7 +173,10 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     scan = scan.withColumn("rare", F.when(F.size("own") >= AGREE, F.array_intersect(F.slice(_literals(ranked), F.lit(1), reach), F.col("own"))))
     likely = F.lit(False)
     for n in NOTICES:
-        likely = likely | (F.size(F.array_intersect(F.col("rare"), _literals(sorted(set(n.text.split()))))) >= AGREE)
+        words, must = sorted(set(n.text.split())), sorted(set(n.mandatory.split()))
+        # without the words of its phrase a template can't be verified
+        there = F.size(F.array_intersect(F.col("own"), _literals(must))) == len(must)
+        likely = likely | (there & (F.size(F.array_intersect(F.col("rare"), _literals(words))) >= AGREE))
     words = F.transform(F.split(F.trim(w), " "), lambda x, i: F.struct(x.alias("word"), i.alias("at"), F.array_contains("rare", x).cast("int").alias("rare")))
     hits = F.when(likely, F.filter(words, lambda s: F.array_contains("own", s["word"])))
     # stored without the texts: a few numbers a document, and word places of likely ones

@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
@@ -56,20 +55,22 @@ def chunks_of(text: str) -> list[str] | None:
 
 
 class ChunkCache:
-    """Maps texts to their ids as bytes; ``encode_new`` gives the ids of chunks not seen before.
+    """Maps texts to their ids as bytes; ``encode_new`` gives the ids of chunks not seen before, ``encode_whole`` those of texts.
 
     Texts that hold one of ``whole`` aren't cut.
     """
 
-    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] = ()):
-        self.encode_new, self.known, self.whole = encode_new, {}, whole
+    def __init__(self, encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] = ()):
+        self.encode_new, self.encode_whole, self.known, self.whole = encode_new, encode_whole, {}, whole
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if any(w in t for w in self.whole) else chunks_of(t) if t else [] for t in texts]
-        cut = [[t] if c is None else c for t, c in zip(texts, cut)]
-        new = list(set().union(*cut).difference(self.known))
+        uncut = [i for i, c in enumerate(cut) if c is None]
+        new = list(set().union(*(c for c in cut if c)).difference(self.known))
         self.known.update(zip(new, self.encode_new(new)))
-        out = [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        out = [b"".join(map(self.known.__getitem__, c or ())) for c in cut]
+        for i, ids in zip(uncut, self.encode_whole([texts[i] for i in uncut])):
+            out[i] = ids
         if len(self.known) > CACHED_CHUNKS:
             self.known = {}
         return out
@@ -87,6 +88,17 @@ class ChunkCache:
             yield from self.encode(group)
 
 
+class _Made(dict):
+    """Makes what it lacks."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        value = self[key] = self.make(key)
+        return value
+
+
 class ChunkEncoder(ChunkCache):
     """Byte-level BPE by the tokenizers library as it is; a special token's own text is that token."""
 
@@ -94,36 +106,44 @@ class ChunkEncoder(ChunkCache):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.code = {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
+        self.tokenizer, self.code = Tokenizer.from_file(path), {2: "H", 4: "I"}[np.dtype(dtype).itemsize]
         self.merge = self.tokenizer.model.tokenize
-        self.pieces: dict[str, bytes] = {}
-        super().__init__(self._new, tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+        super().__init__(None, self._whole, tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.known = _Made(self._chunk)
 
-    def _piece(self, piece: str) -> bytes:
-        """The ids of a text that the pattern matches as a whole: only the merges are left to do."""
-        if (known := self.pieces.get(piece)) is None:
-            written = piece.encode().decode("latin-1").translate(_BYTE_CHARS)
-            known = self.pieces[piece] = array(self.code, [t.id for t in self.merge(written)]).tobytes()
-        return known
-
-    def _new(self, chunks: list[str]) -> list[bytes]:
-        out: list[bytes | None] = []
-        for c in chunks:
-            # a word and the punctuation behind it are two matches
-            m = _WORD.match(c)
-            out.append(self._piece(m[1]) + (self._piece(m[2]) if m[2] else b"") if m else None)
-        rest = [i for i, ids in enumerate(out) if ids is None]
-        found = self.tokenizer.encode_batch_fast([chunks[i] for i in rest], add_special_tokens=False)
-        for i, e in zip(rest, found):
-            out[i] = array(self.code, e.ids).tobytes()
-        if len(self.pieces) > CACHED_CHUNKS // 2:
-            self.pieces = {}
+    def encode(self, texts: list[str]) -> list[bytes]:
+        # one look-up a chunk, made or remembered
+        get, out = self.known.__getitem__, []
+        for t in texts:
+            cut = None if any(w in t for w in self.whole) else chunks_of(t) if t else []
+            out.append(self._whole([t])[0] if cut is None else b"".join(map(get, cut)))
+            if len(self.known) > CACHED_CHUNKS:
+                self.known.clear()
         return out
 
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _merged(self, piece: str) -> bytes:
+        """The ids of a text that the pattern matches as a whole: only the merges are left to do."""
+        written = piece.replace(" ", _SPACE) if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS)
+        return array(self.code, [t.id for t in self.merge(written)]).tobytes()
+
+    def _chunk(self, chunk: str) -> bytes:
+        # letters, with a space before them or not, and the punctuation behind them are two matches
+        word = chunk.rstrip(_PUNCTUATION)
+        if not (word.isalpha() or word[:1] == " " and word[1:].isalpha()):
+            return self._whole([chunk])[0]
+        if len(word) == len(chunk):
+            return self._merged(chunk)
+        tail = chunk[len(word) :]
+        if (end := self.known.get(tail)) is None:
+            end = self.known[tail] = self._merged(tail)
+        return self.known[word] + end
+
 
-#: A word of Latin letters, with a space before it or not, and ASCII punctuation without an apostrophe.
-_WORD = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)\Z")
+#: Visible ASCII punctuation but the apostrophe.
+_PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 def _byte_chars() -> dict[int, int]:
@@ -133,6 +153,7 @@ def _byte_chars() -> dict[int, int]:
 
 
 _BYTE_CHARS = _byte_chars()
+_SPACE = chr(_BYTE_CHARS[0x20])
 _ENCODERS: dict[tuple[str, str], ChunkEncoder] = {}
 
 
