@@ -345,3 +345,16 @@ def _titles(node) -> Iterator[str]:
                 yield value.strip()
             else:
                 yield from _titles(value)
+
+
+def like_escape(c, escape: str = "\\") -> Column:
+    """A text as it stands inside a LIKE pattern: the escape character, ``%`` and ``_`` escaped."""
+    out = F.replace(_text(c), F.lit(escape), F.lit(escape * 2))
+    for special in "%_":
+        out = F.replace(out, F.lit(special), F.lit(escape + special))
+    return out
+
+
+def rest_of(tokens: Column, taken: Column) -> Column:
+    """SET3: the tokens that aren't among those taken, in their order, repeated ones included."""
+    return F.filter(tokens, lambda t: ~F.array_contains(taken, t))

@@ -100,3 +100,15 @@ class Bundles:
             except BlockingIOError:
                 raise RuntimeError("busy") from None
             yield
+
+
+def artifact_problems(synonyms: DataFrame, intents: DataFrame, token_df: DataFrame, products: int) -> list[str]:
+    """VAL3: what is wrong with the files of a bundle: groups of fewer than two terms, intents without a target, word counts beyond the products."""
+    found = []
+    if not synonyms.where(F.coalesce(F.size("terms"), F.lit(0)) < 2).isEmpty():
+        found.append("synonyms: a group of fewer than two terms")
+    if not intents.where((F.coalesce(F.size("categories"), F.lit(0)) + F.coalesce(F.size("tags"), F.lit(0))) < 1).isEmpty():
+        found.append("intents: a term without category or tag")
+    if not token_df.where((F.col("df") < 1) | (F.col("df") > products)).isEmpty():
+        found.append("token_df: a count out of range")
+    return found

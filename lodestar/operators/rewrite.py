@@ -150,3 +150,45 @@ def recover(queries: DataFrame, dictionary: DataFrame, search, terms: DataFrame
     other = full.where("query_id % 10 > 0").select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("step"), "full")
     better = tried.join(other, ["query_id", "step"]).join(own, "query_id", "left").where(F.col("full") > F.coalesce("own", F.lit(0)))
     return better.groupBy("query_id").agg(F.min_by(F.struct("step", "rewritten", "full"), "step").alias("b")).select("query_id", "b.*")
+
+
+def letter_digit_forms(tokens: Column) -> Column:
+    """Q2, Q4: array<array<string>>: the tokens, and where a word and a number touch or stand side by side, the other spelling (``gta6``, ``gta 6``)."""
+    parted = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike(r"^\p{L}+[0-9]+$"), F.array(F.regexp_extract(t, r"^\p{L}+", 0), F.regexp_extract(t, "[0-9]+$", 0))).otherwise(F.array(t))))
+
+    def attach(acc: Column, t: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        joins = t.rlike("^[0-9]{1,4}$") & F.coalesce(last.rlike(r"^\p{L}+$"), F.lit(False))
+        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.concat(last, t))).otherwise(F.array_append(acc, t))
+
+    joined = F.aggregate(tokens, F.array().cast("array<string>"), attach)
+    return F.array_distinct(F.array(tokens, parted, joined))
+
+
+def conditions(queries: DataFrame, words: dict[str, str]) -> DataFrame:
+    """Q11: (query_id, condition) that a query's words name; of several the first one. ``words``: word to condition."""
+    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
+    hit = F.filter(F.transform(tokenize(normalize("raw_q")), lambda t: F.element_at(known, t)), lambda c: c.isNotNull())
+    return queries.select("query_id", F.get(hit, F.lit(0)).alias("condition")).where("condition is not null")
+
+
+def reordered(statuses: DataFrame) -> DataFrame:
+    """Q13, K8: hits (query_id, product_id, rank, status) with rank anew: carriers of what the query names first, then those that say nothing, then the others; within each as before."""
+    order = Window.partitionBy("query_id").orderBy(F.desc("status"), "rank")
+    return statuses.withColumn("rank", F.row_number().over(order))
+
+
+def brand_unmatched(queries: DataFrame, brands: DataFrame, hits: DataFrame, products: DataFrame) -> DataFrame:
+    """(query_id, brand) where a query names a brand and no hit carries it."""
+    named = phrases_in(queries, brands).select("query_id", F.col("phrase").alias("brand"))
+    carried = hits.join(products.select("product_id", F.array_join(tokenize(normalize("brand")), " ").alias("brand")), "product_id").select("query_id", "brand").distinct()
+    return named.join(carried, ["query_id", "brand"], "left_anti").distinct()
+
+
+def collected_names(sources: list[DataFrame]) -> DataFrame:
+    """Q21: (name, source): the names of several lists; one that comes again keeps its first source."""
+    rows = None
+    for i, df in enumerate(sources):
+        one = df.select(F.trim("name").alias("name"), F.lit(i).alias("source")).where("name <> ''")
+        rows = one if rows is None else rows.unionAll(one)
+    return rows.groupBy("name").agg(F.min("source").alias("source"))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import unit
 from ..functions.text import normalize, tokenize
 
 KEYWORD_WEIGHT, SEMANTIC_WEIGHT, SOLID_COSINE, LEAST_RELEVANCE = 0.4, 0.6, 0.4, 0.45
@@ -101,3 +104,35 @@ def tail_capped(rows: DataFrame, tail: int = TAIL) -> DataFrame:
     others = F.sum(F.when(F.col("solid"), 0).otherwise(1)).over(w.rowsBetween(Window.unboundedPreceding, 0))
     kept = rows.withColumn("others", others).where(F.col("solid") | (F.col("others") <= tail)).drop("others")
     return kept.withColumn("rank", F.row_number().over(w))
+
+
+def exemption_lost(rows: DataFrame, best: float = 0.5) -> DataFrame:
+    """V8: ``rows`` with solid only where the query has no neighbour of ``best`` cosine that its keyword hits miss."""
+    missed = F.max(F.when(F.col("score").isNull(), F.col("cosine"))).over(Window.partitionBy("query_id"))
+    return rows.withColumn("solid", F.col("solid") & (F.coalesce(missed, F.lit(0.0)) < best))
+
+
+def explained(blended: DataFrame, products: DataFrame, queries: DataFrame) -> DataFrame:
+    """The score of each hit with its parts: keyword and semantic shares, and each boost."""
+    rows = boosted(blended, products, queries).select("query_id", "product_id", "score")
+    facts = blended.join(products.select("product_id", "stock", "brand", "category", "tags"), "product_id").join(queries.select("query_id", "variants"), "query_id")
+    on = lambda c, w: F.when(c, w).otherwise(0.0)
+    parts = facts.select(
+        "query_id", "product_id", F.round(KEYWORD_WEIGHT * F.col("keyword"), 6).alias("keyword"), F.round(SEMANTIC_WEIGHT * F.col("semantic"), 6).alias("semantic"), on(F.col("stock") > 0, STOCK).alias("stock"),
+        on(words_in_query(F.col("brand"), F.col("variants")), BRAND).alias("brand"), on(words_in_query(F.col("category"), F.col("variants")), CATEGORY).alias("category"), on(phrase_in_tags(F.col("tags"), F.col("variants")), TAG).alias("tag"),
+    )
+    return rows.join(parts, ["query_id", "product_id"])
+
+
+def served(neighbours: DataFrame, least: float = 0.4) -> DataFrame:
+    """V4: neighbours as a client takes them: without malformed rows, at least ``least``, best first."""
+    good = neighbours.where(F.col("id").isNotNull() & F.col("score").isNotNull() & ~F.isnan("score") & (F.col("score") >= least))
+    return good.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id")))
+
+
+def mock_embedding(c: Column, dim: int = 64) -> Column:
+    """V1: a unit vector that a text's hashes determine, for tests without a model; equal texts have equal vectors."""
+    uniform = lambda i, salt: (F.pmod(F.xxhash64(c, i, F.lit(salt)), F.lit(1 << 40)) + 1) / float((1 << 40) + 1)
+    # normal numbers by pairs of uniform ones
+    raw = F.transform(F.sequence(F.lit(1), F.lit(dim)), lambda i: F.sqrt(-2 * F.log(uniform(i, 0))) * F.cos(2 * math.pi * uniform(i, 1)))
+    return unit(raw)

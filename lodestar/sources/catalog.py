@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -27,68 +28,54 @@ def looks_truncated(spark: SparkSession, path: str, rows: DataFrame) -> bool:
     return lines > 10 and rows.count() < 0.9 * lines
 
 
-def insert_tuples(text: str) -> Iterator[list[str | None]]:
-    """The value tuples of INSERT statements: quotes doubled or escaped inside strings, NULL as None, numbers as text."""
-    row, field, quoted, inside, depth, i = [], [], False, False, 0, 0
-    text = text[text.upper().find("VALUES") + 6 :] if "VALUES" in text.upper() else ""
-
-    def close() -> None:
-        value = "".join(field)
-        row.append(value if quoted else None if value.strip().upper() in ("NULL", "") else value.strip())
-        field.clear()
-
-    while i < len(text):
-        c = text[i]
-        if inside:
-            if c == "\\" and i + 1 < len(text):
-                field.append({"n": "\n", "r": "\r", "t": "\t", "0": "\0"}.get(text[i + 1], text[i + 1]))
-                i += 1
-            elif c == "'" and text[i + 1 : i + 2] == "'":
-                field.append("'")
-                i += 1
-            elif c == "'":
-                inside = False
+_INSERT = re.compile(r"INSERT\s+INTO\s+[^\s(]+\s*(?:\(([^)]*)\)\s*)?VALUES\s*", re.IGNORECASE)
+_VALUE = re.compile(r"\s*(?:'((?:[^']|'')*)'|([^',()\s][^',()]*)?)\s*([,)])")
+
+
+def insert_rows(text: str, default: list[str] | None = None) -> Iterator[dict[str, str | None]]:
+    """The rows of INSERT statements by column: quotes are doubled inside strings, a backslash is a backslash, NULL is None, numbers are text.
+
+    A statement without a list of columns has those of ``default``. A row of another number of values is an error.
+    """
+    at = 0
+    while m := _INSERT.search(text, at):
+        columns, at = [c.strip().strip("`") for c in m[1].split(",")] if m[1] is not None else default or [], m.end()
+        while text[at : at + 1] == "(":
+            at, row = at + 1, []
+            while v := _VALUE.match(text, at):
+                bare = (v[2] or "").strip()
+                row.append(v[1].replace("''", "'") if v[1] is not None else None if bare.upper() in ("NULL", "") else bare)
+                at = v.end()
+                if v[3] == ")":
+                    break
             else:
-                field.append(c)
-        elif c == "'" and depth:
-            inside = quoted = True
-            field.clear()
-        elif c == "(" and not depth:
-            depth, quoted = 1, False
-        elif c == "," and depth:
-            close()
-            quoted = False
-        elif c == ")" and depth:
-            close()
-            yield list(row)
-            row.clear()
-            depth, quoted = 0, False
-        elif c == ";" and not depth:
-            at = text.upper().find("VALUES", i)
-            if at < 0:
-                return
-            i = at + 5
-        elif depth and not quoted:
-            field.append(c)
-        i += 1
+                raise ValueError(f"no value at character {at}")
+            if len(row) != len(columns):
+                raise ValueError(f"a row of {len(row)} values for {len(columns)} columns")
+            yield dict(zip(columns, row))
+            while text[at : at + 1] in (" ", "\t", "\r", "\n", ",") and at < len(text):
+                at += 1
 
 
 def read_inserts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of a file of INSERT statements, all text; a tuple of another length is an error. One task reads one file: quotes decide where a row ends."""
+    """The named columns of a file of INSERT statements, all text; a row without one of them is an error. One task reads one file: quotes decide where a row ends."""
 
     def run(batches):
         import pyarrow as pa
 
         for b in batches:
             for text in b.column(0).to_pylist():
-                rows = list(insert_tuples(text))
-                if any(len(r) != len(columns) for r in rows):
-                    raise ValueError("a tuple has another number of values than there are columns")
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in range(len(columns))], names=columns)
+                rows = list(insert_rows(text, columns))
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in columns], names=columns)
 
     return spark.read.text(path, wholetext=True).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
 
 
+def write_csv(rows: DataFrame, path: str) -> None:
+    """SNK1: RFC 4180 with a header; null is empty; quotes are doubled."""
+    rows.write.mode("overwrite").option("header", True).option("nullValue", "").option("emptyValue", "").option("quote", '"').option("escape", '"').csv(path)
+
+
 def last_per_key(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Upsert: the last row of each key by ``order`` wins."""
     w = Window.partitionBy(*keys).orderBy(*(o.desc() for o in order))

@@ -34,39 +34,51 @@ def incidents(stream: DataFrame, gap: str = "60 seconds", watermark: str = WATER
     return failed.groupBy(F.session_window("ts", gap)).agg(F.min("ts").alias("start"), F.max("ts").alias("end"), F.count(F.lit(1)).alias("n")).select("start", "end", "n")
 
 
-def _flagged(stream: DataFrame, keys: list[str], name: str, remember: int, test) -> DataFrame:
-    """``stream`` with a boolean from the times (microseconds) of the last ``remember`` rows of the same key."""
+KEEP, LATE = 20, "1 day"
+
+
+def _flagged(stream: DataFrame, keys: list[str], name: str, remember: int, seconds: int, test) -> DataFrame:
+    """``stream`` with a boolean from the times (microseconds) of the last ``remember`` rows of the same key.
+
+    A key is forgotten once the watermark is ``KEEP`` windows of ``seconds`` beyond its last row. Rows that
+    come more than ``LATE`` after newer ones are dropped, as behind any watermark.
+    """
     ship(stream.sparkSession)
     columns = stream.columns
 
     def run(key, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(parts)).sort_values(["ts", "id"])
+        if state.hasTimedOut:
+            state.remove()
+            return
         times = list(state.get[0]) if state.exists else []
         flags = []
         for t in rows["ts"].astype("datetime64[us]").astype("int64"):
             flags.append(bool(test(key, times, t)))
             times = [*times, int(t)][-remember:]
         state.update((times,))
+        if times:
+            state.setTimeoutTimestamp(max(times[-1] // 1000 + KEEP * seconds * 1000, state.getCurrentWatermarkMs() + 1000))
         yield rows[columns].assign(**{name: flags})
 
     schema = StructType([*stream.schema.fields, StructField(name, BooleanType())])
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, "times array<bigint>", "append", GroupStateTimeout.NoTimeout)
+    return stream.withWatermark("ts", LATE).groupBy(*keys).applyInPandasWithState(run, schema, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def flag_duplicates(stream: DataFrame, seconds: int = DUPLICATE_SECONDS) -> DataFrame:
     """is_duplicate, as the batch form."""
-    return _flagged(stream, ["session_id", "normalized_q", "page"], "is_duplicate", 1, lambda key, times, t: not pd.isna(key[0]) and times and t - times[-1] <= seconds * 1_000_000)
+    return _flagged(stream, ["session_id", "normalized_q", "page"], "is_duplicate", 1, seconds, lambda key, times, t: not pd.isna(key[0]) and times and t - times[-1] <= seconds * 1_000_000)
 
 
 def flag_bursts(stream: DataFrame, seconds: int = BURST_SECONDS, rows: int = BURST_ROWS) -> DataFrame:
     """is_burst of first pages, as the batch form."""
-    return _flagged(stream, ["session_id", "normalized_q", "page"], "is_burst", rows, lambda key, times, t: key[2] == 1 and len(times) >= rows and t - times[0] <= seconds * 1_000_000)
+    return _flagged(stream, ["session_id", "normalized_q", "page"], "is_burst", rows, seconds, lambda key, times, t: key[2] == 1 and len(times) >= rows and t - times[0] <= seconds * 1_000_000)
 
 
 def dedupe_events(stream: DataFrame, logs: DataFrame, seconds: int = REPEAT_SECONDS) -> DataFrame:
     """S3: events of known searches, without repeats shortly after the same one. ``logs`` may be static."""
     known = stream.where(F.col("action").isin("click", "dym_click")).join(logs.select("search_uuid").distinct(), "search_uuid", "left_semi").select(*stream.columns)
-    flagged = _flagged(known, ["search_uuid", "product_id", "action"], "repeated", 1, lambda key, times, t: times and t - times[-1] <= seconds * 1_000_000)
+    flagged = _flagged(known, ["search_uuid", "product_id", "action"], "repeated", 1, seconds, lambda key, times, t: times and t - times[-1] <= seconds * 1_000_000)
     return flagged.where(~F.col("repeated")).drop("repeated")
 
 

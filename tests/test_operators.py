@@ -131,8 +131,9 @@ def test_components_reach_far(spark):
 
 
 def test_sources(spark, tmp_path):
-    sql = "INSERT INTO p VALUES (1,'it''s (a), b',NULL),\n(2, 'x;y', 3.5); INSERT INTO p (a) VALUES (3,'é','');"
-    assert list(catalog.insert_tuples(sql)) == [["1", "it's (a), b", None], ["2", "x;y", "3.5"], ["3", "é", ""]]
+    sql = "INSERT INTO p VALUES (1,'it''s (a), b',NULL),\n(2, 'x;y', 3.5); INSERT INTO p (c, b, a) VALUES ('','é',3);"
+    rows = [[r[c] for c in "abc"] for r in catalog.insert_rows(sql, ["a", "b", "c"])]
+    assert rows == [["1", "it's (a), b", None], ["2", "x;y", "3.5"], ["3", "é", ""]]
     (tmp_path / "p.sql").write_text(sql)
     assert [r.b for r in catalog.read_inserts(spark, str(tmp_path / "p.sql"), ["a", "b", "c"]).collect()] == ["it's (a), b", "x;y", "é"]
     (tmp_path / "d.txt").write_text("a\t3\nbad\nb\tx\n")
