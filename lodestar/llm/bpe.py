@@ -18,10 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from ._common import map_arrow, ref, sole_cache, table
-from .tokens import CACHED_CHUNKS, ChunkCache, vocabulary
+from .tokens import ChunkCache, vocabulary
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED_PAIRS = 2_000_000
+CACHED_MATCHES = 700_000  # chunks, and matches of the pattern, remembered by one Python worker
 NEVER = 1 << 62
 
 
@@ -104,12 +105,15 @@ class PrefixTable:
         """The last tokens of the prefixes up to ``until`` bytes, each from the entries of shorter ones."""
         data, last, get, pairs, stable = self.data, self.last, self.v.ends.get, self.v.pairs.get, self.v.stable
         for end in range(len(last) + 1, until + 1):
-            start, found = end - 1, []
+            start, starts, tokens = end - 1, [], []
             while start >= 0 and (token := get(data[start:end])) is not None:
                 if token >= 0:
-                    found.append((start, token))
+                    starts.append(start)
+                    tokens.append(token)
                 start -= 1
-            for start, token in reversed(found):
+            # the longest first
+            while starts:
+                start, token = starts.pop(), tokens.pop()
                 if not start:
                     break
                 before = last[start - 1]
@@ -167,6 +171,8 @@ class PrefixTable:
 class PrefixEncoder(ChunkCache):
     """Ids of texts whose pretokenizer matches are each encoded by prefix dynamic programming."""
 
+    most = CACHED_MATCHES
+
     def __init__(self, path: str, pattern: str):
         import regex
 
@@ -188,7 +194,7 @@ class PrefixEncoder(ChunkCache):
         cut = [self.find(c) for c in chunks]
         self._encode_pieces(set().union(*cut).difference(self.pieces))
         out = [b"".join(map(self.pieces.__getitem__, c)) for c in cut]
-        if len(self.pieces) > CACHED_CHUNKS:
+        if len(self.pieces) > self.most:
             self.pieces = {}
         return out
 

@@ -57,9 +57,11 @@ def chunks_of(text: str) -> list[str] | None:
 class ChunkCache:
     """Maps texts to their ids as bytes; ``encode_new`` gives the ids of chunks not seen before, ``encode_whole`` those of texts.
 
-    Texts that hold one of ``whole`` aren't cut.
+    Texts that hold one of ``whole`` aren't cut. At most about ``most`` chunks are remembered.
     """
 
+    most = CACHED_CHUNKS
+
     def __init__(self, encode_new: Callable[[list[str]], list[bytes]], encode_whole: Callable[[list[str]], list[bytes]], whole: tuple[str, ...] = ()):
         self.encode_new, self.encode_whole, self.known, self.whole = encode_new, encode_whole, {}, whole
 
@@ -71,7 +73,7 @@ class ChunkCache:
         out = [b"".join(map(self.known.__getitem__, c or ())) for c in cut]
         for i, ids in zip(uncut, self.encode_whole([texts[i] for i in uncut])):
             out[i] = ids
-        if len(self.known) > CACHED_CHUNKS:
+        if len(self.known) > self.most:
             self.known = {}
         return out
 
@@ -117,7 +119,7 @@ class ChunkEncoder(ChunkCache):
         for t in texts:
             cut = None if any(w in t for w in self.whole) else chunks_of(t) if t else []
             out.append(self._whole([t])[0] if cut is None else b"".join(map(get, cut)))
-            if len(self.known) > CACHED_CHUNKS:
+            if len(self.known) > self.most:
                 self.known.clear()
         return out
 
