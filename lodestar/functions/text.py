@@ -28,6 +28,8 @@ KEYS = {
     "n": "د", "m": "ئ", ";": "ک", "'": "گ", ",": "و", "[": "ج", "]": "چ", "\\": "پ", "C": "ژ",
 }
 SUSPICIOUS = r"(?i)extractvalue|concat\s*\(\s*0x|union\s+(?:all\s+)?select|sleep\s*\("
+#: What entities leave of themselves without ampersand and semicolon, and what they stood for.
+REMAINS = ((r"(?<=\p{L})#0?39(?=s\b)", "'"), ("(?i)ampquot", '"'), ("(?i)ampamp", "&"))
 # ----------------------------------------------------------------------------------------------------
 
 WORD_BREAK = r"[^\p{L}\p{N}]+"
@@ -161,8 +163,10 @@ def compose_passage(parts: list, description, limit: int) -> Column:
 
 def query_clean(c) -> Column:
     """Entities decoded twice; their remains without ampersand and semicolon repaired."""
-    text = F.regexp_replace(unescape(c, 2), r"(?<=\p{L})#0?39(?=s\b)", "'")
-    return F.regexp_replace(F.regexp_replace(text, "(?i)ampquot", '"'), "(?i)ampamp", "&")
+    text = unescape(c, 2)
+    for pattern, meant in REMAINS:
+        text = F.regexp_replace(text, pattern, meant)
+    return text
 
 
 def is_suspicious(c) -> Column:

@@ -153,7 +153,7 @@ def recover(queries: DataFrame, dictionary: DataFrame, search, terms: DataFrame
 
 
 def letter_digit_forms(tokens: Column) -> Column:
-    """Q2, Q4: array<array<string>>: the tokens, and where a word and a number touch or stand side by side, the other spelling (``gta6``, ``gta 6``)."""
+    """Q2, Q4: array<array<string>>: the tokens, and where a word and a number touch or stand side by side, the other spelling (``kiln6``, ``kiln 6``)."""
     parted = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike(r"^\p{L}+[0-9]+$"), F.array(F.regexp_extract(t, r"^\p{L}+", 0), F.regexp_extract(t, "[0-9]+$", 0))).otherwise(F.array(t))))
 
     def attach(acc: Column, t: Column) -> Column:

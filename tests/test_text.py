@@ -12,16 +12,16 @@ def one(spark, expression, value):
 
 
 CASES = [
-    (T.normalize, "GTA VI", "gta 6"),
-    (T.normalize, "gta vi ii", "gta 6 2"),
-    (T.normalize, "12 vi", "12 vi"),
-    (T.normalize, "vi gta", "vi gta"),
-    (T.normalize, "PS-5  Slim_2", "ps5 slim2"),
+    (T.normalize, "Kiln VI", "kiln 6"),
+    (T.normalize, "kiln vi ii", "kiln 6 2"),
+    (T.normalize, "40 ix", "40 ix"),
+    (T.normalize, "iv kiln", "iv kiln"),
+    (T.normalize, "QX-8  Mini_3", "qx8 mini3"),
     (T.normalize, "كتاب‌ي ۱۲٣", "کتاب ی 123"),
     (T.normalize, None, ""),
     (T.normalize, "Final Fantasy (VII)", "final fantasy (7)"),
-    (T.normalize_sku, "AB-12 34", "ab1234"),
-    (T.collapse, "Far Cry 5", "farcry5"),
+    (T.normalize_sku, "ZK/77 05", "zk7705"),
+    (T.collapse, "Old Mill 9", "oldmill9"),
     (T.tokenize, " a-b  c1! ", ["a", "b", "c1"]),
     (T.mask_digits, "call 12345678 now", "call # now"),
     (T.mask_digits, "x" * 81, "[long query]"),
@@ -29,9 +29,9 @@ CASES = [
     (T.fa_to_en, "سلام", "sghl"),
     (T.en_to_fa, "HF-1502", "HF-1502"),
     (T.is_suspicious, "1 union all select 2", True),
-    (T.is_suspicious, "ps5 -- slim", False),
+    (T.is_suspicious, "lamp -- blue", False),
     (T.is_suspicious, "x' -- y", True),
-    (T.query_clean, "Tom &amp;amp; Assassin#039s", "Tom & Assassin's"),
+    (T.query_clean, "Salt &amp;amp; Miller#039s", "Salt & Miller's"),
     (T.clean_text, "a&lt;b&gt;<i>c</i>  d", "a c d"),
     (T.clean_tags, "a bc 7 NULLs", "bc 7 NULLs"),
     (lambda c: T.index_description(c, 7), "one two three", "one two"),
