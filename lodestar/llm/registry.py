@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op1_nearest
 from .bpe import op7_bpe
+from .divergence import OP11_SQL, op11_source_divergence
 from .exact_dedup import OP8_SQL, op8_exact_dedup
 from .langid import op3_language_id
 from .licenses import op9_license_scan
@@ -11,6 +12,8 @@ from .near_dup import op5_ngram_jaccard_join
 from .packing import op6_best_fit_packing
 from .pii import op10_pii
 from .quality import op2_quality
+from .resampling import OP12_SQL, op12_importance_resampling
+from .token_counts import op13_token_counts
 from .tokens import op4_token_files
 
 QUERIES = {
@@ -24,8 +27,13 @@ QUERIES = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_license_scan": op9_license_scan,
     "op10_pii": op10_pii,
+    "op11_source_divergence": op11_source_divergence,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL = {
     "op8_exact_dedup": OP8_SQL,
+    "op11_source_divergence": OP11_SQL,
+    "op12_importance_resampling": OP12_SQL,
 }

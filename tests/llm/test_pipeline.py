@@ -31,7 +31,7 @@ def test_stages_take_effect(spark, sf):
 
 
 def test_registry():
-    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 11)] == [1] * 10 and set(SQL) <= set(QUERIES)
+    assert [sum(n.startswith(f"op{i}_") for n in QUERIES) for i in range(1, 14)] == [1] * 13 and set(SQL) <= set(QUERIES)
 
 
 def test_exact_dedup_equals_duckdb(spark, sf, duck):
