@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,20 +65,59 @@ def bit_set(bitmap, bit):
     return F.pmod(F.floor(byte / F.pow(F.lit(2), bit % 8)), F.lit(2)) == 1
 
 
+ROW_BITS = 24  # of a row's number within its file
+
+
+def _rows_of_files(docs: DataFrame) -> bool:
+    """Whether ``docs`` is a table of files with columns and rows chosen by deterministic expressions, and nothing else."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter") and plan.deterministic():
+        plan = plan.children().head()
+    return plan.nodeName().startswith(("Relation", "LogicalRelation")) and plan.children().isEmpty()
+
+
+def _by_file(docs: DataFrame, uid: str) -> DataFrame | None:
+    """``docs`` with each row's file (39 bits of its path's hash) and number in it as ``uid``; None where they don't name the rows."""
+    if "_metadata" in {c.lower() for c in docs.columns} or not _rows_of_files(docs):
+        return None
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        files = docs.select(path.alias("file"), row.alias("row")).groupBy("file").agg(F.max("row").alias("last"))
+    except AnalysisException:  # files of a kind that doesn't number its rows
+        return None
+    number = lambda c, seed: F.xxhash64(c, F.lit(seed)).bitwiseAND((1 << (63 - ROW_BITS)) - 1)
+    seeds = range(4)
+    # no column of the files is read for this
+    count, last, *distinct = stored(files, "files").agg(F.count(F.lit(1)), F.coalesce(F.max("last"), F.lit(0)), *(F.count_distinct(number("file", s)) for s in seeds)).first()
+    sound = [s for s in seeds if distinct[s] == count]  # no two files meet
+    if not sound or last >= 1 << ROW_BITS:
+        return None
+    return docs.withColumn(uid, F.shiftleft(number(path, sound[0]), ROW_BITS) + row)
+
+
+def with_uid(docs: DataFrame, uid: str) -> DataFrame:
+    """``docs`` with a number of each row that is the same whenever it's read, however many executors there are and however files are split.
+
+    Rows of files are named by file and place; others (joined, exploded, limited ones) are stored with their number.
+    """
+    named = _by_file(docs, uid)
+    return stored(docs.withColumn(uid, F.monotonically_increasing_id()), "rows") if named is None else named
+
+
 def rows_among(df: DataFrame, uid: str, uids: DataFrame, inside: bool = True) -> DataFrame:
-    """The rows of ``df`` whose ``uid`` is (or isn't) among the column ``uid`` of ``uids``; both come from ``monotonically_increasing_id``.
+    """The rows of ``df`` whose ``uid`` is (or isn't) among the column ``uid`` of ``uids``; both come from ``with_uid``.
 
-    Such ids count up within each partition, so a bit a row says which are meant: those bitmaps go to
+    Such numbers count up within a file or partition, so a bit a row says which are meant: those bitmaps go to
     the rows (64 MiB stand for some 500 million rows), and no row of ``df`` moves. Beyond that size it's a join.
     """
-    part, bucket, bitmap = fresh(df, "part", "bucket", "bitmap")
-    at = lambda c: (F.shiftright(c, 33).alias(part), F.shiftright(c.bitwiseAND((1 << 33) - 1), 15).alias(bucket), c.bitwiseAND(BITMAP_BITS - 1))
-    p, b, bit = at(uids["uid"])
-    marks = stored(uids.select(p, b, bit.alias("bit")).groupBy(part, bucket).agg(F.bitmap_construct_agg("bit").alias(bitmap)), "marks")
+    bucket, bitmap = fresh(df, "bucket", "bitmap")
+    at = lambda c: (F.shiftright(c, 15).alias(bucket), c.bitwiseAND(BITMAP_BITS - 1))
+    b, bit = at(uids["uid"])
+    marks = stored(uids.select(b, bit.alias("bit")).groupBy(bucket).agg(F.bitmap_construct_agg("bit").alias(bitmap)), "marks")
     if marks.count() > BITMAPS_SENT:
         return df.join(uids.select(F.col("uid").alias(uid)), uid, "left_semi" if inside else "left_anti")
-    p, b, bit = at(F.col(uid))
-    met = df.withColumns({part: p, bucket: b}).join(F.broadcast(marks), [part, bucket], "left")
+    b, bit = at(F.col(uid))
+    met = df.withColumn(bucket, b).join(F.broadcast(marks), bucket, "left")
     hit = F.coalesce(bit_set(F.col(bitmap), bit.cast("int")), F.lit(False))
     return met.where(hit if inside else ~hit).select([ref(c) for c in df.columns])
 

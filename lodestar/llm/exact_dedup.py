@@ -5,8 +5,9 @@ twice become the filter of *possibly repeated* hashes. Pass 2 probes it: rows th
 twin and pass straight through, the few others shuffle and are grouped by their full SHA-256.
 
 The filter takes ``BITS_PER_ROW`` bits a row. It's split by hash range into slices of at most
-``MAX_BLOCKS`` blocks of 4 KiB (32 MiB, 16 million rows), of which one is sent around at a time. Only
-hashes and row numbers take part; the texts of rows that stay are never moved.
+``MAX_BLOCKS`` blocks of 4 KiB (32 MiB, 16 million rows); each slice is finished and stored before the
+filter of the next is made, so one is sent around at a time. Only hashes and row numbers take part; the
+texts of rows that stay are never moved.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import BITMAP_BITS, bit_set, fresh, ref, rows_among, shared_path, stored, table
+from ._common import BITMAP_BITS, bit_set, fresh, ref, rows_among, shared_path, stored, table, with_uid
 
 BITS_PER_ROW = 16
 HASHES = 3
@@ -88,18 +89,18 @@ def mark_duplicates(df: DataFrame, key: str, id_col: str, rows: int) -> DataFram
     dealt = df.withColumn(part, F.pmod(F.xxhash64(ref(key), F.lit("slice")), F.lit(slices)).cast("int"))
     dealt.write.partitionBy(part).parquet(path)  # a folder a slice, so that each is read by itself
     dealt = df.sparkSession.read.schema(dealt.schema).parquet(path)
-    return reduce(DataFrame.unionAll, (_marked(dealt.where(F.col(part) == i).select([ref(c) for c in df.columns]), key, id_col, MAX_BLOCKS) for i in range(slices)))
+    own = lambda i: dealt.where(F.col(part) == i).select([ref(c) for c in df.columns])
+    return reduce(DataFrame.unionAll, [stored(_marked(own(i), key, id_col, MAX_BLOCKS), "marked") for i in range(slices)])
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` but the later ones of each group of equal texts.
 
-    Null texts count as empty and so equal each other. Texts are read twice (for their hashes, and to
-    pass on) and must come in the same order both times, as from a table. An empty table gives an empty
-    table.
+    Null texts count as empty and so equal each other. Texts of a table are read twice, for their hashes
+    and to pass on (see ``with_uid``). An empty table gives an empty table.
     """
     (uid,) = fresh(docs, "uid")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    rows = with_uid(docs, uid)
     keys = stored(rows.select(F.col(uid).alias("uid"), ref(id_col).alias("id"), F.unhex(digest(ref(text_col))).alias("key")), "digests")
     gone = mark_duplicates(keys, "key", "id", keys.count()).where("not kept").select("uid")
     return rows_among(rows, uid, gone, inside=False).drop(uid)

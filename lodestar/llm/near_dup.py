@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import fresh, map_arrow, ref, rows_among, sole_cache, stored, table
+from ._common import fresh, map_arrow, ref, rows_among, sole_cache, stored, table, with_uid
 from .components import components
 
 WORDS = 5
@@ -256,12 +256,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ``class_id`` is the smallest id of the row's group: the component of texts linked by a Jaccard
     similarity of 0.8 or more, with all their copies. ``n_links``: linked texts with another shingle
     set. ``n_copies``: rows with this very shingle set. ``kept``: one row of each group, the smallest
-    id (null last, then by position). ``uid`` is the row's monotonically increasing id, so ``docs``
-    must be a table that reads the same each time. A text without a word (null, empty) is a group of
-    its own with 0 links; its class id is its own id. Shorter texts than five words are one shingle.
+    id (null last, then by ``uid``). ``uid`` is the row's number by ``with_uid``. A text without a word
+    (null, empty) is a group of its own with 0 links; its class id is its own id. Shorter texts than
+    five words are one shingle. Other columns are ignored; an empty table gives no rows.
     """
     (uid,) = fresh(docs, "uid")
-    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    return _near_duplicates(with_uid(docs, uid), uid, id_col, text_col)
+
+
+def _near_duplicates(rows: DataFrame, uid: str, id_col: str, text_col: str) -> DataFrame:
     ids, info = _classes(rows, uid, id_col, text_col)
     copies = ids.where(F.col("key").isNotNull()).groupBy("key").agg(F.count(F.lit(1)).alias("n_copies"), F.min(F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "uid")).alias("first"))
     each = info.join(copies, "key")
@@ -280,8 +283,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All rows and columns of ``docs`` but those of a group that aren't its first; see ``near_duplicates``."""
     (uid,) = fresh(docs, "uid")
-    gone = near_duplicates(docs, id_col, text_col).where("not kept").select("uid")
-    return rows_among(docs.withColumn(uid, F.monotonically_increasing_id()), uid, gone, inside=False).drop(uid)
+    rows = with_uid(docs, uid)
+    gone = _near_duplicates(rows, uid, id_col, text_col).where("not kept").select("uid")
+    return rows_among(rows, uid, gone, inside=False).drop(uid)
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

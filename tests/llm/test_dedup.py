@@ -49,6 +49,8 @@ def test_filter_in_slices(table, monkeypatch):
     keys = table(rows).select("doc_id", F.col("text").alias("k"))
     got = X.mark_duplicates(keys, "k", "doc_id", 9000).collect()
     assert len(got) == 9000 and all(r.kept == (r.doc_id < 6000) and r.group_size == (2 if int(r.k) < 3000 else 1) and r.keep_id == int(r.k) for r in got)
+    # each slice was finished by itself: no filter is sent around any more
+    assert "Broadcast" not in X.mark_duplicates(keys, "k", "doc_id", 9000)._jdf.queryExecution().executedPlan().toString()
     with pytest.raises(ValueError):
         X.mark_duplicates(keys.withColumn("Kept", F.lit(1)), "k", "doc_id", 9000)
 
@@ -65,6 +67,54 @@ def test_rows_among(table, monkeypatch, sent):
     assert set(rest.columns) == set(docs.columns) and rest.agg(F.count_if(F.expr("doc_id % 7 = 0")), F.count("*")).first() == (0, 60_000)
 
 
+@pytest.fixture
+def shifting(spark, monkeypatch):
+    """Executors come and go: every stored table changes how the next scan cuts its files."""
+    stored, turns = _common.stored, []
+
+    def store(df, name, path=None):
+        turns.append(name)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", str(1 + 3 * (len(turns) % 3)))
+        spark.conf.set("spark.sql.files.openCostInBytes", str([1 << 22, 1, 1 << 12][len(turns) % 3]))
+        return stored(df, name, path)
+
+    for module in (_common, X, N):
+        monkeypatch.setattr(module, "stored", store)
+    yield turns
+    spark.conf.unset("spark.sql.leafNodeDefaultParallelism")
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+@pytest.mark.parametrize("files", [True, False])
+def test_rows_keep_their_numbers_when_scans_change(spark, tmp_path, shifting, files):
+    rows = near_rows(5, 8, 12, 60)
+    rows += [(1000 + i, rows[i][1]) for i in range(0, 96, 3)] + [(3, rows[3][1]), (None, None)]
+    path = str(tmp_path / "docs")
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(9).write.parquet(path)
+    docs = spark.read.parquet(path)
+    docs = docs if files else docs.limit(len(rows))
+    numbered = _common.with_uid(docs, "uid")
+    read = lambda: {tuple(r) for r in numbered.collect()}
+    first = read()
+    spark.conf.set("spark.sql.leafNodeDefaultParallelism", "1")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    assert read() == first and len(first) == len(rows) == len({r[2] for r in first})
+    assert ("files" in shifting) == files and ("rows" in shifting) == (not files)
+    want = sorted(min(i for i, t in rows if i is not None and norm(t) == text) if text else -1 for text in {norm(t) for _, t in rows})
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in X.exact_dedup(docs).collect()) == want
+    classes = {r.class_id for r in N.near_duplicates(docs).collect()}
+    assert sorted((r.doc_id for r in N.near_dedup(docs).collect()), key=str) == sorted(classes, key=str)
+
+
+def test_rows_that_come_twice_are_stored(table, shifting):
+    docs = table([(i, "x") for i in range(50)])
+    twice = docs.select("doc_id", "text", F.explode(F.array(F.lit(1), F.lit(2))).alias("n"))
+    got = _common.with_uid(twice, "uid").collect()
+    assert len({r.uid for r in got}) == 100 and "rows" in shifting
+    own = docs.withColumn("_metadata", F.lit("mine"))
+    assert len({r.uid for r in _common.with_uid(own, "uid").collect()}) == 50
+
+
 def test_components_of_a_long_chain(spark, table):
     edges = table([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.node: r.root for r in components(edges).collect()}
