@@ -2,9 +2,11 @@ r"""License scans by a positional rare-token index, with DataFrame functions onl
 
 1. The document frequency of every word of the templates below (notices and licence texts) is counted
    over all documents; that gives the words' IDF.
-2. The index lists for every word its places in the templates. A document is looked up by its own
-   highest-IDF licence words: those of at least ``RARE`` times the IDF of its rarest one. Their
-   postings are intersected by relative position: ``AGREE`` places must imply the same start of a template.
+2. The index lists for every word its places in the templates. For each template, a document is looked
+   up by its own words of it from the highest IDF down to where ``AGREE`` words of the mandatory phrase
+   are among them, so that what else the document holds, and how rare words get as the corpus grows,
+   can't hide a phrase. Their postings are intersected by relative position: ``AGREE`` places must
+   imply the same start of the template.
 3. A template is reported where its mandatory phrase stands word for word at such a start.
 
 Words are runs of ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]`` after lower-casing A-Z.
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from ._common import ref, stored, table
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE, AGREE = 0.5, 2
+AGREE = 2
 #: Phrases that are always reported, and their labels.
 BASE = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
@@ -134,13 +136,15 @@ def word_weights(docs: DataFrame, text_col: str) -> dict[str, float]:
 
 
 def _index(weights: dict[str, float]) -> list[tuple]:
-    """(word, notice, place, mandatory, weight share) of every word of every template."""
+    """(word, notice, place, rare, mandatory, weight share) of every word of every template."""
     rows = []
     for i, n in enumerate(NOTICES):
         words, must = n.text.split(), n.mandatory.split()
         at = next(p for p in range(len(words)) if words[p : p + len(must)] == must)
         total = sum(weights[w] for w in words) or 1.0  # without documents nothing weighs
-        rows += [(w, i, p, int(at <= p < at + len(must)), weights[w] / total) for p, w in enumerate(words)]
+        ranked = sorted(set(words), key=lambda w: (-weights[w], w))  # rarest first
+        rare = set(ranked[: [k for k, w in enumerate(ranked, 1) if w in must][AGREE - 1]])
+        rows += [(w, i, p, int(w in rare), int(at <= p < at + len(must)), weights[w] / total) for p, w in enumerate(words)]
     return rows
 
 
@@ -153,9 +157,6 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = docs.sparkSession
     weights = word_weights(docs, text_col)
-    ranked = sorted(weights, key=lambda w: (-weights[w], w))  # rarest first
-    # for each word: how many words are at least RARE times as rare
-    within = [sum(weights[x] >= RARE * weights[w] for x in ranked) for w in ranked]
     scan = docs.select(ref(id_col).alias("doc_id"), _words(ref(text_col)).alias("w"))
     w = F.col("w")
     padded = [(f" {phrase} ", len(phrase.split()), label) for phrase, label in BASE]
@@ -164,24 +165,20 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     first = [F.when(F.contains(w, F.lit(p)), _count_words(F.substring_index(w, p, 1))) for p, _, _ in padded]
     last = [F.when(F.contains(w, F.lit(p)), n_words - _count_words(F.substring_index(w, p, -1)) - k) for p, k, _ in padded]
     labels = F.array_compact(F.array(*(F.when(F.contains(w, F.lit(p)), F.lit(label)) for p, _, label in padded)))
-    own = F.array_intersect(_literals(ranked), F.split(F.trim(w), " "))  # rarest first
+    own = F.array_intersect(_literals(sorted(weights)), F.split(F.trim(w), " "))
     scan = scan.select(
         "doc_id", "w", n_words.alias("n_words"), sum(places[1:], places[0]).alias("n_base"), F.least(*first).alias("first_word"),
         F.greatest(*last).alias("last_word"), F.array_sort(F.array_distinct(labels)).alias("base"), own.alias("own"),
     )
-    reach = F.get(_literals(within), F.array_position(_literals(ranked), F.get("own", F.lit(0))).cast("int") - 1)
-    scan = scan.withColumn("rare", F.when(F.size("own") >= AGREE, F.array_intersect(F.slice(_literals(ranked), F.lit(1), reach), F.col("own"))))
     likely = F.lit(False)
-    for n in NOTICES:
-        words, must = sorted(set(n.text.split())), sorted(set(n.mandatory.split()))
+    for must in sorted({tuple(sorted(set(n.mandatory.split()))) for n in NOTICES}):
         # without the words of its phrase a template can't be verified
-        there = F.size(F.array_intersect(F.col("own"), _literals(must))) == len(must)
-        likely = likely | (there & (F.size(F.array_intersect(F.col("rare"), _literals(words))) >= AGREE))
-    words = F.transform(F.split(F.trim(w), " "), lambda x, i: F.struct(x.alias("word"), i.alias("at"), F.array_contains("rare", x).cast("int").alias("rare")))
+        likely = likely | (F.size(F.array_intersect(F.col("own"), _literals(must))) == len(must))
+    words = F.transform(F.split(F.trim(w), " "), lambda x, i: F.struct(x.alias("word"), i.alias("at")))
     hits = F.when(likely, F.filter(words, lambda s: F.array_contains("own", s["word"])))
     # stored without the texts: a few numbers a document, and word places of likely ones
     kept = stored(scan.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "n_words", "n_base", "first_word", "last_word", "base", hits.alias("hits")), "license-hits")
-    index = spark.createDataFrame(_index(weights), "word string, notice int, place int, mandatory int, share double")  # as many rows as the templates have words
+    index = spark.createDataFrame(_index(weights), "word string, notice int, place int, rare int, mandatory int, share double")  # as many rows as the templates have words
     found = kept.where(F.col("hits").isNotNull()).select("uid", F.inline("hits"))
     starts = found.join(F.broadcast(index), "word").groupBy("uid", "notice", (F.col("at") - F.col("place")).alias("start"))
     starts = starts.agg(F.sum("rare").alias("agreeing"), F.sum("mandatory").alias("mandatory"), F.sum("share").alias("share"))

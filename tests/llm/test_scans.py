@@ -193,10 +193,10 @@ def plain_labels(rows):
     out = {}
     for i, t in rows:
         words, labels, score = texts[i], set(plain_licenses(t)[-1].split(",")) - {""}, 0.0
-        own = vocabulary & set(words)
-        rare = {w for w in own if idf[w] >= licenses.RARE * max(idf[x] for x in own)}
         for n in licenses.NOTICES:
             tw, must = n.text.split(), n.mandatory.split()
+            ranked = sorted(set(tw), key=lambda w: (-idf[w], w))
+            rare = set(ranked[: ranked.index(sorted(set(must), key=ranked.index)[licenses.AGREE - 1]) + 1])
             k = n.text[: n.text.index(n.mandatory)].count(" ")
             for start in range(-len(tw), len(words)):
                 met = [p for p in range(len(tw)) if 0 <= start + p < len(words) and words[start + p] == tw[p]]
@@ -223,6 +223,18 @@ def test_labels_equal_a_plain_version(table):
     assert sum(x[0] != "" for x in want.values()) > 40
 
 
+@pytest.mark.parametrize("documents", [30, 2_000, 10**5, 10**9])
+def test_two_licences_in_a_file_whatever_the_corpus(table, monkeypatch, documents):
+    """Words that few files hold get rarer as the corpus grows, those of a common licence don't."""
+    common = set("licensed under the gnu general public license version 3".split())
+    weights = {w: math.log(1 + documents / (1 + (documents / 100 if w in common else 2))) for n in licenses.NOTICES for w in n.text.split()}
+    monkeypatch.setattr(licenses, "word_weights", lambda docs, text_col: weights)
+    whole = max((n for n in licenses.NOTICES if n.label == "mit"), key=lambda n: len(n.text)).text
+    texts = ["Licensed under the GNU General Public License, version 3. No noninfringement.", f"{whole}. Licensed under the GNU General Public License, version 3.", "noninfringement merchantability gnu license"]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(table(list(enumerate(texts)))).collect()}
+    assert got == {0: "gpl-3", 1: "gpl-3,mit", 2: ""}
+
+
 def test_clashing_columns(spark, tmp_path):
     rows = [(1, "under the MIT license a@b.co", 5, 6, 7, 8)]
     path = str(tmp_path / "clash")
