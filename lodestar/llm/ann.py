@@ -4,7 +4,8 @@
    the nearest of anything. Classes are what is indexed and compared.
 2. Each of ``TABLES`` hash tables cuts Gaussian projections of the unit vectors into slots of
    ``WIDTH``; their number grows with the logarithm of the classes, so that buckets keep their size.
-   Rows shuffle by (table, bucket); buckets of more than ``PART`` classes are split.
+   Rows shuffle by (table, bucket); buckets of more than ``PART`` classes, or visited by more than
+   ``BLOCK`` queries, are dealt to several tasks.
 3. A query visits, besides its own bucket, the buckets a slot or two away in some projections, in
    the order of their estimated success: the sum of squared distances from the query to the slot
    borders crossed. How many it visits is fitted: the neighbours of ``FIT_QUERIES`` queries are found
@@ -33,7 +34,7 @@ from ._common import map_arrow, ref, stored, table
 
 TABLES, WIDTH = 6, 1.5
 BUCKET = 500  # classes that a bucket holds on average, for vectors without structure
-PART, BLOCK = 16_384, 4_096  # classes and queries that meet in one task, at most
+PART, BLOCK = 16_384, 4_096  # classes and queries of a bucket that meet in one task, about
 MOST_PROJECTIONS = 8
 FIT_QUERIES, RECALL = 64, 0.96
 SEED = 20240229
@@ -189,14 +190,19 @@ def _probed(hashed: DataFrame, sizes: DataFrame, asked: DataFrame, projections:
                 q, dim = (np.repeat(b.column(x).to_numpy()[i : i + 64], list(map(len, keys))) for x in ("c", "dim"))
                 yield pa.RecordBatch.from_pydict({"q": q, "dim": dim, "key": np.concatenate(keys)})
 
-    wanted = map_arrow(asked.select("c", "dim", "vector"), visits, "q long, dim int, key long")
-    wanted = wanted.join(sizes, ["dim", "key"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    wanted = stored(map_arrow(asked.select("c", "dim", "vector"), visits, "q long, dim int, key long"), "visits")
+    visitors = wanted.groupBy("dim", "key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    dealt = stored(sizes.join(visitors, ["dim", "key"]), "dealt")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    wanted = wanted.join(dealt, ["dim", "key"]).withColumn("block", F.pmod(F.xxhash64("q"), "blocks").cast("int"))
+    wanted = wanted.withColumn("part", every(F.col("parts"))).drop("parts", "blocks")
     units = hashed.select("c", F.col("unit").alias("asked")).join(asked.select("c", "floor"), "c").withColumnRenamed("c", "q")
     wanted = wanted.join(units, "q")
-    large = sizes.where("parts > 1")  # at most TABLES * classes / PART rows
+    large = dealt.where("parts > 1 or blocks > 1")
     rows = hashed.select("c", "dim", "unit", F.explode("keys").alias("key")).join(large, ["dim", "key"], "left")
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    key = ["dim", "key", "part"]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("c"), F.coalesce("parts", F.lit(1))).cast("int"))
+    rows = rows.withColumn("block", every(F.coalesce("blocks", F.lit(1)))).drop("parts", "blocks")
+    key = ["dim", "key", "part", "block"]
     return stored(rows.groupBy(key).cogroup(wanted.groupBy(key)).applyInArrow(_compare(k), PAIRS), "pairs")
 
 

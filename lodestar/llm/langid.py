@@ -24,7 +24,8 @@ FILTERS = 16  # of each width
 EMBEDDING = 8
 PAD = 256
 STEP = WINDOW - max(WIDTHS) + 1  # windows overlap, so that no filter misses a place
-SAMPLE, LEAST = 1000, 5  # documents learned from, in all; of each language at least, about
+SAMPLE, LEAST = 1000, 5  # documents learned from, in all; of each language at least, about, but always one
+WINDOWS = 64  # of a document that are learned from, at most
 EPOCHS, BATCH, RATE = 8, 64, 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 
@@ -121,8 +122,10 @@ def _bytes(text: str) -> bytes:
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> ByteNetwork | None:
     """A network from about ``sample`` documents, as many of each language, chosen by a hash of their ids; None without any.
 
-    Every language is learned, each from about ``LEAST`` documents or more, so very many languages bring
-    more than ``sample``. Of a chosen document all windows count. Rows without a language or text don't.
+    Every language with a letter in some text is learned: from one document always, and from about
+    ``LEAST`` or more, so very many languages bring more than ``sample``. Of a chosen document all
+    windows count, or ``WINDOWS`` at even distances over its whole text, so what comes to the driver is
+    at most ``2 * WINDOW * WINDOWS`` bytes a document. Rows without a language or text don't count.
     """
     rows = docs.select(ref(id_col).alias("id"), ref(text_col).alias("text"), ref(lang_col).alias("lang")).where("lang is not null and text is not null")
     # stored, so that its size is known: where it's small no text has to meet its language in a task
@@ -132,6 +135,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     # uniform in [0, 1) by the id's hash
     uniform = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
     chosen = rows.withColumn("u", uniform).join(counts, "lang").where(F.col("u") < share).select("text", "lang")
+    # the share may miss a language: the document of the smallest hash is learned from too
+    first = F.min_by("text", F.struct(~F.col("text").rlike(r"\p{L}"), F.xxhash64("id", "text")))
+    chosen = chosen.unionAll(rows.groupBy("lang").agg(first.alias("text")).select("text", "lang"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,6 +145,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for t, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if _LETTER.search(t):
                     w, _ = windows(_bytes(t))
+                    if len(w) > WINDOWS:
+                        w = w[np.arange(WINDOWS) * len(w) // WINDOWS]
                     langs += [lang] * len(w)
                     data += [x.astype("<i2").tobytes() for x in w]
             yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(data, pa.binary())], names=["lang", "window"])

@@ -188,6 +188,41 @@ def test_every_language_is_learned(table, monkeypatch):
     assert learned == langs
 
 
+def test_languages_of_many_documents_are_learned(spark, table, monkeypatch):
+    docs = table([], "doc_id long, text string, lang string, u int, window int, count int").unionByName(spark.range(60_000).selectExpr("id as doc_id", "concat('text ', id) as text", "concat('l', id % 1000) as lang", "1 as u", "2 as window", "3 as count"))
+    learned = []
+    monkeypatch.setattr(langid.ByteNetwork, "train", classmethod(lambda cls, rows, y, languages: learned.append((len(rows), languages))))
+    langid.train(docs)
+    assert len(learned[0][1]) == 1000 and learned[0][0] < 10_000
+    learned.clear()
+    langid.train(table([(1, "word " * 200_000, "x"), (2, "12 34", "none")], "doc_id long, text string, lang string"))
+    assert learned[0][1] == ["x"] and learned[0][0] <= 2 * langid.WINDOWS
+
+
+def test_a_bucket_that_most_queries_visit(spark, table, monkeypatch, tmp_path):
+    """All vectors lie close together, so all queries visit the same buckets; tasks stay small and results the same."""
+    r = np.random.RandomState(4)
+    v = 1 + 0.02 * r.randn(1500, 6)
+    vectors = table([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+    read = lambda: sorted((x.query_id, x["rank"], x.vec_id) for x in ann.nearest(vectors, F.col("vec_id") % 5 == 0).collect())
+    want, compare, seen = read(), ann._compare, tmp_path / "seen"
+    seen.mkdir()
+
+    def noted(k):
+        task = compare(k)
+
+        def run(left, right):
+            (seen / f"{right.num_rows}").touch()
+            return task(left, right)
+
+        return run
+
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "_compare", noted)
+    assert read() == want and 64 < max(int(p.name) for p in seen.iterdir()) < 110
+
+
+
 def test_windows_cover_every_place():
     data = bytes(range(256)) * 5
     rows, weight = langid.windows(data)
