@@ -27,6 +27,7 @@ from ._common import BITMAP_BITS, bit_set, map_arrow, ref, stored, table
 
 LEAST = 30  # documents of its language that hold a kept term
 TOP = 50
+HELD = 500_000  # counts that a task adds up before it hands them on
 SMOOTHING, SCALE = 5, 1_000_000_000
 ROWS = 4  # of the sketch
 WIDTH = BITMAP_BITS // ROWS  # counters of a row within a block
@@ -44,22 +45,28 @@ def terms_of(text: bytes) -> list[bytes]:
 
 
 def _counted(docs: DataFrame, exact: bool) -> DataFrame:
-    """(lang, source, term, documents, occurrences), added up within slices of documents; without ``exact`` all sources are ''."""
+    """(lang, source, term, documents, occurrences), added up over as many documents of a task as bring ``HELD`` rows; without ``exact`` all sources are ''."""
+
+    def rows(groups: dict[tuple[str, str], tuple[Counter, Counter]]) -> Iterator[pa.RecordBatch]:
+        for (lang, source), (documents, occurrences) in groups.items():
+            n = len(documents)
+            columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(documents.keys(), pa.binary()).cast(pa.string()), pa.array(documents.values(), pa.int64())]
+            columns.append(pa.array([occurrences[t] for t in documents] if exact else [0] * n, pa.int64()))
+            yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "documents", "occurrences"])
+        groups.clear()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         for b in batches:
-            groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).cast(pa.binary()).to_pylist()):
                 documents, occurrences = groups.setdefault((lang, source if exact else ""), (Counter(), Counter()))
                 terms = terms_of(text)
                 documents.update(set(terms))
                 if exact:
                     occurrences.update(terms)
-            for (lang, source), (documents, occurrences) in groups.items():
-                n = len(documents)
-                columns = [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(documents.keys(), pa.binary()).cast(pa.string()), pa.array(documents.values(), pa.int64())]
-                columns.append(pa.array([occurrences[t] for t in documents], pa.int64()))
-                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "documents", "occurrences"])
+            if sum(len(documents) for documents, _ in groups.values()) > HELD:
+                yield from rows(groups)
+        yield from rows(groups)
 
     return map_arrow(docs.select("lang", "source", "text"), run, "lang string, source string, term string, documents long, occurrences long")
 
