@@ -1,13 +1,14 @@
 """Token counts without ids: pieces are counted once for each distinct pre-token.
 
-1. Every text is cut into pre-tokens, which no piece of the model crosses. The distinct ones of the
-   corpus, with their frequencies, are a table; the model splits each of them once and keeps how many
-   pieces it gives.
+1. Every text is cut into pre-tokens wherever no piece of the model can cross: before a space, and
+   between characters that stand side by side in no piece, directly or through others. The distinct
+   ones of the corpus, with their frequencies, are a table; the model splits each of them once and
+   keeps how many pieces it gives.
 2. Every document becomes the frequencies of its own pre-tokens. They are joined with that table, and
    frequency times pieces is summed.
 
 Words that hold a large part of all rows never shuffle: the ``HOT`` most frequent pre-tokens (of at
-most ``HOT_BYTES`` bytes, so that they're some 8 MB) are sent to all tasks, where their share of a
+most ``HOT_BYTES`` bytes, 8 MB in all) are sent to all tasks, where their share of a
 document's sum is made in place. Only the frequencies of the others are joined by a shuffle.
 """
 
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -25,24 +26,29 @@ from ._common import map_arrow, ref, stored, table
 from .tokens import vocabulary
 
 PIECES = "piece_bpe_32k.model"
-HOT, HOT_BYTES = 65_536, 64
+HOT, HOT_BYTES = 262_144, 32
+HELD = 500_000  # distinct pre-tokens that a task adds up before it hands them on
 LIMIT = 4096
 MARK = "▁"  # how the model writes a space
-_RUNS = re.compile(f"{MARK}+[^{MARK}]*")
 
 
-def cut(text: str) -> list[str]:
-    """The pre-tokens of a text, without their first mark: each is a run of spaces and what follows up to the next one.
+def cut_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Matches pre-tokens: marks, then a run of characters that pieces connect, or one character that they don't."""
+    parent: dict[str, str] = {}
 
-    The model puts a mark before every text that isn't empty and reads a space as one.
-    """
-    if not text:
-        return []
-    marked = text.replace(" ", MARK)
-    parts = marked.split(MARK)
-    if "" not in parts:
-        return parts
-    return [p[1:] for p in _RUNS.findall(MARK + marked)]
+    def find(c: str) -> str:
+        while (p := parent.setdefault(c, c)) != c:
+            parent[c] = c = parent[p]
+        return c
+
+    beside = {pair for p in pieces for pair in zip(p.lstrip(MARK), p.lstrip(MARK)[1:])}
+    for x, y in beside:
+        parent[find(x)] = find(y)
+    groups: dict[str, str] = {}
+    for c in sorted(parent):
+        groups[find(c)] = groups.get(find(c), "") + c
+    runs = [f"[{re.escape(g)}]+" for g in sorted(groups.values(), key=lambda g: (-len(g), g))]
+    return re.compile(f"{MARK}*(?:{'|'.join([*runs, f'[^{MARK}]'])})|{MARK}+")
 
 
 class PieceCounter:
@@ -63,13 +69,16 @@ class PieceCounter:
         crossing = any(MARK in p.piece.lstrip(MARK) or p.type == p.USER_DEFINED for p in model.pieces)
         if n.precompiled_charsmap or not n.add_dummy_prefix or n.remove_extra_whitespaces or not n.escape_whitespaces or t.treat_whitespace_as_suffix or t.model_type != t.BPE or crossing:
             raise ValueError("pieces of this model may cross a space")
+        self.pattern = cut_pattern(p.piece for p in model.pieces if p.type == p.NORMAL)
+        n.add_dummy_prefix = False  # pre-tokens bring their own mark
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
-        # the mark alone can't be asked for, as the model puts it before no empty text
-        known = not self.model.is_unknown(self.model.piece_to_id(MARK))
-        self.mark = 1 if known or not t.byte_fallback else len(MARK.encode())
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a text. The model puts a mark before every text that isn't empty and reads a space as one."""
+        return self.pattern.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def counts(self, parts: list[str]) -> list[int]:
-        return [len(ids) if p else self.mark for p, ids in zip(parts, self.model.encode(parts, num_threads=1))]
+        return [len(ids) for ids in self.model.encode(parts, num_threads=1)]
 
 
 _COUNTERS: dict[str, PieceCounter] = {}
@@ -86,15 +95,21 @@ def _texts(column) -> list[str]:
     return ["" if t is None else t for t in column.to_pylist()]
 
 
-def distinct_parts(docs: DataFrame, text_col: str = "text") -> DataFrame:
+def distinct_parts(docs: DataFrame, path: str, text_col: str = "text") -> DataFrame:
     """(part, freq) of every distinct pre-token of all texts."""
 
+    def rows(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["part", "freq"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, cut = Counter(), counter(path).cut
         for b in batches:
-            seen: Counter[str] = Counter()
             for t in _texts(b.column(0)):
                 seen.update(cut(t))
-            yield pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], names=["part", "freq"])
+            if len(seen) > HELD:
+                yield rows(seen)
+                seen.clear()
+        yield rows(seen)
 
     return map_arrow(docs.select(ref(text_col).alias("text")), run, "part string, freq long").groupBy("part").agg(F.sum("freq").alias("freq"))
 
@@ -110,12 +125,13 @@ def piece_table(parts: DataFrame, path: str) -> DataFrame:
     return map_arrow(parts, run, "part string, freq long, pieces long")
 
 
-def frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def frequencies(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, parts, freqs): the pre-tokens of every document with their frequencies; none for an empty text."""
     rows = docs.select(ref(id_col).alias("doc_id"), F.coalesce(F.octet_length(ref(text_col)), F.lit(0)).cast("long").alias("n_bytes"), ref(text_col).alias("text"))
     strings, numbers = pa.list_(pa.string()), pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cut = counter(path).cut
         for b in batches:
             each = [Counter(cut(t)) for t in _texts(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([list(c) for c in each], strings), pa.array([list(c.values()) for c in each], numbers)], names=["doc_id", "n_bytes", "parts", "freqs"])
@@ -132,11 +148,11 @@ def token_counts(docs: DataFrame, path: str, limit: int = LIMIT, id_col: str = "
     ignored. An empty table gives no rows. A text without spaces is one pre-token, however long.
     """
     counter(path)  # a model that can't be cut is refused here
-    pieces = stored(piece_table(distinct_parts(docs, text_col), path), "pieces")
+    pieces = stored(piece_table(distinct_parts(docs, path, text_col), path), "pieces")
     common = pieces.where(F.octet_length("part") <= HOT_BYTES).orderBy(F.desc("freq"), "part").limit(hot)
     common = stored(common.select("part", "pieces"), "hot-pieces")
     # a row of each document for all its hot pre-tokens, and one for each other that it holds
-    each = frequencies(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
+    each = frequencies(docs, path, id_col, text_col).withColumn("uid", F.monotonically_increasing_id())
     each = each.select("uid", "doc_id", "n_bytes", F.explode_outer(F.arrays_zip("parts", "freqs")).alias("x")).select("uid", "doc_id", "n_bytes", F.col("x.parts").alias("part"), F.col("x.freqs").alias("freq"))
     each = each.join(F.broadcast(common), "part", "left")  # at most ``hot`` rows of ``HOT_BYTES``
     rest = F.when(F.col("pieces").isNull(), F.col("part"))
