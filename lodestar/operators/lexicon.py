@@ -81,6 +81,15 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def there(df: DataFrame) -> bool:
+    """Whether the first file that ``df`` reads still exists."""
+    files, spark = df.inputFiles(), df.sparkSession
+    if not files:
+        return True
+    path = spark._jvm.org.apache.hadoop.fs.Path(files[0])
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path)
+
+
 def groups_of(pairs: DataFrame) -> DataFrame:
     """(node, label): connected components of (a, b) text pairs, each named by its smallest member."""
     both = kept(pairs.union(pairs.select("b", "a")).distinct(), "pairs")

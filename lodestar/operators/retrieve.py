@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import cap_heaviest, idf_weight, is_generic
 from ..functions.text import collapse, normalize, normalize_sku, phrase_match, tokenize
+from .blocks import BITS, best_hits, block_of, numbered
 from .lexicon import kept, token_df
 
 LEVELS = {"title": 1, "tags": 2, "brand": 3, "category": 4, "specs": 5, "description": 0}
@@ -36,16 +37,21 @@ def postings(products: DataFrame, fields: tuple[str, ...] = tuple(LEVELS)) -> Da
     return each.select(F.explode("tokens").alias("token"), "product_id", "level")
 
 
-def profile(queries: DataFrame, products: DataFrame, ratio: float = 0.15) -> DataFrame:
+def query_tokens(queries: DataFrame) -> Column:
+    """The tokens of a query: those given as ``tokens``, else those of its text."""
+    return F.col("tokens") if "tokens" in queries.columns else tokenize(normalize("raw_q"))
+
+
+def profile(queries: DataFrame, products: DataFrame, ratio: float = 0.15, frequencies: DataFrame | None = None) -> DataFrame:
     """(query_id, at, token, short, required, weight, total, needed) of every query token.
 
     Generic tokens aren't required and weigh 0.1; no token weighs more than all others together.
     """
     total = products.agg(F.count(F.lit(1)).alias("n"))  # one row
     n = F.col("n")
-    tokens = queries.select("query_id", F.posexplode(tokenize(normalize("raw_q"))).alias("at", "token"))
+    tokens = queries.select("query_id", F.posexplode(query_tokens(queries)).alias("at", "token"))
     df = F.coalesce("df", F.lit(0))
-    known = tokens.join(token_df(products), "token", "left").join(F.broadcast(total))
+    known = tokens.join(token_df(products) if frequencies is None else frequencies, "token", "left").join(F.broadcast(total))
     generic = is_generic(F.col("token"), df, n, ratio)
     known = known.select("query_id", "at", "token", generic.alias("generic"), idf_weight(df, n, generic).alias("weight"))
     row = F.struct("at", "token", "generic", "weight")
@@ -57,7 +63,12 @@ def profile(queries: DataFrame, products: DataFrame, ratio: float = 0.15) -> Dat
 
 
 def levels(tokens: DataFrame, index: DataFrame, whole_words: int = 0) -> DataFrame:
-    """The columns of ``tokens`` with product_id and level for every product that holds the token.
+    """The columns of ``tokens`` with product_id and level for every product that holds the token; see ``asked_lists``."""
+    return tokens.join(asked_lists(tokens, index, whole_words).select(F.col("asked").alias("token"), "product_id", "level"), "token").drop("short")
+
+
+def asked_lists(tokens: DataFrame, index: DataFrame, whole_words: int = 0) -> DataFrame:
+    """(asked, product_id, level, and docno if ``index`` has it): the products that hold each token asked for, at its best level.
 
     Prefixes are resolved on the words themselves, each once, through their first three characters; what
     they stand for then meets the postings by whole words. Tokens of up to ``whole_words`` characters
@@ -69,8 +80,13 @@ def levels(tokens: DataFrame, index: DataFrame, whole_words: int = 0) -> DataFra
     meant = asked.join(words, "key").where(F.when(whole, F.col("token") == F.col("asked")).otherwise(F.startswith("token", "asked"))).select("asked", "short", "token")
     met = meant.join(index, "token").where(~F.col("short") | F.col("level").isin(1, 2))
     # of the words that a prefix stands for the best one counts, before queries multiply it
-    met = met.groupBy("asked", "product_id").agg(F.coalesce(F.min(F.when(F.col("level") > 0, F.col("level"))), F.lit(0)).alias("level"))
-    return tokens.join(met.withColumnRenamed("asked", "token"), "token").drop("short")
+    own = [c for c in ("product_id", "docno") if c in index.columns]
+    return met.groupBy("asked", *own).agg(F.coalesce(F.min(F.when(F.col("level") > 0, F.col("level"))), F.lit(0)).alias("level"))
+
+
+def level_worth(description: float = DESCRIPTION_WEIGHT) -> Column:
+    """The weight of a level."""
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), F.col("level")), F.lit(description))
 
 
 def scored(found: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
@@ -79,15 +95,16 @@ def scored(found: DataFrame, queries: DataFrame, products: DataFrame) -> DataFra
     Generic tokens only count where a field other than the description holds them.
     """
     level, w, need = F.col("level"), F.col("weight"), F.col("required")
-    worth = F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in WEIGHTS.items() for x in kv)), level), F.lit(0.0))
+    worth = level_worth(0.0)
     counts = lambda c: F.sum(F.when(c, 1).otherwise(0))
     hits = found.groupBy("query_id", "product_id", "total", "needed").agg(
         counts(need).alias("held"), counts(need & (level == 1)).alias("title_hits"), counts(need & (level > 1)).alias("field_hits"), counts(need & level.isin(1, 2)).alias("name_hits"),
         F.sum(w * worth).alias("credit"), F.sum(F.when(need & (level == 0), w).otherwise(0.0)).alias("described"), F.sum(F.when(need | (level > 0), w).otherwise(0.0)).alias("held_weight"),
     )
     hits = hits.where("held > 0")
-    asked = queries.select("query_id", tokenize(normalize("raw_q")).alias("tokens"))
-    named = products.select("product_id", "popularity", normalize("title").alias("normalized_title"))
+    asked = queries.select("query_id", query_tokens(queries).alias("tokens"))
+    title = F.col("normalized_title") if "normalized_title" in products.columns else normalize("title").alias("normalized_title")
+    named = products.select("product_id", "popularity", title)
     hits = hits.join(asked, "query_id").join(named, "product_id")
     phrase = F.when(F.col("needed") > 1, phrase_match("normalized_title", F.col("tokens"))).otherwise(False)
     score = (F.col("credit") + DESCRIPTION_WEIGHT * F.col("described")) / F.col("total") + F.when(F.col("phrase"), PHRASE_BONUS).otherwise(0.0)
@@ -102,43 +119,98 @@ def ranked(hits: DataFrame, limit: int = 20) -> DataFrame:
 
 
 class Index:
-    """A catalog's postings with the profile rule for its queries; both are made once, when first needed."""
+    """A catalog's postings with the profile rule for its queries; both are made once, when first needed.
+
+    ``bits``: the size of the blocks by which top hits are found, as a power of two (15 at most).
+    """
 
-    def __init__(self, products: DataFrame, ratio: float = 0.15):
-        self.source, self.ratio = products, ratio
+    def __init__(self, products: DataFrame, ratio: float = 0.15, bits: int = BITS):
+        self.source, self.ratio, self.bits = products, ratio, bits
 
     @cached_property
     def products(self) -> DataFrame:
-        """The columns that ranking uses, without the long texts."""
-        return kept(self.source.drop("description", "specs"), "products")
+        """The columns that ranking uses, without the long texts, with the product's number by popularity."""
+        rows = kept(self.source.drop("description", "specs").withColumn("normalized_title", normalize("title")), "products")
+        return kept(numbered(rows, "docno", F.desc("popularity"), F.asc("product_id")), "products")
+
+    @cached_property
+    def popularity(self) -> DataFrame:
+        """(block, most): the best popularity of each block."""
+        return kept(self.products.groupBy(block_of(bits=self.bits).alias("block")).agg(F.max(F.coalesce("popularity", F.lit(0))).cast("long").alias("most")), "popularity")
+
+    @cached_property
+    def frequencies(self) -> DataFrame:
+        return kept(token_df(self.products), "frequencies")
 
     @cached_property
     def postings(self) -> DataFrame:
         # normalizing is what takes time here: rows are dealt evenly before it
-        return kept(postings(self.source.repartition("product_id")), "postings")
+        return kept(postings(self.source.repartition("product_id")).join(self.products.select("product_id", "docno"), "product_id"), "postings")
+
+    def profile(self, queries: DataFrame) -> DataFrame:
+        """Stored: the profile of the queries' tokens."""
+        return kept(profile(queries, self.products, self.ratio, self.frequencies), "profile")
+
+    def lists(self, prof: DataFrame, where: str = "true", whole_words: int = 0) -> DataFrame:
+        """Stored: the lists of the profile's tokens over some of the postings."""
+        return kept(asked_lists(prof, self.postings.where(where), whole_words), "lists")
+
+    def best(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, limit: int, omit: bool = False) -> DataFrame:
+        """Stored: scored hits with the ``limit`` best of each query among those that hold all required tokens (with ``omit``: all but one at least)."""
+        return best_hits(prof, lists, self.popularity, lambda found: scored(found, queries, self.products), level_worth(), PHRASE_BONUS, limit, omit, self.bits)
+
+    def partial(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, full: DataFrame, limit: int, least: Column | None = None) -> DataFrame:
+        """Scored hits of the queries of ``prof`` that miss some required token, with the ``limit`` best of each query.
+
+        Those that miss one are found by blocks. Only queries for which they aren't enough, and that may
+        miss more (down to ``least`` of ``needed``, else to one), meet all products with some of their tokens.
+        """
+        missing = self.best(prof.where("needed > 1"), lists, queries, limit, omit=True).where("held < needed")
+        there = missing.unionByName(full).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        fewer = (F.lit(1) if least is None else least) < F.col("needed") - 1
+        thin = prof.select("query_id", "needed").distinct().where(fewer).join(there, "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit).select("query_id")
+        thin = kept(thin, "thin")
+        every = scored(prof.join(thin, "query_id", "left_semi").join(lists.select(F.col("asked").alias("token"), "product_id", "level"), "token"), queries, self.products).where("held < needed")
+        return missing.join(thin, "query_id", "left_anti").unionByName(every)
 
     def strict(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Products that hold every required token somewhere."""
-        hits = scored(levels(profile(queries, self.products, self.ratio), self.postings), queries, self.products)
-        return ranked(hits.where("held = needed"), limit)
+        prof = self.profile(queries)
+        return ranked(self.best(prof, self.lists(prof), queries, limit).where("held = needed"), limit)
 
     def any_terms(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """Products that hold some required token; ``partial`` where one is missing. Three-letter tokens count as whole words."""
-        hits = scored(levels(profile(queries, self.products, self.ratio), self.postings, SHORT), queries, self.products)
+        prof = self.profile(queries)
+        lists = self.lists(prof, whole_words=SHORT)
+        full = self.best(prof, lists, queries, limit)
+        enough = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+        rest = kept(prof.join(enough, "query_id", "left_anti"), "rest")
+        hits = full.unionByName(self.partial(rest, lists, queries, full, limit))
         return ranked(hits.withColumn("partial", F.col("held") < F.col("needed")), limit)
 
     def soft_and(self, queries: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:
         """For queries of two or more required tokens with fewer than ``enough`` full hits: products with half of them, at half the score."""
-        return soft_hits(scored(levels(profile(queries, self.products, self.ratio), self.postings), queries, self.products), limit, enough)
+        prof = self.profile(queries)
+        lists = self.lists(prof)
+        return self.soft(prof, lists, queries, self.best(prof, lists, queries, limit), limit, enough)
+
+    def soft(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, full: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:
+        """``soft_and`` where the full hits are known."""
+        many = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(enough, limit))
+        rest = kept(prof.join(many, "query_id", "left_anti"), "rest")
+        half = F.ceil(F.col("needed") * SOFT_SHARE)
+        some = self.partial(rest, lists, queries, full.limit(0), limit, half).where(F.col("held") >= half)
+        return ranked(some.withColumn("score", F.round(F.col("score") * SOFT_FACTOR, 7)), limit)
 
     def structured(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """All required tokens in fields other than the description."""
-        fields = levels(profile(queries, self.products, self.ratio), self.postings.where("level > 0"))
-        return ranked(scored(fields, queries, self.products).where("held = needed"), limit)
+        prof = self.profile(queries)
+        return ranked(self.best(prof, self.lists(prof, "level > 0"), queries, limit).where("held = needed"), limit)
 
     def title_only(self, queries: DataFrame, limit: int = 20) -> DataFrame:
         """All required tokens in the title; the score is the title's weight and the phrase bonus."""
-        fields = levels(profile(queries, self.products, self.ratio), self.postings.where("level = 1"))
+        prof = self.profile(queries)
+        fields = levels(prof, self.postings.where("level = 1"))
         hits = scored(fields, queries, self.products).where("held = needed")
         return ranked(hits.withColumn("score", WEIGHTS[1] + F.when(F.col("phrase"), PHRASE_BONUS).otherwise(0.0)), limit)
 

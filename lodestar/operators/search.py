@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import normalize, tokenize
 from .lexicon import kept
-from .retrieve import Index, intent_hits, levels, merge_best, profile, ranked, scored, soft_hits
+from .retrieve import Index, intent_hits, merge_best, profile, ranked
 from .rewrite import recover
 from .vector import blend, boosted, tail_capped
 
@@ -48,8 +48,9 @@ def keyword_search(index: Index, queries: DataFrame, intents: DataFrame | None =
     words that finds nothing is searched for any of them; one of generic words only has no text hits, and
     gets the products of the intents it names if it has no others.
     """
-    prof = kept(profile(queries, index.products, index.ratio), "profile")
-    hits = kept(scored(levels(prof, index.postings), queries, index.products), "hits")
+    prof = index.profile(queries)
+    lists = index.lists(prof)
+    hits = index.best(prof, lists, queries, limit)
     # of a query's words: how many, and whether all are generic
     shape = kept(prof.groupBy("query_id").agg(F.count(F.lit(1)).alias("words"), F.max("needed").alias("needed")), "shape")
     mark = lambda df, partial, title, spec, coverage, seq: df.select("query_id", "product_id", F.lit(partial).alias("partial"), coverage.alias("coverage"), title.alias("title_match"), spec.alias("spec_match"), "score", (F.col("rank") + seq).alias("seq"))
@@ -59,7 +60,7 @@ def keyword_search(index: Index, queries: DataFrame, intents: DataFrame | None =
     spaced = mark(spaced, False, F.col("title_match"), ~F.col("title_match"), F.lit(1.0), limit)
     whole = kept(full.unionByName(spaced.join(full.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti")), "whole")
     thin = shape.join(whole.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")), "query_id", "left").where((F.coalesce("n", F.lit(0)) < min(ENOUGH, limit)) & (F.col("words") > 1))
-    some = soft_hits(hits.join(thin.select("query_id"), "query_id", "left_semi"), limit, ENOUGH)
+    some = index.soft(prof.join(thin.select("query_id"), "query_id", "left_semi"), lists, queries, hits, limit, ENOUGH)
     text = merge_best(whole.unionByName(mark(some, True, in_title, in_field, F.col("coverage"), 2 * limit)), limit)
     text = text.select("query_id", "product_id", F.when(F.col("partial"), "partial").otherwise("text").alias("match_type"), "score", "rank", F.lit(1).alias("source"))
     codes = kept(index.sku(queries, limit).select("query_id", "product_id", F.lit("sku").alias("match_type"), "score", "rank", F.lit(0).alias("source")), "codes")

@@ -11,9 +11,7 @@ from ..operators import lexicon as X
 from ..operators.catalog import server_rows
 from ..operators.retrieve import Index
 from ..operators.search import keyword_search
-from .views import view, with_views
-
-RATIO = 0.5  # the driver's catalog has few words, each in many products
+from .views import RATIO, index_of, view, with_views
 
 W = r"[\p{L}\p{N}]+"
 ROMAN = "(viii|vii|iii|iv|vi|ix|ii)"
@@ -81,7 +79,7 @@ def _retrieval(tail: str, where_level: str = "true", whole: int = 0) -> str:
 
 
 def _index(spark: SparkSession, d: str) -> tuple[Index, DataFrame]:
-    return Index(view(spark, d, "products_v"), RATIO), view(spark, d, "queries_v")
+    return index_of(spark, d), view(spark, d, "queries_v")
 
 
 def _kw(name: str):

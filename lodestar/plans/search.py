@@ -11,10 +11,10 @@ from ..operators import lexicon as X
 from ..operators import lifecycle as L
 from ..operators import rewrite as R
 from ..operators import vector as V
-from ..operators.retrieve import Index, in_order, intent_hits, merge_best, profile
+from ..operators.retrieve import in_order, intent_hits, merge_best, profile
 from ..operators.search import hybrid_search, keyword_search, resolve_intents
-from .catalog import _ORDER, _POSTINGS, _PROFILE, RATIO, SEARCH, _hits, intents, sql_normalize, sql_tokens
-from .views import view, with_views
+from .catalog import _ORDER, _POSTINGS, _PROFILE, SEARCH, _hits, intents, sql_normalize, sql_tokens
+from .views import RATIO, index_of, view, with_views
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def vec_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def _kw_sem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Strict hits of the queries, and as neighbours those of the vector that has the query's number."""
-    kw = Index(view(spark, d, "products_v"), RATIO).strict(view(spark, d, "queries_v"), 1000).select("query_id", "product_id", "score", (F.col("title_hits") == F.col("needed")).alias("solid"))
+    kw = index_of(spark, d).strict(view(spark, d, "queries_v"), 1000).select("query_id", "product_id", "score", (F.col("title_hits") == F.col("needed")).alias("solid"))
     return kw, _neighbours(spark, d, view(spark, d, "queries_v"))
 
 
@@ -54,7 +54,7 @@ def _neighbours(spark: SparkSession, d: str, queries: DataFrame) -> DataFrame:
 
 def search_full(spark: SparkSession, d: str) -> DataFrame:
     """From query text to the final list: codes pinned, keyword hits and neighbours blended."""
-    index, queries = Index(view(spark, d, "products_v"), RATIO), view(spark, d, "queries_v")
+    index, queries = index_of(spark, d), view(spark, d, "queries_v")
     words = keyword_search(index, queries, intents(spark)).withColumn("solid", F.col("match_type") == "text")
     return hybrid_search(index, queries, words, _neighbours(spark, d, queries)).select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "pinned")
 
@@ -93,7 +93,7 @@ def q_spell(spark: SparkSession, d: str) -> DataFrame:
 
 
 def q_profile(spark: SparkSession, d: str) -> DataFrame:
-    out = profile(view(spark, d, "queries_v"), view(spark, d, "products_v"), RATIO)
+    out = profile(view(spark, d, "queries_v"), index_of(spark, d).products, RATIO)
     return out.select("query_id", F.col("at").cast("long").alias("at"), "token", "required", F.round("weight", 6).alias("weight"), F.round("total", 6).alias("total"))
 
 
@@ -112,7 +112,7 @@ def q_entity_status(spark: SparkSession, d: str) -> DataFrame:
     p, q = view(spark, d, "products_v"), view(spark, d, "queries_v").where("raw_q like '%Brand#%'")
     brands = p.select(F.array_join(tokenize(normalize("brand")), " ").alias("phrase")).distinct()
     named = R.phrases_in(q, brands).select("query_id", F.col("phrase").alias("brand"))
-    hits = Index(p, RATIO).any_terms(q, 50).select("query_id", "product_id")
+    hits = index_of(spark, d).any_terms(q, 50).select("query_id", "product_id")
     return R.entity_statuses(hits, p, named).select("query_id", "product_id", "brand_status", "brand_active")
 
 
@@ -123,19 +123,19 @@ def q_intent(spark: SparkSession, d: str) -> DataFrame:
 
 def q_recover(spark: SparkSession, d: str) -> DataFrame:
     queries = spark.createDataFrame([(1, "samll gizmo"), (2, "hot gaer"), (3, "red ring"), (4, "zzzz"), (5, "قثی قهدل")], "query_id long, raw_q string")
-    index = Index(view(spark, d, "products_v"), RATIO)
+    index = index_of(spark, d)
     return R.recover(queries, _dictionary(spark, d), lambda q: index.strict(q, 1000))
 
 
 def kw_merge(spark: SparkSession, d: str) -> DataFrame:
-    index, q = Index(view(spark, d, "products_v"), RATIO), view(spark, d, "queries_v")
+    index, q = index_of(spark, d), view(spark, d, "queries_v")
     mark = lambda df, partial, seq: df.select("query_id", "product_id", F.lit(partial).alias("partial"), "coverage", (F.col("title_hits") > 0).alias("title_match"), (F.col("field_hits") > 0).alias("spec_match"), "score", F.lit(seq).alias("seq"))
     return merge_best(mark(index.strict(q), False, 0).unionAll(mark(index.soft_and(q), True, 1))).select("query_id", "product_id", "score", "rank")
 
 
 def _judgements(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     p, q = view(spark, d, "products_v"), view(spark, d, "queries_v")
-    results = Index(p, RATIO).title_only(q, 10).select("query_id", "rank", "product_id")
+    results = index_of(spark, d).title_only(q, 10).select("query_id", "rank", "product_id")
     words = q.select("query_id", F.explode(tokenize(F.lower("raw_q"))).alias("w"), F.size(tokenize(F.lower("raw_q"))).alias("n"))
     held = words.join(p.select("product_id", F.explode(F.array_distinct(tokenize(F.lower("title")))).alias("w")), "w").where("product_id % 3 = 0").groupBy("query_id", "product_id", "n").agg(F.count_distinct("w").alias("c")).where("c = n")
     relevant = q.select("query_id").join(held, "query_id", "left").groupBy("query_id").agg(F.collect_set("product_id").alias("relevant"))

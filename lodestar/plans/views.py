@@ -8,6 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.lexicon import there
+from ..operators.retrieve import Index
+
+RATIO = 0.5  # the driver's catalog has few words, each in many products
+
 VIEWS = {
     "products_v": """
         SELECT p.p_partkey AS product_id, p.p_name || ' ' || p.p_brand AS title, coalesce(d.text, '') AS description,
@@ -56,6 +61,18 @@ TABLES = "part documents lineitem events embeddings".split()
 _USES = {name: [t for t in TABLES if "{%s}" % t in text] for name, text in VIEWS.items()}
 
 
+_INDEXES: dict[tuple, Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> Index:
+    """The index of the catalog, made once for a session and folder, and anew if its files are gone."""
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir)
+    index = _INDEXES.get(key)
+    if index is None or not there(index.postings):
+        index = _INDEXES[key] = Index(view(spark, sf_dir, "products_v"), RATIO)
+    return index
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name], **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _USES[name]})
 
