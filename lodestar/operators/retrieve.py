@@ -290,16 +290,3 @@ def spacing_can_rank(text_hits: DataFrame, limit: int = 20) -> DataFrame:
     """(query_id) of queries whose last place isn't held by a full title hit that names in other spacing can't beat."""
     last = text_hits.where(F.col("rank") == limit).select("query_id", (F.col("partial") | ~F.col("title_match") | (F.col("score") < COLLAPSE_SCORE)).alias("open"))
     return text_hits.select("query_id").distinct().join(last, "query_id", "left").where(F.coalesce("open", F.lit(True))).select("query_id")
-
-
-def alias_hits(index: Index, queries: DataFrame, alternatives: DataFrame, limit: int = 20) -> DataFrame:
-    """Hits of a query through its alternatives' spellings: (query_id, variant) tables of ``alternatives``; each product at its best.
-
-    A product counts by its best variant: held words, then score.
-    """
-    numbered = alternatives.join(queries.select("query_id"), "query_id", "left_semi").distinct().select("query_id", "variant", F.xxhash64("query_id", "variant").alias("vid"))
-    numbered = kept(numbered, "alternatives")
-    hits = index.strict(numbered.select(F.col("vid").alias("query_id"), F.col("variant").alias("raw_q")), limit).withColumnRenamed("query_id", "vid").drop("rank")
-    each = hits.join(numbered.select("vid", F.col("query_id"), "variant"), "vid").drop("vid")
-    best = Window.partitionBy("query_id", "product_id").orderBy(F.desc("score"), "variant")
-    return ranked(each.withColumn("n", F.row_number().over(best)).where("n = 1").drop("n"), limit)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from itertools import product as every_choice
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, en_to_fa, fa_to_en, keeps_digits, name_and_digits, normalize, tokenize, transpositions
 
 LEAST_CORRECTED, SHORT_TOKEN, LATIN_TWO_EDITS, FIRST_LETTER, LEAST_FREQUENCY = 4, 4, 8, 6, 2
-VARIANTS, GROUP_TERMS = 6, 4
+GROUP_TERMS = 4
 
 
 def corrections(tokens: DataFrame, dictionary: DataFrame, blocked: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
@@ -50,46 +48,6 @@ def alias_groups(groups: DataFrame, blocked: tuple[str, ...] = ()) -> DataFrame:
     return groups.where(F.col("owner") | ((F.size("terms") <= GROUP_TERMS) & ~bad))
 
 
-def expand(tokens: list[str], terms: dict[str, list[str]], most: int = VARIANTS) -> list[list[str]]:
-    """The query and its variants: each longest known phrase, from the left, replaced by its alternatives, in all combinations."""
-    longest = max((len(t.split()) for t in terms), default=0)
-    spans: list[list[list[str]]] = []
-    at = 0
-    while at < len(tokens):
-        for size in range(min(longest, len(tokens) - at), 0, -1):
-            phrase = " ".join(tokens[at : at + size])
-            if phrase in terms:
-                spans.append([tokens[at : at + size], *(t.split() for t in terms[phrase])])
-                at += size
-                break
-        else:
-            spans.append([[tokens[at]]])
-            at += 1
-    out: list[list[str]] = []
-    for choice in every_choice(*spans):
-        variant = [t for part in choice for t in part]
-        if variant not in out:
-            out.append(variant)
-        if len(out) == most:
-            break
-    return out
-
-
-def variants(queries: DataFrame, terms: dict[str, list[str]], most: int = VARIANTS) -> DataFrame:
-    """(query_id, variants): see ``expand``. The scan is sequential, so it runs in Arrow batches over the query table; the owner's terms are a small file."""
-    from ..functions.shipping import ship
-
-    ship(queries.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([expand(t or [], terms, most) for t in b.column(1).to_pylist()], pa.list_(pa.list_(pa.string())))], names=["query_id", "variants"])
-
-    return queries.select(F.col("query_id").cast("long"), tokenize(normalize("raw_q")).alias("t")).mapInArrow(run, "query_id long, variants array<array<string>>")
-
-
 def spacing_variants(queries: DataFrame, terms: DataFrame) -> DataFrame:
     """(query_id, term) where the query is a known term with other spacing."""
     asked = queries.select("query_id", normalize("raw_q").alias("q"), collapse("raw_q").alias("c"))
@@ -152,19 +110,6 @@ def recover(queries: DataFrame, dictionary: DataFrame, search, terms: DataFrame
     return better.groupBy("query_id").agg(F.min_by(F.struct("step", "rewritten", "full"), "step").alias("b")).select("query_id", "b.*")
 
 
-def letter_digit_forms(tokens: Column) -> Column:
-    """Q2, Q4: array<array<string>>: the tokens, and where a word and a number touch or stand side by side, the other spelling (``kiln6``, ``kiln 6``)."""
-    parted = F.flatten(F.transform(tokens, lambda t: F.when(t.rlike(r"^\p{L}+[0-9]+$"), F.array(F.regexp_extract(t, r"^\p{L}+", 0), F.regexp_extract(t, "[0-9]+$", 0))).otherwise(F.array(t))))
-
-    def attach(acc: Column, t: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)
-        joins = t.rlike("^[0-9]{1,4}$") & F.coalesce(last.rlike(r"^\p{L}+$"), F.lit(False))
-        return F.when(joins, F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), F.concat(last, t))).otherwise(F.array_append(acc, t))
-
-    joined = F.aggregate(tokens, F.array().cast("array<string>"), attach)
-    return F.array_distinct(F.array(tokens, parted, joined))
-
-
 def conditions(queries: DataFrame, words: dict[str, str]) -> DataFrame:
     """Q11: (query_id, condition) that a query's words name; of several the first one. ``words``: word to condition."""
     known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))

@@ -58,7 +58,7 @@ voc{x} AS (SELECT DISTINCT word FROM post),
 mean{x} AS (SELECT token, word FROM (SELECT DISTINCT token FROM prof WHERE {only}) JOIN voc{x} ON left(word, 3) = left(token, 3) AND CASE WHEN length(token) < 3 OR length(token) <= {whole} THEN word = token ELSE starts_with(word, token) END),
 m{x} AS (SELECT query_id, pos, generic, w, total, needed, product_id, coalesce(min(CASE WHEN level > 0 THEN level END), 0) AS lv
       FROM prof JOIN mean{x} USING (token) JOIN post USING (word) WHERE {only} AND {where_level} AND (length(token) >= 3 OR level IN (1, 2)) GROUP BY ALL),
-g{x} AS (SELECT query_id, product_id, total, needed, count(*) FILTER (WHERE NOT generic) AS held, count(*) FILTER (WHERE NOT generic AND lv = 1) AS title_hits, count(*) FILTER (WHERE NOT generic AND lv > 1) AS field_hits,
+g{x} AS (SELECT query_id, product_id, total, needed, count(*) FILTER (WHERE NOT generic) AS held, count(*) FILTER (WHERE NOT generic AND lv = 1) AS title_hits, count(*) FILTER (WHERE NOT generic AND lv > 1) AS field_hits, count(*) FILTER (WHERE NOT generic AND lv IN (1, 2)) AS name_hits,
              sum(w * CASE lv WHEN 1 THEN 10 WHEN 2 THEN 8 WHEN 3 THEN 7 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 0 END) AS credit, sum(CASE WHEN NOT generic AND lv = 0 THEN w ELSE 0 END) AS described, sum(CASE WHEN NOT generic OR lv > 0 THEN w ELSE 0 END) AS held_weight
       FROM m{x} GROUP BY ALL HAVING count(*) FILTER (WHERE NOT generic) > 0),
 tt{x} AS (SELECT product_id, popularity, ' ' || array_to_string(regexp_extract_all(ntitle, '{W}'), ' ') AS words FROM pn),

@@ -97,12 +97,6 @@ def q_profile(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", F.col("at").cast("long").alias("at"), "token", "required", F.round("weight", 6).alias("weight"), F.round("total", 6).alias("total"))
 
 
-def q_variants(spark: SparkSession, d: str) -> DataFrame:
-    terms = {"gizmo": ["gadget"], "hot gear": ["warm gear", "gear"], "small": ["little", "tiny"]}
-    out = R.variants(view(spark, d, "queries_v"), terms)
-    return out.select("query_id", F.array_join(F.transform("variants", lambda v: F.array_join(v, " ")), " | ").alias("variants"))
-
-
 def q_phrases(spark: SparkSession, d: str) -> DataFrame:
     known = view(spark, d, "products_v").select(F.array_join(tokenize(normalize("brand")), " ").alias("phrase")).union(spark.createDataFrame([("hot gear",), ("gear",), ("economy small",), ("small",)], "phrase string"))
     return R.phrases_in(view(spark, d, "queries_v"), known)
@@ -181,7 +175,7 @@ def ids_in_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    search_full, vec_topk, vec_cosine_floor, vec_blocks, hyb_blend, hyb_boosts, hyb_tail_cap, q_spell, q_profile, q_variants, q_phrases, q_entity_status, q_intent, q_recover, kw_merge,
+    search_full, vec_topk, vec_cosine_floor, vec_blocks, hyb_blend, hyb_boosts, hyb_tail_cap, q_spell, q_profile, q_phrases, q_entity_status, q_intent, q_recover, kw_merge,
     eval_precision_recall, eval_ndcg_mrr, eval_compare, eval_golden_finish, life_diff, life_validate, ids_in_order,
 )}
 

@@ -81,4 +81,6 @@ def with_views(sql: str, *names: str) -> str:
     """The DuckDB form of a query over these views."""
     text = ", ".join(f"{n} AS ({VIEWS[n].format(**{t: t for t in TABLES})})" for n in names)
     body = sql.strip()
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {text}, {body[15:]}"
     return f"WITH {text}, {body[5:]}" if body[:5].upper() == "WITH " else f"WITH {text} {body}"

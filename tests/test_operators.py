@@ -97,11 +97,6 @@ def test_spelling(spark):
     assert got == {"battel": "battle", "controler": "controller", "kontroller": "controller", "monitar": "monitor", "monitar2": "monitor2"}
 
 
-def test_variants():
-    assert rewrite.expand(["hot", "gear", "x"], {"hot gear": ["warm"], "x": ["y", "z"]}) == [["hot", "gear", "x"], ["hot", "gear", "y"], ["hot", "gear", "z"], ["warm", "x"], ["warm", "y"], ["warm", "z"]]
-    assert rewrite.expand([], {"a": ["b"]}) == [[]]
-
-
 def test_longest_phrases_dont_overlap(spark):
     q = spark.createDataFrame([(1, "sony play station 4")], "query_id long, raw_q string")
     known = spark.createDataFrame([("play station",), ("station 4",), ("sony",), ("play",)], "phrase string")
