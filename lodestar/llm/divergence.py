@@ -23,17 +23,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import BITMAP_BITS, bit_set, map_arrow, ref, stored, table
+from ._common import map_arrow, ref, stored, table
 
 LEAST = 30  # documents of its language that hold a kept term
 TOP = 50
-HELD = 500_000  # counts that a task adds up before it hands them on
+HELD = 700_000  # counts that a task adds up before it hands them on
 SMOOTHING, SCALE = 5, 1_000_000_000
-ROWS = 4  # of the sketch
-WIDTH = BITMAP_BITS // ROWS  # counters of a row within a block
+ROWS, WIDTH = 2, 16_384  # of the sketch, and the counters of a row within a block
 #: Counters of a row, for each document: the sketch is wider than the terms are many, as long as it
-#: stays within ``MAX_BLOCKS`` bitmaps of 4 KiB (32 MiB). A fuller one only drops less.
-PER_DOCUMENT, MAX_BLOCKS = 8, 8192
+#: stays within ``MAX_BLOCKS`` lists of 4 KiB of bits (32 MiB). A fuller one only drops less.
+PER_DOCUMENT, MAX_BLOCKS = 16, 8192
+WORDS = ROWS * WIDTH // 64  # of the bits of a block
 
 #: Bytes of a term as they are, with A-Z in lower case; all others as spaces.
 _TERM_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -88,12 +88,15 @@ def sketch(docs: DataFrame, blocks: int) -> DataFrame:
 
 def _possible(rows: DataFrame, counters: DataFrame, blocks: int, least: int) -> DataFrame:
     """The rows whose term reaches ``least`` documents by all its counters."""
-    bits = counters.where(F.col("n") >= least).groupBy("block").agg(F.bitmap_construct_agg(F.col("counter").cast("long")).alias("bits"))
+    reached = counters.where(F.col("n") >= least).groupBy("block", F.shiftright("counter", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, counter & 63)")).alias("bits"))
+    words = reached.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("words"))  # WORDS at most
+    bits = words.select("block", F.transform(F.sequence(F.lit(0), F.lit(WORDS - 1)), lambda i: F.coalesce(F.try_element_at("words", i), F.lit(0).cast("long"))).alias("bits"))
     # stored, so that its true size, at most MAX_BLOCKS rows of 4 KiB, is known before it's sent around
     met = rows.withColumn("block", _block(blocks)).join(F.broadcast(stored(bits, "sketch-bits")), "block")
-    for c in _counters():
-        met = met.where(bit_set(F.col("bits"), c))
-    return met.drop("block", "bits")
+    met = met.select(*rows.columns, "bits", *(c.alias(f"c{i}") for i, c in enumerate(_counters())))
+    for i in range(ROWS):
+        met = met.where(f"(shiftright(bits[shiftright(c{i}, 6)], c{i} & 63) & 1) = 1")
+    return met.select(*rows.columns)
 
 
 def term_counts(docs: DataFrame, least: int = LEAST, blocks: int | None = None) -> DataFrame:
