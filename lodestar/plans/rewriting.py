@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize, tokenize
+from ..operators import entities as N
+from ..operators import lexicon as X
 from ..operators import variants as A
 from .catalog import _ORDER, _POSTINGS, _PROFILE, _hits, sql_tokens
-from .views import index_of, view, with_views
+from .views import RATIO, index_of, view, with_views
 
 #: The owner's alias groups for the driver's catalog.
 GROUPS = (
@@ -36,7 +38,43 @@ def kw_variants(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "product_id", "score", "title_match", "name_all", "rank")
 
 
-QUERIES = {f.__name__: f for f in (q_variants, kw_variants)}
+#: What the driver's catalog can be asked for besides its brands: names that are also common words, platforms, conditions.
+AMBIGUOUS, PLATFORMS = ("promo", "red ring"), {"l": ("large",), "s": ("small", "economy")}
+CONDITIONS, USED = {"used": ("old",), "new": ("new", "new rod")}, ("old",)
+
+
+def entities(spark: SparkSession, d: str) -> N.Entities:
+    products = view(spark, d, "products_v")
+    brands = products.select(N.phrase("brand").alias("phrase")).distinct().withColumn("ambiguous", F.lit(False))
+    return N.Entities(brands.unionByName(spark.createDataFrame([(b, True) for b in AMBIGUOUS], "phrase string, ambiguous boolean")), PLATFORMS, X.titles_with(products, USED), CONDITIONS)
+
+
+def _entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """What each query names, and the statuses of its 50 best products with any of its words."""
+    index, queries, alts = index_of(spark, d), view(spark, d, "queries_v"), A.alternatives(groups(spark))
+    asked = A.numbered_variants(A.variants(queries, alts, alias_words(spark)))
+    known = entities(spark, d)
+    named = N.recognized(asked, index.profile(asked), known, alts)
+    return named, N.statuses(index.any_terms(queries, 50), named, N.signals(index.products, known, alts))
+
+
+def q_entities(spark: SparkSession, d: str) -> DataFrame:
+    """Status of every candidate in the three dimensions, and which are active."""
+    return _entities(spark, d)[1].select("query_id", "product_id", "brand", "platform", "condition", "brand_active", "platform_active")
+
+
+def q_recognized(spark: SparkSession, d: str) -> DataFrame:
+    """What every query names."""
+    lists = ("brands", "typed", "ambiguous", "platforms", "rest")
+    return _entities(spark, d)[0].select("query_id", *(F.array_join(c, "|").alias(c) for c in lists), "condition")
+
+
+def q_brand_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the brands that queries name are carried, mentioned or missing among their candidates."""
+    return N.evidence(*_entities(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (q_variants, kw_variants, q_recognized, q_entities, q_brand_evidence)}
 
 _GROUPS = ", ".join(f"({i}, {j}, '{t}')" for i, g in enumerate(GROUPS) for j, t in enumerate(g))
 _WORDS = "[" + ", ".join(f"'{w}'" for w in sorted({w for g in GROUPS for t in g for w in t.split()})) + "]"
@@ -87,10 +125,58 @@ sh AS (SELECT DISTINCT query_id FROM prof WHERE length(token) < 3 AND NOT generi
 k5 AS (SELECT * REPLACE (CASE WHEN query_id % 6 > 0 AND query_id IN (SELECT query_id FROM sh) THEN CASE WHEN phrase THEN 15.0::double ELSE 10.0::double END ELSE score END AS score) FROM k WHERE held = needed),
 vh AS (SELECT query_id // 6 AS query_id, product_id, coverage, title_hits > 0 AS tm, field_hits > 0 AS sm, name_hits >= needed AS name_all, score,
     CASE WHEN query_id % 6 = 0 THEN 0 WHEN query_id IN (SELECT query_id FROM sh) THEN 7 + query_id % 6 ELSE 1 + query_id % 6 END * 100000 + row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS seq FROM k5 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 20)"""
+_PLATFORM_ROWS = ", ".join(f"({i}, '{k}', '{s}')" for i, (k, names) in enumerate(PLATFORMS.items()) for s in names)
+_CONDITION_ROWS = ", ".join(f"('{t}', '{c}')" for c, some in CONDITIONS.items() for t in some)
+_LIST = "coalesce(list_sort(list_distinct(list({0}) FILTER (WHERE {1}))), [])"
+
+
+def _walk(name: str, found: str, words: str) -> str:
+    """CTEs ending in ``name``(query_id, seq, s, n): of the runs ``found`` (query_id, seq, s, n) those taken from the left, the longest first."""
+    return f"""{name}b AS (SELECT query_id, seq, s, max(n) AS n FROM {found} GROUP BY ALL),
+{name}w AS (SELECT query_id, seq, 0 AS pos, len(w) AS size FROM {words} UNION ALL SELECT x.query_id, x.seq, x.pos + coalesce(b.n, 1), size FROM {name}w x LEFT JOIN {name}b b ON b.query_id = x.query_id AND b.seq = x.seq AND b.s = x.pos WHERE x.pos < size),
+{name} AS (SELECT b.* FROM {name}b b JOIN {name}w x ON b.query_id = x.query_id AND b.seq = x.seq AND b.s = x.pos)"""
+
+
+#: What queries name: rec(query_id, brands, typed, ambiguous, platforms, rest, condition), as lists.
+_NAMED = f"""{variants_sql('queries_v')}, {_PROFILE},
+gw AS (SELECT token FROM df, n WHERE NOT regexp_matches(token, '^[0-9]+$') AND df / n > {RATIO}),
+pl AS (SELECT term, arg_min(key, pos) AS key FROM (SELECT pos, key, phrase AS term FROM (VALUES {_PLATFORM_ROWS}) AS v(pos, key, phrase) UNION ALL SELECT pos, key, alt FROM (VALUES {_PLATFORM_ROWS}) AS v(pos, key, phrase) JOIN al USING (phrase)) GROUP BY term),
+br AS (SELECT DISTINCT array_to_string({sql_tokens('brand')}, ' ') AS brand, false AS amb FROM products_v UNION ALL SELECT unnest({list(AMBIGUOUS)}), true),
+nm AS (SELECT brand AS phrase, brand, amb, NULL::varchar AS key FROM br UNION ALL SELECT al.phrase, brand, amb, NULL::varchar FROM br JOIN al ON al.alt = brand UNION ALL SELECT term, NULL::varchar, false, key FROM pl),
+vw AS (SELECT query_id, seq, string_split(variant, ' ') AS w, variant FROM va),
+vr AS (SELECT query_id, seq, variant, s.range AS s, n.range AS n, array_to_string(w[s.range + 1:s.range + n.range], ' ') AS phrase FROM vw, range(0, 12) s, range(1, 4) n WHERE s.range + n.range <= len(w)),
+vf AS (SELECT vr.*, brand, amb, key FROM vr JOIN nm USING (phrase) WHERE brand IS NULL OR NOT amb OR phrase = variant),
+{_walk('vp', 'vf', 'vw')},
+vn AS (SELECT vf.*, seq = 0 AND (brand = phrase OR NOT (phrase IN (SELECT term FROM pl) OR NOT EXISTS (SELECT 1 FROM unnest(string_split(phrase, ' ')) AS u(x) WHERE x NOT IN (SELECT token FROM gw)))) AS typed FROM vf JOIN vp USING (query_id, seq, s, n)),
+ns AS (SELECT query_id, {_LIST.format('brand', 'brand IS NOT NULL')} AS brands, {_LIST.format('brand', 'typed AND brand IS NOT NULL')} AS typed, {_LIST.format('brand', 'amb')} AS ambiguous, {_LIST.format('key', 'key IS NOT NULL')} AS platforms, min(seq) AS first FROM vn GROUP BY query_id),
+cw AS (SELECT vr.*, condition FROM vr JOIN (VALUES {_CONDITION_ROWS}) AS v(phrase, condition) USING (phrase) WHERE seq = 0 AND n <= 2),
+{_walk('cp', 'cw', '(SELECT * FROM vw WHERE seq = 0)')},
+cn AS (SELECT query_id, CASE WHEN bool_or(condition = 'used') THEN 'used' ELSE 'new' END AS condition, flatten(list(string_split(phrase, ' '))) AS said FROM cw JOIN cp USING (query_id, seq, s, n) GROUP BY query_id),
+rs AS (SELECT query_id, list(x ORDER BY i) AS rest FROM (SELECT v.query_id, v.seq, i.range AS i, w[i.range + 1] AS x FROM vw v JOIN ns ON ns.query_id = v.query_id AND ns.first = v.seq, range(0, 12) i WHERE i.range < len(w)) y
+    LEFT JOIN cn USING (query_id) WHERE NOT coalesce(list_contains(said, x), false) AND NOT EXISTS (SELECT 1 FROM vp p WHERE p.query_id = y.query_id AND p.seq = y.seq AND p.s <= i AND i < p.s + p.n) GROUP BY query_id),
+rec AS (SELECT v.query_id, coalesce(brands, []) AS brands, coalesce(typed, []) AS typed, coalesce(ambiguous, []) AS ambiguous, coalesce(platforms, []) AS platforms, coalesce(rest, []) AS rest, condition
+    FROM (SELECT * FROM vw WHERE seq = 0) v LEFT JOIN ns USING (query_id) LEFT JOIN rs USING (query_id) LEFT JOIN cn USING (query_id))"""
+_FACTS = f"""fa AS (SELECT product_id, array_to_string({sql_tokens('brand')}, ' ') AS own, list_concat(list_concat({sql_tokens('title')}, {sql_tokens('tags')}), {sql_tokens('category')}) AS w, {sql_tokens('brand')} AS bw, contains(' ' || array_to_string({sql_tokens('title')}, ' ') || ' ', ' {USED[0]} ') AS used FROM products_v),
+fp AS (SELECT fa.product_id, list_distinct(list(key)) AS own_platforms FROM fa JOIN pl ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || term || ' ') GROUP BY fa.product_id),
+fs AS (SELECT fa.*, ' ' || array_to_string(w, ' ') || ' ' AS named, list_concat(w, bw) AS words, coalesce(own_platforms, []) AS own_platforms FROM fa LEFT JOIN fp USING (product_id))"""
+#: Statuses of the candidates cand(query_id, product_id): st(query_id, product_id, brand, platform, condition, brand_active, platform_active, carried, mentioned).
+_STATUSES = """s0 AS (SELECT query_id, product_id, rec.condition AS asked, rest, words, used, own, brands, platforms, own_platforms, list_filter(brands, lambda b: b = own) AS carried, list_filter(brands, lambda b: contains(named, ' ' || b || ' ')) AS mentioned FROM cand JOIN rec USING (query_id) JOIN fs USING (product_id)),
+s1 AS (SELECT *, CASE WHEN len(brands) = 0 OR own = '' THEN 0 WHEN len(carried) > 0 THEN 1 WHEN len(mentioned) > 0 THEN 0 ELSE -1 END AS brand, CASE WHEN len(platforms) = 0 OR len(own_platforms) = 0 THEN 0 WHEN list_has_any(own_platforms, platforms) THEN 1 ELSE -1 END AS platform,
+    CASE WHEN coalesce(asked, '') = 'used' THEN CASE WHEN used THEN 1 ELSE -1 END WHEN used THEN -1 ELSE 0 END AS condition, len(list_filter(rest, lambda t: len(list_filter(words, lambda x: starts_with(x, t))) = 0)) = 0 AS holds FROM s0),
+st AS (SELECT query_id, product_id, brand, platform, condition, bool_or(brand = 1 AND holds) OVER (PARTITION BY query_id) AS brand_active, bool_or(platform = 1 AND holds) OVER (PARTITION BY query_id) AS platform_active, carried, mentioned FROM s1)"""
+_ENTITIES = f"{_NAMED}, {_FACTS}, {_POSTINGS}, {_hits(whole=3)}, cand AS (SELECT query_id, product_id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 50), {_STATUSES}"
 _BEST = "coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq"
 
 SQL = {
     "q_variants": with_views(f"WITH RECURSIVE {variants_sql('queries_v')} SELECT query_id, seq, variant FROM va", "products_v", "queries_v"),
+    "q_recognized": with_views(f"WITH RECURSIVE {_NAMED} SELECT query_id, " + ", ".join(f"array_to_string({c}, '|') AS {c}" for c in ("brands", "typed", "ambiguous", "platforms", "rest")) + ", condition FROM rec", "products_v", "queries_v"),
+    "q_entities": with_views(f"WITH RECURSIVE {_ENTITIES} SELECT query_id, product_id, brand, platform, condition, brand_active, platform_active FROM st", "products_v", "queries_v"),
+    "q_brand_evidence": with_views(
+        f"WITH RECURSIVE {_ENTITIES}, ev AS (SELECT query_id, list_distinct(flatten(list(carried))) AS c, list_distinct(flatten(list(mentioned))) AS m FROM st GROUP BY query_id), "
+        "ea AS (SELECT query_id, typed, ambiguous, unnest(brands) AS brand FROM rec) "
+        "SELECT query_id, brand, coalesce(list_contains(c, brand), false) AS carried, coalesce(list_contains(m, brand), false) AS mentioned, list_contains(ambiguous, brand) AS ambiguous, "
+        "list_contains(typed, brand) AND c IS NOT NULL AND NOT coalesce(list_contains(c, brand), false) AND NOT coalesce(list_contains(m, brand), false) AS unmatched FROM ea LEFT JOIN ev USING (query_id)", "products_v", "queries_v",
+    ),
     "kw_variants": with_views(
         f"WITH RECURSIVE {_VARIED}, one AS (SELECT * FROM vh QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY {_BEST}) = 1) "
         f"SELECT query_id, product_id, score, tm AS title_match, name_all, row_number() OVER (PARTITION BY query_id ORDER BY {_BEST}, product_id) AS rank FROM one QUALIFY rank <= 20", "products_v", "queries_v",
