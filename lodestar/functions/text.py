@@ -182,14 +182,19 @@ def cap(c, max_chars: int = 100, max_tokens: int = 8) -> Column:
     return F.struct(text.alias("text"), (text != F.array_join(words, " ")).alias("was_cut"))
 
 
-def _remap(c, mapping: dict[str, str]) -> Column:
-    punctuation = "".join("\\" + k for k in mapping if not k.isalpha())
-    shape = rf"^[\p{{L}}{punctuation}]*\p{{L}}[\p{{L}}{punctuation}]*\p{{N}}*$"
+def layout(mapping: dict[str, str]) -> tuple[str, str]:
+    """The characters of a key mapping and what they become, in the same order."""
     full = dict(mapping)
     for k in mapping:  # a letter without a key of its own goes by its lower case
         if k.isalpha() and k.upper() != k and len(k.upper()) == 1:
             full.setdefault(k.upper(), mapping[k])
-    source, target = "".join(full), "".join(full.values())
+    return "".join(full), "".join(full.values())
+
+
+def _remap(c, mapping: dict[str, str]) -> Column:
+    punctuation = "".join("\\" + k for k in mapping if not k.isalpha())
+    shape = rf"^[\p{{L}}{punctuation}]*\p{{L}}[\p{{L}}{punctuation}]*\p{{N}}*$"
+    source, target = layout(mapping)
     unified = F.translate(_text(c), "يك", "یک")
     words = F.regexp_extract_all(unified, F.lit(r"\s+|\S+"), F.lit(0))
     return F.array_join(F.transform(words, lambda w: F.when(w.rlike(shape), F.translate(w, source, target)).otherwise(w)), "")

@@ -159,14 +159,15 @@ class Index:
         """Stored: scored hits with the ``limit`` best of each query among those that hold all required tokens (with ``omit``: all but one at least)."""
         return best_hits(prof, lists, self.popularity, lambda found: scored(found, queries, self.products), level_worth(), PHRASE_BONUS, limit, omit, self.bits)
 
-    def partial(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, full: DataFrame, limit: int, least: Column | None = None) -> DataFrame:
+    def partial(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, limit: int, least: Column | None = None, full: DataFrame | None = None) -> DataFrame:
         """Scored hits of the queries of ``prof`` that miss some required token, with the ``limit`` best of each query.
 
         Those that miss one are found by blocks. Only queries for which they aren't enough, and that may
         miss more (down to ``least`` of ``needed``, else to one), meet all products with some of their tokens.
+        Hits in ``full`` count among the ``limit``.
         """
         missing = self.best(prof.where("needed > 1"), lists, queries, limit, omit=True).where("held < needed")
-        there = missing.unionByName(full).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
+        there = (missing if full is None else missing.unionByName(full)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         fewer = (F.lit(1) if least is None else least) < F.col("needed") - 1
         thin = prof.select("query_id", "needed").distinct().where(fewer).join(there, "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit).select("query_id")
         thin = kept(thin, "thin")
@@ -185,21 +186,20 @@ class Index:
         full = self.best(prof, lists, queries, limit)
         enough = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
         rest = kept(prof.join(enough, "query_id", "left_anti"), "rest")
-        hits = full.unionByName(self.partial(rest, lists, queries, full, limit))
+        hits = full.unionByName(self.partial(rest, lists, queries, limit, full=full))
         return ranked(hits.withColumn("partial", F.col("held") < F.col("needed")), limit)
 
     def soft_and(self, queries: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:
         """For queries of two or more required tokens with fewer than ``enough`` full hits: products with half of them, at half the score."""
         prof = self.profile(queries)
         lists = self.lists(prof)
-        return self.soft(prof, lists, queries, self.best(prof, lists, queries, limit), limit, enough)
+        full = self.best(prof, lists, queries, limit).groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(enough, limit))
+        return self.soft(kept(prof.join(full, "query_id", "left_anti"), "rest"), lists, queries, limit)
 
-    def soft(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, full: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:
-        """``soft_and`` where the full hits are known."""
-        many = full.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min(enough, limit))
-        rest = kept(prof.join(many, "query_id", "left_anti"), "rest")
+    def soft(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, limit: int = 20) -> DataFrame:
+        """``soft_and`` for the queries of ``prof``, however many full hits they have."""
         half = F.ceil(F.col("needed") * SOFT_SHARE)
-        some = self.partial(rest, lists, queries, full.limit(0), limit, half).where(F.col("held") >= half)
+        some = self.partial(prof, lists, queries, limit, half).where(F.col("held") >= half)
         return ranked(some.withColumn("score", F.round(F.col("score") * SOFT_FACTOR, 7)), limit)
 
     def structured(self, queries: DataFrame, limit: int = 20) -> DataFrame:
@@ -238,9 +238,9 @@ class Index:
         rows = self.source.select("product_id", "popularity", text.alias("text"), F.inline(fields)).withColumnRenamed("words", "name").where(F.size("name") > 0)
         rows = rows.withColumn("rest", F.explode(rests)).withColumn("key", F.substring("rest", 1, SHORT))
         met = asked.withColumn("key", F.substring("c", 1, SHORT)).join(rows, "key").where(F.startswith("rest", "c") & ((F.col("words") > 1) | ~F.contains("text", F.col("c"))))
-        hits = met.groupBy("query_id", "product_id", "popularity").agg(F.bool_or(F.col("field") == "title").alias("title_match"))
+        hits = met.groupBy("query_id", "product_id", "popularity").agg(F.bool_or(F.col("field") == "title").alias("title_match"), F.bool_or(F.col("field") != "brand").alias("name_all"))
         w = Window.partitionBy("query_id").orderBy(F.desc("popularity"), "product_id")
-        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "product_id", "rank", F.lit(COLLAPSE_SCORE).alias("score"), "title_match")
+        return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).select("query_id", "product_id", "rank", F.lit(COLLAPSE_SCORE).alias("score"), "title_match", "name_all")
 
 
 def soft_hits(hits: DataFrame, limit: int = 20, enough: int = 3) -> DataFrame:

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import collapse, en_to_fa, fa_to_en, keeps_digits, name_and_digits, normalize, tokenize, transpositions
+from .lexicon import kept
 
 LEAST_CORRECTED, SHORT_TOKEN, LATIN_TWO_EDITS, FIRST_LETTER, LEAST_FREQUENCY = 4, 4, 8, 6, 2
-GROUP_TERMS = 4
+GROUP_TERMS, STEPS = 4, 8
 
 
 def corrections(tokens: DataFrame, dictionary: DataFrame, blocked: tuple[str, ...] = (), longest: int = 1) -> DataFrame:
@@ -23,9 +24,11 @@ def corrections(tokens: DataFrame, dictionary: DataFrame, blocked: tuple[str, ..
     unknown = unknown.where(F.length("word") >= LEAST_CORRECTED).join(dictionary.select(F.col("token").alias("word")), "word", "left_anti")
     swapped = unknown.withColumn("term", F.explode(transpositions(F.col("word")))).join(known, "term").select("token", "word", "digits", "term", "freq", F.lit(0).alias("edits"))
     reach = F.when((F.length("word") >= LATIN_TWO_EDITS) & F.col("word").rlike("^[a-z0-9]+$"), 2).otherwise(longest)
-    # words only meet terms whose length allows so few edits
-    by_length = unknown.withColumn("reach", reach).withColumn("size", F.explode(F.sequence(F.length("word") - F.col("reach"), F.length("word") + F.col("reach"))))
-    near = by_length.join(known.withColumn("size", F.length("term")), "size").withColumn("edits", F.levenshtein("word", "term", 2)).where((F.col("edits") >= 0) & (F.col("edits") <= F.col("reach")))
+    # words that are so few edits apart have a form in common from which so many letters are deleted
+    asked = unknown.withColumn("reach", reach).withColumn("form", F.explode(deletions(F.col("word"), F.col("reach"))))
+    terms = known.withColumn("reach", F.explode(F.sequence(F.lit(1), F.lit(2)))).where((F.col("reach") == 1) | (F.length("term") >= LATIN_TWO_EDITS - 2))
+    terms = terms.withColumn("form", F.explode(deletions(F.col("term"), F.col("reach"))))
+    near = asked.join(terms, ["reach", "form"]).drop("form").distinct().withColumn("edits", F.levenshtein("word", "term", 2)).where((F.col("edits") >= 0) & (F.col("edits") <= F.col("reach")))
     same_start = F.substring("word", 1, 1) == F.substring("term", 1, 1)
     near = near.where(~F.contains("word", F.col("term")) & (same_start | ((F.length("word") > FIRST_LETTER) & (F.col("edits") <= longest))))
     best = Window.partitionBy("token").orderBy("edits", F.desc("freq"), "term")
@@ -34,6 +37,13 @@ def corrections(tokens: DataFrame, dictionary: DataFrame, blocked: tuple[str, ..
     return rows.select("token", F.concat("term", "digits").alias("correction"))
 
 
+def deletions(c: Column, most: Column) -> Column:
+    """The text and its forms with one letter left out, or with up to two."""
+    without = lambda x: F.transform(F.sequence(F.lit(1), F.greatest(F.length(x), F.lit(1))), lambda i: F.concat(F.substring(x, F.lit(1), i - 1), F.substring(x, i + 1, F.length(x))))
+    one = F.array_distinct(F.concat(F.array(c), without(c)))
+    return F.when(most > 1, F.array_distinct(F.concat(one, F.flatten(F.transform(one, without))))).otherwise(one)
+
+
 def suggestions(queries: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(query_id, suggestion) of queries with a corrected token; one that loses a digit is dropped."""
     tokens = queries.select("query_id", normalize("raw_q").alias("q")).select("query_id", "q", F.posexplode(tokenize("q")).alias("at", "token"))
@@ -87,47 +97,40 @@ def entity_statuses(hits: DataFrame, products: DataFrame, named: DataFrame) -> D
 
 
 def candidates(queries: DataFrame, dictionary: DataFrame, terms: DataFrame | None = None) -> DataFrame:
-    """(query_id, step, rewritten): what to try when a query finds too little, in order: alias spacing, Latin keys as Persian and the other way, spelling."""
-    q = queries.select("query_id", normalize("raw_q").alias("q"), normalize(en_to_fa("raw_q")).alias("fa"), normalize(fa_to_en("raw_q")).alias("en"))
-    out = q.where("fa <> q").select("query_id", F.lit(2).alias("step"), F.col("fa").alias("rewritten")).unionAll(q.where("en <> q").select("query_id", F.lit(3), "en"))
-    out = out.unionAll(suggestions(queries, dictionary).select("query_id", F.lit(4), "suggestion"))
+    """Stored: (query_id, step, rewritten): what to try when a query finds too little, in this order of steps:
+
+    1 an alias in other spacing, 2 Latin keys read as Persian, 3 that corrected, 4 Persian keys read as
+    Latin, 5 that corrected, 6 the query corrected.
+    """
+    q = normalize("raw_q")
+    texts = [(2, normalize(en_to_fa("raw_q"))), (4, normalize(fa_to_en("raw_q"))), (6, q)]
+    each = queries.select("query_id", q.alias("q"), F.explode(F.array(*(F.struct(F.lit(i).alias("step"), t.alias("text")) for i, t in texts))).alias("x")).select("query_id", "q", "x.*")
+    each = kept(each.where((F.col("text") != "") & ((F.col("step") == 6) | (F.col("text") != F.col("q")))), "rewritten")
+    fixed = suggestions(each.select((F.col("query_id") * STEPS + F.col("step")).alias("query_id"), F.col("text").alias("raw_q")), dictionary)
+    fixed = fixed.select(F.floor(F.col("query_id") / STEPS).alias("query_id"), (F.col("query_id") % STEPS).cast("int").alias("step"), F.col("suggestion").alias("rewritten"))
+    out = each.where("step < 6").select("query_id", "step", F.col("text").alias("rewritten")).unionByName(fixed.withColumn("step", F.when(F.col("step") == 6, 6).otherwise(F.col("step") + 1)))
     if terms is not None:
-        out = out.unionAll(spacing_variants(queries, terms).select("query_id", F.lit(1), "term"))
-    return out
+        out = out.unionByName(spacing_variants(queries, terms).select("query_id", F.lit(1).alias("step"), F.col("term").alias("rewritten")))
+    return kept(out.select(F.col("query_id").cast("long").alias("query_id"), F.col("step").cast("int").alias("step"), "rewritten"), "tried")
 
 
-def recover(queries: DataFrame, dictionary: DataFrame, search, terms: DataFrame | None = None) -> DataFrame:
-    """(query_id, step, rewritten, full): the first rewriting that finds more full hits than the query itself.
+def recover(queries: DataFrame, baseline: DataFrame, dictionary: DataFrame, search, terms: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, step, rewritten, full) of the first rewriting of each query that is accepted, and its hits.
 
-    All rewritings of all queries are searched as one batch. ``search``: queries to hits with held and needed.
+    Accepted is what finds more full hits than ``baseline`` (query_id, full) says of the query itself; of
+    other key layouts also only what some hit names wholly in title or tags. All rewritings of all queries
+    are searched as one batch. ``search``: queries to hits (query_id, product_id, partial, name_all, ...).
     """
     tried = candidates(queries, dictionary, terms)
-    batch = tried.select((F.col("query_id") * 10 + F.col("step")).alias("query_id"), F.col("rewritten").alias("raw_q")).unionAll(queries.select((F.col("query_id") * 10).alias("query_id"), "raw_q"))
-    full = search(batch).where("held = needed").groupBy("query_id").agg(F.count(F.lit(1)).alias("full"))
-    own = full.where("query_id % 10 = 0").select((F.col("query_id") / 10).cast("long").alias("query_id"), F.col("full").alias("own"))
-    other = full.where("query_id % 10 > 0").select(F.floor(F.col("query_id") / 10).alias("query_id"), (F.col("query_id") % 10).cast("int").alias("step"), "full")
-    better = tried.join(other, ["query_id", "step"]).join(own, "query_id", "left").where(F.col("full") > F.coalesce("own", F.lit(0)))
-    return better.groupBy("query_id").agg(F.min_by(F.struct("step", "rewritten", "full"), "step").alias("b")).select("query_id", "b.*")
-
-
-def conditions(queries: DataFrame, words: dict[str, str]) -> DataFrame:
-    """Q11: (query_id, condition) that a query's words name; of several the first one. ``words``: word to condition."""
-    known = F.create_map(*(F.lit(x) for pair in words.items() for x in pair))
-    hit = F.filter(F.transform(tokenize(normalize("raw_q")), lambda t: F.element_at(known, t)), lambda c: c.isNotNull())
-    return queries.select("query_id", F.get(hit, F.lit(0)).alias("condition")).where("condition is not null")
-
-
-def reordered(statuses: DataFrame) -> DataFrame:
-    """Q13, K8: hits (query_id, product_id, rank, status) with rank anew: carriers of what the query names first, then those that say nothing, then the others; within each as before."""
-    order = Window.partitionBy("query_id").orderBy(F.desc("status"), "rank")
-    return statuses.withColumn("rank", F.row_number().over(order))
-
-
-def brand_unmatched(queries: DataFrame, brands: DataFrame, hits: DataFrame, products: DataFrame) -> DataFrame:
-    """(query_id, brand) where a query names a brand and no hit carries it."""
-    named = phrases_in(queries, brands).select("query_id", F.col("phrase").alias("brand"))
-    carried = hits.join(products.select("product_id", F.array_join(tokenize(normalize("brand")), " ").alias("brand")), "product_id").select("query_id", "brand").distinct()
-    return named.join(carried, ["query_id", "brand"], "left_anti").distinct()
+    key = F.col("query_id") * STEPS + F.col("step")
+    hits = kept(search(tried.select(key.alias("query_id"), F.col("rewritten").alias("raw_q"))), "tried-hits")
+    counts = hits.groupBy("query_id").agg(F.count_if(~F.col("partial")).alias("full"), F.bool_or("name_all").alias("named"))
+    own = F.coalesce("own", F.lit(0))
+    met = tried.withColumn("key", key).join(counts.withColumnRenamed("query_id", "key"), "key").join(baseline.select("query_id", F.col("full").alias("own")), "query_id", "left")
+    met = met.where((F.col("full") > own) & (F.col("named") | F.col("step").isin(1, 6)))
+    first = kept(met.groupBy("query_id").agg(F.min_by(F.struct("step", "rewritten", "full", "key"), "step").alias("b")).select("query_id", "b.*"), "recovered")
+    theirs = hits.withColumnRenamed("query_id", "key").join(first.select("query_id", "key"), "key").drop("key")
+    return first.drop("key"), theirs
 
 
 def collected_names(sources: list[DataFrame]) -> DataFrame:

@@ -85,14 +85,21 @@ def blend(keyword: DataFrame, semantic: DataFrame, floor: float = LEAST_RELEVANC
 def boosted(blended: DataFrame, products: DataFrame, queries: DataFrame) -> DataFrame:
     """Adds the score: relevance times boosts for stock, popularity (of the query's candidates), brand, category and tags.
 
-    ``queries``: query_id and variants (array<array<string>>). Optional columns lifted and demoted of
-    ``blended`` count the named entities that a product carries or contradicts.
+    ``queries``: query_id and variants (array<array<string>>), and optionally categories and tags
+    (array<string>) that its intents name: they count as if the query named them. Optional columns lifted
+    and demoted of ``blended`` count the named entities that a product carries or contradicts.
     """
-    rows = blended.join(products.select("product_id", "stock", "popularity", "brand", "category", "tags"), "product_id").join(queries.select("query_id", "variants"), "query_id")
+    none = F.array().cast("array<string>")
+    named = {c: F.coalesce(c, none) if c in queries.columns else none for c in ("categories", "tags")}
+    asked = queries.select("query_id", "variants", named["categories"].alias("named_categories"), named["tags"].alias("named_tags"))
+    rows = blended.join(products.select("product_id", "stock", "popularity", "brand", "category", "tags"), "product_id").join(asked, "query_id")
     top = F.max("popularity").over(Window.partitionBy("query_id"))
     on = lambda c, w: F.when(c, w).otherwise(0.0)
     boosts = 1.0 + on(F.col("stock") > 0, STOCK) + F.when(top > 0, POPULARITY * F.col("popularity") / top).otherwise(0.0)
-    boosts = boosts + on(words_in_query(F.col("brand"), F.col("variants")), BRAND) + on(words_in_query(F.col("category"), F.col("variants")), CATEGORY) + on(phrase_in_tags(F.col("tags"), F.col("variants")), TAG)
+    split = lambda names: F.transform(names, lambda n: tokenize(normalize(n)))
+    category = words_in_query(F.col("category"), F.concat("variants", split(F.col("named_categories"))))
+    tag = phrase_in_tags(F.col("tags"), F.col("variants")) | phrase_in_tags(F.col("tags"), split(F.col("named_tags")), 1)
+    boosts = boosts + on(words_in_query(F.col("brand"), F.col("variants")), BRAND) + on(category, CATEGORY) + on(tag, TAG)
     lifted, demoted = (F.col(c) if c in blended.columns else F.lit(0) for c in ("lifted", "demoted"))
     score = F.col("relevance") * boosts * (1.0 + LIFT * lifted) * (1.0 - DEMOTE * demoted)
     return rows.select("query_id", "product_id", "solid", "relevance", F.round(score, 6).alias("score"))
@@ -106,12 +113,6 @@ def tail_capped(rows: DataFrame, tail: int = TAIL) -> DataFrame:
     return kept.withColumn("rank", F.row_number().over(w))
 
 
-def exemption_lost(rows: DataFrame, best: float = 0.5) -> DataFrame:
-    """V8: ``rows`` with solid only where the query has no neighbour of ``best`` cosine that its keyword hits miss."""
-    missed = F.max(F.when(F.col("score").isNull(), F.col("cosine"))).over(Window.partitionBy("query_id"))
-    return rows.withColumn("solid", F.col("solid") & (F.coalesce(missed, F.lit(0.0)) < best))
-
-
 def explained(blended: DataFrame, products: DataFrame, queries: DataFrame) -> DataFrame:
     """The score of each hit with its parts: keyword and semantic shares, and each boost."""
     rows = boosted(blended, products, queries).select("query_id", "product_id", "score")

@@ -106,7 +106,7 @@ def search_keyword(spark: SparkSession, d: str) -> DataFrame:
 
 def kw_collapsed(spark: SparkSession, d: str) -> DataFrame:
     index, queries = _index(spark, d)
-    return index.collapsed(queries)
+    return index.collapsed(queries).drop("name_all")
 
 
 def _docs(columns):

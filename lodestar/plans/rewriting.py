@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import text as T
 from ..functions.text import normalize, tokenize
 from ..operators import entities as N
 from ..operators import lexicon as X
+from ..operators import rewrite as R
 from ..operators import variants as A
-from .catalog import _ORDER, _POSTINGS, _PROFILE, _hits, sql_tokens
+from ..operators.search import complete_search
+from .catalog import _NOTWORD, _ORDER, _POSTINGS, _PROFILE, _hits, intents, sql_normalize, sql_tokens
+from .search import _DICT, CORRECTED
+from ..operators.vector import mock_embedding
 from .views import RATIO, index_of, view, with_views
 
 #: The owner's alias groups for the driver's catalog.
@@ -74,7 +79,28 @@ def q_brand_evidence(spark: SparkSession, d: str) -> DataFrame:
     return N.evidence(*_entities(spark, d))
 
 
-QUERIES = {f.__name__: f for f in (q_variants, kw_variants, q_recognized, q_entities, q_brand_evidence)}
+def q_recover(spark: SparkSession, d: str) -> DataFrame:
+    """What is tried instead of misspelt queries, in other spacing and of another key layout, and found."""
+    index, queries = index_of(spark, d), view(spark, d, "typos_v")
+    search = lambda q: A.as_hits(index.strict(q), F.col("rank"))
+    own = index.strict(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("full"))
+    terms = groups(spark).select(F.explode("terms").alias("term"))
+    first, _ = R.recover(queries, own, X.spell_dictionary(index.products), search, terms)
+    return first.select("query_id", "step", "rewritten", "full")
+
+
+def search_complete(spark: SparkSession, d: str) -> DataFrame:
+    """Every stage of the search over typed and misspelt queries: spellings, recovery, entities, gated neighbours."""
+    index = index_of(spark, d)
+    typed, typos = view(spark, d, "queries_v"), view(spark, d, "typos_v")
+    queries = typed.select(F.col("query_id").cast("long").alias("query_id"), "raw_q").unionByName(typos.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "raw_q"))
+    vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
+    embed = lambda texts: texts.select("query_id", mock_embedding(F.col("text")).alias("embedding"))
+    out, shown = complete_search(index, queries, groups(spark), X.spell_dictionary(index.products), entities(spark, d), intents(spark), embed, vectors)
+    return out.join(shown, "query_id", "left").select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "pinned", "did_you_mean", "applied")
+
+
+QUERIES = {f.__name__: f for f in (q_variants, kw_variants, q_recognized, q_entities, q_brand_evidence, q_recover, search_complete)}
 
 _GROUPS = ", ".join(f"({i}, {j}, '{t}')" for i, g in enumerate(GROUPS) for j, t in enumerate(g))
 _WORDS = "[" + ", ".join(f"'{w}'" for w in sorted({w for g in GROUPS for t in g for w in t.split()})) + "]"
@@ -165,6 +191,25 @@ s1 AS (SELECT *, CASE WHEN len(brands) = 0 OR own = '' THEN 0 WHEN len(carried)
     CASE WHEN coalesce(asked, '') = 'used' THEN CASE WHEN used THEN 1 ELSE -1 END WHEN used THEN -1 ELSE 0 END AS condition, len(list_filter(rest, lambda t: len(list_filter(words, lambda x: starts_with(x, t))) = 0)) = 0 AS holds FROM s0),
 st AS (SELECT query_id, product_id, brand, platform, condition, bool_or(brand = 1 AND holds) OVER (PARTITION BY query_id) AS brand_active, bool_or(platform = 1 AND holds) OVER (PARTITION BY query_id) AS platform_active, carried, mentioned FROM s1)"""
 _ENTITIES = f"{_NAMED}, {_FACTS}, {_POSTINGS}, {_hits(whole=3)}, cand AS (SELECT query_id, product_id FROM k QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 50), {_STATUSES}"
+_FA, _EN = T.layout(T.KEYS), T.layout({fa: en for en, fa in T.KEYS.items()})
+_quoted = lambda pair: ", ".join("'" + x.replace("'", "''") + "'" for x in pair)
+_fold = lambda x: sql_normalize(f"translate({x}, '{''.join(T.LETTERS)}', '{''.join(T.LETTERS.values())}')")
+#: Rewritings of typos_v that are accepted: acc(query_id, step, rewritten, full_hits).
+_RECOVER = f"""{_DICT},
+ty AS (SELECT query_id, {_fold('raw_q')} AS q, {_fold(f'translate(raw_q, {_quoted(_FA)})')} AS fa, {_fold(f'translate(raw_q, {_quoted(_EN)})')} AS en FROM typos_v),
+rt AS (SELECT query_id, 6 AS step, q AS text FROM ty UNION ALL SELECT query_id, 2, fa FROM ty WHERE fa <> q UNION ALL SELECT query_id, 4, en FROM ty WHERE en <> q),
+tk AS (SELECT query_id, step, text, i.range AS i, regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+')[i.range + 1] AS token FROM rt, range(0, 8) i WHERE i.range < len(regexp_extract_all(text, '[\\p{{L}}\\p{{N}}]+'))),
+u0 AS (SELECT DISTINCT token FROM tk), {CORRECTED},
+sg AS (SELECT query_id, step, text, string_agg(coalesce(correction, token), ' ' ORDER BY i) AS better, count(correction) AS n FROM tk LEFT JOIN corrected USING (token) GROUP BY ALL),
+gt AS (SELECT unnest([{', '.join(f"'{t}'" for g in GROUPS for t in g)}]) AS term),
+tried AS (SELECT query_id, step, text AS rewritten FROM rt WHERE step < 6
+    UNION ALL SELECT query_id, CASE step WHEN 6 THEN 6 ELSE step + 1 END, better FROM sg WHERE n > 0 AND better <> text AND len(list_filter(range(0, 10), lambda x: len(string_split(text, x::varchar)) > len(string_split(better, x::varchar)))) = 0
+    UNION ALL SELECT query_id, 1, min(term) FROM ty JOIN gt ON replace(term, ' ', '') = regexp_replace(q, '{_NOTWORD}', '', 'g') WHERE q <> term GROUP BY query_id),
+bq AS (SELECT query_id * 8 + step AS query_id, rewritten AS raw_q FROM tried UNION ALL SELECT query_id * 8, raw_q FROM typos_v),
+{_PROFILE.replace('queries_v', 'bq')}, {_POSTINGS}, {_hits()},
+tp AS (SELECT query_id, name_hits >= needed AS name_all FROM k WHERE held = needed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 20),
+fc AS (SELECT query_id, count(*) AS full_hits, bool_or(name_all) AS named FROM tp GROUP BY query_id),
+acc AS (SELECT t.query_id, t.step, rewritten, f.full_hits FROM tried t JOIN fc f ON f.query_id = t.query_id * 8 + t.step LEFT JOIN fc o ON o.query_id = t.query_id * 8 WHERE f.full_hits > coalesce(o.full_hits, 0) AND (f.named OR t.step IN (1, 6)))"""
 _BEST = "coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq"
 
 SQL = {
@@ -177,6 +222,7 @@ SQL = {
         "SELECT query_id, brand, coalesce(list_contains(c, brand), false) AS carried, coalesce(list_contains(m, brand), false) AS mentioned, list_contains(ambiguous, brand) AS ambiguous, "
         "list_contains(typed, brand) AND c IS NOT NULL AND NOT coalesce(list_contains(c, brand), false) AND NOT coalesce(list_contains(m, brand), false) AS unmatched FROM ea LEFT JOIN ev USING (query_id)", "products_v", "queries_v",
     ),
+    "q_recover": with_views(f"""WITH {_RECOVER} SELECT query_id, step, rewritten, full_hits AS "full" FROM acc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step) = 1""", "products_v", "typos_v"),
     "kw_variants": with_views(
         f"WITH RECURSIVE {_VARIED}, one AS (SELECT * FROM vh QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY {_BEST}) = 1) "
         f"SELECT query_id, product_id, score, tm AS title_match, name_all, row_number() OVER (PARTITION BY query_id ORDER BY {_BEST}, product_id) AS rank FROM one QUALIFY rank <= 20", "products_v", "queries_v",

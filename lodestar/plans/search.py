@@ -115,12 +115,6 @@ def q_intent(spark: SparkSession, d: str) -> DataFrame:
     return intent_hits(spark.createDataFrame(rows, "query_id long, categories array<string>, tags array<string>"), view(spark, d, "products_v")).select("query_id", "product_id", "rank")
 
 
-def q_recover(spark: SparkSession, d: str) -> DataFrame:
-    queries = spark.createDataFrame([(1, "samll gizmo"), (2, "hot gaer"), (3, "red ring"), (4, "zzzz"), (5, "قثی قهدل")], "query_id long, raw_q string")
-    index = index_of(spark, d)
-    return R.recover(queries, _dictionary(spark, d), lambda q: index.strict(q, 1000))
-
-
 def kw_merge(spark: SparkSession, d: str) -> DataFrame:
     index, q = index_of(spark, d), view(spark, d, "queries_v")
     mark = lambda df, partial, seq: df.select("query_id", "product_id", F.lit(partial).alias("partial"), "coverage", (F.col("title_hits") > 0).alias("title_match"), (F.col("field_hits") > 0).alias("spec_match"), "score", F.lit(seq).alias("seq"))
@@ -175,7 +169,7 @@ def ids_in_order(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    search_full, vec_topk, vec_cosine_floor, vec_blocks, hyb_blend, hyb_boosts, hyb_tail_cap, q_spell, q_profile, q_phrases, q_entity_status, q_intent, q_recover, kw_merge,
+    search_full, vec_topk, vec_cosine_floor, vec_blocks, hyb_blend, hyb_boosts, hyb_tail_cap, q_spell, q_profile, q_phrases, q_entity_status, q_intent, kw_merge,
     eval_precision_recall, eval_ndcg_mrr, eval_compare, eval_golden_finish, life_diff, life_validate, ids_in_order,
 )}
 
@@ -191,6 +185,13 @@ j AS (SELECT f.*, stock, popularity, {sql_tokens('brand')} AS bw, {sql_tokens('c
 z AS (SELECT query_id, product_id, solid, round(relevance * (1.0 + CASE WHEN stock > 0 THEN 0.1 ELSE 0 END + CASE WHEN top > 0 THEN 0.1 * popularity / top ELSE 0 END + CASE WHEN list_has_all(toks, bw) THEN 0.15 ELSE 0 END + CASE WHEN list_has_all(toks, cw) THEN 0.1 ELSE 0 END + CASE WHEN len(toks) >= 2 AND contains(tw, ' ' || array_to_string(toks, ' ') || ' ') THEN 0.1 ELSE 0 END), 6) AS score FROM j)"""
 _BOOST = f"{_BLEND}, {_BOOST_OF}"
 _DICT = f"dict AS (SELECT token, count(*) AS freq FROM (SELECT unnest(list_distinct(list_concat(list_concat({sql_tokens('title')}, {sql_tokens('brand')}), {sql_tokens('tags')}))) AS token FROM products_v) WHERE length(token) >= 2 GROUP BY token)"
+#: corrected(token, correction) of the words u0(token) by the dictionary dict(token, freq).
+CORRECTED = """u1 AS (SELECT token, CASE WHEN regexp_full_match(token, '\\p{L}+[0-9]+') THEN regexp_extract(token, '^\\p{L}+') ELSE token END AS word FROM u0 WHERE length(token) >= 4 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN (SELECT token FROM dict)),
+        u AS (SELECT *, substring(token, length(word) + 1) AS digits, CASE WHEN length(word) >= 8 AND regexp_full_match(word, '[a-z0-9]+') THEN 2 ELSE 1 END AS reach FROM u1 WHERE length(word) >= 4 AND word NOT IN (SELECT token FROM dict)),
+        d AS (SELECT token AS term, freq FROM dict WHERE freq >= 2),
+        ux AS (SELECT u.token, digits, term, freq, CASE WHEN list_contains(list_transform(range(1, length(word)), lambda i: substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2)), term) THEN 0 ELSE levenshtein(word, term) END AS edits, word, reach FROM u, d),
+        uy AS (SELECT * FROM ux WHERE edits = 0 OR (edits <= reach AND NOT contains(word, term) AND (word[1] = term[1] OR (length(word) > 6 AND edits <= 1)))),
+        corrected AS (SELECT token, term || digits AS correction FROM uy QUALIFY row_number() OVER (PARTITION BY token ORDER BY edits, freq DESC, term) = 1)"""
 _W = r"[\p{L}\p{N}]+"
 _JUDGED = f"""{_PROFILE}, {_POSTINGS}, {_hits('level = 1')},
 res0 AS (SELECT query_id, product_id, rank FROM (SELECT query_id, product_id, row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) AS rank FROM (SELECT * REPLACE (CASE WHEN phrase THEN 15.0::double ELSE 10.0::double END AS score) FROM k WHERE held = needed)) WHERE rank <= 10),
@@ -239,12 +240,7 @@ SQL = {
     "hyb_tail_cap": with_views(f"WITH {_BOOST}, t AS (SELECT *, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY score DESC, product_id ROWS UNBOUNDED PRECEDING) AS o FROM z) SELECT query_id, product_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM t WHERE solid OR o <= 40", "products_v", "queries_v"),
     "q_spell": with_views(f"""WITH {_DICT}, w AS (SELECT token AS w FROM dict WHERE length(token) >= 4),
         u0 AS (SELECT DISTINCT unnest([substring(w, 1, 2) || substring(w, 4), substring(w, 1, 1) || substring(w, 3, 1) || substring(w, 2, 1) || substring(w, 4), w || 'x']) AS token FROM w),
-        u1 AS (SELECT token, CASE WHEN regexp_full_match(token, '\\p{{L}}+[0-9]+') THEN regexp_extract(token, '^\\p{{L}}+') ELSE token END AS word FROM u0 WHERE length(token) >= 4 AND NOT regexp_full_match(token, '[0-9]+') AND token NOT IN (SELECT token FROM dict)),
-        u AS (SELECT *, substring(token, length(word) + 1) AS digits, CASE WHEN length(word) >= 8 AND regexp_full_match(word, '[a-z0-9]+') THEN 2 ELSE 1 END AS reach FROM u1 WHERE length(word) >= 4 AND word NOT IN (SELECT token FROM dict)),
-        d AS (SELECT token AS term, freq FROM dict WHERE freq >= 2),
-        x AS (SELECT u.token, digits, term, freq, CASE WHEN list_contains(list_transform(range(1, length(word)), lambda i: substring(word, 1, i - 1) || substring(word, i + 1, 1) || substring(word, i, 1) || substring(word, i + 2)), term) THEN 0 ELSE levenshtein(word, term) END AS edits, word, reach FROM u, d),
-        y AS (SELECT * FROM x WHERE edits = 0 OR (edits <= reach AND NOT contains(word, term) AND (word[1] = term[1] OR (length(word) > 6 AND edits <= 1))))
-        SELECT token, term || digits AS correction FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY edits, freq DESC, term) AS r FROM y) WHERE r = 1""", "products_v"),
+        {CORRECTED} SELECT token, correction FROM corrected""", "products_v"),
     "q_profile": with_views(f"WITH {_PROFILE} SELECT query_id, cast(pos - 1 AS bigint) AS \"at\", token, NOT generic AS required, round(w, 6) AS weight, round(total, 6) AS total FROM prof", "products_v", "queries_v"),
     "q_intent": with_views(f"""WITH i AS (SELECT * FROM (VALUES (1, 'c', 'ECONOMY'), (1, 't', 'hot gear'), (2, 't', 'red'), (3, 'c', 'PROMO'), (3, 'c', 'LARGE')) AS v(query_id, kind, name)),
         h AS (SELECT DISTINCT i.query_id, product_id, popularity, stock > 0 AS st FROM i JOIN products_v ON CASE WHEN kind = 'c' THEN category = name ELSE contains(' ' || array_to_string({sql_tokens('tags')}, ' ') || ' ', ' ' || name || ' ') END)

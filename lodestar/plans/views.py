@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.text import KEYS
 from ..operators.lexicon import there
 from ..operators.retrieve import Index
 
@@ -47,6 +48,11 @@ VIEWS = {
                cast(floor(value * 10) AS bigint) AS duration_ms, cast(3000 AS bigint) AS timeout_ms,
                CASE WHEN event_id % 5 = 0 THEN '=cmd' WHEN event_type = 'error' THEN 'timed out' END AS error
         FROM {events}""",
+    "typos_v": """
+        SELECT k * 4 + kind AS query_id, CASE kind WHEN 0 THEN typo WHEN 1 THEN translate(name, '{latin}', '{persian}') WHEN 2 THEN translate(typo, '{latin}', '{persian}') ELSE replace(name, ' ', '') END AS raw_q
+        FROM (SELECT name, k, kind, CASE WHEN length(name) > 5 THEN substring(name, 1, length(name) - 3) || substring(name, length(name) - 1, 1) || substring(name, length(name) - 2, 1) || substring(name, length(name), 1) ELSE name END AS typo
+            FROM (SELECT p_name AS name, min(p_partkey) AS k FROM {part} GROUP BY p_name UNION ALL SELECT DISTINCT 'azure widget ' || p_size, -1 - p_size FROM {part}) n CROSS JOIN (SELECT 0 AS kind UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3) kinds) t
+        """,
     "queries_v": """
         SELECT row_number() OVER (ORDER BY raw_q) AS query_id, raw_q FROM (
             SELECT DISTINCT p_name AS raw_q FROM {part} UNION SELECT DISTINCT p_type FROM {part}
@@ -57,6 +63,9 @@ VIEWS = {
         """,
 }
 
+#: Letter keys of the Latin layout, and what they write on the Persian one.
+for side, letters in (("latin", (k for k in KEYS if k.islower())), ("persian", (v for k, v in KEYS.items() if k.islower()))):
+    VIEWS["typos_v"] = VIEWS["typos_v"].replace("{%s}" % side, "".join(letters))
 TABLES = "part documents lineitem events embeddings".split()
 _USES = {name: [t for t in TABLES if "{%s}" % t in text] for name, text in VIEWS.items()}
 
