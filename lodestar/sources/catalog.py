@@ -58,17 +58,10 @@ def insert_rows(text: str, default: list[str] | None = None) -> Iterator[dict[st
 
 
 def read_inserts(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """The named columns of a file of INSERT statements, all text; a row without one of them is an error. One task reads one file: quotes decide where a row ends."""
+    """The named columns of files of INSERT statements, all text; a row without one of them is an error. See ``dumps.read_dump``."""
+    from .dumps import read_dump
 
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                rows = list(insert_rows(text, columns))
-                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in columns], names=columns)
-
-    return spark.read.text(path, wholetext=True).mapInArrow(run, ", ".join(f"`{c}` string" for c in columns))
+    return read_dump(spark, path, columns).select(*(F.col(f"`{c}`") for c in columns))
 
 
 def write_csv(rows: DataFrame, path: str) -> None:

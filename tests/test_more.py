@@ -45,8 +45,9 @@ def test_suggestions_apply_without_full_hits(spark):
     index = retrieve.Index(products(spark), 0.99)
     words = spark.createDataFrame([("gizmo", 5), ("gear", 5), ("lamp", 3)], "token string, freq long")
     q = asked(spark, "gizom", "lamp")
-    got = search.suggested(q, search.keyword_search(index, q), words, index).collect()
-    assert [(r.query_id, r.did_you_mean, r.applied) for r in got] == [(1, "gizmo", True)]
+    shown, found = search.recovered(index, q, search.found_hits(index, q), words)
+    assert [(r.query_id, r.did_you_mean, r.applied) for r in shown.collect()] == [(1, "gizmo", True)]
+    assert {r.product_id for r in found.where("query_id = 1").collect()} == {1, 3, 4}
 
 
 def test_hybrid_pins_codes(spark):
@@ -68,13 +69,6 @@ def test_candidates_terms_and_variants(spark):
 
 
 def test_rewriting_pieces(spark):
-    q = asked(spark, "used lamp new", "lamp")
-    assert [(r.query_id, r.condition) for r in rewrite.conditions(q, {"used": "second", "new": "new"}).collect()] == [(1, "second")]
-    rows = spark.createDataFrame([(1, 7, 1, -1), (1, 8, 2, 1), (1, 9, 3, 1), (1, 6, 4, 0)], "query_id int, product_id int, rank int, status int")
-    assert [r.product_id for r in rewrite.reordered(rows).orderBy("rank").collect()] == [8, 9, 6, 7]
-    brands = spark.createDataFrame([("acme",), ("zed",)], "phrase string")
-    hits = spark.createDataFrame([(1, 1), (2, 4)], "query_id long, product_id long")
-    assert [tuple(r) for r in rewrite.brand_unmatched(asked(spark, "acme zed", "zed"), brands, hits, products(spark)).collect()] == [(1, "zed")]
     lists = [spark.createDataFrame([("a",), (" ",)], "name string"), spark.createDataFrame([("a ",), ("b",)], "name string")]
     assert sorted(tuple(r) for r in rewrite.collected_names(lists).collect()) == [("a", 0), ("b", 1)]
     row = spark.range(1).select(T.like_escape(F.lit("5%_\\")).alias("e"), T.rest_of(F.array(F.lit("a"), F.lit("b"), F.lit("a")), F.array(F.lit("b"))).alias("r")).first()
@@ -86,8 +80,6 @@ def test_vector_pieces(spark):
     assert all(abs(sum(x * x for x in r.e) - 1) < 1e-9 for r in v) and len({tuple(r.e) for r in v}) == 20
     rows = spark.createDataFrame([(1, 5, 0.9), (1, 6, float("nan")), (1, None, 0.9), (1, 4, 0.9), (1, 7, 0.1)], "query_id int, id int, score double")
     assert [(r.id, r["rank"]) for r in vector.served(rows).orderBy("rank").collect()] == [(4, 1), (5, 2)]
-    both = spark.createDataFrame([(1, 1, 5.0, None, True), (1, 2, None, 0.8, False), (2, 1, 5.0, None, True)], "query_id int, product_id int, score double, cosine double, solid boolean")
-    assert sorted((r.query_id, r.solid) for r in vector.exemption_lost(both).where("product_id = 1").collect()) == [(1, False), (2, True)]
     kw = spark.createDataFrame([(1, 1, 4.0, True)], "query_id long, product_id long, score double, solid boolean")
     near = spark.createDataFrame([(1, 3, 0.9)], "query_id long, product_id long, cosine double")
     q = asked(spark, "acme").select("query_id", F.array(T.tokenize(T.normalize("raw_q"))).alias("variants"))
