@@ -35,6 +35,7 @@ def incidents(stream: DataFrame, gap: str = "60 seconds", watermark: str = WATER
 
 
 KEEP, LATE = 20, "1 day"
+WITHIN, SKEW = "1 HOUR", "5 SECONDS"  # a search before its events, and clocks
 
 
 def _flagged(stream: DataFrame, keys: list[str], name: str, remember: int, seconds: int, test) -> DataFrame:
@@ -82,6 +83,25 @@ def dedupe_events(stream: DataFrame, logs: DataFrame, seconds: int = REPEAT_SECO
     return flagged.where(~F.col("repeated")).drop("repeated")
 
 
+def matched_events(events: DataFrame, logs: DataFrame, within: str = WITHIN, watermark: str = WATERMARK) -> DataFrame:
+    """S3 with both sides as streams: ``events`` with status ``known``, ``unknown`` or ``invalid``.
+
+    An event is known if its search came within ``within`` before it, or after it by what clocks may be
+    off (``SKEW``). Both sides have watermarks and the times are bounded, so neither is remembered for
+    longer than that; an event whose search doesn't come is unknown once the watermark has passed it.
+    Of an event that isn't a valid one nothing is remembered.
+    """
+    sound = F.col("search_uuid").isNotNull() & F.col("action").isin("click", "dym_click") & (F.col("position") >= 0) & ((F.col("action") == "dym_click") | (F.col("product_id") >= 1))
+    sound = F.coalesce(sound, F.lit(False))
+    columns = events.columns
+    asked = logs.select(F.col("search_uuid").alias("known_uuid"), F.col("ts").alias("searched")).withWatermark("searched", watermark)
+    met = events.where(sound).withWatermark("ts", watermark).join(
+        asked, F.expr(f"search_uuid = known_uuid AND searched >= ts - INTERVAL {within} AND searched <= ts + INTERVAL {SKEW}"), "left_outer"
+    )
+    known = F.when(F.col("known_uuid").isNull(), "unknown").otherwise("known")
+    return met.select(*columns, known.alias("status")).unionByName(events.where(~sound).withColumn("status", F.lit("invalid")))
+
+
 def append_log(stream: DataFrame, path: str, checkpoint: str):
     """Masked rows appended as parquet, exactly once."""
     return masked(stream).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
