@@ -13,6 +13,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import BooleanType, StructField, StructType
 
@@ -83,6 +84,73 @@ def dedupe_events(stream: DataFrame, logs: DataFrame, seconds: int = REPEAT_SECO
     return flagged.where(~F.col("repeated")).drop("repeated")
 
 
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Recent(StatefulProcessor):
+    """Remembers the times of a key's last ``most`` rows that count, and forgets them by a timer ``micros`` after the last.
+
+    A row's answer goes on at once: whether ``most`` rows that count lie within ``micros`` before it; with
+    ``itself`` it is one of them. Rows of one time are answered before any of them counts for the others.
+    """
+
+    def __init__(self, columns: list[str], name: str, most: int, micros: int, counts: str | None, itself: bool):
+        self.columns, self.name, self.most, self.micros, self.counts, self.itself = columns, name, most, micros, counts, itself
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.times = handle.getValueState("times", "at array<bigint>")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(rows)).sort_values(["ts", "id"])
+        at = rows["ts"].astype("datetime64[us]").astype("int64").tolist()
+        counts = [True] * len(rows) if self.counts is None else rows[self.counts].fillna(False).astype(bool).tolist()
+        times = list(self.times.get()[0]) if self.times.exists() else []
+        flags, i = [], 0
+        while i < len(at):
+            j = i
+            while j < len(at) and at[j] == at[i]:
+                j += 1
+            now = [at[i]] * sum(counts[i:j])
+            seen = times + now if self.itself else times
+            enough = len(seen) >= self.most and at[i] - seen[-self.most] <= self.micros
+            flags += [enough] * (j - i)
+            times, i = (times + now)[-self.most :], j
+        if times:
+            self.times.update((times,))
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(max(times[-1] + self.micros, 0) // 1000 + 1)
+        yield rows[self.columns].assign(**{self.name: flags})
+
+    def handleExpiredTimer(self, key, timers, expired) -> Iterator[pd.DataFrame]:
+        self.times.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _recent(stream: DataFrame, key: str, name: str, most: int, seconds: int, counts: str | None, itself: bool) -> DataFrame:
+    ship(stream.sparkSession)
+    stream.sparkSession.conf.set(STORE, ROCKS)  # the only store with timers
+    schema = StructType([*stream.schema.fields, StructField(name, BooleanType())])
+    processor = _Recent(stream.columns, name, most, seconds * 1_000_000, counts, itself)
+    return stream.withWatermark("ts", LATE).groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
+
+
+def throttled(attempts: DataFrame, most: int = 5, minutes: int = 15) -> DataFrame:
+    """``attempts`` (id, ts, who, failed) with whether the sign-in is refused, as the batch form; each answered as it comes."""
+    return _recent(attempts, "who", "throttled", most, minutes * 60, "failed", False)
+
+
+def cache_lifetime(lookups: DataFrame, hot: int = 20, days: int = 7) -> DataFrame:
+    """``lookups`` (id, ts, key, empty) with ttl, the seconds that the answer lives, as the batch form; each answered as it comes."""
+    rows = _recent(lookups, "key", "is_hot", hot, days * 86400, None, True)
+    return rows.withColumn("ttl", F.when(F.col("empty"), 300).when(F.col("is_hot"), 7 * 86400).otherwise(86400)).drop("is_hot")
+
+
 def matched_events(events: DataFrame, logs: DataFrame, within: str = WITHIN, watermark: str = WATERMARK) -> DataFrame:
     """S3 with both sides as streams: ``events`` with status ``known``, ``unknown`` or ``invalid``.
 
