@@ -116,8 +116,3 @@ def latency_trend(logs: DataFrame, unit: str = "day") -> DataFrame:
 
 def heatmap(logs: DataFrame) -> DataFrame:
     return searches(logs).groupBy(F.weekday("ts").alias("weekday"), F.hour("ts").alias("hour")).agg(F.count(F.lit(1)).alias("searches"))
-
-
-def report(parts: dict, logs: DataFrame) -> dict[str, DataFrame]:
-    """A report of named parts, each a function of the log; lazily, so that only what is read runs."""
-    return {name: part(logs) for name, part in parts.items()}

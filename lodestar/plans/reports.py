@@ -9,6 +9,7 @@ from ..operators import analytics as A
 from ..operators import calls as C
 from ..operators import insights as I
 from ..operators import logs as L
+from ..operators.report import report
 from .views import view, with_views
 
 FOLLOW_SECONDS = 600  # events of the driver's tables lie minutes apart
@@ -117,6 +118,7 @@ QUERIES = {
     "log_retention": _retained,
     "log_page": _page,
     "log_cache_ttl": _lifetimes,
+    "report_all": _log(report),
 }
 
 _RAW = {
@@ -169,5 +171,30 @@ _RAW = {
     "log_page": ("SELECT id, raw_q, latency_ms FROM search_logs_v WHERE id > (SELECT max(id) FROM search_logs_v) - 5000 AND (contains(raw_q, 'gear') OR contains(normalized_q, 'gear')) AND result_count = 0 ORDER BY id DESC LIMIT 20 OFFSET 20", "l"),
 }
 
+_Z, _H, _Y, _D = ("count(*) FILTER (WHERE result_count = 0)", "count(*) FILTER (WHERE cache_hit)", "count(*) FILTER (WHERE tier = 'hybrid')", "count(*) FILTER (WHERE did_you_mean <> '')")
+
+
+def _cells(rows: str, name: str, **cells: str) -> str:
+    """A report of several figures over the same rows."""
+    return " UNION ALL ".join(f"SELECT '{name}' AS report, '{k}' AS key, cast({c} AS double) AS value FROM {rows}" for k, c in cells.items())
+
+
+_DAY, _HOUR = "strftime(ts, '%Y-%m-%d')", "strftime(ts, '%Y-%m-%d %H:00')"
+_RAW["report_all"] = (f"WITH {SEARCHES}, {V2}, {V2_ALL}, cold AS (SELECT * FROM w WHERE NOT cache_hit), g AS (SELECT q, count(*) AS n FROM s WHERE q <> '' GROUP BY q), dz AS (SELECT {_DAY} AS key, count(*) AS n, {_Z} AS zero FROM s GROUP BY 1) " + " UNION ALL ".join([
+    _cells("s", "summary", searches="count(*)", zero=_Z, zero_pct=_pct(_Z, "count(*)"), avg_results="round(coalesce(avg(result_count), 0.0), 1)"),
+    _cells("s", "cache", hits=_H, misses=f"count(*) - {_H}", hit_pct=_pct(_H, "count(*)")), _cells("s", "tier", hybrid=_Y, keyword_only=f"count(*) - {_Y}", hybrid_pct=_pct(_Y, "count(*)")),
+    _cells("s", "did_you_mean", shown=_D, shown_pct=_pct(_D, "count(*)")), _cells("s", "unique", sessions="count(DISTINCT session_id)", per_session="round(count(session_id) / count(DISTINCT session_id), 2)"),
+    _cells("g", "repeat_queries", searches="sum(n)", repeated="sum(CASE WHEN n > 1 THEN n ELSE 0 END)", repeat_pct=_pct("sum(CASE WHEN n > 1 THEN n ELSE 0 END)", "sum(n)")),
+    _cells("s", "requests", requests="max((SELECT count(*) FROM search_logs_v))", searches="count(*)", filtered="(SELECT count(*) FROM search_logs_v) - count(*)"),
+    _cells("s", "latency", n="count(latency_ms)", avg_ms="round(avg(latency_ms), 1)", p50=_disc(0.5, "latency_ms"), p95=_disc(0.95, "latency_ms"), max_ms="max(latency_ms)"),
+    _cells("cold", "latency_cold", n="count(*)", p50=_disc(0.5, "latency_ms"), p95=_disc(0.95, "latency_ms"), max_ms="max(latency_ms)"),
+    _cells("w", "capped_share", n="count(*)", capped="count(*) FILTER (WHERE is_capped)", capped_pct=_pct("count(*) FILTER (WHERE is_capped)", "count(*)")),
+    f"(SELECT 'volume', {_DAY} AS key, count(*)::double FROM s GROUP BY ALL ORDER BY key DESC LIMIT 366)", f"(SELECT 'volume_hourly', {_HOUR} AS key, count(*)::double FROM s GROUP BY ALL ORDER BY key DESC LIMIT 744)",
+    f"SELECT 'zero_rate_trend', key, {_pct('zero', 'n')} FROM dz", "SELECT 'zero_rate_moving', key, round(100.0 * sum(zero) OVER m / sum(n) OVER m, 1)::double FROM dz WINDOW m AS (ORDER BY key ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)",
+    f"SELECT 'latency_trend', {_DAY}, {_disc(0.95, 'latency_ms')} FROM s GROUP BY 2", "SELECT 'hourly_heatmap', (dayofweek(ts) + 6) % 7 || ' ' || hour(ts), count(*)::double FROM s GROUP BY 2",
+    "SELECT 'query_length', r.range::varchar, coalesce(n, 0)::double FROM range(1, 6) r LEFT JOIN (SELECT least(5, 1 + length(q) - length(replace(q, ' ', ''))) AS words, count(*) AS n FROM s GROUP BY 1) x ON x.words = r.range",
+    "(SELECT 'top_queries', q, count(*)::double FROM s WHERE q <> '' GROUP BY q ORDER BY count(*) DESC, max(ts) DESC, q LIMIT 20)", "(SELECT 'zero_result_queries', q, count(*)::double FROM s WHERE q <> '' AND result_count = 0 GROUP BY q ORDER BY count(*) DESC, max(ts) DESC, q LIMIT 20)",
+    "SELECT 'brand_unmatched', brand_unmatched, count(*)::double FROM v WHERE brand_unmatched <> '' GROUP BY 2",
+]), "l")
 _VIEWS = {"l": "search_logs_v", "e": "search_events_v", "c": "calls_v", "p": "products_v"}
 SQL = {name: with_views(sql, *(_VIEWS[v] for v in views)) for name, (sql, views) in _RAW.items()}
