@@ -15,8 +15,18 @@ from lodestar.llm import exact_dedup, near_dup, packing, pii, quality
 from lodestar.llm._common import stored
 
 
+BATCH, ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 2000
+
+
+def _bounded(spark: SparkSession) -> None:
+    """Rows go to Python workers at most ``ROWS`` at a time: executors that run all stages hold less memory outside of the heap."""
+    if int(spark.conf.get(BATCH)) > ROWS:
+        spark.conf.set(BATCH, str(ROWS))
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality model accepts; it learns from the labels of the documents at hand."""
+    _bounded(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return quality.accepted(docs, quality.fit(docs, labels))
 
@@ -28,6 +38,7 @@ def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first of each group of texts linked by a similarity of 0.8 or more."""
+    _bounded(spark)
     return near_dup.near_dedup(docs)
 
 
@@ -39,6 +50,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 2048 tokens, a row per piece."""
+    _bounded(spark)
     return packing.best_fit_packing(docs)
 
 
