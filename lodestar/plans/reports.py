@@ -9,6 +9,7 @@ from ..operators import analytics as A
 from ..operators import calls as C
 from ..operators import insights as I
 from ..operators import logs as L
+from ..operators.paging import clustered, log_page
 from ..operators.report import report
 from .views import view, with_views
 
@@ -70,6 +71,22 @@ def _page(spark: SparkSession, d: str) -> DataFrame:
     return found.orderBy(F.desc("id")).offset(20).limit(20).select("id", "raw_q", "latency_ms")
 
 
+#: Pages: view, sort, direction, term, page.
+PAGES = (("recent", "", "", "", 1), ("recent", "", "", "", 3), ("recent", "raw_q", "", "GEAR", 2), ("zero", "", "", "red", 1), ("zero", "latency_ms", "asc", "", 2), ("slowest", "", "", "", 1), ("slowest", "nonsense", "asc", "blue", 2), ("recent", "did_you_mean", "desc", "", 4))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    logs, out = view(spark, d, "search_logs_v"), None
+    for i, (name, sort, direction, term, page) in enumerate(PAGES):
+        one = log_page(logs, page, 25, view=name, sort=sort, direction=direction, term=term).select(F.lit(i).alias("shown"), "place", "id", "raw_q", "latency_ms")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _export(spark: SparkSession, d: str) -> DataFrame:
+    return clustered(view(spark, d, "search_logs_v"), 20_000).export(keep=F.col("ts") >= _ts(BEFORE))
+
+
 QUERIES = {
     "agg_result_health": _log(A.result_health),
     "agg_top_queries": _log(A.top_queries),
@@ -119,6 +136,8 @@ QUERIES = {
     "log_page": _page,
     "log_cache_ttl": _lifetimes,
     "report_all": _log(report),
+    "log_pages": _pages,
+    "export_raw": _export,
 }
 
 _RAW = {
@@ -196,5 +215,11 @@ _RAW["report_all"] = (f"WITH {SEARCHES}, {V2}, {V2_ALL}, cold AS (SELECT * FROM
     "(SELECT 'top_queries', q, count(*)::double FROM s WHERE q <> '' GROUP BY q ORDER BY count(*) DESC, max(ts) DESC, q LIMIT 20)", "(SELECT 'zero_result_queries', q, count(*)::double FROM s WHERE q <> '' AND result_count = 0 GROUP BY q ORDER BY count(*) DESC, max(ts) DESC, q LIMIT 20)",
     "SELECT 'brand_unmatched', brand_unmatched, count(*)::double FROM v WHERE brand_unmatched <> '' GROUP BY 2",
 ]), "l")
+_ORDERS = ("id DESC", "id DESC", "raw_q ASC NULLS FIRST, id ASC", "id DESC", "latency_ms ASC NULLS FIRST, id ASC", "latency_ms DESC NULLS LAST, id DESC", "latency_ms DESC NULLS LAST, id DESC", "did_you_mean DESC NULLS LAST, id DESC")
+_RAW["log_pages"] = (" UNION ALL ".join(
+    f"SELECT {i} AS shown, place, id, raw_q, latency_ms FROM (SELECT *, row_number() OVER (ORDER BY {order}) AS place FROM search_logs_v WHERE {'result_count = 0' if p[0] == 'zero' else 'true'} AND (contains(lower(raw_q), '{p[3].lower()}') OR contains(lower(normalized_q), '{p[3].lower()}'))) WHERE place > {25 * (p[4] - 1)} AND place <= {25 * p[4]}"
+    for i, (p, order) in enumerate(zip(PAGES, _ORDERS))
+), "l")
+_RAW["export_raw"] = (f"SELECT place // 2000 AS page, place, id, ts, raw_q, normalized_q, result_count, latency_ms, did_you_mean, tier, cache_hit FROM (SELECT *, row_number() OVER (ORDER BY id DESC) - 1 AS place FROM search_logs_v WHERE ts >= '{BEFORE}')", "l")
 _VIEWS = {"l": "search_logs_v", "e": "search_events_v", "c": "calls_v", "p": "products_v"}
 SQL = {name: with_views(sql, *(_VIEWS[v] for v in views)) for name, (sql, views) in _RAW.items()}

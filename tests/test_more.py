@@ -139,3 +139,27 @@ def test_export_and_pages(spark):
     assert seen == list(range(10)) and catalog.bounded_count(rows, 3) == 3
     cut = spark.createDataFrame([("one two\\nthree",), ("abcdefghij",)], "d string").select(T.index_description("d", 9).alias("x")).collect()
     assert [r.x for r in cut] == ["one", ""] or [r.x for r in cut] == ["one", ""]
+
+
+def test_export_opens_the_files_that_a_page_needs(spark):
+    from lodestar.operators import paging
+
+    logs = spark.range(1, 1001).select("id", F.concat(F.lit("q"), F.col("id") % 7).alias("raw_q"), (F.col("id") % 5).alias("result_count"), F.lit("secret").alias("ip"))
+    pages = paging.clustered(logs, 100)
+    files = pages.files.orderBy(F.desc("newest")).collect()
+    assert len(files) == 10 and all(a.oldest > b.newest for a, b in zip(files, files[1:]))
+    opened, of = [], paging.Pages._of
+    paging.Pages._of = lambda self, rows, names: opened.append(len(names)) or of(self, rows, names)
+    try:
+        first = pages.page(None, 40)
+        assert [r.id for r in first.orderBy(F.desc("id")).collect()] == list(range(1000, 960, -1)) and opened == [1] and first.columns == ["id", "raw_q", "result_count"]
+        seen, last = [], None
+        while got := [r.id for r in pages.page(last, 150, F.col("result_count") == 0).orderBy(F.desc("id")).collect()]:
+            seen, last = seen + got, got[-1]
+        assert seen == list(range(1000, 0, -5))
+        opened.clear()
+        assert pages.page(101, 500).count() == 100 and opened[0] == 1 and max(opened) <= 2
+    finally:
+        paging.Pages._of = of
+    placed = pages.export(250, F.col("result_count") > 0, 100).collect()
+    assert sorted(r.place for r in placed) == list(range(250)) and {r.page for r in placed} == {0, 1, 2} and max(r.id for r in placed) == 999
