@@ -64,9 +64,9 @@ def phrase_in_tags(tags: Column, variants: Column, least: int = TAG_WORDS) -> Co
 
 
 def blend(keyword: DataFrame, semantic: DataFrame, floor: float = LEAST_RELEVANCE) -> DataFrame:
-    """(query_id, product_id, keyword, semantic, relevance, solid) of the union of keyword hits and neighbours.
+    """(query_id, product_id, keyword, semantic, relevance, solid, hit_score, cosine, assumed) of the union of keyword hits and neighbours.
 
-    Both scores count relative to the query's best. A solid keyword hit that isn't a neighbour is taken
+    hit_score and cosine are what came in, null for what didn't; assumed says that a cosine was taken for one. Both scores count relative to the query's best. A solid keyword hit that isn't a neighbour is taken
     to be one at the floor cosine, and is never dropped; others need ``floor``.
     """
     both = keyword.join(semantic, ["query_id", "product_id"], "full")
@@ -77,7 +77,8 @@ def blend(keyword: DataFrame, semantic: DataFrame, floor: float = LEAST_RELEVANC
     assumed = F.coalesce("cosine", F.when(F.col("solid"), F.least(F.lit(SOLID_COSINE), "top_cosine")).otherwise(0.0))
     k = F.when(F.col("top_score") > 0, F.greatest(F.lit(0.0), F.coalesce("score", F.lit(0.0))) / F.col("top_score")).otherwise(0.0)
     s = F.when(F.col("top_cosine") > 0, F.greatest(F.lit(0.0), assumed) / F.col("top_cosine")).otherwise(0.0)
-    rows = both.select("query_id", "product_id", "solid", k.alias("keyword"), s.alias("semantic"))
+    taken = F.col("cosine").isNull() & F.col("solid") & (s > 0)
+    rows = both.select("query_id", "product_id", "solid", k.alias("keyword"), s.alias("semantic"), F.col("score").alias("hit_score"), "cosine", taken.alias("assumed"))
     rows = rows.withColumn("relevance", KEYWORD_WEIGHT * F.col("keyword") + SEMANTIC_WEIGHT * F.col("semantic"))
     return rows.where((F.col("relevance") >= floor) | F.col("solid"))
 
@@ -114,13 +115,17 @@ def tail_capped(rows: DataFrame, tail: int = TAIL) -> DataFrame:
 
 
 def explained(blended: DataFrame, products: DataFrame, queries: DataFrame) -> DataFrame:
-    """The score of each hit with its parts: keyword and semantic shares, and each boost."""
+    """The score of each hit with its parts: what came in, keyword and semantic shares, whether a cosine was assumed, each boost and the factor of named entities."""
     rows = boosted(blended, products, queries).select("query_id", "product_id", "score")
-    facts = blended.join(products.select("product_id", "stock", "brand", "category", "tags"), "product_id").join(queries.select("query_id", "variants"), "query_id")
+    facts = blended.join(products.select("product_id", "stock", "popularity", "brand", "category", "tags"), "product_id").join(queries.select("query_id", "variants"), "query_id")
     on = lambda c, w: F.when(c, w).otherwise(0.0)
+    top = F.max("popularity").over(Window.partitionBy("query_id"))
+    lifted, demoted = (F.col(c) if c in blended.columns else F.lit(0) for c in ("lifted", "demoted"))
     parts = facts.select(
-        "query_id", "product_id", F.round(KEYWORD_WEIGHT * F.col("keyword"), 6).alias("keyword"), F.round(SEMANTIC_WEIGHT * F.col("semantic"), 6).alias("semantic"), on(F.col("stock") > 0, STOCK).alias("stock"),
+        "query_id", "product_id", F.round("hit_score", 6).alias("hit_score"), "cosine", "assumed", F.round(KEYWORD_WEIGHT * F.col("keyword"), 6).alias("keyword"), F.round(SEMANTIC_WEIGHT * F.col("semantic"), 6).alias("semantic"),
+        on(F.col("stock") > 0, STOCK).alias("stock"), F.round(F.when(top > 0, POPULARITY * F.col("popularity") / top).otherwise(0.0), 6).alias("popularity"),
         on(words_in_query(F.col("brand"), F.col("variants")), BRAND).alias("brand"), on(words_in_query(F.col("category"), F.col("variants")), CATEGORY).alias("category"), on(phrase_in_tags(F.col("tags"), F.col("variants")), TAG).alias("tag"),
+        F.round((1.0 + LIFT * lifted) * (1.0 - DEMOTE * demoted), 6).alias("factor"),
     )
     return rows.join(parts, ["query_id", "product_id"])
 

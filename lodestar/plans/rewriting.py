@@ -13,7 +13,8 @@ from ..operators import rewrite as R
 from ..operators import variants as A
 from ..operators.search import complete_search
 from .catalog import _NOTWORD, _ORDER, _POSTINGS, _PROFILE, _hits, intents, sql_normalize, sql_tokens
-from .search import _DICT, CORRECTED
+from .search import _BLEND_OF, _BOOST_OF, _DICT, _NEAR, CORRECTED, _kw_sem
+from ..operators import vector as V
 from ..operators.vector import mock_embedding
 from .views import RATIO, index_of, view, with_views
 
@@ -100,7 +101,33 @@ def search_complete(spark: SparkSession, d: str) -> DataFrame:
     return out.join(shown, "query_id", "left").select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "pinned", "did_you_mean", "applied")
 
 
-QUERIES = {f.__name__: f for f in (q_variants, kw_variants, q_recognized, q_entities, q_brand_evidence, q_recover, search_complete)}
+def _with_entities(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Blended hits with what named entities make of them, the products, and the queries' words."""
+    index, queries, alts = index_of(spark, d), view(spark, d, "queries_v"), A.alternatives(groups(spark))
+    words, near = (X.kept(df, "both") for df in _kw_sem(spark, d))
+    near = near.join(index.products.select("product_id"), "product_id", "left_semi")
+    asked = A.numbered_variants(A.variants(queries, alts, alias_words(spark)))
+    known = entities(spark, d)
+    named = N.recognized(asked, index.profile(asked), known, alts)
+    every = words.select("query_id", "product_id").union(near.select("query_id", "product_id")).distinct()
+    marks = X.kept(N.counted(N.statuses(every, named, N.signals(index.products, known, alts))).select("query_id", "product_id", "brand", "brand_active", "lifted", "demoted"), "marks")
+    safe = N.exempt(F.col("solid"), F.col("brand_active"), F.col("brand"))
+    words = words.join(marks, ["query_id", "product_id"], "left").select("query_id", "product_id", "score", safe.alias("solid"))
+    blended = V.blend(words, near).join(marks.select("query_id", "product_id", "lifted", "demoted"), ["query_id", "product_id"], "left").fillna(0, ["lifted", "demoted"])
+    return blended, index.products, queries.select("query_id", F.array(tokenize(normalize("raw_q"))).alias("variants"))
+
+
+def hyb_entities(spark: SparkSession, d: str) -> DataFrame:
+    """The blend of strict hits and neighbours where named entities lift, demote and take the exemption from the floor."""
+    return V.tail_capped(V.boosted(*_with_entities(spark, d))).select("query_id", "product_id", "solid", "score", "rank")
+
+
+def hyb_explained(spark: SparkSession, d: str) -> DataFrame:
+    """The parts of every score of that blend."""
+    return V.explained(*_with_entities(spark, d))
+
+
+QUERIES = {f.__name__: f for f in (q_variants, kw_variants, q_recognized, q_entities, q_brand_evidence, hyb_entities, hyb_explained, q_recover, search_complete)}
 
 _GROUPS = ", ".join(f"({i}, {j}, '{t}')" for i, g in enumerate(GROUPS) for j, t in enumerate(g))
 _WORDS = "[" + ", ".join(f"'{w}'" for w in sorted({w for g in GROUPS for t in g for w in t.split()})) + "]"
@@ -210,6 +237,13 @@ bq AS (SELECT query_id * 8 + step AS query_id, rewritten AS raw_q FROM tried UNI
 tp AS (SELECT query_id, name_hits >= needed AS name_all FROM k WHERE held = needed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 20),
 fc AS (SELECT query_id, count(*) AS full_hits, bool_or(name_all) AS named FROM tp GROUP BY query_id),
 acc AS (SELECT t.query_id, t.step, rewritten, f.full_hits FROM tried t JOIN fc f ON f.query_id = t.query_id * 8 + t.step LEFT JOIN fc o ON o.query_id = t.query_id * 8 WHERE f.full_hits > coalesce(o.full_hits, 0) AND (f.named OR t.step IN (1, 6)))"""
+#: Strict hits blended with neighbours, with the entities' factor: j(…, kw, sem, factor), z(query_id, product_id, solid, score).
+_LIFTED = f"""{_NAMED}, {_FACTS}, {_POSTINGS}, {_hits()},
+kw0 AS (SELECT query_id, product_id, score, title_hits = needed AS solid FROM k WHERE held = needed QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY {_ORDER}) <= 1000), {_NEAR},
+sem AS (SELECT * FROM nb WHERE product_id IN (SELECT product_id FROM products_v)), cand AS (SELECT query_id, product_id FROM kw0 UNION SELECT query_id, product_id FROM sem), {_STATUSES},
+fac AS (SELECT query_id, product_id, brand_active AND brand < 0 AS unsafe, (1 + 0.15 * ((brand_active AND brand > 0)::int + (platform_active AND platform > 0)::int + (condition > 0)::int)) * (1 - 0.10 * ((brand_active AND brand < 0)::int + (platform_active AND platform < 0)::int + (condition < 0)::int))::double AS factor FROM st),
+kws AS (SELECT query_id, product_id, score, solid AND NOT coalesce(unsafe, false) AS solid FROM kw0 LEFT JOIN fac USING (query_id, product_id)),
+""" + _BLEND_OF.replace("r AS (SELECT query_id, product_id, solid, 0.4", "r AS (SELECT query_id, product_id, solid, score AS hit_score, cosine, CASE WHEN ts > 0 THEN greatest(0, coalesce(score, 0)) / ts ELSE 0 END AS kw, CASE WHEN tc > 0 THEN greatest(0, coalesce(cosine, CASE WHEN solid THEN least(0.4, tc) ELSE 0 END)) / tc ELSE 0 END AS sem, 0.4") + ", " + _BOOST_OF.replace("FROM f JOIN products_v", "FROM (SELECT f.*, coalesce(factor, 1) AS factor FROM f LEFT JOIN fac USING (query_id, product_id)) f JOIN products_v").replace("round(relevance * (", "round(factor * relevance * (")
 _BEST = "coverage DESC, tm DESC, (sm AND NOT tm) DESC, score DESC, seq"
 
 SQL = {
@@ -223,6 +257,12 @@ SQL = {
         "list_contains(typed, brand) AND c IS NOT NULL AND NOT coalesce(list_contains(c, brand), false) AND NOT coalesce(list_contains(m, brand), false) AS unmatched FROM ea LEFT JOIN ev USING (query_id)", "products_v", "queries_v",
     ),
     "q_recover": with_views(f"""WITH {_RECOVER} SELECT query_id, step, rewritten, full_hits AS "full" FROM acc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY step) = 1""", "products_v", "typos_v"),
+    "hyb_entities": with_views(f"WITH RECURSIVE {_LIFTED}, tc AS (SELECT *, sum(CASE WHEN solid THEN 0 ELSE 1 END) OVER (PARTITION BY query_id ORDER BY score DESC, product_id ROWS UNBOUNDED PRECEDING) AS o FROM z) SELECT query_id, product_id, solid, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, product_id) AS rank FROM tc WHERE solid OR o <= 40", "products_v", "queries_v"),
+    "hyb_explained": with_views(
+        f"WITH RECURSIVE {_LIFTED} SELECT query_id, product_id, z.score, round(hit_score, 6) AS hit_score, cosine, cosine IS NULL AND solid AND sem > 0 AS assumed, round(0.4 * kw, 6) AS keyword, round(0.6 * sem, 6) AS semantic, CASE WHEN stock > 0 THEN 0.1::double ELSE 0.0::double END AS stock, "
+        "round(CASE WHEN top > 0 THEN 0.1 * popularity / top ELSE 0 END, 6)::double AS popularity, CASE WHEN list_has_all(toks, bw) THEN 0.15::double ELSE 0.0::double END AS brand, CASE WHEN list_has_all(toks, cw) THEN 0.1::double ELSE 0.0::double END AS category, "
+        "CASE WHEN len(toks) >= 2 AND contains(tw, ' ' || array_to_string(toks, ' ') || ' ') THEN 0.1::double ELSE 0.0::double END AS tag, round(factor, 6)::double AS factor FROM z JOIN j USING (query_id, product_id, solid)", "products_v", "queries_v",
+    ),
     "kw_variants": with_views(
         f"WITH RECURSIVE {_VARIED}, one AS (SELECT * FROM vh QUALIFY row_number() OVER (PARTITION BY query_id, product_id ORDER BY {_BEST}) = 1) "
         f"SELECT query_id, product_id, score, tm AS title_match, name_all, row_number() OVER (PARTITION BY query_id ORDER BY {_BEST}, product_id) AS rank FROM one QUALIFY rank <= 20", "products_v", "queries_v",
