@@ -21,17 +21,17 @@ def _best(rows: DataFrame, k: int, least: float) -> DataFrame:
     return rows.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.4) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int = 100, least: float = 0.4, at_once: tuple[int, int] = (QUERIES_AT_ONCE, VECTORS_AT_ONCE)) -> DataFrame:
     """(query_id, id, score, rank): the ``k`` most similar vectors with at least ``least``; ties to the smaller id.
 
     A stated query set against all rows, by matrix products: blocks of queries meet parts of the vectors,
-    both of bounded size, and each pair returns its own best ``k``.
+    both of bounded size (``at_once``), and each pair returns its own best ``k``.
     """
     import numpy as np
     import pyarrow as pa
 
-    parts = max(1, -(-vectors.count() // VECTORS_AT_ONCE))
-    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    parts = max(1, -(-vectors.count() // at_once[1]))
+    blocks = max(1, -(-queries.count() // at_once[0]))
     v = vectors.select("id", "embedding", F.pmod(F.xxhash64("id"), F.lit(parts)).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     q = queries.select("query_id", F.col("embedding").alias("asked"), F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
 

@@ -124,6 +124,12 @@ def txt_spelling(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("kept", T.keeps_digits(F.concat("p_name", F.lit("12")), F.concat("swapped", (F.col("p_partkey") % 40).cast("string"), F.lit("1"))))
 
 
+def txt_rest(spark: SparkSession, d: str) -> DataFrame:
+    """The words of each text that aren't among its first three."""
+    words = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", T.tokenize(T.normalize("text")).alias("t"))
+    return words.select("doc_id", F.md5(F.array_join(T.rest_of(F.col("t"), F.array(*(F.coalesce(F.get("t", F.lit(i)), F.lit("")) for i in range(3)))), " ")).alias("out"))
+
+
 def math_idf(products: DataFrame) -> DataFrame:
     out = X.token_weights(products)
     return out.withColumn("weight", F.round("weight", 9))
@@ -173,6 +179,8 @@ QUERIES = {
     "txt_suspicious": _docs(lambda: [T.is_suspicious("text").alias("out")]),
     "txt_length_bucket": _docs(lambda: [T.length_bucket("text").alias("out")]),
     "txt_spelling": txt_spelling,
+    "txt_like": _docs(lambda: [F.md5(T.like_escape("text")).alias("out")]),
+    "txt_rest": txt_rest,
     "math_idf": _products(math_idf),
     "date_buckets": date_buckets,
     "date_jalali": date_jalali,
@@ -198,6 +206,8 @@ _RAW = {
     "txt_mask": r"WITH m AS (SELECT doc_id, regexp_replace(text, '\p{Nd}{7,}', '#', 'g') AS m FROM documents) SELECT doc_id, CASE WHEN length(m) > 80 THEN '[long query]' ELSE m END AS out FROM m",
     "txt_suspicious": r"SELECT doc_id, regexp_matches(text, '(?i)extractvalue|concat\s*\(\s*0x|union\s+(?:all\s+)?select|sleep\s*\(') OR (contains(text, '--') AND regexp_matches(text, '[''" + '"' + r"`]')) AS out FROM documents",
     "txt_length_bucket": "SELECT doc_id, cast(least(5, 1 + length(text) - length(replace(text, ' ', ''))) AS int) AS out FROM documents",
+    "txt_like": r"SELECT doc_id, md5(replace(replace(replace(text, '\', '\\'), '%', '\%'), '_', '\_')) AS out FROM documents",
+    "txt_rest": f"WITH t AS (SELECT doc_id, {sql_tokens('text')} AS t FROM documents) SELECT doc_id, md5(array_to_string(list_filter(t, lambda x: NOT list_contains(t[1:3], x)), ' ')) AS out FROM t",
     "txt_spelling": "SELECT p_partkey, p_name, s.swapped, contains(cast(p_partkey % 40 AS string), '2') AS kept FROM part, LATERAL (SELECT substring(p_name, 1, i - 1) || substring(p_name, i + 1, 1) || substring(p_name, i, 1) || substring(p_name, i + 2) AS swapped FROM unnest(generate_series(1, cast(length(p_name) - 1 AS bigint))) AS u(i)) s",
     "date_buckets": "SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, strftime(ts, '%Y-%m-%d %H:00') AS hour, cast((dayofweek(ts) + 6) % 7 AS int) AS weekday FROM events",
     "date_jalali": """WITH d AS (SELECT DISTINCT cast(o_orderdate AS date) AS d FROM orders), e AS (SELECT d, date_diff('day', DATE '1600-03-20', d) AS n FROM d),

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import analytics as A
+from ..operators import audit as U
 from ..operators import calls as C
 from ..operators import insights as I
 from ..operators import logs as L
@@ -87,6 +88,17 @@ def _export(spark: SparkSession, d: str) -> DataFrame:
     return clustered(view(spark, d, "search_logs_v"), 20_000).export(keep=F.col("ts") >= _ts(BEFORE))
 
 
+def _attempts(spark: SparkSession, d: str) -> DataFrame:
+    """Sign-ins: every event is one of its user's, errors are failures."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return e.select(F.col("event_id").alias("id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("u"), F.col("user_id") % 50).alias("who"), (F.col("event_type") == "error").alias("failed"))
+
+
+def _failed(spark: SparkSession, d: str) -> DataFrame:
+    tried = _attempts(spark, d).withColumn("action", F.when(F.col("failed"), "login_failed").otherwise("login"))
+    return U.failed_logins(tried, tried.agg(F.max("ts")).scalar(), 2880).select("who", "failures", F.col("last").cast("timestamp_ntz").alias("last"))
+
+
 QUERIES = {
     "agg_result_health": _log(A.result_health),
     "agg_top_queries": _log(A.top_queries),
@@ -137,6 +149,8 @@ QUERIES = {
     "log_cache_ttl": _lifetimes,
     "report_all": _log(report),
     "log_pages": _pages,
+    "audit_throttled": lambda s, d: U.throttled(_attempts(s, d), 3, 600).select("id", "who", "throttled"),
+    "audit_failed": _failed,
     "export_raw": _export,
 }
 
@@ -221,5 +235,8 @@ _RAW["log_pages"] = (" UNION ALL ".join(
     for i, (p, order) in enumerate(zip(PAGES, _ORDERS))
 ), "l")
 _RAW["export_raw"] = (f"SELECT place // 2000 AS page, place, id, ts, raw_q, normalized_q, result_count, latency_ms, did_you_mean, tier, cache_hit FROM (SELECT *, row_number() OVER (ORDER BY id DESC) - 1 AS place FROM search_logs_v WHERE ts >= '{BEFORE}')", "l")
+_ATTEMPTS = "t AS (SELECT event_id AS id, ts, 'u' || user_id % 50 AS who, event_type = 'error' AS failed FROM events)"
+_RAW["audit_throttled"] = (f"WITH {_ATTEMPTS} SELECT id, who, count(*) FILTER (WHERE failed) OVER (PARTITION BY who ORDER BY epoch_us(ts) RANGE BETWEEN 36000000000 PRECEDING AND 1 PRECEDING) >= 3 AS throttled FROM t", "l")
+_RAW["audit_failed"] = (f"WITH {_ATTEMPTS} SELECT who, count(*) AS failures, max(ts) AS last FROM t WHERE failed AND ts > (SELECT max(ts) FROM t) - INTERVAL 2880 MINUTES GROUP BY who", "l")
 _VIEWS = {"l": "search_logs_v", "e": "search_events_v", "c": "calls_v", "p": "products_v"}
 SQL = {name: with_views(sql, *(_VIEWS[v] for v in views)) for name, (sql, views) in _RAW.items()}

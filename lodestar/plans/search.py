@@ -36,8 +36,9 @@ def vec_cosine_floor(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vec_blocks(spark: SparkSession, d: str) -> DataFrame:
+    """As ``vec_topk``, in many blocks of queries and parts of vectors: every pair of them returns candidates that are merged."""
     v = _vectors(spark, d)
-    return V.top_k(_asked(v), v, 10, -1.0)
+    return V.top_k(_asked(v), v, 10, -1.0, (4, 150))
 
 
 def _kw_sem(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
