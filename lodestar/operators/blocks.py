@@ -89,7 +89,8 @@ def intersected(prof: DataFrame, blocks: DataFrame, popularity: DataFrame, phras
         F.count_if(need & F.col("title")).alias("titles"), F.sum(F.col("weight") * F.col("best")).alias("credit"),
     )
     both = both.where((F.col("musts") > 0) & (F.col("musts") == F.col("needed") - (1 if omit else 0))).withColumn("hits", F.bitmap_count("bitmap")).where("hits > 0")
-    phrase = F.when((F.col("needed") > 1) & (F.col("titles") == F.col("needed")), phrase_bonus).otherwise(0.0)
+    # the last word of a phrase may be the start of another one, and so missing from the title itself
+    phrase = F.when((F.col("needed") > 1) & (F.col("titles") >= F.col("needed") - 1), phrase_bonus).otherwise(0.0)
     # rounded as scores are; what sums of floats may be off by is added
     score = F.round(F.col("credit") / F.col("total") + phrase + 1e-9, 6)
     key = F.struct(F.col("held").cast("int").alias("held"), F.col("title").cast("int").alias("title"), (~F.col("title") & F.col("fields")).cast("int").alias("fields"), score.alias("score"), F.col("most").alias("popularity"))
@@ -106,19 +107,21 @@ def opened(blocks: DataFrame, prof: DataFrame, lists: DataFrame, bits: int = BIT
 
 
 def best_hits(prof: DataFrame, lists: DataFrame, popularity: DataFrame, score: Callable[[DataFrame], DataFrame], worth: Column, phrase_bonus: float, k: int, omit: bool = False, bits: int = BITS) -> DataFrame:
-    """Stored hits, scored, among which are the ``k`` best of each query that hold all required words (with ``omit``: all but one at least).
+    """Stored hits, scored, among which are the ``k`` best of each query that hold all required words, or with ``omit`` of those that hold all but one.
 
     ``lists``: stored (asked, product_id, docno, level); ``score`` makes hits of rows like ``opened``'s.
     """
+    # products with all words are no hits here, and don't count among the k
+    scored = (lambda found: score(found).where("held < needed")) if omit else score
     blocks = kept(intersected(prof, block_lists(lists, worth, bits), popularity, phrase_bonus, omit), "blocks")
     order = Window.partitionBy("query_id").orderBy(F.desc("key"), "block", "omit")
     before = F.coalesce(F.sum("hits").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     turns = kept(blocks.withColumn("first", before < k), "turns")
-    hits = kept(score(opened(turns.where("first"), prof, lists, bits)), "hits")
+    hits = kept(scored(opened(turns.where("first"), prof, lists, bits)), "hits")
     best = Window.partitionBy("query_id").orderBy(F.desc("key"), "product_id")
     kth = hits.select("query_id", "product_id", rank_key().alias("key")).withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("key").alias("least"))
     rest = kept(turns.where("not first").join(kth, "query_id", "left").where(F.col("least").isNull() | (F.col("key") >= F.col("least"))).drop("least"), "rest")
     if rest.isEmpty():
         return hits
-    more = score(opened(rest, prof, lists, bits)).join(hits.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti")
+    more = scored(opened(rest, prof, lists, bits)).join(hits.select("query_id", "product_id"), ["query_id", "product_id"], "left_anti")
     return kept(hits.unionByName(more), "hits")

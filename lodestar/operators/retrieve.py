@@ -156,7 +156,7 @@ class Index:
         return kept(asked_lists(prof, self.postings.where(where), whole_words), "lists")
 
     def best(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, limit: int, omit: bool = False) -> DataFrame:
-        """Stored: scored hits with the ``limit`` best of each query among those that hold all required tokens (with ``omit``: all but one at least)."""
+        """Stored: scored hits with the ``limit`` best of each query among those that hold all required tokens, or with ``omit`` of those that hold all but one."""
         return best_hits(prof, lists, self.popularity, lambda found: scored(found, queries, self.products), level_worth(), PHRASE_BONUS, limit, omit, self.bits)
 
     def partial(self, prof: DataFrame, lists: DataFrame, queries: DataFrame, limit: int, least: Column | None = None, full: DataFrame | None = None) -> DataFrame:
@@ -166,7 +166,7 @@ class Index:
         miss more (down to ``least`` of ``needed``, else to one), meet all products with some of their tokens.
         Hits in ``full`` count among the ``limit``.
         """
-        missing = self.best(prof.where("needed > 1"), lists, queries, limit, omit=True).where("held < needed")
+        missing = self.best(prof.where("needed > 1"), lists, queries, limit, omit=True)
         there = (missing if full is None else missing.unionByName(full)).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
         fewer = (F.lit(1) if least is None else least) < F.col("needed") - 1
         thin = prof.select("query_id", "needed").distinct().where(fewer).join(there, "query_id", "left").where(F.coalesce("n", F.lit(0)) < limit).select("query_id")
