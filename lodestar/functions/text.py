@@ -88,20 +88,21 @@ def collapsed_identity(*parts, limit: int = 700) -> Column:
     return F.substring(F.concat_ws(" ", *(F.nullif(collapse(p), F.lit("")) for p in parts)), 1, limit)
 
 
-def _unescape(c: Column) -> Column:
-    @F.pandas_udf("string")  # made here, since workers that import this module have no session
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(html.unescape, na_action="ignore")
+def unescape(c, passes: int) -> Column:
+    """HTML entities decoded up to ``passes`` times, in one call. There's no such expression in Spark, hence a pandas UDF."""
 
-    return run(c)
+    def decoded(text: str) -> str:
+        for _ in range(passes):
+            if "&" not in text:
+                break
+            text = html.unescape(text)
+        return text
 
+    @F.pandas_udf("string")  # made here, since workers that import this module have no session
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(decoded, na_action="ignore")
 
-def unescape(c, passes: int) -> Column:
-    """HTML entities decoded up to ``passes`` times. There's no such expression in Spark, hence a pandas UDF."""
-    out = _text(c)
-    for _ in range(passes):
-        out = F.when(F.contains(out, F.lit("&")), _unescape(out)).otherwise(out)
-    return out
+    return run(_text(c))
 
 
 def clean_text(c) -> Column:
