@@ -36,6 +36,18 @@ def test_same_hits_as_by_scoring_all(catalog, bits):
     assert rows(index.structured(queries)) == rows(R.ranked(exhaustive(index, queries, "level > 0").where("held = needed")))
 
 
+@pytest.mark.parametrize("bits", [8])
+def test_titles_by_blocks(catalog, bits, monkeypatch):
+    products, queries = catalog
+    index = R.Index(products, 0.5, bits)
+    every = exhaustive(index, queries, "level = 1").where("held = needed").withColumn("score", 10.0 + F.when(F.col("phrase"), 5.0).otherwise(0.0))
+    pairs, seen, opened = R.levels(index.profile(queries), index.postings.where("level = 1")).count(), [], B.opened
+    monkeypatch.setattr(B, "opened", lambda *a: seen.append(opened(*a).count()) or opened(*a))
+    for limit in (3, 20):
+        assert rows(index.title_only(queries, limit)) == rows(R.ranked(every, limit))
+    assert 0 < sum(seen) < 2 * pairs
+
+
 def test_most_pairs_are_never_scored(catalog, monkeypatch):
     products, queries = catalog
     index, seen = R.Index(products, 0.5, 7), []
