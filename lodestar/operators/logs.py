@@ -86,9 +86,13 @@ def retained(df: DataFrame, as_of: Column, days: int) -> DataFrame:
 
 def cache_lifetime(lookups: DataFrame, hot: int = 20, days: int = 7) -> DataFrame:
     """Seconds each lookup's answer would live: a week for keys looked up ``hot`` times in seven days, else a day; empty answers five minutes."""
-    w = Window.partitionBy("key").orderBy(F.unix_seconds(F.col("ts").cast("timestamp"))).rangeBetween(-days * 86400, 0)
-    n = F.count(F.lit(1)).over(w)
-    return lookups.withColumn("lookups", n).withColumn("ttl", F.when(F.col("empty"), 300).when(F.col("lookups") >= hot, 7 * 86400).otherwise(86400))
+    # running sums in which a lookup counts from its time on, until the span after it is over
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = lookups.withColumns({"_at": at, "_n": F.lit(1)})
+    over = rows.where("_at is not null").withColumns({"_at": F.col("_at") + days * 86400 + 1, "_n": F.lit(-1)})
+    w = Window.partitionBy("key", F.col("_at").isNull()).orderBy("_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.unionAll(over).withColumn("lookups", F.sum("_n").over(w)).where("_n > 0").drop("_at", "_n")
+    return rows.withColumn("ttl", F.when(F.col("empty"), 300).when(F.col("lookups") >= hot, 7 * 86400).otherwise(86400))
 
 
 def top_ids(c: str) -> Column:
