@@ -27,3 +27,23 @@ def test_lookups_of_a_week_by_running_sums(spark):
     seen = lambda k, t: sum(1 for _, key, at, _ in data if key == k and ((at is None and t is None) or (at is not None and t is not None and t - week <= at <= t)))
     expected = {i: (seen(k, t), 300 if e else 604800 if seen(k, t) >= 20 else 86400) for i, k, t, e in data}
     assert {r.id: (r.lookups, r.ttl) for r in got.collect()} == expected and got.columns == ["id", "key", "ts", "empty", "lookups", "ttl"]
+
+
+def test_tiles_of_scores_with_ties(spark):
+    rng = np.random.default_rng(3)
+    base = rng.integers(-2, 3, (40, 4)).astype(float)
+    vectors = np.concatenate([base, base, base, np.zeros((2, 4)), rng.normal(size=(60, 4))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, embedding array<double>")
+    asked = df.where("id % 7 = 0").select(F.col("id").alias("query_id"), "embedding")
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    u = vectors / np.where(norms == 0, 1, norms)
+    expected = []
+    for q in range(0, len(u), 7):
+        s = np.round(u @ u[q], 6)
+        expected += [(q, int(i), r + 1) for r, i in enumerate([i for i in np.lexsort((np.arange(len(u)), -s)) if s[i] >= 0.2][:5])]
+    plans = set()
+    for tile in ((256, 8192), (3, 7), (1, 2)):
+        out = V.top_k(asked, df, 5, 0.2, tile)
+        assert sorted((r.query_id, r.id, r["rank"]) for r in out.collect()) == sorted(expected)
+        plans.add(re.sub(r"#\d+L?", "", plan(out)))
+    assert len(plans) == 1  # small tiles don't copy the vectors
