@@ -47,3 +47,28 @@ def test_tiles_of_scores_with_ties(spark):
         assert sorted((r.query_id, r.id, r["rank"]) for r in out.collect()) == sorted(expected)
         plans.add(re.sub(r"#\d+L?", "", plan(out)))
     assert len(plans) == 1  # small tiles don't copy the vectors
+
+
+def test_codes_meet_by_equality(spark):
+    codes = ["AB-12", "ab12", "AB-123", "abcd", "abcde", "1", "12345", "1234", "x", "", None]
+    products = spark.createDataFrame([(i, c, i % 3, "t", "g", "b") for i, c in enumerate(codes)], "product_id long, sku string, popularity long, title string, tags string, brand string")
+    queries = spark.createDataFrame(list(enumerate(["ab-12", "AB12", "abcd", "123", "1234", "1", "", "ab-1", "12345678"])), "query_id long, raw_q string")
+    out = R.Index(products).sku(queries)
+    assert "StartsWith" not in plan(out)  # many codes have their first characters in common
+    clean = lambda c: "".join(x for x in (c or "").lower() if x.isalnum())
+    expected = set()
+    for q, raw in [(r.query_id, r.raw_q) for r in queries.collect()]:
+        c = clean(raw)
+        expected |= {(q, i, clean(s) == c) for i, s in enumerate(codes) if c and s and (clean(s) == c or (len(c) >= 4 and any(x.isdigit() for x in c) and clean(s).startswith(c)))}
+    assert {(r.query_id, r.product_id, r.score == R.SKU_EXACT) for r in out.collect()} == expected
+
+
+def test_other_spacing_meets_by_equality(spark):
+    names = [("big red ring", "red ring"), ("bigred ring", "x"), ("big redring", "rings"), ("redringing", "big")]
+    products = spark.createDataFrame([(i, t, g, "b", i, "s") for i, (t, g) in enumerate(names)], "product_id long, title string, tags string, brand string, popularity long, sku string")
+    queries = spark.createDataFrame([(1, "red ring"), (2, "redring"), (3, "big red"), (4, "ringing"), (5, "bigredring")], "query_id long, raw_q string")
+    index = R.Index(products)
+    out = index.collapsed(queries)
+    assert "StartsWith" not in plan(out)
+    got = {(r.query_id, r.product_id) for r in out.collect()}
+    assert got == {(1, 0), (1, 2), (1, 3), (2, 0), (3, 0), (3, 1), (3, 2), (5, 0), (5, 1), (5, 2)}
