@@ -72,3 +72,16 @@ def test_other_spacing_meets_by_equality(spark):
     assert "StartsWith" not in plan(out)
     got = {(r.query_id, r.product_id) for r in out.collect()}
     assert got == {(1, 0), (1, 2), (1, 3), (2, 0), (3, 0), (3, 1), (3, 2), (5, 0), (5, 1), (5, 2)}
+
+
+def test_judgements_without_lists(spark):
+    titles = spark.createDataFrame([(i, sorted({["red", "blue"][i % 2], "ring", str(i % 5)})) for i in range(60)], "product_id long, held array<string>")
+    queries = spark.createDataFrame([(1, ["red", "ring"]), (2, ["ring", "3"]), (3, ["ring", "ring"]), (4, []), (5, ["none", "red"]), (6, ["7"])], "query_id int, words array<string>")
+    pairs = E.titles_holding(queries, titles)
+    got = {(r.query_id, r.product_id) for r in pairs.collect()}
+    assert got == {(1, i) for i in range(0, 60, 2)} | {(2, i) for i in range(3, 60, 5)}
+    results = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (1, 4, 8), (2, 1, 3), (6, 1, 1)], "query_id int, rank int, product_id long")
+    lists = queries.select("query_id").join(pairs, "query_id", "left").groupBy("query_id").agg(F.collect_set("product_id").alias("relevant"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(E.per_query_of_pairs(results, queries, pairs, 3)) == rows(E.per_query(results, lists, 3))
+    assert "collect_set" not in inspect.getsource(E.per_query_of_pairs)
