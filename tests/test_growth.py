@@ -85,3 +85,11 @@ def test_judgements_without_lists(spark):
     rows = lambda df: sorted(map(tuple, df.collect()))
     assert rows(E.per_query_of_pairs(results, queries, pairs, 3)) == rows(E.per_query(results, lists, 3))
     assert "collect_set" not in inspect.getsource(E.per_query_of_pairs)
+
+
+def test_fields_are_normalized_once(spark):
+    products = spark.createDataFrame([(1, "Red ring red", "ring blue", "red", None, "x: 9", "blue green 9 ring")], "product_id long, title string, tags string, brand string, category string, specs string, description string")
+    out = R.postings(products)
+    assert {(r.token, r.level) for r in out.collect()} == {("red", 1), ("ring", 1), ("blue", 2), ("x", 5), ("9", 5), ("green", 0)}
+    one = plan(products.select(R.tokenize(R.normalize("title")))).count("regexp_replace")
+    assert plan(out).count("regexp_replace") <= 6 * one
