@@ -12,6 +12,7 @@ from lodestar.operators import evaluate as E
 from lodestar.operators import logs as L
 from lodestar.operators import retrieve as R
 from lodestar.operators import vector as V
+from lodestar.plans import reports
 
 
 def plan(df):
@@ -93,3 +94,10 @@ def test_fields_are_normalized_once(spark):
     assert {(r.token, r.level) for r in out.collect()} == {("red", 1), ("ring", 1), ("blue", 2), ("x", 5), ("9", 5), ("green", 0)}
     one = plan(products.select(R.tokenize(R.normalize("title")))).count("regexp_replace")
     assert plan(out).count("regexp_replace") <= 6 * one
+
+
+def test_pages_read_a_stored_log(spark, sf, monkeypatch):
+    seen = []
+    monkeypatch.setattr(reports, "log_page", lambda logs, *a, **kw: seen.append(plan(logs)) or logs.withColumn("place", F.lit(1)))
+    reports.QUERIES["log_pages"](spark, sf)
+    assert len(seen) == len(reports.PAGES) and not any("Join" in p for p in seen)
