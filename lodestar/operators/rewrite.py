@@ -122,8 +122,17 @@ def recover(queries: DataFrame, baseline: DataFrame, dictionary: DataFrame, sear
     are searched as one batch. ``search``: queries to hits (query_id, product_id, partial, name_all, ...).
     """
     tried = candidates(queries, dictionary, terms)
+    return accepted(tried, kept(search(keyed(tried)), "tried-hits"), baseline)
+
+
+def keyed(tried: DataFrame) -> DataFrame:
+    """Rewritings as queries of their own, (query_id, raw_q); see ``STEPS``."""
+    return tried.select((F.col("query_id") * STEPS + F.col("step")).alias("query_id"), F.col("rewritten").alias("raw_q"))
+
+
+def accepted(tried: DataFrame, hits: DataFrame, baseline: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``recover`` gives, from the stored hits of the ``keyed`` rewritings."""
     key = F.col("query_id") * STEPS + F.col("step")
-    hits = kept(search(tried.select(key.alias("query_id"), F.col("rewritten").alias("raw_q"))), "tried-hits")
     counts = hits.groupBy("query_id").agg(F.count_if(~F.col("partial")).alias("full"), F.bool_or("name_all").alias("named"))
     own = F.coalesce("own", F.lit(0))
     met = tried.withColumn("key", key).join(counts.withColumnRenamed("query_id", "key"), "key").join(baseline.select("query_id", F.col("full").alias("own")), "query_id", "left")

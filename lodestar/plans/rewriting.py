@@ -50,7 +50,7 @@ CONDITIONS, USED = {"used": ("old",), "new": ("new", "new rod")}, ("old",)
 
 
 def entities(spark: SparkSession, d: str) -> N.Entities:
-    products = view(spark, d, "products_v")
+    products = index_of(spark, d).products
     brands = products.select(N.phrase("brand").alias("phrase")).distinct().withColumn("ambiguous", F.lit(False))
     return N.Entities(brands.unionByName(spark.createDataFrame([(b, True) for b in AMBIGUOUS], "phrase string, ambiguous boolean")), PLATFORMS, X.titles_with(products, USED), CONDITIONS)
 
