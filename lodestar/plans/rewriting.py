@@ -51,7 +51,7 @@ CONDITIONS, USED = {"used": ("old",), "new": ("new", "new rod")}, ("old",)
 
 def entities(spark: SparkSession, d: str) -> N.Entities:
     products = index_of(spark, d).products
-    brands = products.select(N.phrase("brand").alias("phrase")).distinct().withColumn("ambiguous", F.lit(False))
+    brands = products.select("brand").distinct().select(N.phrase("brand").alias("phrase")).distinct().withColumn("ambiguous", F.lit(False))
     return N.Entities(brands.unionByName(spark.createDataFrame([(b, True) for b in AMBIGUOUS], "phrase string, ambiguous boolean")), PLATFORMS, X.titles_with(products, USED), CONDITIONS)
 
 
@@ -86,7 +86,7 @@ def q_recover(spark: SparkSession, d: str) -> DataFrame:
     search = lambda q: A.as_hits(index.strict(q), F.col("rank"))
     own = index.strict(queries).groupBy("query_id").agg(F.count(F.lit(1)).alias("full"))
     terms = groups(spark).select(F.explode("terms").alias("term"))
-    first, _ = R.recover(queries, own, X.spell_dictionary(index.products), search, terms)
+    first, _ = R.recover(queries, own, index.dictionary, search, terms)
     return first.select("query_id", "step", "rewritten", "full")
 
 
@@ -94,10 +94,10 @@ def search_complete(spark: SparkSession, d: str) -> DataFrame:
     """Every stage of the search over typed and misspelt queries: spellings, recovery, entities, gated neighbours."""
     index = index_of(spark, d)
     typed, typos = view(spark, d, "queries_v"), view(spark, d, "typos_v")
-    queries = typed.select(F.col("query_id").cast("long").alias("query_id"), "raw_q").unionByName(typos.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "raw_q"))
+    queries = X.kept(typed.select(F.col("query_id").cast("long").alias("query_id"), "raw_q").unionByName(typos.select((F.col("query_id") + 1_000_000_000).alias("query_id"), "raw_q")), "queries")
     vectors = spark.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("id"), "embedding")
     embed = lambda texts: texts.select("query_id", mock_embedding(F.col("text")).alias("embedding"))
-    out, shown = complete_search(index, queries, groups(spark), X.spell_dictionary(index.products), entities(spark, d), intents(spark), embed, vectors)
+    out, shown = complete_search(index, queries, groups(spark), index.dictionary, entities(spark, d), intents(spark), embed, vectors)
     return out.join(shown, "query_id", "left").select("query_id", "rank", "product_id", F.round("score", 6).alias("score"), "pinned", "did_you_mean", "applied")
 
 

@@ -1,6 +1,7 @@
 """Top hits by blocks equal those found by scoring everything, and score less."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestar.operators import blocks as B
@@ -68,3 +69,22 @@ def test_numbers_follow_the_order(spark):
     got = sorted((r.n, r.k, r.id) for r in B.numbered(df, "n", F.desc("k"), F.asc("id")).collect())
     assert [g[0] for g in got] == list(range(1000)) and [(-g[1], g[2]) for g in got] == sorted((-g[1], g[2]) for g in got)
     assert B.numbered(df.limit(0), "n", F.asc("id")).count() == 0
+
+
+def test_bounds_without_the_word_left_out(catalog):
+    products, queries = catalog
+    index = R.Index(products, 0.5, 5)
+    prof, k = index.profile(queries).where("needed > 1"), 3
+    lists = index.lists(prof)
+    blocks = B.intersected(prof, B.block_lists(lists, R.level_worth(), 5), index.popularity, R.PHRASE_BONUS, True).persist()
+    every = exhaustive(index, queries).where("needed > 1 and held = needed - 1").persist()
+    # each block's products without just that word, no others
+    assert blocks.agg(F.sum("hits")).first()[0] == every.count() > 0
+    assert blocks.join(prof.select("query_id", "needed").distinct(), "query_id").where("key.held <> needed - 1").isEmpty()
+    assert not blocks.join(prof.select("query_id", F.length("token").alias("n"), F.col("at").alias("omit")), ["query_id", "omit"]).where("n > 3 and key.score > 10.00001").count()
+    # a bound is never below a hit's key
+    best = every.join(index.products.select("product_id", B.block_of(bits=5).alias("block")), "product_id").groupBy("query_id", "block").agg(F.max(B.rank_key()).alias("own"))
+    bound = blocks.groupBy("query_id", "block").agg(F.max("key").alias("key"))
+    assert best.join(bound, ["query_id", "block"]).where("own <= key").count() == best.count()
+    turns = blocks.withColumn("before", F.coalesce(F.sum("hits").over(Window.partitionBy("query_id").orderBy(F.desc("key"), "block", "omit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    assert turns.where(F.col("before") < k).count() < blocks.count()

@@ -12,7 +12,9 @@ from lodestar.operators import evaluate as E
 from lodestar.operators import logs as L
 from lodestar.operators import retrieve as R
 from lodestar.operators import vector as V
+from lodestar.operators.lexicon import spell_dictionary
 from lodestar.plans import reports
+from lodestar.plans.views import view
 
 
 def plan(df):
@@ -101,3 +103,33 @@ def test_pages_read_a_stored_log(spark, sf, monkeypatch):
     monkeypatch.setattr(reports, "log_page", lambda logs, *a, **kw: seen.append(plan(logs)) or logs.withColumn("place", F.lit(1)))
     reports.QUERIES["log_pages"](spark, sf)
     assert len(seen) == len(reports.PAGES) and not any("Join" in p for p in seen)
+
+
+def test_words_are_counted_from_the_postings(spark, sf):
+    index = R.Index(view(spark, sf, "products_v"))
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(index.frequencies) == rows(R.token_df(index.products)) and index.frequencies.count()
+    assert rows(index.dictionary) == rows(spell_dictionary(index.products))
+    assert {"words", "postings"} <= index.__dict__.keys()
+
+
+def test_postings_stay_where_they_are(spark, sf):
+    index = R.Index(view(spark, sf, "products_v"))
+    asked = index.profile(view(spark, sf, "queries_v"))
+    lists = R.asked_lists(asked, index.postings, words=index.words)
+    text = lists._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text  # few words are asked for
+    key = lambda df: sorted(map(tuple, df.select("asked", "product_id", "level").collect()))
+    assert key(lists) == key(R.asked_lists(asked, index.postings)) and lists.count()
+
+
+def test_each_distinct_name_is_met_once(spark):
+    products = spark.createDataFrame([(i, "big red ring", "red ring", "b", i, "s") for i in range(200)], "product_id long, title string, tags string, brand string, popularity long, sku string")
+    seen, kept = [], R.kept
+    R.kept = lambda df, name: seen.append((name, kept(df, name))) or seen[-1][1]
+    try:
+        out = R.Index(products).collapsed(spark.createDataFrame([(1, "redring"), (2, "bigred")], "query_id long, raw_q string"), 500)
+        assert out.where("query_id = 1").count() == 200 and out.where("query_id = 2").count() == 200
+    finally:
+        R.kept = kept
+    assert [df.count() for name, df in seen if name == "spaced-names"] == [3]
